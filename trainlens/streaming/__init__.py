@@ -1,0 +1 @@
+"""Streaming execution of the batch operators (see probe_stream)."""
