@@ -85,21 +85,9 @@ def _text_split(spark, sf_dir):
     return _split(ts, "test"), _split(ts, "train")
 
 
-_SAMPLE_BM25 = f"""
-WITH {sql.samples_ctes()},
-probes AS (SELECT idx AS probe_id, text FROM ts WHERE split = 'test'),
-docs AS (SELECT idx AS bank_id, text FROM ts WHERE split = 'train'),
-{sql.bm25_ctes('probes', 'docs', CFG.shortlist_n)}"""
-
-_HYBRID_DEBUG_SQL = _SAMPLE_BM25 + f""",
-sem AS (SELECT b.probe_id, b.bank_id, b.score AS bm25_score,
-               {sql.cosine('p.vec', 'd.vec')} AS semantic_score
-        FROM bm25 b JOIN s p ON p.idx = b.probe_id JOIN s d ON d.idx = b.bank_id),
-nrm AS (SELECT *, {sql.minmax('bm25_score', 'probe_id')} AS bm25_norm,
-               {sql.minmax('semantic_score', 'probe_id')} AS semantic_norm FROM sem),
-hyb AS (SELECT *, {CFG.alpha} * bm25_norm + {1 - CFG.alpha} * semantic_norm AS hybrid_score FROM nrm),
-rk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(hybrid_score, 9) DESC, bank_id) AS rank
-       FROM hyb)"""
+_HYBRID_DEBUG_SQL = f"""
+WITH {sql.sample_bm25()},
+{sql.hybrid_ctes()}"""
 
 
 @register("hybrid_debug", _HYBRID_DEBUG_SQL + """
@@ -127,11 +115,9 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("test_idx", "method", "rank", "train_idx", r6("score"))
 
 
-_INFLUENCE_SQL = _SAMPLE_BM25 + f""",
-inf AS (SELECT b.probe_id, b.bank_id, list_dot_product(p.grad, d.grad) AS score
-        FROM bm25 b JOIN s p ON p.idx = b.probe_id JOIN s d ON d.idx = b.bank_id),
-irk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 9) DESC, bank_id) AS rank
-        FROM inf)"""
+_INFLUENCE_SQL = f"""
+WITH {sql.sample_bm25()},
+{sql.influence_ctes()}"""
 
 
 @register("influence_topk", _INFLUENCE_SQL + f"""

@@ -67,3 +67,60 @@ def minmax(col: str, part: str) -> str:
     lo, hi = f"min({col}) OVER (PARTITION BY {part})", f"max({col}) OVER (PARTITION BY {part})"
     return (f"(CASE WHEN abs({hi} - {lo}) <= 1e-8 + 1e-5 * abs({lo}) THEN 0.0 "
             f"ELSE ({col} - {lo}) / ({hi} - {lo}) END)")
+
+
+TOP_K = 5
+SHORTLIST = 30
+ALPHA = 0.5
+
+
+def sample_bm25() -> str:
+    """WITH-body: samples, test probes vs train docs, BM25 shortlist ``bm25``."""
+    return f"""{samples_ctes()},
+probes AS (SELECT idx AS probe_id, text FROM ts WHERE split = 'test'),
+docs AS (SELECT idx AS bank_id, text FROM ts WHERE split = 'train'),
+{bm25_ctes('probes', 'docs', SHORTLIST)}"""
+
+
+def hybrid_ctes() -> str:
+    """CTEs ``sem``, ``nrm``, ``hyb``, ``rk`` (hybrid order over the shortlist)."""
+    return f"""sem AS (SELECT b.probe_id, b.bank_id, b.score AS bm25_score,
+               {cosine('p.vec', 'd.vec')} AS semantic_score
+        FROM bm25 b JOIN s p ON p.idx = b.probe_id JOIN s d ON d.idx = b.bank_id),
+nrm AS (SELECT *, {minmax('bm25_score', 'probe_id')} AS bm25_norm,
+               {minmax('semantic_score', 'probe_id')} AS semantic_norm FROM sem),
+hyb AS (SELECT *, {ALPHA} * bm25_norm + {1 - ALPHA} * semantic_norm AS hybrid_score FROM nrm),
+rk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(hybrid_score, 9) DESC, bank_id) AS rank
+       FROM hyb)"""
+
+
+def influence_ctes() -> str:
+    """CTEs ``inf``, ``irk``: gradient dot on the shortlist, ranked."""
+    return """inf AS (SELECT b.probe_id, b.bank_id, list_dot_product(p.grad, d.grad) AS score
+        FROM bm25 b JOIN s p ON p.idx = b.probe_id JOIN s d ON d.idx = b.bank_id),
+irk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 9) DESC, bank_id) AS rank
+        FROM inf)"""
+
+
+def cosine_ctes(probe_split: str = "test") -> str:
+    """CTEs ``cs``, ``crk``: gradient cosine of probes against the train samples."""
+    return f"""cs AS (SELECT p.idx AS probe_id, b.idx AS bank_id, {cosine('p.grad', 'b.grad')} AS score
+       FROM (SELECT idx, grad FROM ts WHERE split = '{probe_split}') p
+       CROSS JOIN (SELECT idx, grad FROM ts WHERE split = 'train') b),
+crk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 9) DESC, bank_id) AS rank
+        FROM cs)"""
+
+
+def merged_ctes() -> str:
+    """WITH-body ending in ``merged`` (test_idx, method, rank, train_idx, score)."""
+    return f"""{sample_bm25()},
+{hybrid_ctes()},
+{influence_ctes()},
+{cosine_ctes()},
+merged AS (
+  SELECT probe_id AS test_idx, 'hybrid' AS method, CAST(rank AS INTEGER) AS rank,
+         bank_id AS train_idx, hybrid_score AS score FROM rk WHERE rank <= {TOP_K}
+  UNION ALL
+  SELECT probe_id, 'gradient_cosine', CAST(rank AS INTEGER), bank_id, score FROM crk WHERE rank <= {TOP_K}
+  UNION ALL
+  SELECT probe_id, 'influence', CAST(rank AS INTEGER), bank_id, score FROM irk WHERE rank <= {TOP_K})"""

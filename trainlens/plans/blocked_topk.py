@@ -34,12 +34,19 @@ SCORE_DECIMALS = 9
 
 @dataclass(frozen=True)
 class Tiling:
+    """Group sizing. ``tile_rows`` x ``block_rows`` bounds a group's score
+    matrix; a small bank is still cut into up to ``parallelism`` blocks of at
+    least ``min_block_rows`` rows so that every core gets a group."""
     tile_rows: int = 1024
     block_rows: int = 4096
+    min_block_rows: int = 256
 
-    def layout(self, n_probes: int, n_bank: int) -> tuple[int, int]:
+    def layout(self, n_probes: int, n_bank: int, parallelism: int = 1) -> tuple[int, int]:
         tiles = max(1, math.ceil(n_probes / self.tile_rows))
         blocks = max(1, math.ceil(n_bank / self.block_rows))
+        if tiles * blocks < parallelism:
+            blocks = max(blocks, min(math.ceil(parallelism / tiles),
+                                     math.ceil(n_bank / self.min_block_rows)))
         return tiles, blocks
 
 
@@ -111,7 +118,7 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
     bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
     n_probes = probes.count() if n_probes is None else n_probes
     n_bank = bank.count() if n_bank is None else n_bank
-    tiles, blocks = tiling.layout(n_probes, n_bank)
+    tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
     p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
     b = _assign(bank, "bank_id", "_block", blocks, "_tile", tiles)
     schema = _result_schema(probes.schema["probe_id"].dataType, bank.schema["bank_id"].dataType)
@@ -196,7 +203,7 @@ def sparse_topk(probe_terms: DataFrame, bank_terms: DataFrame, bank_ids: DataFra
         probe_ids = probe_terms.select("probe_id").distinct()
     n_probes = probe_ids.count() if n_probes is None else n_probes
     n_bank = bank_ids.count() if n_bank is None else n_bank
-    tiles, blocks = tiling.layout(n_probes, n_bank)
+    tiles, blocks = tiling.layout(n_probes, n_bank, bank_ids.sparkSession.sparkContext.defaultParallelism)
     probe_type = probe_terms.schema["probe_id"].dataType
     bank_type = bank_ids.schema["bank_id"].dataType
     p_presence = probe_ids.select("probe_id", F.lit(None).cast("string").alias("_pt"),
@@ -230,3 +237,46 @@ def sparse_topk(probe_terms: DataFrame, bank_terms: DataFrame, bank_ids: DataFra
               .cogroup(p.groupBy("_tile", "_block"))
               .applyInPandas(score_group, schema))
     return _final_topk(local, k, blocks)
+
+
+def dense_max(probes: DataFrame, bank: DataFrame, *, exclude_self: bool = False,
+              tiling: Tiling = Tiling(), n_probes: int | None = None,
+              n_bank: int | None = None) -> DataFrame:
+    """(probe_id, max_cosine, max_dot): each probe's strongest bank match under
+    both measures in one pass (max over blocks of per-block maxima)."""
+    probes = probes.select("probe_id", F.col("vec").alias("_pvec")).where(F.col("_pvec").isNotNull())
+    bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
+    n_probes = probes.count() if n_probes is None else n_probes
+    n_bank = bank.count() if n_bank is None else n_bank
+    tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
+    p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
+    b = _assign(bank, "bank_id", "_block", blocks, "_tile", tiles)
+    schema = T.StructType([T.StructField("probe_id", probes.schema["probe_id"].dataType),
+                           T.StructField("max_cosine", T.DoubleType()),
+                           T.StructField("max_dot", T.DoubleType())])
+
+    def group_max(bank_pdf: pd.DataFrame, probe_pdf: pd.DataFrame) -> pd.DataFrame:
+        if bank_pdf.empty or probe_pdf.empty:
+            return pd.DataFrame({"probe_id": pd.Series(dtype=object), "max_cosine": pd.Series(dtype=float),
+                                 "max_dot": pd.Series(dtype=float)})
+        bm = np.vstack(bank_pdf["_bvec"].to_numpy()).astype(np.float64)
+        pm = np.vstack(probe_pdf["_pvec"].to_numpy()).astype(np.float64)
+        dots = pm @ bm.T
+        bn = np.clip(np.linalg.norm(bm, axis=1), 1e-12, None)
+        pn = np.clip(np.linalg.norm(pm, axis=1), 1e-12, None)
+        cos = dots / pn[:, None] / bn[None, :]
+        if exclude_self:
+            same = probe_pdf["probe_id"].to_numpy()[:, None] == bank_pdf["bank_id"].to_numpy()[None, :]
+            dots = np.where(same, -np.inf, dots)
+            cos = np.where(same, -np.inf, cos)
+        out = pd.DataFrame({"probe_id": probe_pdf["probe_id"].to_numpy(),
+                            "max_cosine": cos.max(axis=1), "max_dot": dots.max(axis=1)})
+        return out[np.isfinite(out["max_dot"].to_numpy())]
+
+    local = (b.groupBy("_tile", "_block")
+              .cogroup(p.groupBy("_tile", "_block"))
+              .applyInPandas(group_max, schema))
+    if blocks == 1:
+        return local
+    return local.groupBy("probe_id").agg(F.max("max_cosine").alias("max_cosine"),
+                                         F.max("max_dot").alias("max_dot"))

@@ -1,0 +1,23 @@
+"""Partition-count guards."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin redistribute only when the input has fewer partitions than cores.
+
+    A file written as one row group is scanned by one task, which would make
+    CPU-heavy per-row work (tokenizing text) single-threaded. Large inputs
+    already have many scan partitions and pass through untouched, so this
+    never adds a shuffle at scale.
+    """
+    n = parallelism(df)
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
