@@ -1 +1,217 @@
-"""Registered queries."""
+"""Registered data-foundation queries: normalize (N*), split (C*), examples and
+tokens (X*, J01), lengths (T*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trainlens.catalog.attribution_q import r6
+from trainlens.operators import examples as X
+from trainlens.operators import lengths as L
+from trainlens.operators import normalize as N
+from trainlens.operators import splits as C
+from trainlens.registry import register
+from trainlens.sources.corpus import instruction_records, vector_samples, vector_samples_sql
+from trainlens.sources.tables import read_table
+
+STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _strip(c: str) -> str:
+    return STRIP.format(c=c)
+
+
+def normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return N.normalize_records(docs, "documents", ["doc_id"])
+
+
+_NORM_SQL = f"""WITH nd AS (
+  SELECT doc_id, text, lang,
+         row_number() OVER (ORDER BY doc_id) - 1 AS ordinal,
+         coalesce(nullif({_strip('source')}, ''), 'documents') AS source
+  FROM documents),
+n AS (SELECT *, 'documents-' || printf('%06d', ordinal) AS sample_id, 'unknown' AS license,
+             coalesce(length({_strip('text')}) > 0, false) AS has_text FROM nd)"""
+
+
+@register("normalized_documents", _NORM_SQL + """
+SELECT sample_id, doc_id, source, license, lang, CAST(ordinal AS BIGINT) AS ordinal, has_text FROM n""")
+def q_normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default ids from the doc_id order, default source/license,
+    text presence."""
+    n = normalized_documents(spark, sf_dir)
+    return n.select("sample_id", "doc_id", "source", "license", "lang", "ordinal", "has_text")
+
+
+@register("instruction_id_audit", """
+WITH p AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role
+           FROM conversations),
+r AS (SELECT CAST(conv_id AS VARCHAR) AS sample_id FROM p WHERE role = 'user' AND next_role = 'assistant')
+SELECT sample_id, count(*) AS count, 'duplicate sample_id' AS reason FROM r GROUP BY sample_id HAVING count(*) > 1
+""")
+def q_instruction_id_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed by conversation, instruction pairs repeat ids (one per user turn)."""
+    recs = instruction_records(spark, sf_dir).withColumn("sample_id", F.col("conv_id").cast("string"))
+    return N.duplicate_ids(recs)
+
+
+STRATA = ("source", "lang")
+
+
+@register("split_allocation", """
+WITH st AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang),
+f AS (SELECT *, floor(n * 0.8) AS f_tr, floor(n * 0.1) AS f_te, floor(n * 0.1) AS f_sh,
+             n * 0.8 - floor(n * 0.8) AS x_tr, n * 0.1 - floor(n * 0.1) AS x_te, n * 0.1 - floor(n * 0.1) AS x_sh
+      FROM st),
+r AS (SELECT *, n - f_tr - f_te - f_sh AS rem,
+        (CASE WHEN x_te > x_tr OR (x_te = x_tr AND (0.1, 'test') > (0.8, 'train')) THEN 1 ELSE 0 END
+         + CASE WHEN x_sh > x_tr OR (x_sh = x_tr AND (0.1, 'shadow') > (0.8, 'train')) THEN 1 ELSE 0 END) AS p_tr,
+        (CASE WHEN x_tr > x_te OR (x_tr = x_te AND (0.8, 'train') > (0.1, 'test')) THEN 1 ELSE 0 END
+         + CASE WHEN x_sh > x_te OR (x_sh = x_te AND (0.1, 'shadow') > (0.1, 'test')) THEN 1 ELSE 0 END) AS p_te,
+        (CASE WHEN x_tr > x_sh OR (x_tr = x_sh AND (0.8, 'train') > (0.1, 'shadow')) THEN 1 ELSE 0 END
+         + CASE WHEN x_te > x_sh OR (x_te = x_sh AND (0.1, 'test') > (0.1, 'shadow')) THEN 1 ELSE 0 END) AS p_sh
+      FROM f)
+SELECT source, lang, n,
+       CAST(f_tr + CASE WHEN p_tr < rem THEN 1 ELSE 0 END AS BIGINT) AS n_train,
+       CAST(f_te + CASE WHEN p_te < rem THEN 1 ELSE 0 END AS BIGINT) AS n_test,
+       CAST(f_sh + CASE WHEN p_sh < rem THEN 1 ELSE 0 END AS BIGINT) AS n_shadow
+FROM r""")
+def q_split_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C01 + C03: largest-remainder 80/10/10 allocation of every (source, lang) stratum."""
+    docs = read_table(spark, sf_dir, "documents")
+    counts = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return C.allocate_counts_df(counts, "n", C.SplitRatios())
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = normalized_documents(spark, sf_dir)
+    return C.create_splits(n, C.SplitRatios(), 2026, STRATA)
+
+
+@register("stratified_split")
+def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C04 + C06: deterministic stratified train/test/shadow split of the corpus."""
+    return stratified_split(spark, sf_dir).select("sample_id", "doc_id", "source", "lang", "split")
+
+
+@register("split_summary")
+def q_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per split."""
+    return C.split_summary(stratified_split(spark, sf_dir))
+
+
+@register("shadow_fallback")
+def q_shadow_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus rows in neither train nor test."""
+    s = stratified_split(spark, sf_dir)
+    corpus = normalized_documents(spark, sf_dir).select("sample_id", "doc_id")
+    return C.shadow_fallback(corpus, s.where(F.col("split") == "train"),
+                             s.where(F.col("split") == "test"), "sample_id")
+
+
+GRAD_SUBSET = 600
+
+
+@register("gradient_subset", f"""
+WITH s AS ({vector_samples_sql()})
+SELECT idx FROM s WHERE split = 'train' ORDER BY md5('2026:' || CAST(idx AS VARCHAR)), idx LIMIT {GRAD_SUBSET}""")
+def q_gradient_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed-size seeded sample of train rows whose gradients are stored."""
+    t = vector_samples(spark, sf_dir).where(F.col("split") == "train").select("idx")
+    return C.gradient_subset(t, GRAD_SUBSET, 2026, "idx")
+
+
+# ---------------------------------------------------------------- X, J01
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = instruction_records(spark, sf_dir).withColumn(
+        "sample_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    ex = X.build_examples(recs)
+    return ex.join(X.full_text(recs).select("sample_id", "full_text"), "sample_id")
+
+
+_EX_SQL = f"""WITH p AS (SELECT conv_id, turn, role, text,
+                  lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+                  lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations),
+sy AS (SELECT conv_id, arg_min(text, turn) AS input FROM conversations WHERE role = 'system' GROUP BY conv_id),
+r AS (SELECT CAST(p.conv_id AS VARCHAR) || '-' || CAST(p.turn AS VARCHAR) AS sample_id,
+             p.text AS instruction, coalesce(sy.input, '') AS input, p.next_text AS output
+      FROM p LEFT JOIN sy ON sy.conv_id = p.conv_id WHERE p.role = 'user' AND p.next_role = 'assistant'),
+e AS (SELECT sample_id,
+        nullif({_strip('instruction')}, '') AS pr, nullif({_strip('input')}, '') AS inp,
+        nullif({_strip('output')}, '') AS tg, {_strip('instruction')} AS i0, {_strip('input')} AS n0,
+        {_strip('output')} AS o0 FROM r),
+ex AS (SELECT sample_id,
+        '### Instruction:\n' || CASE WHEN inp IS NOT NULL THEN pr || '\n\nInput:\n' || inp ELSE pr END
+          || '\n\n### Response:\n' AS prompt,
+        tg AS target,
+        CASE WHEN n0 <> '' THEN 'Instruction: ' || i0 || '\nInput: ' || n0 || '\nResponse: ' || o0
+             ELSE 'Instruction: ' || i0 || '\nResponse: ' || o0 END AS full_text
+      FROM e)"""
+
+@register("training_examples", _EX_SQL.replace("\\n", "\n") + """
+SELECT sample_id, prompt, target, prompt || target AS text, full_text FROM ex""")
+def q_training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templated prompt/target/text and the attribution full text
+    for every user -> assistant turn pair."""
+    return examples(spark, sf_dir).select("sample_id", "prompt", "target", "text", "full_text")
+
+
+MAX_LEN = 128
+VOCAB = 32000
+
+
+def _tokens(spark, sf_dir, padding="max_length"):
+    return X.tokenize(examples(spark, sf_dir), MAX_LEN, padding, VOCAB)
+
+
+_TOK_SQL = _EX_SQL.replace("\\n", "\n") + f""",
+tx AS (SELECT sample_id, prompt || target AS text FROM ex),
+tk AS (SELECT sample_id, list_transform(
+          list_filter(string_split_regex(text, '\\s+'), lambda t: t <> '')[1:{MAX_LEN}],
+          lambda t: CAST((('0x' || substr(md5(t), 1, 8))::BIGINT % {VOCAB}) AS INTEGER)) AS ids FROM tx)"""
+
+
+@register("example_tokens", _TOK_SQL + f"""
+SELECT sample_id, CAST(len(ids) AS INTEGER) AS n_tokens,
+       array_to_string(list_concat(ids, list_transform(range(greatest({MAX_LEN} - len(ids), 0)), lambda x: 0)), ',')
+         AS input_ids,
+       CAST(len(ids) AS BIGINT) AS seq_len FROM tk""")
+def q_example_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed whitespace tokens, truncated and padded to 128 with
+    a zero mask on padding; effective length from the mask."""
+    t = L.effective_length(_tokens(spark, sf_dir))
+    return t.select("sample_id",
+                    F.size(F.filter("attention_mask", lambda m: m == 1)).alias("n_tokens"),
+                    F.concat_ws(",", F.transform("input_ids", lambda x: x.cast("string"))).alias("input_ids"),
+                    "seq_len")
+
+
+@register("padding_footprint", _TOK_SQL + f""",
+pl AS (SELECT len(ids) AS seq_len, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM tk),
+b AS (SELECT floor(pos / 4) AS batch, max(seq_len) AS mx, count(*) AS rows FROM pl GROUP BY 1)
+SELECT sum(least(mx, {MAX_LEN}) * rows) AS padded_tokens, sum(rows) * {MAX_LEN} AS max_length_tokens,
+       round(sum(least(mx, {MAX_LEN}) * rows) / (sum(rows) * {MAX_LEN}), 6) AS ratio,
+       (SELECT sum(seq_len) FROM pl) AS n_tokens FROM b""")
+def q_padding_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T02 + T07: token footprint of dynamic padding in contiguous batches of 4
+    versus padding every row to 128, plus the non-pad token count."""
+    from trainlens.plans.ordinal import with_ordinal
+    t = L.effective_length(_tokens(spark, sf_dir, "longest"))
+    t = with_ordinal(t.select("sample_id", "seq_len"), [F.col("sample_id")], "pos")
+    fp = L.padding_footprint(t, 4, MAX_LEN)
+    return fp.select(F.col("padded_tokens").cast("long").alias("padded_tokens"),
+                     F.col("max_length_tokens").cast("long").alias("max_length_tokens"),
+                     r6("ratio"), F.col("n_tokens").cast("long").alias("n_tokens"))
+
+
+@register("dataset_fingerprint", """
+SELECT count(*) AS n_rows,
+       bit_xor(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(text, '')), 1, 15))::BIGINT)
+         AS xor_hash
+FROM documents""")
+def q_dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X11: order-independent content fingerprint of the corpus (cache key part)."""
+    d = read_table(spark, sf_dir, "documents")
+    return X.dataset_fingerprint(d, ["doc_id", "text"])
