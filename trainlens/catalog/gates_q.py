@@ -1 +1,83 @@
-"""Registered queries."""
+"""Registered run-gate queries (G02-G06, G08) over runs derived from ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trainlens.catalog.attribution_q import r6
+from trainlens.operators import gates as G
+from trainlens.registry import register
+from trainlens.sources.runs import STEPS_PER_EPOCH, loss_log, run_metrics
+
+_RUNS_SQL = f"""WITH g AS (
+  SELECT user_id AS run_id, count(*) AS steps,
+         (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS train_runtime,
+         arg_max(value, (ts, event_id)) AS train_loss, sum(value) AS tokens
+  FROM events GROUP BY user_id),
+runs AS (SELECT *, steps / {float(STEPS_PER_EPOCH)} AS epochs_completed,
+           CASE WHEN train_runtime > 0 THEN steps / train_runtime END AS train_steps_per_second,
+           CASE WHEN train_runtime > 0 THEN tokens / train_runtime END AS train_tokens_per_second
+         FROM g),
+fl AS (SELECT user_id AS run_id, arg_min(value, (ts, event_id)) AS first_loss,
+              arg_max(value, (ts, event_id)) AS last_loss
+       FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value) GROUP BY user_id),
+chk AS (SELECT runs.run_id,
+          coalesce(steps, 0) >= 100 AS min_steps,
+          coalesce(epochs_completed, 0.0) >= 1.0 AS min_epochs,
+          coalesce(train_loss IS NOT NULL AND NOT isnan(train_loss) AND NOT isinf(train_loss)
+                   AND train_loss <= 3.0, false) AS final_loss,
+          coalesce(last_loss <= first_loss, true) AS loss_trend,
+          (train_steps_per_second IS NOT NULL AND train_tokens_per_second IS NOT NULL
+           AND train_runtime IS NOT NULL AND train_loss IS NOT NULL) AS runtime_metrics
+        FROM runs LEFT JOIN fl ON fl.run_id = runs.run_id)"""
+
+
+def _checks(spark, sf_dir) -> DataFrame:
+    losses = G.loss_endpoints(loss_log(spark, sf_dir), ["ts", "event_id"])
+    return G.gate_checks(run_metrics(spark, sf_dir), losses)
+
+
+@register("run_gate_report", _RUNS_SQL + """
+SELECT run_id, 'min_steps' AS "check", min_steps AS passed FROM chk
+UNION ALL SELECT run_id, 'min_epochs', min_epochs FROM chk
+UNION ALL SELECT run_id, 'final_loss', final_loss FROM chk
+UNION ALL SELECT run_id, 'loss_trend', loss_trend FROM chk
+UNION ALL SELECT run_id, 'runtime_metrics', runtime_metrics FROM chk
+UNION ALL SELECT run_id, 'overall', min_steps AND min_epochs AND final_loss AND loss_trend AND runtime_metrics
+FROM chk""")
+def run_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress, loss and runtime-metric checks for every run, plus overall."""
+    return G.gate_report(_checks(spark, sf_dir))
+
+
+@register("run_metric_audit", _RUNS_SQL + """,
+m AS (SELECT run_id, unnest(list_filter([
+        CASE WHEN train_steps_per_second IS NULL THEN 'train_steps_per_second' END,
+        CASE WHEN train_tokens_per_second IS NULL THEN 'train_tokens_per_second' END,
+        CASE WHEN train_steps_per_second IS NULL THEN 'throughput.steps_per_second' END,
+        CASE WHEN train_tokens_per_second IS NULL THEN 'throughput.tokens_per_second' END],
+        lambda x: x IS NOT NULL)) AS missing_key FROM runs)
+SELECT run_id, missing_key FROM m""")
+def run_metric_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G04 (G01 on a runs table): missing runtime-metric and throughput keys per run."""
+    return G.struct_key_audit(run_metrics(spark, sf_dir), G.REQUIRED_RUNTIME_METRIC_KEYS,
+                              "throughput", G.REQUIRED_THROUGHPUT_KEYS)
+
+
+@register("run_pair_reproducibility", _RUNS_SQL + """,
+p AS (SELECT run_id // 2 AS pair_id, count(*) AS n_runs,
+        arg_min(steps, run_id) AS steps_a, arg_max(steps, run_id) AS steps_b,
+        arg_min(train_loss, run_id) AS loss_a, arg_max(train_loss, run_id) AS loss_b,
+        arg_min(train_steps_per_second, run_id) AS rate_a, arg_max(train_steps_per_second, run_id) AS rate_b
+      FROM runs GROUP BY run_id // 2)
+SELECT pair_id, steps_a, steps_b, round(abs(loss_a - loss_b), 6) AS loss_drift,
+       round(abs(rate_a - rate_b), 6) AS rate_drift,
+       (steps_a = steps_b AND abs(loss_a - loss_b) <= 1e-4 AND coalesce(abs(rate_a - rate_b) <= 0.5, false))
+         AS reproducible
+FROM p WHERE n_runs = 2""")
+def run_pair_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs paired as (2i, 2i+1): equal steps, loss drift <= 1e-4, rate drift <= 0.5."""
+    runs = run_metrics(spark, sf_dir).withColumn("pair_id", F.floor(F.col("run_id") / 2).cast("long"))
+    r = G.pair_reproducibility(runs, "pair_id", "run_id")
+    return r.select("pair_id", "steps_a", "steps_b", r6("loss_drift"), r6("rate_drift"), "reproducible")
