@@ -41,7 +41,12 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
         return out.drop(*[f"_gs_{v}" for v in values])
     n = _n_parts(df, n_partitions)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    r = df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    # Range bounds come from sampling the input, and row order inside shuffled
+    # partitions is not stable between evaluations, so the partitioned rows
+    # are checkpointed once (shared checkpoint folder): the totals and the
+    # per-row sums then read the same partitions, also after executor loss.
+    r = (df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+           .checkpoint(eager=True))
     totals = r.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in values])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}")
