@@ -102,11 +102,12 @@ irk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score,
         FROM inf)"""
 
 
-def cosine_ctes(probe_split: str = "test") -> str:
-    """CTEs ``cs``, ``crk``: gradient cosine of probes against the train samples."""
+def cosine_ctes(probe_split: str = "test", src: str = "ts") -> str:
+    """CTEs ``cs``, ``crk``: gradient cosine of probes against the train samples
+    of view ``src`` (``ts``: samples with text, ``s``: every vector sample)."""
     return f"""cs AS (SELECT p.idx AS probe_id, b.idx AS bank_id, {cosine('p.grad', 'b.grad')} AS score
-       FROM (SELECT idx, grad FROM ts WHERE split = '{probe_split}') p
-       CROSS JOIN (SELECT idx, grad FROM ts WHERE split = 'train') b),
+       FROM (SELECT idx, grad FROM {src} WHERE split = '{probe_split}') p
+       CROSS JOIN (SELECT idx, grad FROM {src} WHERE split = 'train') b),
 crk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 9) DESC, bank_id) AS rank
         FROM cs)"""
 

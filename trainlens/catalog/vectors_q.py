@@ -60,7 +60,7 @@ def _offsets_sql() -> str:
 
 @register("dot_share_by_group", f"""
 WITH {sql.samples_ctes()},
-{sql.cosine_ctes()},
+{sql.cosine_ctes(src="s")},
 top AS (SELECT probe_id AS test_idx, bank_id AS train_idx FROM crk WHERE rank <= 5),
 pr AS (SELECT top.test_idx, top.train_idx, p.grad AS a, b.grad AS b FROM top
        JOIN s p ON p.idx = top.test_idx JOIN s b ON b.idx = top.train_idx),
