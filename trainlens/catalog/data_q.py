@@ -85,24 +85,81 @@ def q_split_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.allocate_counts_df(counts, "n", C.SplitRatios())
 
 
+
+def _split_sql() -> str:
+    """C06 in SQL: quotas by a recursive fold over strata in key order, then
+    each stratum cut train -> test -> shadow in seeded md5 order."""
+    ratios = {"tr": (0.8, "train"), "te": (0.1, "test"), "sh": (0.1, "shadow")}
+    keys = list(ratios)
+
+    def c01(n, out):  # largest remainder of n over the ratios -> out_tr, out_te, out_sh
+        fl = {k: f"floor({n} * {ratios[k][0]})" for k in keys}
+        fr = {k: f"({n} * {ratios[k][0]} - {fl[k]})" for k in keys}
+        rem = f"({n} - {' - '.join(fl.values())})"
+        cols = []
+        for s_ in keys:
+            ahead = " + ".join(
+                f"CASE WHEN {fr[o]} > {fr[s_]} OR ({fr[o]} = {fr[s_]} AND ({ratios[o][0]}, '{ratios[o][1]}') > "
+                f"({ratios[s_][0]}, '{ratios[s_][1]}')) THEN 1 ELSE 0 END" for o in keys if o != s_)
+            cols.append(f"CAST({fl[s_]} + CASE WHEN ({ahead}) < {rem} THEN 1 ELSE 0 END AS BIGINT) AS {out}_{s_}")
+        return ", ".join(cols)
+
+    def ahead(o, s_):  # o is filled before s_: (spare, target, ratio, name) descending
+        return (f"(sp_{o} > sp_{s_} OR (sp_{o} = sp_{s_} AND (t_{o}, {ratios[o][0]}, '{ratios[o][1]}') > "
+                f"(t_{s_}, {ratios[s_][0]}, '{ratios[s_][1]}')))")
+    q = []
+    for s_ in keys:
+        before = " + ".join(f"CASE WHEN {ahead(o, s_)} THEN sp_{o} ELSE 0 END" for o in keys if o != s_)
+        q.append(f"CASE WHEN last THEN r_{s_} ELSE c_{s_} + least(sp_{s_}, greatest(0, dd - ({before}))) END AS q_{s_}")
+    return _NORM_SQL.replace("WITH nd AS", "WITH RECURSIVE nd AS", 1) + f""",
+st AS (SELECT row_number() OVER (ORDER BY source, coalesce(lang, '')) AS i, source, coalesce(lang, '') AS lang,
+              n, {c01('n', 'd')}
+       FROM (SELECT source, lang, count(*) AS n FROM n GROUP BY source, lang)),
+tot AS (SELECT sum(n) AS n, count(*) AS k FROM st),
+tgt AS (SELECT {c01('n', 't')} FROM tot),
+fold(i, r_tr, r_te, r_sh, q_tr, q_te, q_sh) AS (
+  SELECT 0, t_tr, t_te, t_sh, 0, 0, 0 FROM tgt
+  UNION ALL
+  SELECT i, r_tr - q_tr, r_te - q_te, r_sh - q_sh, q_tr, q_te, q_sh FROM (
+    SELECT i, r_tr, r_te, r_sh, {", ".join(q)} FROM (
+      SELECT st.i, st.i = (SELECT k FROM tot) AS last, f.r_tr, f.r_te, f.r_sh,
+             t_tr, t_te, t_sh,
+             least(st.d_tr, f.r_tr) AS c_tr, least(st.d_te, f.r_te) AS c_te, least(st.d_sh, f.r_sh) AS c_sh,
+             f.r_tr - least(st.d_tr, f.r_tr) AS sp_tr, f.r_te - least(st.d_te, f.r_te) AS sp_te,
+             f.r_sh - least(st.d_sh, f.r_sh) AS sp_sh,
+             st.n - least(st.d_tr, f.r_tr) - least(st.d_te, f.r_te) - least(st.d_sh, f.r_sh) AS dd
+      FROM fold f JOIN st ON st.i = f.i + 1 CROSS JOIN tgt))),
+quota AS (SELECT st.source, st.lang, q_tr, q_te, q_sh FROM fold JOIN st USING (i)),
+pos AS (SELECT n.*, row_number() OVER (PARTITION BY source, coalesce(lang, '')
+                 ORDER BY md5('2026:' || sample_id), sample_id) - 1 AS p FROM n),
+sp AS (SELECT pos.sample_id, pos.doc_id, pos.source, pos.lang,
+         CASE WHEN p < q_tr THEN 'train' WHEN p < q_tr + q_te THEN 'test'
+              WHEN p < q_tr + q_te + q_sh THEN 'shadow' END AS split
+       FROM pos JOIN quota ON quota.source = pos.source AND quota.lang = coalesce(pos.lang, '')),
+splits AS (SELECT * FROM sp WHERE split IS NOT NULL)"""
+
+
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = normalized_documents(spark, sf_dir)
     return C.create_splits(n, C.SplitRatios(), 2026, STRATA)
 
 
-@register("stratified_split")
+@register("stratified_split", _split_sql() + """
+SELECT sample_id, doc_id, source, lang, split FROM splits""")
 def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C04 + C06: deterministic stratified train/test/shadow split of the corpus."""
     return stratified_split(spark, sf_dir).select("sample_id", "doc_id", "source", "lang", "split")
 
 
-@register("split_summary")
+@register("split_summary", _split_sql() + """
+SELECT split, count(*) AS n FROM splits GROUP BY split""")
 def q_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per split."""
     return C.split_summary(stratified_split(spark, sf_dir))
 
 
-@register("shadow_fallback")
+@register("shadow_fallback", _split_sql() + """
+SELECT sample_id, doc_id FROM n WHERE sample_id NOT IN (SELECT sample_id FROM splits WHERE split IN ('train', 'test'))""")
 def q_shadow_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus rows in neither train nor test."""
     s = stratified_split(spark, sf_dir)
