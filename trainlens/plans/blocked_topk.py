@@ -280,3 +280,43 @@ def dense_max(probes: DataFrame, bank: DataFrame, *, exclude_self: bool = False,
         return local
     return local.groupBy("probe_id").agg(F.max("max_cosine").alias("max_cosine"),
                                          F.max("max_dot").alias("max_dot"))
+
+
+def dense_count_at_least(probes: DataFrame, bank: DataFrame, *, tiling: Tiling = Tiling(),
+                         n_probes: int | None = None, n_bank: int | None = None) -> DataFrame:
+    """(probe_id, n_at_least, n_bank, sum_score): per probe, how many bank dot
+    scores reach its threshold ``thr``, plus the count and sum of all scores.
+
+    ``probes``: (probe_id, vec, thr); ``bank``: (bank_id, vec).
+    """
+    probes = probes.select("probe_id", F.col("vec").alias("_pvec"), F.col("thr").alias("_thr"))
+    bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
+    n_probes = probes.count() if n_probes is None else n_probes
+    n_bank = bank.count() if n_bank is None else n_bank
+    tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
+    p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
+    b = _assign(bank, "bank_id", "_block", blocks, "_tile", tiles)
+    schema = T.StructType([T.StructField("probe_id", probes.schema["probe_id"].dataType),
+                           T.StructField("n_at_least", T.LongType()),
+                           T.StructField("n_bank", T.LongType()),
+                           T.StructField("sum_score", T.DoubleType())])
+
+    def group_count(bank_pdf: pd.DataFrame, probe_pdf: pd.DataFrame) -> pd.DataFrame:
+        if bank_pdf.empty or probe_pdf.empty:
+            return pd.DataFrame({"probe_id": pd.Series(dtype=object), "n_at_least": pd.Series(dtype=np.int64),
+                                 "n_bank": pd.Series(dtype=np.int64), "sum_score": pd.Series(dtype=float)})
+        bm = np.vstack(bank_pdf["_bvec"].to_numpy()).astype(np.float64)
+        pm = np.vstack(probe_pdf["_pvec"].to_numpy()).astype(np.float64)
+        s = np.round(pm @ bm.T, SCORE_DECIMALS)
+        thr = probe_pdf["_thr"].to_numpy(dtype=np.float64)[:, None]
+        return pd.DataFrame({"probe_id": probe_pdf["probe_id"].to_numpy(),
+                             "n_at_least": (s >= thr).sum(axis=1).astype(np.int64),
+                             "n_bank": np.full(len(pm), len(bm), dtype=np.int64),
+                             "sum_score": (pm @ bm.T).sum(axis=1)})
+
+    local = (b.groupBy("_tile", "_block")
+              .cogroup(p.groupBy("_tile", "_block"))
+              .applyInPandas(group_count, schema))
+    return local.groupBy("probe_id").agg(F.sum("n_at_least").alias("n_at_least"),
+                                         F.sum("n_bank").alias("n_bank"),
+                                         F.sum("sum_score").alias("sum_score"))
