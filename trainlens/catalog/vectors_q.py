@@ -160,3 +160,22 @@ def ihvp_diag_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = V.ihvp_diag_topk(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5)
     return t.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
                     F.round("score", 6).alias("score"), "rank")
+
+
+@register("probe_score_profile", f"""
+WITH s AS ({sql.vector_samples_sql()}),
+sc AS (SELECT p.idx AS test_idx, list_dot_product(p.grad, b.grad) AS score
+       FROM (SELECT * FROM s WHERE split = 'test') p CROSS JOIN (SELECT * FROM s WHERE split = 'train') b),
+r AS (SELECT *, row_number() OVER (PARTITION BY test_idx ORDER BY round(score, 9) DESC) AS rk FROM sc),
+c AS (SELECT test_idx, any_value(score) AS cutoff FROM r WHERE rk = 5 GROUP BY test_idx)
+SELECT c.test_idx, round(c.cutoff, 6) AS cutoff, round(avg(sc.score), 6) AS mean_score,
+       round(100.0 * sum(CASE WHEN round(sc.score, 9) >= round(c.cutoff, 9) THEN 1 ELSE 0 END) / count(*), 6)
+         AS pct_at_or_above
+FROM c JOIN sc USING (test_idx) GROUP BY c.test_idx, c.cutoff""")
+def probe_score_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test sample, the 5th-largest influence score over the whole
+    train bank, the mean score, and the share of rows at or above the cutoff."""
+    from trainlens.operators.agreement import probe_score_profile as profile
+    s = vector_samples(spark, sf_dir)
+    p = profile(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5)
+    return p.select("test_idx", r6("cutoff"), r6("mean_score"), r6("pct_at_or_above"))
