@@ -8,6 +8,7 @@ order cannot split or merge ties.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +27,9 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three methods over the same test probes and train bank, score rounded to 1e-9."""
     ts = text_samples(spark, sf_dir)
     r = A.attribute_all(ts.where(F.col("split") == "test"), ts.where(F.col("split") == "train"), CFG)
-    return r.withColumn("score", F.round("score", 9))
+    # k rows per probe and method, read by several branches of each
+    # evaluation plan: kept once instead of re-deriving all three methods
+    return r.withColumn("score", F.round("score", 9)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 MERGED = f"WITH {sql.merged_ctes()},\nm AS (SELECT test_idx, method, rank, train_idx, round(score, 9) AS score FROM merged)"

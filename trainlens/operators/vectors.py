@@ -52,13 +52,16 @@ def dot_share_by_group(pairs: DataFrame, a: str, b: str, offsets: DataFrame) ->
     """V03 (re-aimed): share of each named coordinate group in a dot product.
 
     pairs: rows holding vectors ``a`` and ``b`` plus their keys. The
-    per-coordinate products are exploded and range-joined to the offset table
-    (a broadcast of one row per group).
+    per-coordinate products are exploded and joined on the coordinate to the
+    offset table expanded to one row per coordinate (broadcast, width rows).
     """
     keys = [c for c in pairs.columns if c not in (a, b)]
     prod = pairs.select(*keys, dot(a, b).alias("_dot"),
                         F.posexplode(F.zip_with(a, b, lambda x, y: x * y)).alias("coord", "p"))
-    j = prod.join(F.broadcast(offsets), (F.col("coord") >= F.col("start")) & (F.col("coord") < F.col("end")))
+    # one row per coordinate (bounded by the vector width): the range lookup
+    # becomes an equi-join instead of a nested-loop range join
+    lookup = offsets.select("name", F.explode(F.sequence("start", F.col("end") - 1)).alias("coord"))
+    j = prod.join(F.broadcast(lookup), "coord")
     return (j.groupBy(*keys, "name").agg(F.sum("p").alias("part"), F.first("_dot").alias("_dot"))
              .withColumn("share", F.when(F.col("_dot") != 0, F.col("part") / F.col("_dot")))
              .drop("_dot"))

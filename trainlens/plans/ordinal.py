@@ -11,6 +11,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Above this many groups the group offsets are themselves computed as a
+# distributed running sum instead of on the driver.
+MAX_DRIVER_GROUPS = 100_000
 
 
 def _n_parts(df: DataFrame, n: int | None) -> int:
@@ -33,9 +38,26 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
         full = prefix_sums(df, [F.col(k) for k in keys] + list(order), values, prefix=prefix,
                            n_partitions=n_partitions, inclusive=inclusive)
         tot = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-        start = prefix_sums(tot, [F.col(k) for k in keys], values, prefix="_gs_",
-                            n_partitions=n_partitions, inclusive=False).drop(*values)
-        out = full.join(start, keys)
+        small = tot.limit(MAX_DRIVER_GROUPS + 1).collect()
+        if len(small) <= MAX_DRIVER_GROUPS:
+            # few groups (strata, metrics): offsets from their totals, in the
+            # same key order Spark sorts by (nulls first), then broadcast
+            small.sort(key=lambda r: tuple((r[k] is not None, r[k]) for k in keys))
+            run = {v: 0 for v in values}
+            rows = []
+            for r in small:
+                rows.append(tuple(r[k] for k in keys) + tuple(run[v] for v in values))
+                for v in values:
+                    run[v] += r[v] or 0
+            schema = T.StructType([df.schema[k] for k in keys]
+                                  + [T.StructField(f"_gs_{v}", T.LongType()) for v in values])
+            start = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+            cond = [full[k].eqNullSafe(start[k]) for k in keys]
+            out = full.join(start, cond).drop(*[start[k] for k in keys])
+        else:
+            start = prefix_sums(tot, [F.col(k) for k in keys], values, prefix="_gs_",
+                                n_partitions=n_partitions, inclusive=False).drop(*values)
+            out = full.join(start, keys)
         for v in values:
             out = out.withColumn(f"{prefix}{v}", F.col(f"{prefix}{v}") - F.col(f"_gs_{v}"))
         return out.drop(*[f"_gs_{v}" for v in values])
