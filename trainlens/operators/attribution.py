@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from trainlens.functions.vector import dot, l2_normalize
 from trainlens.operators.lexical import Bm25Index, Bm25Params, bm25_index, bm25_topk
 from trainlens.plans.blocked_topk import SCORE_DECIMALS, Tiling, dense_topk
+from trainlens.plans.partitioning import checked_broadcast
 
 HYBRID = "hybrid"
 COSINE = "gradient_cosine"
@@ -74,12 +75,13 @@ def hybrid_debug(probes: DataFrame, bank: DataFrame, cfg: AttributionConfig = At
     """Every shortlisted row with raw, normalized and blended scores.
 
     probes/bank: (idx, text, vec). Semantic similarity is the cosine of the
-    vectors, computed only for the shortlist rows (a join on bank id, which
-    AQE turns into a broadcast when the shortlist is small at runtime).
+    vectors, computed only for the shortlist rows (a join on bank id; the
+    shortlist, k rows per probe, is broadcast when a count shows it is small).
     Returns (test_idx, train_idx, bm25_score, semantic_score, bm25_norm,
     semantic_norm, hybrid_score, rank); rank is the hybrid order.
     """
     sl = shortlist if shortlist is not None else bm25_shortlist(probes, bank, cfg)
+    sl = checked_broadcast(sl.select("probe_id", "bank_id", "score"))
     pv = probes.select(F.col("idx").alias("probe_id"), l2_normalize("vec").alias("pvec"))
     bv = bank.select(F.col("idx").alias("bank_id"), l2_normalize("vec").alias("bvec"))
     scored = (sl.select("probe_id", "bank_id", F.col("score").alias("bm25_score"))
@@ -127,7 +129,7 @@ def influence_shortlist_topk(probes: DataFrame, bank: DataFrame,
     sl = shortlist if shortlist is not None else bm25_shortlist(probes, bank, cfg)
     pg = probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("pg"))
     bg = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("bg"))
-    s = (sl.select("probe_id", "bank_id").join(pg, "probe_id").join(bg, "bank_id")
+    s = (checked_broadcast(sl.select("probe_id", "bank_id")).join(pg, "probe_id").join(bg, "bank_id")
            .select("probe_id", "bank_id", dot("pg", "bg").alias("score")))
     r = (s.withColumn("rank", F.row_number().over(_rank_window("probe_id", "score", "bank_id")))
           .where(F.col("rank") <= cfg.top_k))

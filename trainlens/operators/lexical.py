@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trainlens.functions.text import word_tokens
 from trainlens.plans.blocked_topk import Tiling, sparse_topk
-from trainlens.plans.partitioning import spread
+from trainlens.plans.partitioning import checked_broadcast, spread
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,7 @@ def bm25_topk(probes: DataFrame, docs: DataFrame, k: int,
     index = index or bm25_index(docs, params)
     pw = probe_term_weights(probes, index)
     # only postings of terms some probe uses ever leave the JVM
-    vocab = pw.select("term").distinct()
+    vocab = checked_broadcast(pw.select("term").distinct())
     bank_terms = index.term_weights().join(vocab, "term", "left_semi")
     kwargs = {"tiling": tiling} if tiling else {}
     probe_ids = probes.select("probe_id").distinct()

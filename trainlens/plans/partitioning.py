@@ -21,3 +21,22 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < n:
         return df.repartition(n)
     return df
+
+
+# Rows a broadcast side may hold (the check is a count of that side).
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` when a count proves it holds at most ``max_rows`` rows.
+
+    Sides produced by Python operators carry no size statistics, so the
+    planner would otherwise shuffle the large side of the join. Above the
+    bound the join is left to the planner (shuffle join, AQE skew splitting).
+    """
+    from pyspark import StorageLevel
+    from pyspark.sql import functions as F
+    # persisted so the counting job also materializes the side the join reads
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    return F.broadcast(df) if n <= max_rows else df
