@@ -170,7 +170,10 @@ def tokenize_with(examples: DataFrame, encode, max_len: int, text_col: str = "te
     applied batch-wise with mapInPandas (Arrow batches, one call per batch)."""
     import pandas as pd
 
-    schema = examples.schema.add("input_ids", "array<int>").add("attention_mask", "array<int>")
+    from pyspark.sql import types as T
+    schema = (T.StructType(list(examples.schema.fields))
+              .add("input_ids", T.ArrayType(T.IntegerType()))
+              .add("attention_mask", T.ArrayType(T.IntegerType())))
 
     def run(batches):
         for pdf in batches:

@@ -97,7 +97,9 @@ def logistic_gradients(df: DataFrame, x_col: str, y_col: str, weights: list[floa
 def gradients_with(df: DataFrame, fn, out_dim: int) -> DataFrame:
     """V07 hook: a user function ``fn(pandas.DataFrame) -> (grads ndarray n x d,
     losses ndarray n)`` applied batch-wise with mapInPandas."""
-    schema = df.schema.add("grad", "array<double>").add("loss", "double")
+    from pyspark.sql import types as T
+    schema = (T.StructType(list(df.schema.fields))
+              .add("grad", T.ArrayType(T.DoubleType())).add("loss", T.DoubleType()))
 
     def run(batches):
         for pdf in batches:
