@@ -69,3 +69,28 @@ def test_sparse_topk_pads_with_zero_score_lowest_ids(spark):
     assert list(r1.bank_id) == [11, 10, 12] and list(r1.score) == [3.0, 2.0, 1.0]
     r3 = got[got.probe_id == 3].sort_values("rank")
     assert list(r3.bank_id) == [10, 11, 12] and list(r3.score) == [0.0, 0.0, 0.0]
+
+
+@pytest.mark.parametrize("metric", ["dot", "cosine"])
+def test_broadcast_path_matches_brute_force(spark, metric):
+    rng = np.random.default_rng(9)
+    P = rng.normal(size=(15, 4)).round(1)
+    B = rng.normal(size=(90, 4)).round(1)
+    B[20] = B[50]
+    pids, bids = np.arange(15), np.arange(90)
+    bank = _frame(spark, bids, B, "bank_id").repartition(6)
+    got = dense_topk(_frame(spark, pids, P, "probe_id"), bank, 6, metric=metric,
+                     tiling=Tiling(tile_rows=64)).toPandas()
+    exp = _brute(P, B, pids, bids, 6, metric)
+    for p, rows in exp.items():
+        g = got[got.probe_id == p].sort_values("rank")
+        assert list(g.bank_id) == [b for b, _ in rows]
+        assert list(g["rank"]) == list(range(1, 7))
+    both = np.vstack([P, B])
+    ids = np.arange(105)
+    got2 = dense_topk(_frame(spark, ids[:15], P, "probe_id"), _frame(spark, ids[:15], P, "bank_id").repartition(3),
+                      2, metric=metric, exclude_self=True).toPandas()
+    exp2 = _brute(P, P, ids[:15], ids[:15], 2, metric, exclude_self=True)
+    for p, rows in exp2.items():
+        assert list(got2[got2.probe_id == p].sort_values("rank").bank_id) == [b for b, _ in rows]
+    assert both.shape[0] == 105

@@ -12,8 +12,9 @@ probe x bank product as Spark rows is quadratic, so instead:
 * a final window over the ``k * B`` candidates per probe keeps the global k.
 
 Group memory is bounded by ``tile_rows`` and ``block_rows`` whatever the data
-size, nothing passes through the driver except two counts, and hash
-assignment on unique ids cannot skew. The local selection and the final
+size, and hash assignment on unique ids cannot skew. When the probe set fits
+in one tile (checked by a count), the dense path instead broadcasts those
+probes and scores each bank partition in place, so the bank is not shuffled. The local selection and the final
 window use the same total order -- ``round(score, 9)`` descending, then bank
 id ascending -- so the merged result is exactly the global top-k.
 """
@@ -117,6 +118,8 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
     probes = probes.select("probe_id", F.col("vec").alias("_pvec")).where(F.col("_pvec").isNotNull())
     bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
     n_probes = probes.count() if n_probes is None else n_probes
+    if n_probes <= tiling.tile_rows:
+        return _dense_topk_broadcast(probes, bank, k, metric, exclude_self, n_probes, tiling)
     n_bank = bank.count() if n_bank is None else n_bank
     tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
     p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
@@ -142,6 +145,56 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
     return _final_topk(local, k, blocks)
 
 
+def _dense_topk_broadcast(probes: DataFrame, bank: DataFrame, k: int, metric: str,
+                          exclude_self: bool, n_probes: int, tiling: Tiling) -> DataFrame:
+    """Probe set within one tile (checked by count): broadcast it and score
+    every bank partition where it lies, in Arrow batches, keeping a running
+    top-k per probe. The bank is never shuffled; only k rows per probe and
+    partition go to the final window (partially limited before the exchange).
+    """
+    rows = probes.limit(tiling.tile_rows + 1).collect()
+    if len(rows) > tiling.tile_rows:
+        raise ValueError("probe set exceeds the broadcast tile")  # counts changed underneath
+    pid = np.array([r["probe_id"] for r in rows])
+    pm = np.vstack([np.asarray(r["_pvec"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
+    if metric == "cosine" and len(pm):
+        pm = pm / np.clip(np.linalg.norm(pm, axis=1, keepdims=True), 1e-12, None)
+    spark = bank.sparkSession
+    bc = spark.sparkContext.broadcast((pid, pm))
+    schema = _result_schema(probes.schema["probe_id"].dataType, bank.schema["bank_id"].dataType)
+
+    def score_partition(batches):
+        p_ids, p_m = bc.value
+        best_s = best_i = None
+        for pdf in batches:
+            if pdf.empty or len(p_ids) == 0:
+                continue
+            bm = np.vstack(pdf["_bvec"].to_numpy()).astype(np.float64)
+            if metric == "cosine":
+                bm = bm / np.clip(np.linalg.norm(bm, axis=1, keepdims=True), 1e-12, None)
+            s_ = p_m @ bm.T
+            ids = np.broadcast_to(pdf["bank_id"].to_numpy(), s_.shape)
+            if exclude_self:
+                s_ = np.where(p_ids[:, None] == ids, -np.inf, s_)
+            if best_s is not None:
+                s_ = np.concatenate([best_s, s_], axis=1)
+                ids = np.concatenate([best_i, ids], axis=1)
+            kk = min(k, s_.shape[1])
+            order = np.lexsort((ids, -np.round(s_, SCORE_DECIMALS)), axis=-1)[:, :kk]
+            best_s = np.take_along_axis(s_, order, axis=1)
+            best_i = np.take_along_axis(ids, order, axis=1)
+        if best_s is None:
+            return
+        kk = best_s.shape[1]
+        out = pd.DataFrame({"probe_id": np.repeat(p_ids, kk), "bank_id": best_i.reshape(-1),
+                            "score": best_s.reshape(-1),
+                            "rank": np.tile(np.arange(1, kk + 1), len(p_ids)).astype(np.int32)})
+        yield out[np.isfinite(out["score"].to_numpy())]
+
+    local = bank.mapInPandas(score_partition, schema)
+    return _final_topk(local, k, 2)
+
+
 # Term pairs whose probe-count x bank-count product is at most this are
 # scored together in one vectorised bincount; larger (common) terms are added
 # one outer product at a time so no group ever materialises all its pairs.
