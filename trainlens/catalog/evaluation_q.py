@@ -208,8 +208,10 @@ def retrieval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- P01-P08
 def _privacy_scores(spark, sf_dir) -> DataFrame:
     s = vector_samples(spark, sf_dir).select("idx", "split", "grad")
+    n = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}  # one row per split
+    sizes = {"members": n.get("train", 0), "nonmembers": n.get("shadow", 0), "bank": n.get("train", 0)}
     sc = P.privacy_scores(s.where(F.col("split") == "train"), s.where(F.col("split") == "shadow"),
-                          s.where(F.col("split") == "train"))
+                          s.where(F.col("split") == "train"), sizes=sizes)
     return sc.select("label", "probe_split", "probe_idx", *[F.round(c, 9).alias(c) for c in P.SCORE_COLUMNS])
 
 

@@ -19,22 +19,25 @@ from trainlens.plans.ordinal import prefix_sums
 SCORE_COLUMNS = ("max_cosine", "max_influence")
 
 
-def _max_scores(probes: DataFrame, bank: DataFrame, exclude_self: bool, tiling: Tiling) -> DataFrame:
+def _max_scores(probes: DataFrame, bank: DataFrame, exclude_self: bool, tiling: Tiling,
+                n_probes: int | None = None, n_bank: int | None = None) -> DataFrame:
     p = probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec"))
     b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
-    m = dense_max(p, b, exclude_self=exclude_self, tiling=tiling)
+    m = dense_max(p, b, exclude_self=exclude_self, tiling=tiling, n_probes=n_probes, n_bank=n_bank)
     return m.select("probe_id", "max_cosine", F.col("max_dot").alias("max_influence"))
 
 
 def privacy_scores(members: DataFrame, nonmembers: DataFrame, bank: DataFrame,
-                   tiling: Tiling = Tiling()) -> DataFrame:
+                   tiling: Tiling = Tiling(), sizes: dict[str, int] | None = None) -> DataFrame:
     """P01 + P02: (label, probe_split, probe_idx, max_cosine, max_influence).
 
     members/nonmembers/bank: (idx, grad). Members are expected to be bank
-    rows; their own row is excluded from their maximum.
+    rows; their own row is excluded from their maximum. ``sizes`` (keys
+    members, nonmembers, bank) saves the counting jobs when already known.
     """
-    m = _max_scores(members, bank, True, tiling)
-    n = _max_scores(nonmembers, bank, False, tiling)
+    sz = sizes or {}
+    m = _max_scores(members, bank, True, tiling, sz.get("members"), sz.get("bank"))
+    n = _max_scores(nonmembers, bank, False, tiling, sz.get("nonmembers"), sz.get("bank"))
     return (m.select(F.lit(1).alias("label"), F.lit("train").alias("probe_split"),
                      F.col("probe_id").alias("probe_idx"), *SCORE_COLUMNS)
              .unionByName(n.select(F.lit(0).alias("label"), F.lit("shadow").alias("probe_split"),
@@ -112,10 +115,11 @@ def best_threshold_accuracy(counts: DataFrame) -> DataFrame:
 def privacy_metrics(scores: DataFrame) -> DataFrame:
     """One row per score column with AUC, FPR@TPR0.8 and best accuracy.
 
-    The running counts feed three branches, so they are checkpointed to the
-    shared checkpoint folder (lineage cut, safe against executor loss).
+    The running counts (one row per distinct score) feed three branches and
+    are kept once; they derive from a checkpointed range partitioning, so a
+    recomputation after executor loss yields the same counts.
     """
-    counts = score_counts(scores).checkpoint()
+    counts = score_counts(scores).persist(StorageLevel.MEMORY_AND_DISK)
     return (roc_auc(counts)
             .join(fpr_at_tpr(roc_curve(counts)), "metric")
             .join(best_threshold_accuracy(counts), "metric"))

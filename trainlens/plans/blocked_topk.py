@@ -117,9 +117,11 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
         raise ValueError(f"unknown metric {metric!r}")
     probes = probes.select("probe_id", F.col("vec").alias("_pvec")).where(F.col("_pvec").isNotNull())
     bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
-    n_probes = probes.count() if n_probes is None else n_probes
-    if n_probes <= tiling.tile_rows:
-        return _dense_topk_broadcast(probes, bank, k, metric, exclude_self, n_probes, tiling)
+    if n_probes is None or n_probes <= tiling.tile_rows:
+        rows = probes.limit(tiling.tile_rows + 1).collect()  # at most one tile reaches the driver
+        if len(rows) <= tiling.tile_rows:
+            return _dense_topk_broadcast(rows, probes, bank, k, metric, exclude_self)
+        n_probes = probes.count()
     n_bank = bank.count() if n_bank is None else n_bank
     tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
     p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
@@ -145,16 +147,14 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
     return _final_topk(local, k, blocks)
 
 
-def _dense_topk_broadcast(probes: DataFrame, bank: DataFrame, k: int, metric: str,
-                          exclude_self: bool, n_probes: int, tiling: Tiling) -> DataFrame:
-    """Probe set within one tile (checked by count): broadcast it and score
-    every bank partition where it lies, in Arrow batches, keeping a running
-    top-k per probe. The bank is never shuffled; only k rows per probe and
-    partition go to the final window (partially limited before the exchange).
+def _dense_topk_broadcast(rows, probes: DataFrame, bank: DataFrame, k: int, metric: str,
+                          exclude_self: bool) -> DataFrame:
+    """Probe set within one tile (``rows``, collected under the tile bound):
+    broadcast it and score every bank partition where it lies, in Arrow
+    batches, keeping a running top-k per probe. The bank is never shuffled;
+    only k rows per probe and partition go to the final window (partially
+    limited before the exchange).
     """
-    rows = probes.limit(tiling.tile_rows + 1).collect()
-    if len(rows) > tiling.tile_rows:
-        raise ValueError("probe set exceeds the broadcast tile")  # counts changed underneath
     pid = np.array([r["probe_id"] for r in rows])
     pm = np.vstack([np.asarray(r["_pvec"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
     if metric == "cosine" and len(pm):
