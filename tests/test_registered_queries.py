@@ -8,6 +8,8 @@ import __spark_entry__ as E
 from trainlens.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
+DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean"}
 
 
 def _norm(v):
@@ -39,6 +41,9 @@ def test_query_matches_oracle(spark, con, name):
     if oracle is None:
         assert len(rows) >= 0
         return
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {oracle}").fetchall()}
+    for f in df.schema.fields:
+        assert DUCK_TO_SPARK.get(duck_types[f.name], duck_types[f.name]) == f.dataType.simpleString(), f.name
     rel = con.execute(oracle)
     ocols = [d[0] for d in rel.description]
     assert sorted(ocols) == cols

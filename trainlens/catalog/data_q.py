@@ -248,9 +248,10 @@ def q_example_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("padding_footprint", _TOK_SQL + f""",
 pl AS (SELECT len(ids) AS seq_len, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM tk),
 b AS (SELECT floor(pos / 4) AS batch, max(seq_len) AS mx, count(*) AS rows FROM pl GROUP BY 1)
-SELECT sum(least(mx, {MAX_LEN}) * rows) AS padded_tokens, sum(rows) * {MAX_LEN} AS max_length_tokens,
+SELECT CAST(sum(least(mx, {MAX_LEN}) * rows) AS BIGINT) AS padded_tokens,
+       CAST(sum(rows) * {MAX_LEN} AS BIGINT) AS max_length_tokens,
        round(sum(least(mx, {MAX_LEN}) * rows) / (sum(rows) * {MAX_LEN}), 6) AS ratio,
-       (SELECT sum(seq_len) FROM pl) AS n_tokens FROM b""")
+       CAST((SELECT sum(seq_len) FROM pl) AS BIGINT) AS n_tokens FROM b""")
 def q_padding_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T02 + T07: token footprint of dynamic padding in contiguous batches of 4
     versus padding every row to 128, plus the non-pad token count."""

@@ -30,7 +30,8 @@ def coordinate_sample(total, k: int, seed: int = 2026, spark=None) -> DataFrame:
         base = spark.range(total).select(F.col("id").alias("coord"))
     else:
         base = total.select(F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("coord"))
-    return (base.orderBy(seeded_order_key(seed, "coord"), "coord").limit(k)
+    return (base.select(F.col("coord").cast("long").alias("coord"))
+                .orderBy(seeded_order_key(seed, "coord"), "coord").limit(k)
                 .orderBy("coord"))
 
 
@@ -76,7 +77,7 @@ def l2_normalize_rows(df: DataFrame, col: str, eps: float = 1e-12) -> DataFrame:
 def matrix_stats(df: DataFrame, group: str, vec_col: str = "grad", loss_col: str = "loss") -> DataFrame:
     """Rows, width, float32 bytes and mean loss per group."""
     return (df.groupBy(group)
-              .agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vec_col)).alias("width"),
+              .agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vec_col)).cast("long").alias("width"),
                    (F.sum(F.size(vec_col)) * 4).cast("long").alias("bytes"),
                    F.avg(loss_col).alias("mean_loss")))
 
