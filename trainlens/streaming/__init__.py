@@ -1 +1,6 @@
-"""Streaming execution of the batch operators (see probe_stream)."""
+"""Streaming: intentionally empty.
+
+The reference has no stream source, sink or state, so nothing here is built.
+Every operator in this package is a DataFrame plan, so a user who needs it can
+call the same functions from ``foreachBatch`` on a stream of probes.
+"""
