@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trainlens.functions.text import first_nonblank, nonblank, strip, word_tokens
+from trainlens.functions.text import first_nonblank, nonblank, strip
 
 # The prompt template and the attribution full-text layout.
 PROMPT_HEAD = "### Instruction:\n"
@@ -251,6 +251,3 @@ def cached(spark, path_root: str, key: str, build) -> DataFrame:
         return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-__all__ = ["word_tokens"]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainlens.functions.hashing import seeded_order_key
-from trainlens.functions.vector import dot, l2_norm
+from trainlens.functions.vector import dot
 from trainlens.plans.blocked_topk import Tiling, dense_topk
 
 MAX_GRAM_DIM = 4096
@@ -216,7 +216,3 @@ def ihvp_topk(probes: DataFrame, bank: DataFrame, k: int, dim: int,
     p = probes.select("idx", "grad").mapInPandas(apply, schema)
     b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
     return dense_topk(p, b, k, metric="dot", tiling=tiling)
-
-
-def vector_norm(col: str):
-    return l2_norm(col)
