@@ -87,3 +87,48 @@ def test_privacy_metrics_against_brute_force(spark):
         assert m.loc[col, "best_threshold"] == pytest.approx(thr)
     v = P.verdict(spark.createDataFrame(m.reset_index())).first()
     assert v.stronger_signal in ("none", "cosine", "influence")
+
+
+def _bm25_brute(docs, probes, k, p=Bm25Params()):
+    toks = {i: t.lower().split() for i, t in docs}
+    n = len(toks)
+    avgdl = sum(map(len, toks.values())) / n
+    df = {}
+    for t in toks.values():
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    raw = {w: math.log(n - c + 0.5) - math.log(c + 0.5) for w, c in df.items()}
+    floor = p.epsilon * sum(raw.values()) / len(raw)
+    idf = {w: (floor if v < 0 else v) for w, v in raw.items()}
+    out = {}
+    for pid, q in probes:
+        sc = []
+        for i, t in toks.items():
+            s = 0.0
+            for w in q.lower().split():
+                tf = t.count(w)
+                s += idf.get(w, 0.0) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * len(t) / avgdl))
+            sc.append((round(s, 9), i))
+        sc.sort(key=lambda x: (-x[0], x[1]))
+        out[pid] = [i for _, i in sc[:k]]
+    return out
+
+
+def test_bm25_broadcast_and_tiled_paths_agree_with_brute_force(spark):
+    from trainlens.plans.blocked_topk import Tiling
+    rng = np.random.default_rng(2)
+    vocab = ["the", "a", "cat", "dog", "bird", "fish", "red", "blue", "x", "y"]
+    docs = [(i, " ".join(rng.choice(vocab, rng.integers(0, 12)))) for i in range(60)]
+    probes = [(100 + j, " ".join(rng.choice(vocab + ["zzz"], 4))) for j in range(7)]
+    ddf = spark.createDataFrame(docs, "bank_id long, text string").repartition(3)
+    pdf = spark.createDataFrame(probes, "probe_id long, text string")
+    exp = _bm25_brute(docs, probes, 8)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        broadcast = bm25_topk(pdf, ddf, 8).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tiled = bm25_topk(pdf, ddf, 8, tiling=Tiling(tile_rows=1, block_rows=16)).toPandas()
+    for got in (broadcast, tiled):
+        for pid, ids in exp.items():
+            assert list(got[got.probe_id == pid].sort_values("rank").bank_id) == ids
