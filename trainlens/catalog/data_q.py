@@ -45,6 +45,13 @@ def q_normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("sample_id", "doc_id", "source", "license", "lang", "ordinal", "has_text")
 
 
+@register("record_violations", _NORM_SQL + """
+SELECT CAST(ordinal AS BIGINT) AS ordinal, sample_id, 'no non-empty text field' AS reason FROM n WHERE NOT has_text""")
+def q_record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus rows without any training text, by ordinal."""
+    return N.record_violations(normalized_documents(spark, sf_dir))
+
+
 @register("instruction_id_audit", """
 WITH p AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role
            FROM conversations),

@@ -81,3 +81,45 @@ def run_pair_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = run_metrics(spark, sf_dir).withColumn("pair_id", F.floor(F.col("run_id") / 2).cast("long"))
     r = G.pair_reproducibility(runs, "pair_id", "run_id")
     return r.select("pair_id", "steps_a", "steps_b", r6("loss_drift"), r6("rate_drift"), "reproducible")
+
+
+BATCH, ACCUM = 4, 1
+
+
+@register("run_throughput", _RUNS_SQL + f""",
+views AS (SELECT user_id AS run_id, count(*) AS state_step FROM events WHERE event_type = 'view' GROUP BY user_id),
+avg_len AS (SELECT avg(value) AS a FROM events),
+t AS (SELECT runs.run_id, train_runtime, train_steps_per_second AS rate, train_tokens_per_second AS reported,
+             views.state_step, steps AS metric_step,
+             CASE WHEN a > 0 AND train_runtime > 0 AND steps > 0
+                  THEN a * {BATCH} * {ACCUM} * steps / train_runtime ELSE 0.0 END AS estimated
+      FROM runs LEFT JOIN views ON views.run_id = runs.run_id, avg_len)
+SELECT run_id,
+       CAST(coalesce(CASE WHEN state_step > 0 THEN state_step END, CASE WHEN metric_step > 0 THEN metric_step END,
+                     CASE WHEN train_runtime > 0 AND rate > 0 THEN round_even(train_runtime * rate, 0) END) AS BIGINT)
+         AS steps_completed,
+       NOT (state_step > 0) AND NOT (metric_step > 0) AS steps_estimated,
+       round(estimated, 6) AS tokens_per_second_estimated,
+       round(coalesce(CASE WHEN reported > 0 THEN reported END, CASE WHEN estimated > 0 THEN estimated END, 0.0), 6)
+         AS tokens_per_second
+FROM t""")
+def run_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run, steps from trainer state > metric > runtime x rate
+    (flagged when estimated), the token-rate estimate from the average logged
+    value, and the resolved token rate (measured > reported > estimated)."""
+    from trainlens.operators import lengths as L
+    from trainlens.sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events")
+    views = (ev.where(F.col("event_type") == "view").groupBy(F.col("user_id").alias("run_id"))
+               .agg(F.count(F.lit(1)).alias("state_step")))
+    avg_len = ev.agg(F.avg("value")).first()[0] or 0.0  # one scalar
+    r = run_metrics(spark, sf_dir).join(views, "run_id", "left")
+    est = L.token_rate_estimate(F.lit(avg_len), F.lit(BATCH), F.lit(ACCUM), F.col("steps"),
+                                F.col("train_runtime"))
+    steps, flag = L.resolve_steps(F.col("state_step"), F.col("steps"), F.col("train_runtime"),
+                                  F.col("train_steps_per_second"))
+    r = r.withColumn("_est", est)
+    return r.select("run_id", steps.alias("steps_completed"), F.coalesce(flag, F.lit(False)).alias("steps_estimated"),
+                    F.round("_est", 6).alias("tokens_per_second_estimated"),
+                    F.round(L.resolve_token_rate(F.lit(None).cast("double"), F.col("train_tokens_per_second"),
+                                                 F.col("_est")), 6).alias("tokens_per_second"))
