@@ -134,14 +134,18 @@ def bm25_topk(probes: DataFrame, docs: DataFrame, k: int,
     the score vector would. Returns (probe_id, bank_id, score, rank).
     """
     index = index or bm25_index(docs, params)
-    pw = probe_term_weights(probes, index)
     tiling = tiling or Tiling(tile_rows=512, block_rows=4096)
-    pids = probes.select("probe_id").distinct().limit(tiling.tile_rows + 1).collect()
-    if len(pids) <= tiling.tile_rows:
-        terms = pw.limit(MAX_BROADCAST_PROBE_TERMS + 1).collect()
-        if len(terms) <= MAX_BROADCAST_PROBE_TERMS:
-            return _bm25_topk_broadcast([r["probe_id"] for r in pids], terms, index, k,
-                                        probes.schema["probe_id"].dataType)
+    # one bounded collect gives both the probe ids (presence rows) and the
+    # weights of their known terms
+    qall = (term_counts(probes, "probe_id").join(index.idf.select("term", "idf"), "term", "left")
+            .select("probe_id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
+    rows = qall.limit(MAX_BROADCAST_PROBE_TERMS + 1).collect()
+    if len(rows) <= MAX_BROADCAST_PROBE_TERMS:
+        pids = sorted({r["probe_id"] for r in rows})
+        if len(pids) <= tiling.tile_rows:
+            terms = [r for r in rows if r["term"] is not None and r["weight"] is not None]
+            return _bm25_topk_broadcast(pids, terms, index, k, probes.schema["probe_id"].dataType)
+    pw = probe_term_weights(probes, index)
     # only postings of terms some probe uses ever leave the JVM
     vocab = checked_broadcast(pw.select("term").distinct())
     bank_terms = index.term_weights().join(vocab, "term", "left_semi")
