@@ -175,6 +175,34 @@ def q_shadow_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
                              s.where(F.col("split") == "test"), "sample_id")
 
 
+SUBSET_FRACTION = (3, 5)  # the subset holds 3/5 of the corpus rows
+
+
+@register("stratified_subset", _NORM_SQL + f""",
+tot AS (SELECT count(*) AS n, count(*) * {SUBSET_FRACTION[0]} // {SUBSET_FRACTION[1]} AS size FROM n),
+st AS (SELECT source, coalesce(lang, '') AS lang, count(*) AS ns, min(ordinal) AS first FROM n
+       GROUP BY source, coalesce(lang, '')),
+ex AS (SELECT st.*, ns / (SELECT n FROM tot) * (SELECT size FROM tot) AS exact FROM st),
+fl AS (SELECT *, floor(exact) AS q0, exact - floor(exact) AS frac FROM ex),
+rk AS (SELECT *, row_number() OVER (ORDER BY frac DESC, ns DESC, first) AS r FROM fl),
+quota AS (SELECT source, lang,
+            q0 + CASE WHEN r <= (SELECT size FROM tot) - (SELECT sum(q0) FROM fl) THEN 1 ELSE 0 END AS q
+          FROM rk),
+pos AS (SELECT n.*, row_number() OVER (PARTITION BY source, coalesce(lang, '')
+                ORDER BY md5('2026:' || sample_id), sample_id) - 1 AS p FROM n)
+SELECT pos.sample_id, pos.doc_id, pos.source, pos.lang
+FROM pos JOIN quota ON quota.source = pos.source AND quota.lang = coalesce(pos.lang, '')
+WHERE p < q""")
+def q_stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-size (3/5 of the corpus) subset keeping (source, lang)
+    proportions, leftovers by largest fraction, then stratum size, then first
+    appearance; rows chosen in seeded md5 order inside each stratum."""
+    n = normalized_documents(spark, sf_dir)
+    size = n.count() * SUBSET_FRACTION[0] // SUBSET_FRACTION[1]
+    sub = C.select_subset(n, size, 2026, STRATA)
+    return sub.select("sample_id", "doc_id", "source", "lang")
+
+
 GRAD_SUBSET = 600
 
 
