@@ -1,4 +1,5 @@
-"""Registered run-gate queries (G02-G06, G08) over runs derived from ``events``."""
+"""Registered run-gate and throughput queries (G02-G06, T03-T06) over runs
+derived from ``events``."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainlens.catalog.attribution_q import r6
+from trainlens.catalog.data_q import _TOK_SQL
 from trainlens.operators import gates as G
 from trainlens.registry import register
 from trainlens.sources.runs import STEPS_PER_EPOCH, loss_log, run_metrics
@@ -123,3 +125,29 @@ def run_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.round("_est", 6).alias("tokens_per_second_estimated"),
                     F.round(L.resolve_token_rate(F.lit(None).cast("double"), F.col("train_tokens_per_second"),
                                                  F.col("_est")), 6).alias("tokens_per_second"))
+
+
+@register("run_speedup", _RUNS_SQL + """,
+""" + _TOK_SQL.split("WITH ", 1)[1] + """,
+pl AS (SELECT len(ids) AS seq_len, row_number() OVER (ORDER BY sample_id) - 1 AS pos FROM tk),
+b AS (SELECT floor(pos / 4) AS batch, max(seq_len) AS mx, count(*) AS rows FROM pl GROUP BY 1),
+ratio AS (SELECT sum(least(mx, 128) * rows) / (sum(rows) * 128) AS r FROM b)
+SELECT run_id, round(CASE WHEN train_steps_per_second > 0 AND r > 0 THEN train_steps_per_second * r ELSE 0.0 END, 6)
+         AS baseline_steps_per_second,
+       round(CASE WHEN train_steps_per_second > 0 AND r > 0
+                  THEN (train_steps_per_second - train_steps_per_second * r) / (train_steps_per_second * r) * 100.0
+                  ELSE 0.0 END, 6) AS speedup_pct
+FROM runs, ratio""")
+def run_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run, the max-length-padding baseline rate (observed rate x the
+    examples' padding ratio in batches of 4, cap 128) and the speed-up in %."""
+    from trainlens.catalog.data_q import MAX_LEN, _tokens
+    from trainlens.operators import lengths as L
+    from trainlens.plans.ordinal import with_ordinal
+    t = L.effective_length(_tokens(spark, sf_dir, "longest")).select("sample_id", "seq_len")
+    fp = L.padding_footprint(with_ordinal(t, [F.col("sample_id")], "pos"), 4, MAX_LEN)
+    ratio = fp.first()["ratio"] or 0.0  # one scalar
+    r = run_metrics(spark, sf_dir)
+    base = L.baseline_rate(F.col("train_steps_per_second"), F.lit(ratio))
+    return r.select("run_id", F.round(base, 6).alias("baseline_steps_per_second"),
+                    F.round(L.speedup_pct(F.col("train_steps_per_second"), base), 6).alias("speedup_pct"))

@@ -178,3 +178,15 @@ def probe_score_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = vector_samples(spark, sf_dir)
     p = profile(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5)
     return p.select("test_idx", r6("cutoff"), r6("mean_score"), r6("pct_at_or_above"))
+
+
+@register("ihvp_full_topk")
+def ihvp_full_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13 (full inverse): q^T (G^T G / n + 0.01 I)^-1 b top 5 per test sample;
+    the Gram matrix is summed from per-partition partials (d x d on the driver,
+    d bounded). No SQL oracle: DuckDB has no matrix inverse."""
+    s = vector_samples(spark, sf_dir)
+    dim = read_table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    t = V.ihvp_topk(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5, int(dim))
+    return t.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
+                    F.round("score", 6).alias("score"), "rank")
