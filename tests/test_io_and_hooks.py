@@ -56,7 +56,7 @@ def test_manifest_resolution_paths(spark):
                                    "idx long, instruction string, input string, output string")
     by_col = spark.createDataFrame([("a", 1)], "sample_id string, row_id long")
     assert X.resolve_manifest(by_col, corpus).first().resolved_idx == 1
-    by_digits = spark.createDataFrame([("alpaca-000002",), ("x0",)], "sample_id string")
+    by_digits = spark.createDataFrame([("dataset-000002",), ("x0",)], "sample_id string")
     assert sorted(r.resolved_idx for r in X.resolve_manifest(by_digits, corpus).collect()) == [0, 2]
     by_text = spark.createDataFrame([("q", " i1 ", "x", "o1"), ("r", "none", "", "z")],
                                     "sample_id string, instruction string, input string, output string")

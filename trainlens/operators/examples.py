@@ -93,6 +93,7 @@ def assert_known_ids(manifest: DataFrame, records: DataFrame, split_name: str,
                          f"{preview}{suffix}")
 
 
+# Manifest columns that carry a corpus index, tried in order.
 INDEX_COLUMNS = ("alpaca_idx", "json_idx", "row_id", "index", "idx")
 
 
