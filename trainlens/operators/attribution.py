@@ -29,6 +29,7 @@ INFLUENCE = "influence"
 METHODS = (HYBRID, COSINE, INFLUENCE)
 
 
+# Top k 5, BM25 shortlist 30, BM25 weight alpha 0.5.
 @dataclass(frozen=True)
 class AttributionConfig:
     top_k: int = 5

@@ -22,6 +22,7 @@ REQUIRED_RUNTIME_METRIC_KEYS = ("train_runtime", "train_loss", "steps", "epochs_
 REQUIRED_THROUGHPUT_KEYS = ("steps_per_second", "tokens_per_second")
 
 
+# Default gate thresholds and reproducibility tolerances.
 @dataclass(frozen=True)
 class GateThresholds:
     min_steps: int = 100
