@@ -81,8 +81,8 @@ def hybrid_debug(probes: DataFrame, bank: DataFrame, cfg: AttributionConfig = At
     Returns (test_idx, train_idx, bm25_score, semantic_score, bm25_norm,
     semantic_norm, hybrid_score, rank); rank is the hybrid order.
     """
-    sl = shortlist if shortlist is not None else bm25_shortlist(probes, bank, cfg)
-    sl = checked_broadcast(sl.select("probe_id", "bank_id", "score"))
+    sl = checked_broadcast(bm25_shortlist(probes, bank, cfg).select("probe_id", "bank_id", "score")) \
+        if shortlist is None else shortlist
     pv = probes.select(F.col("idx").alias("probe_id"), l2_normalize("vec").alias("pvec"))
     bv = bank.select(F.col("idx").alias("bank_id"), l2_normalize("vec").alias("bvec"))
     scored = (sl.select("probe_id", "bank_id", F.col("score").alias("bm25_score"))
@@ -127,10 +127,11 @@ def influence_shortlist_topk(probes: DataFrame, bank: DataFrame,
 
     probes/bank: (idx, text, grad).
     """
-    sl = shortlist if shortlist is not None else bm25_shortlist(probes, bank, cfg)
+    sl = checked_broadcast(bm25_shortlist(probes, bank, cfg).select("probe_id", "bank_id")) \
+        if shortlist is None else shortlist
     pg = probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("pg"))
     bg = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("bg"))
-    s = (checked_broadcast(sl.select("probe_id", "bank_id")).join(pg, "probe_id").join(bg, "bank_id")
+    s = (sl.select("probe_id", "bank_id").join(pg, "probe_id").join(bg, "bank_id")
            .select("probe_id", "bank_id", dot("pg", "bg").alias("score")))
     r = (s.withColumn("rank", F.row_number().over(_rank_window("probe_id", "score", "bank_id")))
           .where(F.col("rank") <= cfg.top_k))
@@ -185,10 +186,12 @@ def attribute_all(probes: DataFrame, bank: DataFrame,
                   cfg: AttributionConfig = AttributionConfig()) -> DataFrame:
     """The three methods over the same probes and bank, sharing one shortlist.
 
-    probes/bank: (idx, text, vec, grad). The shortlist is persisted because
-    both the hybrid and influence methods read it.
+    probes/bank: (idx, text, vec, grad). The shortlist is size-checked and
+    persisted once because both the hybrid and influence methods read it; a
+    caller-supplied shortlist is used as given (check or broadcast it first).
     """
-    sl = bm25_shortlist(probes, bank, cfg).persist()
+    # size-checked once (persisted by the check) and read by both methods
+    sl = checked_broadcast(bm25_shortlist(probes, bank, cfg).select("probe_id", "bank_id", "score"))
     return (hybrid_topk(probes, bank, cfg, sl)
             .unionByName(gradient_cosine_topk(probes, bank, cfg.top_k))
             .unionByName(influence_shortlist_topk(probes, bank, cfg, sl)))
