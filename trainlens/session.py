@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,17 +44,40 @@ def build_session(master: str | None = None, app: str = "trainlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the folder is configured by the operator and points at shared
-    storage; it is only filled in here when unset (local runs, tests).
+    On a cluster the setting must name shared storage; where it is missing
+    there, this raises. It is filled in here only for a local master (tests,
+    single-machine runs), where one folder serves the whole session.
     """
+    sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor shares")
         path = tempfile.mkdtemp(prefix="trainlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    # every setCheckpointDir makes a new folder, so it is set once per session
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A location for intermediate tables under the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (``addPyFile`` of a zip),
+    whatever directory the driver was started from."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    package = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="trainlens-pkg-"), f"{package}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for d, _, files in os.walk(os.path.join(root, package)):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
