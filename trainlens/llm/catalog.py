@@ -6,11 +6,21 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainlens.llm import quality_rules, url_filters
+from trainlens.llm import quality_rules, substring_dedup, suffix_dedup, url_filters
 from trainlens.registry import ORACLES, QUERIES
 from trainlens.sources.tables import read_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once repeated passages are removed."""
+    return substring_dedup.dedup(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left of every document once repeated strings are removed."""
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and risk-controlled verdict of every document."""
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
@@ -44,7 +54,8 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
-_QUERIES = {"op7_quality_rules": op7_quality_rules, "op10_url_filters": op10_url_filters}
+_QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup,
+            "op7_quality_rules": op7_quality_rules, "op10_url_filters": op10_url_filters}
 _ORACLES = {"op10_url_filters": OP10_SQL}
 
 
