@@ -6,7 +6,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainlens.llm import quality_rules, substring_dedup, suffix_dedup, url_filters
+from trainlens.llm import near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filters
 from trainlens.registry import ORACLES, QUERIES
 from trainlens.sources.tables import read_table
 
@@ -21,6 +21,11 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and risk-controlled verdict of every document."""
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
@@ -55,6 +60,7 @@ FROM j
 """
 
 _QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup,
+            "op3_minhash_near_dedup": op3_minhash_near_dedup,
             "op7_quality_rules": op7_quality_rules, "op10_url_filters": op10_url_filters}
 _ORACLES = {"op10_url_filters": OP10_SQL}
 
