@@ -6,7 +6,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainlens.llm import near_dedup, quality_rules, substring_dedup, suffix_dedup, url_filters
+from trainlens.llm import near_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
 from trainlens.registry import ORACLES, QUERIES
 from trainlens.sources.tables import read_table
 
@@ -26,12 +26,25 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their place in sequences of 1,024 tokens."""
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and risk-controlled verdict of every document."""
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and verdict of every document."""
+    return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, deciding rule and verdict of every page."""
     return url_filters.classify(read_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, url_filters.RULES))
@@ -61,7 +74,9 @@ FROM j
 
 _QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup,
             "op3_minhash_near_dedup": op3_minhash_near_dedup,
-            "op7_quality_rules": op7_quality_rules, "op10_url_filters": op10_url_filters}
+            "op4_best_fit_packing": op4_best_fit_packing,
+            "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier,
+            "op10_url_filters": op10_url_filters}
 _ORACLES = {"op10_url_filters": OP10_SQL}
 
 
