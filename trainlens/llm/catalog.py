@@ -6,7 +6,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainlens.llm import near_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
+from trainlens.llm import knn_join, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
 from trainlens.registry import ORACLES, QUERIES
 from trainlens.sources.tables import read_table
 
@@ -45,11 +45,32 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector."""
+    v = knn_join.clean(read_table(spark, sf_dir, "embeddings"))
+    return knn_join.topk(v, v.where("vec_id % 20 = 0"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, deciding rule and verdict of every page."""
     return url_filters.classify(read_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, url_filters.RULES))
 
 
+OP9_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP10_SQL = r"""
 WITH u AS (
   SELECT page_id, url,
@@ -76,8 +97,8 @@ _QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup"
             "op3_minhash_near_dedup": op3_minhash_near_dedup,
             "op4_best_fit_packing": op4_best_fit_packing,
             "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier,
-            "op10_url_filters": op10_url_filters}
-_ORACLES = {"op10_url_filters": OP10_SQL}
+            "op9_exact_topk": op9_exact_topk, "op10_url_filters": op10_url_filters}
+_ORACLES = {"op9_exact_topk": OP9_SQL, "op10_url_filters": OP10_SQL}
 
 
 def load(pipeline: ModuleType) -> None:
