@@ -6,7 +6,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainlens.llm import knn_join, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters
+from trainlens.llm import knn_join, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
 from trainlens.registry import ORACLES, QUERIES
 from trainlens.sources.tables import read_table
 
@@ -34,6 +34,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after a round trip through archives."""
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and risk-controlled verdict of every document."""
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
@@ -56,6 +61,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.classify(read_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, url_filters.RULES))
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS most FROM pages),
+h AS (SELECT page_id, most, body, sha1(body) AS hex FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+         (CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM most THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM most THEN most END AS refers_to
+FROM h
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
@@ -96,9 +112,10 @@ FROM j
 _QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup,
             "op3_minhash_near_dedup": op3_minhash_near_dedup,
             "op4_best_fit_packing": op4_best_fit_packing,
+            "op5_warc": op5_warc,
             "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier,
             "op9_exact_topk": op9_exact_topk, "op10_url_filters": op10_url_filters}
-_ORACLES = {"op9_exact_topk": OP9_SQL, "op10_url_filters": OP10_SQL}
+_ORACLES = {"op5_warc": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filters": OP10_SQL}
 
 
 def load(pipeline: ModuleType) -> None:
