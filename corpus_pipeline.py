@@ -1,30 +1,92 @@
 """The corpus pipeline: quality rules, quality classifier, near-duplicate
-removal, repeated passages, packing. Each stage reads what the one before it
-kept, as Parquet."""
+removal, repeated passages, packing.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
+returns the next stage's documents, the last one the packed pieces. ``run``
+writes each stage's result as Parquet in the shared folder and reads it again,
+so a stage starts from files and a lost executor costs its own tasks only.
+
+Rows are matched by doc_id, as in the table ``documents``: a document the
+quality stages reject goes with all rows of its doc_id; extra columns are
+dropped; an empty table passes through.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainlens.llm import quality_rules
+from trainlens.llm import near_dedup, packing, quality_classifier, quality_rules, substring_dedup
+from trainlens.session import ensure_checkpoint_dir, ship_package
 from trainlens.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in ``kept`` (nulls included)."""
+    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    ok = quality_rules.judge(docs, read_table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(ok, "doc_id", "left_semi")
+    return _keep(docs, quality_rules.judge(docs, read_table(spark, sf_dir, "labels")).where("kept"))
+
+
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return _keep(docs, quality_classifier.classify(docs, read_table(spark, sf_dir, "labels")).where("kept"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of each near-duplicate group with the smallest doc_id."""
+    kept = near_dedup.dedup(docs).where("kept").select("doc_id").checkpoint()
+    out = _keep(docs, kept)
+    # only where doc_ids repeat can a group have kept more than one row
+    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that start earlier in the corpus; a document
+    that loses words keeps the rest, joined by single spaces, one that loses
+    all of them goes, and one that loses none stays as it is."""
+    cut = substring_dedup.dedup(docs, carry=("lang", "source", "n_chars"))
+    return (cut.where("n_removed < n_words OR n_words = 0")
+            .select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
+                    F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars")))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every kept document's pieces with their place in training sequences."""
+    import public_tokenizers
+
+    return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False))
+
 
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("quality_classifier", classifier_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("packing", packing_stage),
+]
 
-STAGES = [("quality_rules", rules_stage)]
+#: SQL can express neither exact binomial bounds over labelled holdouts, nor a
+#: trained classifier, nor components, nor tokens.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
+    ship_package(spark)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -6,7 +6,18 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trainlens.llm import knn_join, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, url_filters, warc
+from trainlens.llm import (
+    knn_join,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sentencepiece_scan,
+    substring_dedup,
+    suffix_dedup,
+    url_filters,
+    warc,
+)
 from trainlens.registry import ORACLES, QUERIES
 from trainlens.sources.tables import read_table
 
@@ -39,6 +50,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's ids, and whether they decode to
+    its text."""
+    import public_tokenizers
+
+    return sentencepiece_scan.encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and risk-controlled verdict of every document."""
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")).select(
@@ -112,7 +131,7 @@ FROM j
 _QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup,
             "op3_minhash_near_dedup": op3_minhash_near_dedup,
             "op4_best_fit_packing": op4_best_fit_packing,
-            "op5_warc": op5_warc,
+            "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece,
             "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier,
             "op9_exact_topk": op9_exact_topk, "op10_url_filters": op10_url_filters}
 _ORACLES = {"op5_warc": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filters": OP10_SQL}

@@ -97,7 +97,7 @@ def _block(texts: list[bytes], doc: np.ndarray, at: np.ndarray, n: np.ndarray, w
     return late
 
 
-def _finish(width: int, with_text: bool):
+def _finish(width: int, with_text: bool, carry: tuple[str, ...]):
     def finish(t: pa.Table, late: pa.Table) -> pa.Table:
         buf, off = C.buffer_of(t.column("text"))
         rid = t.column("rid").to_numpy()
@@ -129,26 +129,31 @@ def _finish(width: int, with_text: bool):
             edge = np.append(start, len(raw))[ko]
             n_words.append(np.diff(wo))
             n_removed.append(np.diff(wo) - np.diff(ko))
-            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            for i, (x, y, lost) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), n_removed[-1].tolist(), strict=True)):
                 text = raw[x:max(x, y - 1)]
                 sha.append(hashlib.sha256(text).hexdigest())
                 if with_text:
-                    kept.append(text)
+                    kept.append(text if lost else part[o[i]:o[i + 1]].tobytes())
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         cols = {"doc_id": t.column("doc_id"), "n_words": pa.array(cat(n_words), pa.int64()),
                 "n_removed": pa.array(cat(n_removed), pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table(cols | ({"kept_text": pa.array(kept, pa.binary()).cast(pa.string())} if with_text else {}))
+        if with_text:
+            cols["kept_text"] = pa.array(kept, pa.binary()).cast(pa.string())
+        return pa.table(cols | {c: t.column(c) for c in carry})
     return finish
 
 
-def dedup(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, crowd: int = 20_000, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of every row."""
+def dedup(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, crowd: int = 20_000, with_text: bool = True,
+          carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row; kept_text, which
+    is the text itself where nothing is removed; and the columns ``carry``."""
     spark = docs.sparkSession
     C.prepare(spark)
     parts = 4 * C.shuffle_partitions(spark)
-    base = W.texts_by_part(docs, parts)
+    base = W.texts_by_part(docs, parts, carry)
     sym = W.Symbols(width, gram, W.word_pieces)
     late = W.later_windows(base, sym, locate(width), shards=parts, crowd=crowd)
     return base.groupBy("part").cogroup(late.groupBy("part")).applyInArrow(
-        _finish(width, with_text),
-        "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+        _finish(width, with_text, carry),
+        "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+        + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry))

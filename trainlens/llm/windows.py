@@ -356,11 +356,11 @@ def blocks_by_key(key: np.ndarray, size: np.ndarray, limit: int) -> Iterator[tup
         yield a, len(key)
 
 
-def texts_by_part(docs: DataFrame, parts: int) -> DataFrame:
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .withColumn("rid", C.row_key("doc_id", "text"))
-            .withColumn("part", F.pmod("rid", F.lit(parts)).cast("int"))
-            .select("part", "rid", "doc_id", "text"))
+def texts_by_part(docs: DataFrame, parts: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """part, rid, doc_id and text of every row, and the columns to carry."""
+    rid = C.row_key(F.col("doc_id").cast("long"), F.col("text"))
+    return docs.select(F.pmod(rid, F.lit(parts)).cast("int").alias("part"), rid.alias("rid"),
+                       F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
 
 
 def later_windows(base: DataFrame, sym: Symbols, method, *, shards: int, crowd: int = 20_000) -> DataFrame:
