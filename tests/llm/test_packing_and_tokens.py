@@ -114,7 +114,10 @@ def test_best_paths(lattice, unigram):
         best = unigram.nbest_encode_as_ids(t, 2)[0]  # asked for one, it takes a shortcut
         mine = ids[io[k]:io[k + 1]].tolist()
         score = lambda x: sum(unigram.get_score(i) for i in x)
-        assert score(mine) == score(best) and unigram.decode(mine) == t, t
+        assert unigram.decode(mine) == t
+        # the library adds in single precision, too coarse next to the scores
+        # of -1e9 that some pieces have; ours may only be better there
+        assert score(mine) == score(best) if score(best) > -1e7 else score(mine) >= score(best), t
 
 
 def test_products_are_associative():

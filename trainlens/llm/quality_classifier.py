@@ -95,7 +95,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, *, size: int = 1 << BITS, grades: int = GRADES,
-        penalty: float = 3e-4, rounds: int = 300) -> Model:
+        penalty: float = 1e-4, rounds: int = 500) -> Model:
     """``text`` and ``feature`` list the features of the texts, ``grade`` has
     a grade for each text."""
     n = len(grade)
