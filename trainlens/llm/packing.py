@@ -32,6 +32,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from trainlens.llm import common as C
 
 CAPACITY, END_ID = 1024, 2
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 class Encoder:
@@ -113,9 +114,16 @@ class Encoder:
         return flat[pick], np.append(0, ends)[np.searchsorted(s, off)]
 
 
+@lru_cache(maxsize=1)
+def _encoder(spec: str) -> Encoder:
+    """One tokenizer per worker process; building one takes memory that the
+    process doesn't give back."""
+    return Encoder(spec)
+
+
 def _cut(spec: str, capacity: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(spec)
+        enc = _encoder(spec)
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             doc = b.column(b.schema.get_field_index("doc_id"))
