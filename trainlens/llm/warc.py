@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,28 +166,39 @@ def _next_start(data: bytes, at: int) -> int:
     return min(places, default=len(data))
 
 
-def _build(t: pa.Table) -> pa.Table:
-    """One archive from the pages of a group."""
-    out, cols = bytearray(), [t.column(c).to_pylist() for c in ("page_id", "url", "html", "leader")]
-    for page_id, url, html, leader in zip(*cols, strict=True):
-        payload = (html or "").encode()
-        out += member(record_bytes(page_id, url, payload, digest(payload), leader))
-    return pa.table({"path": pa.array([f"part-{t.column('archive')[0].as_py():08d}.warc.gz"]), "content": pa.array([bytes(out)], pa.binary())})
+def _build(archive_bytes: int):
+    """Archives of about ``archive_bytes`` payload bytes from the pages of a
+    task; a larger payload has one of its own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count, out, held = TaskContext.get().partitionId(), 0, bytearray(), 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{task:05d}-{count:06d}.warc.gz"]), pa.array([bytes(out)], pa.binary())], ["path", "content"])
+        for b in batches:
+            cols = [b.column(b.schema.get_field_index(c)) for c in ("page_id", "url", "html", "leader")]
+            for page_id, url, html, leader in zip(*cols, strict=True):
+                payload = (html.as_py() or "").encode()
+                out += member(record_bytes(page_id.as_py(), url.as_py(), payload, digest(payload), leader.as_py()))
+                held += len(payload)
+                if held >= archive_bytes:
+                    yield archive()
+                    count, held = count + 1, 0
+                    out.clear()
+        if out:
+            yield archive()
+    return run
 
 
 def write(pages: DataFrame, path: str, *, min_revisit: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write ``pages`` (page_id, url, html) as a table of archives."""
+    """Write ``pages`` (page_id, url, html) as a table of archives. Payloads
+    are shuffled once, to meet their copies; a task writes what it then has."""
     C.prepare(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
     p = p.withColumn("key", F.sha2(F.coalesce("html", F.lit("")), 256)).withColumn("size", F.coalesce(F.octet_length("html"), F.lit(0)))
     lead = p.where(F.col("size") >= min_revisit).groupBy("key").agg(F.max("page_id").alias("most"), F.count("*").alias("n")).where("n > 1")
     leader = F.when(~F.col("page_id").eqNullSafe(F.col("most")), F.col("most"))
-    total = p.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
-    archives = max(1, -(-int(total) // archive_bytes))
-    (p.join(lead.select("key", "most"), "key", "left").withColumn("leader", leader)
-     .withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "key"), F.lit(archives)))
-     .select("archive", "page_id", "url", "html", "leader")
-     .groupBy("archive").applyInArrow(_build, "path string, content binary")
+    (p.join(lead.select("key", "most"), "key", "left").select("page_id", "url", "html", leader.alias("leader"))
+     .mapInArrow(_build(archive_bytes), "path string, content binary")
      .write.option("compression", "none").parquet(path))
 
 
