@@ -110,8 +110,12 @@ def test_round_trip(spark):
 
 def test_min_revisit(spark):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    path = spark.conf.get("spark.checkpoint.dir") + "/warc-min"
-    warc.write(df, path + str(random.random()), min_revisit=100)
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/warc-{random.random()}"
+    warc.write(df, path, min_revisit=5, archive_bytes=100)
+    files = spark.read.parquet(path)
+    assert files.count() > 1 and files.select("path").distinct().count() == files.count()
+    kinds = warc.resolve(warc.read(files)).groupBy("record_type").count().collect()
+    assert dict(map(tuple, kinds)) == {"response": len(PAGES)}  # "same" has four bytes
 
 
 def records(n=6):
