@@ -8,6 +8,7 @@ import __spark_entry__ as E
 from trainlens.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
+MAY_BE_EMPTY: set[str] = set()
 DUCK_TO_SPARK = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
                  "BOOLEAN": "boolean"}
 
@@ -38,8 +39,9 @@ def test_query_matches_oracle(spark, con, name):
     cols = sorted(df.columns)
     rows = sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
     oracle = E.oracle_sql().get(name)
+    # an empty result would prove nothing
+    assert rows or name in MAY_BE_EMPTY
     if oracle is None:
-        assert len(rows) >= 0
         return
     duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {oracle}").fetchall()}
     for f in df.schema.fields:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trainlens.operators import splits as C
+from trainlens.plans.ordinal import prefix_sums
 
 
 def _records(spark, n):
@@ -14,11 +15,11 @@ def _counts(df):
     return {r["split"]: r["n"] for r in C.split_summary(df).collect()}
 
 
-def test_allocate_counts_largest_remainder():
-    assert C.allocate_counts(100, C.SplitRatios()) == {"train": 80, "test": 10, "shadow": 10}
-    assert C.allocate_counts(5, C.SplitRatios(0.6, 0.2, 0.2)) == {"train": 3, "test": 1, "shadow": 1}
+def test_allocation_largest_remainder(spark):
+    assert C.allocation(spark, 100, C.SplitRatios()) == {"train": 80, "test": 10, "shadow": 10}
+    assert C.allocation(spark, 5, C.SplitRatios(0.6, 0.2, 0.2)) == {"train": 3, "test": 1, "shadow": 1}
     with pytest.raises(ValueError, match="sum to 1.0"):
-        C.allocate_counts(10, C.SplitRatios(0.5, 0.2, 0.2))
+        C.allocation(spark, 10, C.SplitRatios(0.5, 0.2, 0.2))
 
 
 def test_split_sizes_repeatable_and_disjoint(spark):
@@ -51,11 +52,33 @@ def test_small_split_and_errors(spark):
         C.select_subset(_records(spark, 10), 3000)
 
 
-def test_fold_matches_sequential_definition():
-    strata = [(("a",), 7), (("b",), 3), (("c",), 11)]
-    q = C.fold_quotas(strata, C.SplitRatios(), C.allocate_counts(21, C.SplitRatios()))
-    assert sum(c["train"] for _, c in q) == 17
-    assert sum(sum(c.values()) for _, c in q) == 21
+def _quotas(spark, sizes, targets):
+    df = spark.createDataFrame([(f"{i:03d}", n) for i, n in enumerate(sizes)], "_k0 string, n long")
+    rows = C.split_quotas(df, ("k",), C.SplitRatios(), targets).orderBy("_k0").collect()
+    return [(r.q_train, r.q_test, r.q_shadow) for r in rows]
+
+
+def test_quotas(spark):
+    q = _quotas(spark, [7, 3, 11], {"train": 17, "test": 2, "shadow": 2})
+    assert [sum(x) for x in q] == [7, 3, 11] and [sum(c) for c in zip(*q)] == [17, 2, 2]
+    # tiny strata want train only; once it is used up the others take over
+    q = _quotas(spark, [1] * 20, {"train": 16, "test": 2, "shadow": 2})
+    assert q[:16] == [(1, 0, 0)] * 16
+    assert [sum(c) for c in zip(*q)] == [16, 2, 2] and all(sum(x) == 1 for x in q)
+    # most room first, then larger target, ratio, name
+    assert q[16:18] == [(0, 1, 0), (0, 0, 1)]
+    assert _quotas(spark, [5], {"train": 1, "test": 2, "shadow": 2}) == [(1, 2, 2)]
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(10)], "id long, g string").withColumn("one", F.lit(1))
+    got = prefix_sums(df, [F.col("id")], ["one"], partition_by=["g"], n_partitions=3).collect()
+    assert sorted((r.id, r.cum_one) for r in got) == [(i, i // 2 + 1) for i in range(10)]
+
+
+def test_texts_stay_out_of_the_numbering(spark):
+    got = C.create_splits(_records(spark, 40))
+    assert got.where("text = concat('text ', cast(substring(sample_id, 8, 5) as int))").count() == 40
 
 
 def test_leak_check(spark):

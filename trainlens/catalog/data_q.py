@@ -45,11 +45,19 @@ def q_normalized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("sample_id", "doc_id", "source", "license", "lang", "ordinal", "has_text")
 
 
-@register("record_violations", _NORM_SQL + """
-SELECT CAST(ordinal AS BIGINT) AS ordinal, sample_id, 'no non-empty text field' AS reason FROM n WHERE NOT has_text""")
+@register("record_violations", f"""
+WITH sy AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS text FROM conversations GROUP BY conv_id),
+n AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS ordinal,
+             coalesce(length({_strip('text')}) > 0, false) AS has_text FROM sy)
+SELECT CAST(ordinal AS BIGINT) AS ordinal, 'system-prompts-' || printf('%06d', ordinal) AS sample_id,
+       'no non-empty text field' AS reason FROM n WHERE NOT has_text""")
 def q_record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus rows without any training text, by ordinal."""
-    return N.record_violations(normalized_documents(spark, sf_dir))
+    """Records without any training text, by ordinal; the records are the
+    conversations' system texts, which many conversations lack."""
+    c = read_table(spark, sf_dir, "conversations")
+    system = F.min_by(F.when(F.col("role") == "system", F.col("text")),
+                      F.when(F.col("role") == "system", F.col("turn")))
+    return N.record_violations(N.normalize_records(c.groupBy("conv_id").agg(system.alias("text")), "system prompts", ["conv_id"]))
 
 
 @register("instruction_id_audit", """

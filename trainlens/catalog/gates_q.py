@@ -53,7 +53,8 @@ def run_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gate_report(_checks(spark, sf_dir))
 
 
-@register("run_metric_audit", _RUNS_SQL + """,
+@register("run_metric_audit", _RUNS_SQL.replace("SELECT user_id AS run_id, count(*) AS steps", "SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS run_id, count(*) AS steps")
+          .replace("FROM events GROUP BY user_id),\nruns", "FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')),\nruns").split(",\nfl AS")[0] + """,
 m AS (SELECT run_id, unnest(list_filter([
         CASE WHEN train_steps_per_second IS NULL THEN 'train_steps_per_second' END,
         CASE WHEN train_tokens_per_second IS NULL THEN 'train_tokens_per_second' END,
@@ -62,8 +63,9 @@ m AS (SELECT run_id, unnest(list_filter([
         lambda x: x IS NOT NULL)) AS missing_key FROM runs)
 SELECT run_id, missing_key FROM m""")
 def run_metric_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G04 (G01 on a runs table): missing runtime-metric and throughput keys per run."""
-    return G.struct_key_audit(run_metrics(spark, sf_dir), G.REQUIRED_RUNTIME_METRIC_KEYS,
+    """G04 (G01 on a runs table): missing runtime-metric and throughput keys per
+    run, a run being a user's day (one event has no duration, so no rates)."""
+    return G.struct_key_audit(run_metrics(spark, sf_dir, per_day=True), G.REQUIRED_RUNTIME_METRIC_KEYS,
                               "throughput", G.REQUIRED_THROUGHPUT_KEYS)
 
 
@@ -73,16 +75,18 @@ p AS (SELECT run_id // 2 AS pair_id, count(*) AS n_runs,
         arg_min(train_loss, run_id) AS loss_a, arg_max(train_loss, run_id) AS loss_b,
         arg_min(train_steps_per_second, run_id) AS rate_a, arg_max(train_steps_per_second, run_id) AS rate_b
       FROM runs GROUP BY run_id // 2)
-SELECT pair_id, steps_a, steps_b, round(abs(loss_a - loss_b), 6) AS loss_drift,
-       round(abs(rate_a - rate_b), 6) AS rate_drift,
-       (steps_a = steps_b AND abs(loss_a - loss_b) <= 1e-4 AND coalesce(abs(rate_a - rate_b) <= 0.5, false))
-         AS reproducible
-FROM p WHERE n_runs = 2""")
+SELECT pair_id, CASE WHEN n_runs = 2 THEN 'paired' WHEN n_runs < 2 THEN 'unpaired' ELSE 'ambiguous' END AS status,
+       steps_a, steps_b, CASE WHEN n_runs = 2 THEN round(abs(loss_a - loss_b), 6) END AS loss_drift,
+       CASE WHEN n_runs = 2 THEN round(abs(rate_a - rate_b), 6) END AS rate_drift,
+       CASE WHEN n_runs = 2 THEN steps_a = steps_b AND abs(loss_a - loss_b) <= 1e-4
+            AND coalesce(abs(rate_a - rate_b) <= 0.5, false) END AS reproducible
+FROM p""")
 def run_pair_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs paired as (2i, 2i+1): equal steps, loss drift <= 1e-4, rate drift <= 0.5."""
+    """Runs paired as (2i, 2i+1): equal steps, loss drift <= 1e-4, rate
+    drift <= 0.5; a run without its partner is reported as unpaired."""
     runs = run_metrics(spark, sf_dir).withColumn("pair_id", F.floor(F.col("run_id") / 2).cast("long"))
     r = G.pair_reproducibility(runs, "pair_id", "run_id")
-    return r.select("pair_id", "steps_a", "steps_b", r6("loss_drift"), r6("rate_drift"), "reproducible")
+    return r.select("pair_id", "status", "steps_a", "steps_b", r6("loss_drift"), r6("rate_drift"), "reproducible")
 
 
 BATCH, ACCUM = 4, 1

@@ -116,6 +116,8 @@ def pair_reproducibility(runs: DataFrame, pair_col: str, order_col: str,
 
     runs: (pair_col, order_col, steps, train_loss, train_steps_per_second).
     Pairs are formed by ``pair_col`` (a groupBy, not a global lag window).
+    ``status`` is ``paired``, or ``unpaired`` / ``ambiguous`` where a key has
+    one run or more than two; those have null drifts and a null verdict.
     """
     key = F.col(order_col)
     g = runs.groupBy(pair_col).agg(
@@ -124,12 +126,14 @@ def pair_reproducibility(runs: DataFrame, pair_col: str, order_col: str,
         F.min_by("train_loss", key).alias("loss_a"), F.max_by("train_loss", key).alias("loss_b"),
         F.min_by("train_steps_per_second", key).alias("rate_a"),
         F.max_by("train_steps_per_second", key).alias("rate_b"))
-    return (g.where(F.col("n_runs") == 2)
-             .withColumn("loss_drift", F.abs(F.col("loss_a") - F.col("loss_b")))
-             .withColumn("rate_drift", F.abs(F.col("rate_a") - F.col("rate_b")))
-             .withColumn("reproducible", (F.col("steps_a") == F.col("steps_b"))
-                         & (F.col("loss_drift") <= tol.loss)
-                         & F.coalesce(F.col("rate_drift") <= tol.rate, F.lit(False))))
+    status = F.when(F.col("n_runs") == 2, "paired").when(F.col("n_runs") < 2, "unpaired").otherwise("ambiguous")
+    pair = F.col("status") == "paired"
+    same = ((F.col("steps_a") == F.col("steps_b")) & (F.col("loss_drift") <= tol.loss)
+            & F.coalesce(F.col("rate_drift") <= tol.rate, F.lit(False)))
+    return (g.withColumn("status", status)
+             .withColumn("loss_drift", F.when(pair, F.abs(F.col("loss_a") - F.col("loss_b"))))
+             .withColumn("rate_drift", F.when(pair, F.abs(F.col("rate_a") - F.col("rate_b"))))
+             .withColumn("reproducible", F.when(pair, same)))
 
 
 def artifact_hashes(spark, root: str, glob: str = "*") -> DataFrame:

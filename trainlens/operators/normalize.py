@@ -41,22 +41,29 @@ def has_training_text(df: DataFrame):
         else F.coalesce(~is_blank(present[0]), F.lit(False))
 
 
-def normalize_records(df: DataFrame, dataset_name: str, order_by: list[str]) -> DataFrame:
+def normalize_records(df: DataFrame, dataset_name: str, order_by: list[str],
+                      keep: list[str] | None = None) -> DataFrame:
     """N01-N03 + N07: guarantee sample_id, source and license.
 
     ``order_by`` is the explicit row order (a total order) that the default
     id ``{prefix}-{ordinal:06d}`` numbers; the ordinal column ``ordinal`` is
-    kept. Ids wider than six digits keep every digit.
+    kept. Ids wider than six digits keep every digit. Whether a row has text
+    is decided on the spot; the text fields themselves stay behind (numbering
+    shuffles and writes its rows), unless ``keep`` names the columns to carry.
+    Join texts back on ``order_by`` where they are needed.
     """
     prefix = dataset_prefix(dataset_name)
-    d = with_ordinal(df, [F.col(c) for c in order_by], name="ordinal")
+    if keep is None:
+        keep = [c for c in df.columns if c not in TEXT_CANDIDATE_FIELDS]
+    cols = list(dict.fromkeys([*order_by, *keep, *[c for c in ("sample_id", "source", "license") if c in df.columns]]))
+    d = with_ordinal(df.withColumn("has_text", has_training_text(df)).select(*cols, "has_text"),
+                     [F.col(c) for c in order_by], name="ordinal")
     sid = nonblank(_opt(d, "sample_id").cast("string"))
     default_id = F.concat(F.lit(prefix + "-"), F.format_string("%06d", F.col("ordinal")))
     return (d.withColumn("sample_id", F.coalesce(sid, default_id))
              .withColumn("source", F.coalesce(nonblank(_opt(d, "source").cast("string")), F.lit(prefix)))
              .withColumn("license", F.coalesce(nonblank(_opt(d, "license").cast("string")),
-                                               F.lit("unknown")))
-             .withColumn("has_text", has_training_text(d)))
+                                               F.lit("unknown"))))
 
 
 def record_violations(normalized: DataFrame) -> DataFrame:

@@ -1,25 +1,20 @@
 """Distributed running sums and row ordinals.
 
 A window with no PARTITION BY moves the whole table into one task. Instead:
-range-partition on the sort key (explicit partition count, which AQE keeps),
-total each partition (one row per partition), turn the totals into offsets
-(a window over at most ``n`` rows), then finish with a window *within* each
-partition plus its offset. Broadcast size is bounded by the partition count.
+range-partition on the sort key, total each partition (one row per partition),
+turn the totals into offsets (a window over those rows), then finish with a
+window *within* each partition plus its offset. The broadcast side has one row
+per partition.
+
+Callers hand in the key and value columns only: the rows are written once to
+the checkpoint folder, so payloads (texts, vectors) are joined back by key
+where they are needed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Above this many groups the group offsets are themselves computed as a
-# distributed running sum instead of on the driver.
-MAX_DRIVER_GROUPS = 100_000
-
-
-def _n_parts(df: DataFrame, n: int | None) -> int:
-    return n or max(1, df.sparkSession.sparkContext.defaultParallelism)
 
 
 def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str = "cum_",
@@ -28,41 +23,14 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
     """Add ``{prefix}{v}``: running sum of each value column in ``order``.
 
     ``order`` must be a total order (add a unique tie-breaker) for the result
-    to be deterministic. ``inclusive`` counts the current row. With
-    ``partition_by`` the sums restart in every group: the global running sum
-    over (group, order) minus the group's starting offset, itself a running
-    sum over the (much smaller) table of group totals.
+    to be deterministic; values must not be negative. ``inclusive`` counts the
+    current row. With ``partition_by`` the sums restart in every group (nulls
+    are a group): the running sum over (group, order) minus its value before
+    the group's first row, which is the least one in the group.
     """
-    if partition_by:
-        keys = list(partition_by)
-        full = prefix_sums(df, [F.col(k) for k in keys] + list(order), values, prefix=prefix,
-                           n_partitions=n_partitions, inclusive=inclusive)
-        tot = df.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
-        small = tot.limit(MAX_DRIVER_GROUPS + 1).collect()
-        if len(small) <= MAX_DRIVER_GROUPS:
-            # few groups (strata, metrics): offsets from their totals, in the
-            # same key order Spark sorts by (nulls first), then broadcast
-            small.sort(key=lambda r: tuple((r[k] is not None, r[k]) for k in keys))
-            run = {v: 0 for v in values}
-            rows = []
-            for r in small:
-                rows.append(tuple(r[k] for k in keys) + tuple(run[v] for v in values))
-                for v in values:
-                    run[v] += r[v] or 0
-            schema = T.StructType([df.schema[k] for k in keys]
-                                  + [T.StructField(f"_gs_{v}", T.LongType()) for v in values])
-            start = F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-            cond = [full[k].eqNullSafe(start[k]) for k in keys]
-            out = full.join(start, cond).drop(*[start[k] for k in keys])
-        else:
-            start = prefix_sums(tot, [F.col(k) for k in keys], values, prefix="_gs_",
-                                n_partitions=n_partitions, inclusive=False).drop(*values)
-            out = full.join(start, keys)
-        for v in values:
-            out = out.withColumn(f"{prefix}{v}", F.col(f"{prefix}{v}") - F.col(f"_gs_{v}"))
-        return out.drop(*[f"_gs_{v}" for v in values])
-    n = _n_parts(df, n_partitions)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = list(partition_by or [])
+    n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in [*keys, *order]]
     # Range bounds come from sampling the input, and row order inside shuffled
     # partitions is not stable between evaluations, so the partitioned rows
     # are checkpointed once (shared checkpoint folder): the totals and the
@@ -73,13 +41,19 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}")
                                       for v in values])
-    end = Window.currentRow if inclusive else -1
-    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     out = r.join(F.broadcast(offsets), "_pid")
     for v in values:
-        out = out.withColumn(f"{prefix}{v}",
-                             F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)))
-    return out.drop("_pid", *[f"_off_{v}" for v in values])
+        out = out.withColumn(f"_ex_{v}", F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)))
+    if keys:
+        start = out.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
+            *[F.min(f"_ex_{v}").alias(f"_gs_{v}") for v in values])
+        same = [out[k].eqNullSafe(start[f"_g_{k}"]) for k in keys]
+        out = out.join(start, same).drop(*[f"_g_{k}" for k in keys])
+    for v in values:
+        total = F.col(f"_ex_{v}") - (F.col(f"_gs_{v}") if keys else F.lit(0))
+        out = out.withColumn(f"{prefix}{v}", total + (F.coalesce(F.col(v), F.lit(0)) if inclusive else F.lit(0)))
+    return out.drop("_pid", *[f"{p}{v}" for v in values for p in ("_off_", "_ex_", "_gs_")])
 
 
 def with_ordinal(df: DataFrame, order: list, name: str = "pos",

@@ -21,14 +21,16 @@ def loss_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("run_id"), "ts", "event_id", F.col("value").alias("loss"))
 
 
-def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per run with the runtime metric keys of a metrics file."""
+def run_metrics(spark: SparkSession, sf_dir: str, per_day: bool = False) -> DataFrame:
+    """One row per run with the runtime metric keys of a metrics file; a run is
+    a user, or with ``per_day`` a user's day (run_id ``user-date``)."""
     e = read_table(spark, sf_dir, "events")
     key = F.struct("ts", "event_id")
     # ts is a wall-clock (NTZ) timestamp; read it in UTC to take differences
     runtime = (F.unix_micros(F.max("ts").cast("timestamp"))
                - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6
-    g = e.groupBy(F.col("user_id").alias("run_id")).agg(
+    run = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")) if per_day else F.col("user_id")
+    g = e.groupBy(run.alias("run_id")).agg(
         F.count(F.lit(1)).alias("steps"), runtime.alias("train_runtime"),
         F.max_by("value", key).alias("train_loss"), F.sum("value").alias("tokens"))
     rate = F.when(F.col("train_runtime") > 0, F.col("steps") / F.col("train_runtime"))
