@@ -2,7 +2,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from trainlens.plans.blocked_topk import Tiling, dense_max, dense_topk, sparse_topk
+from pyspark.sql import functions as F
+
+from trainlens.plans.blocked_topk import dense_count_at_least, dense_max, dense_topk, sparse_topk, vector_violations
 
 
 def _brute(P, B, pids, bids, k, metric, exclude_self=False):
@@ -23,14 +25,14 @@ def _frame(spark, ids, M, name):
 
 
 @pytest.mark.parametrize("metric", ["dot", "cosine"])
-def test_dense_topk_matches_brute_force_across_tiles(spark, metric):
+def test_dense_topk_matches_brute_force_across_groups(spark, metric):
     rng = np.random.default_rng(7)
     P = rng.normal(size=(23, 5)).round(1)
     B = rng.normal(size=(57, 5)).round(1)
     B[10] = B[3]  # exact ties must break on the lower id
     pids, bids = np.arange(100, 123), np.arange(0, 57)
     got = dense_topk(_frame(spark, pids, P, "probe_id"), _frame(spark, bids, B, "bank_id"), 4,
-                     metric=metric, tiling=Tiling(tile_rows=7, block_rows=13)).toPandas()
+                     metric=metric, group_bytes=300).toPandas()
     exp = _brute(P, B, pids, bids, 4, metric)
     assert len(got) == 23 * 4
     for p, rows in exp.items():
@@ -45,12 +47,12 @@ def test_dense_topk_exclude_self_and_max(spark):
     M = rng.normal(size=(30, 4))
     ids = np.arange(30)
     got = dense_topk(_frame(spark, ids, M, "probe_id"), _frame(spark, ids, M, "bank_id"), 1,
-                     metric="cosine", exclude_self=True, tiling=Tiling(4, 8)).toPandas()
+                     metric="cosine", exclude_self=True, group_bytes=200).toPandas()
     exp = _brute(M, M, ids, ids, 1, "cosine", exclude_self=True)
     for p, rows in exp.items():
         assert got[got.probe_id == p].bank_id.iloc[0] == rows[0][0]
     mx = dense_max(_frame(spark, ids, M, "probe_id"), _frame(spark, ids, M, "bank_id"),
-                   exclude_self=True, tiling=Tiling(4, 8)).toPandas().set_index("probe_id")
+                   exclude_self=True, group_bytes=200).toPandas().set_index("probe_id")
     D = M @ M.T
     np.fill_diagonal(D, -np.inf)
     assert np.allclose(mx.loc[ids, "max_dot"], D.max(axis=1))
@@ -59,12 +61,9 @@ def test_dense_topk_exclude_self_and_max(spark):
 def test_sparse_topk_pads_with_zero_score_lowest_ids(spark):
     probe_terms = spark.createDataFrame([(1, "a", 2.0), (1, "b", 1.0), (2, "zz", 1.0)],
                                         "probe_id long, term string, weight double")
-    bank_terms = spark.createDataFrame([(10, "a", 1.0), (11, "b", 3.0), (12, "a", 0.5), (13, "c", 9.0)],
-                                       "bank_id long, term string, weight double")
-    bank_ids = spark.createDataFrame([(i,) for i in range(10, 16)], "bank_id long")
+    bank = spark.createDataFrame([(10, ["a"] * 2), (11, ["b"] * 6), (12, ["a"]), (13, ["c"] * 9), (14, []), (15, None)], "bank_id long, tokens array<string>")
     probe_ids = spark.createDataFrame([(1,), (2,), (3,)], "probe_id long")
-    got = sparse_topk(probe_terms, bank_terms, bank_ids, 3, probe_ids=probe_ids,
-                      tiling=Tiling(tile_rows=1, block_rows=2)).toPandas()
+    got = sparse_topk(probe_terms, bank.repartition(3), 3, lambda tf, dl: tf / 2, probe_ids=probe_ids, group_bytes=40).toPandas()
     r1 = got[got.probe_id == 1].sort_values("rank")
     assert list(r1.bank_id) == [11, 10, 12] and list(r1.score) == [3.0, 2.0, 1.0]
     r3 = got[got.probe_id == 3].sort_values("rank")
@@ -72,15 +71,14 @@ def test_sparse_topk_pads_with_zero_score_lowest_ids(spark):
 
 
 @pytest.mark.parametrize("metric", ["dot", "cosine"])
-def test_broadcast_path_matches_brute_force(spark, metric):
+def test_one_group_matches_brute_force(spark, metric):
     rng = np.random.default_rng(9)
     P = rng.normal(size=(15, 4)).round(1)
     B = rng.normal(size=(90, 4)).round(1)
     B[20] = B[50]
     pids, bids = np.arange(15), np.arange(90)
     bank = _frame(spark, bids, B, "bank_id").repartition(6)
-    got = dense_topk(_frame(spark, pids, P, "probe_id"), bank, 6, metric=metric,
-                     tiling=Tiling(tile_rows=64)).toPandas()
+    got = dense_topk(_frame(spark, pids, P, "probe_id"), bank, 6, metric=metric).toPandas()
     exp = _brute(P, B, pids, bids, 6, metric)
     for p, rows in exp.items():
         g = got[got.probe_id == p].sort_values("rank")
@@ -94,3 +92,24 @@ def test_broadcast_path_matches_brute_force(spark, metric):
     for p, rows in exp2.items():
         assert list(got2[got2.probe_id == p].sort_values("rank").bank_id) == [b for b, _ in rows]
     assert both.shape[0] == 105
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 20, 60])
+def test_odd_vectors_take_no_part(spark, group_bytes):
+    nan, inf = float("nan"), float("inf")
+    bank = spark.createDataFrame([(9, [nan, 1.0]), (10, [1.0, 0.0]), (11, None), (12, [0.0, 1.0]), (13, [inf, 0.0]), (14, [None, 1.0])],
+                                 "bank_id long, vec array<double>")
+    probes = spark.createDataFrame([(1, [1.0, 0.5]), (2, [-1.0, 1.0]), (3, None), (4, [nan, 0.0])], "probe_id long, vec array<double>")
+    got = dense_topk(probes, bank, 3, group_bytes=group_bytes).collect()
+    assert sorted((r.probe_id, r["rank"], r.bank_id) for r in got) == [(1, 1, 10), (1, 2, 12), (2, 1, 12), (2, 2, 10)]
+    assert {(r.id, r.reason.split()[0]) for r in vector_violations(bank, "bank_id").collect()} == {(9, "null"), (11, "null"), (13, "null"), (14, "null")}
+    n = dense_count_at_least(probes.withColumn("thr", F.lit(0.5)), bank, group_bytes=group_bytes).collect()
+    assert sorted((r.probe_id, r.n_at_least, r.n_bank) for r in n) == [(1, 2, 2), (2, 1, 2)]
+    assert dense_topk(probes.where("probe_id > 9"), bank, 3).count() == 0
+
+
+def test_ragged_width_raises(spark):
+    bank = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "bank_id long, vec array<double>")
+    probes = spark.createDataFrame([(1, [1.0, 0.5])], "probe_id long, vec array<double>")
+    with pytest.raises(Exception, match="width"):
+        dense_topk(probes, bank, 1).collect()

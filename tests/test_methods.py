@@ -114,8 +114,7 @@ def _bm25_brute(docs, probes, k, p=Bm25Params()):
     return out
 
 
-def test_bm25_broadcast_and_tiled_paths_agree_with_brute_force(spark):
-    from trainlens.plans.blocked_topk import Tiling
+def test_bm25_at_one_and_many_groups_agrees_with_brute_force(spark):
     rng = np.random.default_rng(2)
     vocab = ["the", "a", "cat", "dog", "bird", "fish", "red", "blue", "x", "y"]
     docs = [(i, " ".join(rng.choice(vocab, rng.integers(0, 12)))) for i in range(60)]
@@ -125,10 +124,10 @@ def test_bm25_broadcast_and_tiled_paths_agree_with_brute_force(spark):
     exp = _bm25_brute(docs, probes, 8)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        broadcast = bm25_topk(pdf, ddf, 8).toPandas()
+        one = bm25_topk(pdf, ddf, 8).toPandas()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    tiled = bm25_topk(pdf, ddf, 8, tiling=Tiling(tile_rows=1, block_rows=16)).toPandas()
-    for got in (broadcast, tiled):
+    many = bm25_topk(pdf, ddf, 8, group_bytes=100).toPandas()
+    for got in (one, many):
         for pid, ids in exp.items():
             assert list(got[got.probe_id == pid].sort_values("rank").bank_id) == ids

@@ -9,7 +9,7 @@ from trainlens.catalog import sql
 from trainlens.operators import attribution as A
 from trainlens.operators.lexical import bm25_index, bm25_topk
 from trainlens.registry import register
-from trainlens.sources.corpus import lexical_probes, text_samples, vector_samples
+from trainlens.sources.corpus import lexical_probes, text_bank, text_probes, vector_samples
 from trainlens.sources.tables import read_table
 
 CFG = A.AttributionConfig()
@@ -81,8 +81,7 @@ def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- M05-M08, M10
 def _text_split(spark, sf_dir):
-    ts = text_samples(spark, sf_dir)
-    return _split(ts, "test"), _split(ts, "train")
+    return text_probes(spark, sf_dir), text_bank(spark, sf_dir)
 
 
 _HYBRID_DEBUG_SQL = f"""

@@ -8,7 +8,6 @@ order cannot split or merge ties.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,18 +17,17 @@ from trainlens.operators import agreement as G
 from trainlens.operators import attribution as A
 from trainlens.operators import privacy as P
 from trainlens.registry import register
-from trainlens.sources.corpus import text_samples, vector_samples
+from trainlens.sources.corpus import text_bank, text_probes, vector_samples
 
 K = CFG.top_k
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three methods over the same test probes and train bank, score rounded to 1e-9."""
-    ts = text_samples(spark, sf_dir)
-    r = A.attribute_all(ts.where(F.col("split") == "test"), ts.where(F.col("split") == "train"), CFG)
+    r = A.attribute_all(text_probes(spark, sf_dir), text_bank(spark, sf_dir), CFG)
     # k rows per probe and method, read by several branches of each
-    # evaluation plan: kept once instead of re-deriving all three methods
-    return r.withColumn("score", F.round("score", 9)).persist(StorageLevel.MEMORY_AND_DISK)
+    # evaluation plan: written once instead of re-deriving all three methods
+    return r.withColumn("score", F.round("score", 9)).checkpoint()
 
 
 MERGED = f"WITH {sql.merged_ctes()},\nm AS (SELECT test_idx, method, rank, train_idx, round(score, 9) AS score FROM merged)"
@@ -196,8 +194,7 @@ SELECT test_idx, method, rank, train_idx,
 FROM sh""")
 def retrieval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-trigram containment of each probe text in its retrieved rows."""
-    ts = text_samples(spark, sf_dir)
-    probe_text = ts.select(F.col("idx").alias("test_idx"), F.col("text").alias("probe_text"))
+    probe_text = text_probes(spark, sf_dir).select(F.col("idx").alias("test_idx"), F.col("text").alias("probe_text"))
     from trainlens.sources.tables import read_table
     docs = read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("train_idx"), F.col("text").alias("instruction"), F.lit("").alias("output"))
@@ -208,10 +205,8 @@ def retrieval_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- P01-P08
 def _privacy_scores(spark, sf_dir) -> DataFrame:
     s = vector_samples(spark, sf_dir).select("idx", "split", "grad")
-    n = {r["split"]: r["count"] for r in s.groupBy("split").count().collect()}  # one row per split
-    sizes = {"members": n.get("train", 0), "nonmembers": n.get("shadow", 0), "bank": n.get("train", 0)}
     sc = P.privacy_scores(s.where(F.col("split") == "train"), s.where(F.col("split") == "shadow"),
-                          s.where(F.col("split") == "train"), sizes=sizes)
+                          s.where(F.col("split") == "train"))
     return sc.select("label", "probe_split", "probe_idx", *[F.round(c, 9).alias(c) for c in P.SCORE_COLUMNS])
 
 
@@ -220,10 +215,10 @@ tr AS (SELECT idx, grad FROM s WHERE split = 'train'),
 sh AS (SELECT idx, grad FROM s WHERE split = 'shadow'),
 mem AS (SELECT p.idx AS probe_idx, max({sql.cosine('p.grad', 'b.grad')}) AS max_cosine,
                max(list_dot_product(p.grad, b.grad)) AS max_influence
-        FROM tr p JOIN tr b ON p.idx <> b.idx GROUP BY p.idx),
+        FROM (SELECT * FROM tr ORDER BY idx LIMIT {P.PROBES}) p JOIN tr b ON p.idx <> b.idx GROUP BY p.idx),
 non AS (SELECT p.idx AS probe_idx, max({sql.cosine('p.grad', 'b.grad')}) AS max_cosine,
                max(list_dot_product(p.grad, b.grad)) AS max_influence
-        FROM sh p CROSS JOIN tr b GROUP BY p.idx),
+        FROM (SELECT * FROM sh ORDER BY idx LIMIT {P.PROBES}) p CROSS JOIN tr b GROUP BY p.idx),
 ps AS (SELECT 1 AS label, 'train' AS probe_split, probe_idx, round(max_cosine, 9) AS max_cosine,
               round(max_influence, 9) AS max_influence FROM mem
        UNION ALL
@@ -254,8 +249,8 @@ met AS (SELECT * FROM auc JOIN f80 USING (metric) JOIN acc USING (metric))"""
 SELECT label, probe_split, probe_idx, round(max_cosine, 6) AS max_cosine,
        round(max_influence, 6) AS max_influence FROM ps""")
 def privacy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P01 + P02: strongest cosine and dot match of every member (self excluded)
-    and non-member probe against the train bank."""
+    """P01 + P02: strongest cosine and dot match of the sampled members (self
+    excluded) and non-members against the whole train bank."""
     s = _privacy_scores(spark, sf_dir)
     return s.select("label", "probe_split", "probe_idx", r6("max_cosine"), r6("max_influence"))
 

@@ -7,7 +7,7 @@ plans can be checked against an independent engine.
 from __future__ import annotations
 
 from trainlens.operators.lexical import Bm25Params
-from trainlens.sources.corpus import vector_samples_sql
+from trainlens.sources.corpus import split_sql, vector_samples_sql
 
 TOKENS = "list_filter(string_split_regex(lower({c}), '\\s+'), lambda x: x <> '')"
 
@@ -78,15 +78,15 @@ def sample_bm25() -> str:
     """WITH-body: samples, test probes vs train docs, BM25 shortlist ``bm25``."""
     return f"""{samples_ctes()},
 probes AS (SELECT idx AS probe_id, text FROM ts WHERE split = 'test'),
-docs AS (SELECT idx AS bank_id, text FROM ts WHERE split = 'train'),
+docs AS (SELECT doc_id AS bank_id, text FROM documents WHERE {split_sql('doc_id')} = 'train'),
 {bm25_ctes('probes', 'docs', SHORTLIST)}"""
 
 
 def hybrid_ctes() -> str:
     """CTEs ``sem``, ``nrm``, ``hyb``, ``rk`` (hybrid order over the shortlist)."""
     return f"""sem AS (SELECT b.probe_id, b.bank_id, b.score AS bm25_score,
-               {cosine('p.vec', 'd.vec')} AS semantic_score
-        FROM bm25 b JOIN s p ON p.idx = b.probe_id JOIN s d ON d.idx = b.bank_id),
+               coalesce({cosine('p.vec', 'd.vec')}, 0.0) AS semantic_score
+        FROM bm25 b JOIN s p ON p.idx = b.probe_id LEFT JOIN s d ON d.idx = b.bank_id),
 nrm AS (SELECT *, {minmax('bm25_score', 'probe_id')} AS bm25_norm,
                {minmax('semantic_score', 'probe_id')} AS semantic_norm FROM sem),
 hyb AS (SELECT *, {ALPHA} * bm25_norm + {1 - ALPHA} * semantic_norm AS hybrid_score FROM nrm),
@@ -96,18 +96,19 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(hybrid_
 
 def influence_ctes() -> str:
     """CTEs ``inf``, ``irk``: gradient dot on the shortlist, ranked."""
-    return """inf AS (SELECT b.probe_id, b.bank_id, list_dot_product(p.grad, d.grad) AS score
-        FROM bm25 b JOIN s p ON p.idx = b.probe_id JOIN s d ON d.idx = b.bank_id),
+    return """inf AS (SELECT b.probe_id, b.bank_id, coalesce(list_dot_product(p.grad, d.grad), 0.0) AS score
+        FROM bm25 b JOIN s p ON p.idx = b.probe_id LEFT JOIN s d ON d.idx = b.bank_id),
 irk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 9) DESC, bank_id) AS rank
         FROM inf)"""
 
 
 def cosine_ctes(probe_split: str = "test", src: str = "ts") -> str:
-    """CTEs ``cs``, ``crk``: gradient cosine of probes against the train samples
-    of view ``src`` (``ts``: samples with text, ``s``: every vector sample)."""
+    """CTEs ``cs``, ``crk``: gradient cosine of the probes of view ``src``
+    (``ts``: samples with text, ``s``: every vector sample) against every train
+    sample."""
     return f"""cs AS (SELECT p.idx AS probe_id, b.idx AS bank_id, {cosine('p.grad', 'b.grad')} AS score
        FROM (SELECT idx, grad FROM {src} WHERE split = '{probe_split}') p
-       CROSS JOIN (SELECT idx, grad FROM {src} WHERE split = 'train') b),
+       CROSS JOIN (SELECT idx, grad FROM s WHERE split = 'train') b),
 crk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score, 9) DESC, bank_id) AS rank
         FROM cs)"""
 

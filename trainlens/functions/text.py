@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() removes every Unicode whitespace character; Spark's
-# trim() removes spaces only, so strip with a Unicode-aware regex instead.
-_STRIP_RE = r"(?U)^\s+|\s+$"
+# Python's str.strip() and str.split() take every Unicode whitespace character
+# and the four separators U+001C-U+001F; Spark's trim() removes spaces only, so
+# one Unicode-aware class serves both.
+_SPACE = r"[\s\x1c-\x1f]"
+_STRIP_RE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 
 
 def _col(c) -> Column:
@@ -36,4 +38,4 @@ def first_nonblank(*cols) -> Column:
 
 def word_tokens(c) -> Column:
     """Lower-case, whitespace split, empty pieces dropped (``str.lower().split()``)."""
-    return F.filter(F.split(F.lower(_col(c)), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(_col(c)), rf"(?U){_SPACE}+"), lambda x: x != "")

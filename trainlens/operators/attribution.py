@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from trainlens.functions.vector import dot, l2_normalize
 from trainlens.operators.lexical import Bm25Index, Bm25Params, bm25_index, bm25_topk
-from trainlens.plans.blocked_topk import SCORE_DECIMALS, Tiling, dense_topk
-from trainlens.plans.partitioning import checked_broadcast
+from trainlens.plans.blocked_topk import SCORE_DECIMALS, dense_topk
 
 HYBRID = "hybrid"
 COSINE = "gradient_cosine"
@@ -63,9 +62,10 @@ def bm25_shortlist(probes: DataFrame, bank: DataFrame, cfg: AttributionConfig,
                    index: Bm25Index | None = None) -> DataFrame:
     """(probe_id, bank_id, score, rank) -- the shortlist_n best BM25 rows.
 
-    probes: (idx, text); bank: (idx, text).
+    probes: (idx, text); bank: (idx, text), where rows flagged ``has_text``
+    false (vectors without a text) are no documents.
     """
-    docs = bank.select(F.col("idx").alias("bank_id"), "text")
+    docs = (bank.where("has_text") if "has_text" in bank.columns else bank).select(F.col("idx").alias("bank_id"), "text")
     index = index or bm25_index(docs, cfg.bm25)
     return bm25_topk(probes.select(F.col("idx").alias("probe_id"), "text"), docs,
                      cfg.shortlist_n, index=index)
@@ -76,18 +76,18 @@ def hybrid_debug(probes: DataFrame, bank: DataFrame, cfg: AttributionConfig = At
     """Every shortlisted row with raw, normalized and blended scores.
 
     probes/bank: (idx, text, vec). Semantic similarity is the cosine of the
-    vectors, computed only for the shortlist rows (a join on bank id; the
-    shortlist, k rows per probe, is broadcast when a count shows it is small).
+    vectors, computed only for the shortlist rows; a text without a vector has
+    similarity 0. The shortlist holds k rows per probe; how it is joined is
+    left to adaptive execution, which knows its size by then.
     Returns (test_idx, train_idx, bm25_score, semantic_score, bm25_norm,
     semantic_norm, hybrid_score, rank); rank is the hybrid order.
     """
-    sl = checked_broadcast(bm25_shortlist(probes, bank, cfg).select("probe_id", "bank_id", "score")) \
-        if shortlist is None else shortlist
+    sl = bm25_shortlist(probes, bank, cfg) if shortlist is None else shortlist
     pv = probes.select(F.col("idx").alias("probe_id"), l2_normalize("vec").alias("pvec"))
     bv = bank.select(F.col("idx").alias("bank_id"), l2_normalize("vec").alias("bvec"))
     scored = (sl.select("probe_id", "bank_id", F.col("score").alias("bm25_score"))
-                .join(pv, "probe_id").join(bv, "bank_id")
-                .withColumn("semantic_score", dot("pvec", "bvec"))
+                .join(pv, "probe_id", "left").join(bv, "bank_id", "left")
+                .withColumn("semantic_score", F.coalesce(dot("pvec", "bvec"), F.lit(0.0)))
                 .drop("pvec", "bvec"))
     scored = minmax_normalize(scored, "probe_id", "bm25_score", "bm25_norm")
     scored = minmax_normalize(scored, "probe_id", "semantic_score", "semantic_norm")
@@ -108,15 +108,14 @@ def hybrid_topk(probes: DataFrame, bank: DataFrame, cfg: AttributionConfig = Att
                     F.col("hybrid_score").alias("score"))
 
 
-def gradient_cosine_topk(probes: DataFrame, bank: DataFrame, k: int = 5,
-                         tiling: Tiling = Tiling()) -> DataFrame:
+def gradient_cosine_topk(probes: DataFrame, bank: DataFrame, k: int = 5) -> DataFrame:
     """Cosine of gradients (norm clipped at 1e-12) over the whole bank.
 
     probes/bank: (idx, grad).
     """
     r = dense_topk(probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec")),
                    bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec")),
-                   k, metric="cosine", tiling=tiling)
+                   k, metric="cosine")
     return _flat(r, COSINE)
 
 
@@ -125,21 +124,19 @@ def influence_shortlist_topk(probes: DataFrame, bank: DataFrame,
                              shortlist: DataFrame | None = None) -> DataFrame:
     """Raw gradient dot product on the BM25 shortlist, top k per probe.
 
-    probes/bank: (idx, text, grad).
+    probes/bank: (idx, text, grad); a row without a gradient has influence 0.
     """
-    sl = checked_broadcast(bm25_shortlist(probes, bank, cfg).select("probe_id", "bank_id")) \
-        if shortlist is None else shortlist
+    sl = bm25_shortlist(probes, bank, cfg) if shortlist is None else shortlist
     pg = probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("pg"))
     bg = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("bg"))
-    s = (sl.select("probe_id", "bank_id").join(pg, "probe_id").join(bg, "bank_id")
-           .select("probe_id", "bank_id", dot("pg", "bg").alias("score")))
+    s = (sl.select("probe_id", "bank_id").join(pg, "probe_id", "left").join(bg, "bank_id", "left")
+           .select("probe_id", "bank_id", F.coalesce(dot("pg", "bg"), F.lit(0.0)).alias("score")))
     r = (s.withColumn("rank", F.row_number().over(_rank_window("probe_id", "score", "bank_id")))
           .where(F.col("rank") <= cfg.top_k))
     return _flat(r, INFLUENCE)
 
 
-def influence_matrix(probes: DataFrame, bank: DataFrame, n_bank: int | None = None,
-                     tiling: Tiling = Tiling()) -> DataFrame:
+def influence_matrix(probes: DataFrame, bank: DataFrame, n_bank: int | None = None) -> DataFrame:
     """Every (test, train) gradient dot product, ranked from 1 per test.
 
     The output has n_test x n_train rows by definition; use only when the full
@@ -148,7 +145,7 @@ def influence_matrix(probes: DataFrame, bank: DataFrame, n_bank: int | None = No
     pb = probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec"))
     bb = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
     n_bank = bb.count() if n_bank is None else n_bank
-    r = dense_topk(pb, bb, max(1, n_bank), metric="dot", tiling=tiling, n_bank=n_bank)
+    r = dense_topk(pb, bb, max(1, n_bank), metric="dot")
     return r.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
                     F.col("score").alias("influence_score"), "rank")
 
@@ -186,12 +183,10 @@ def attribute_all(probes: DataFrame, bank: DataFrame,
                   cfg: AttributionConfig = AttributionConfig()) -> DataFrame:
     """The three methods over the same probes and bank, sharing one shortlist.
 
-    probes/bank: (idx, text, vec, grad). The shortlist is size-checked and
-    persisted once because both the hybrid and influence methods read it; a
-    caller-supplied shortlist is used as given (check or broadcast it first).
+    probes/bank: (idx, text, vec, grad). The shortlist (shortlist_n rows per
+    probe) is written once, as both the hybrid and influence methods read it.
     """
-    # size-checked once (persisted by the check) and read by both methods
-    sl = checked_broadcast(bm25_shortlist(probes, bank, cfg).select("probe_id", "bank_id", "score"))
+    sl = bm25_shortlist(probes, bank, cfg).select("probe_id", "bank_id", "score").checkpoint()
     return (hybrid_topk(probes, bank, cfg, sl)
             .unionByName(gradient_cosine_topk(probes, bank, cfg.top_k))
             .unionByName(influence_shortlist_topk(probes, bank, cfg, sl)))

@@ -1,25 +1,20 @@
 """Lexical retrieval: tokens, BM25 corpus statistics, BM25 top-n per probe.
 
-Scoring never joins probe terms to postings as Spark rows (a common term
-would turn that join into every probe x document pair). Document-side term
-weights are computed once in the JVM; the probe x block products run in the
-blocked top-k plan, which keeps only the best rows per block.
+Texts are split in the JVM. One pass counts, per term, the documents that hold
+it; a second pass scores every document where it lies against the broadcast
+weights of the probes' terms (``plans/blocked_topk.py``). Scoring never joins
+probe terms to postings as rows, and nothing but the table of terms is kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trainlens.functions.text import word_tokens
-from trainlens.plans.blocked_topk import SCORE_DECIMALS, Tiling, _sparse_scores, sparse_topk
-from trainlens.plans.partitioning import checked_broadcast, spread
+from trainlens.plans.blocked_topk import GROUP_BYTES, sparse_topk
 
 
 @dataclass(frozen=True)
@@ -32,26 +27,18 @@ class Bm25Params:
 
 @dataclass
 class Bm25Index:
-    """Corpus statistics over a bank of documents."""
-    postings: DataFrame      # (bank_id, term, tf, dl)
-    doc_len: DataFrame       # (bank_id, dl) for documents with any token
+    """Corpus statistics over a bank of documents (bank_id, text)."""
+    docs: DataFrame
     idf: DataFrame           # (term, df, idf)
     n_docs: int
     avgdl: float
     mean_idf: float
     params: Bm25Params
-    bank_ids: DataFrame      # (bank_id) every document, including empty ones
 
-    def term_weights(self) -> DataFrame:
-        """(bank_id, term, weight): the saturated, length-normalized tf part."""
-        p = self.params
-        return self.postings.where(F.col("term").isNotNull()).select(
-            "bank_id", "term", self.weight_expr().alias("weight"))
-
-    def weight_expr(self):
-        p = self.params
-        norm = F.lit(p.k1) * (F.lit(1 - p.b) + F.lit(p.b) * F.col("dl") / F.lit(self.avgdl))
-        return F.col("tf") * F.lit(p.k1 + 1) / (F.col("tf") + norm)
+    def weigh(self):
+        """The saturated, length-normalized part of a term's weight."""
+        k1, b, avgdl = self.params.k1, self.params.b, self.avgdl
+        return lambda tf, dl: tf * (k1 + 1) / (tf + k1 * ((1 - b) + b * dl / avgdl))
 
 
 def tokenize(df: DataFrame, text_col: str = "text", out: str = "tokens") -> DataFrame:
@@ -59,74 +46,40 @@ def tokenize(df: DataFrame, text_col: str = "text", out: str = "tokens") -> Data
     return df.withColumn(out, word_tokens(text_col))
 
 
-def _count_terms(batches):
-    """Per row: Counter of ``str(text).lower().split()`` -> (id, term, tf, dl),
-    led by one presence row (term null, tf 0) so that every row, even one
-    without tokens, is present; a row's output rows are contiguous."""
-    for pdf in batches:
-        ids, terms, tfs, dls = [], [], [], []
-        for i, txt in zip(pdf["id"].to_numpy(), pdf["text"].to_numpy()):
-            toks = txt.lower().split() if isinstance(txt, str) else []
-            c = Counter(toks)
-            ids.extend([i] * (len(c) + 1))
-            terms.append(None)
-            terms.extend(c.keys())
-            tfs.append(0)
-            tfs.extend(c.values())
-            dls.extend([float(len(toks))] * (len(c) + 1))
-        yield pd.DataFrame({"id": pd.Series(ids, dtype=pdf["id"].dtype), "term": terms,
-                            "tf": np.asarray(tfs, dtype=np.int64),
-                            "dl": np.asarray(dls, dtype=np.float64)})
-
-
-def term_counts(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl) for every row, counted inside the task; each row
-    also gets one presence row with a null term.
-
-    Each text is one row, so its term frequencies need no shuffle: this is a
-    narrow map over the scan (measured 3x faster than explode + groupBy at
-    sf0.1) and applies Python's own ``lower().split()`` rule.
-    """
-    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    schema = f"id {src.schema['id'].dataType.simpleString()}, term string, tf long, dl double"
-    return src.mapInPandas(_count_terms, schema).withColumnRenamed("id", id_col)
+def _tokens(c: str = "text"):
+    return F.coalesce(word_tokens(c), F.array().cast("array<string>"))
 
 
 def bm25_index(docs: DataFrame, params: Bm25Params = Bm25Params()) -> Bm25Index:
-    """Postings, lengths, document frequencies and idf for (bank_id, text).
+    """Document frequencies and idf for (bank_id, text).
 
-    Postings are built in-task and persisted (every later step reads them).
     Document frequency is a partial count per term, so a term present in
-    every document costs one row per map task before the shuffle.
+    every document costs one row per map task before the shuffle. The null
+    term counts the documents and their tokens in the same pass. The table of
+    terms is written once; the numbers read from it are three scalars.
     """
-    postings = term_counts(docs, "bank_id").persist(StorageLevel.MEMORY_AND_DISK)
-    present = F.col("term").isNull()
-    st = postings.agg(F.sum(F.when(present, 1).otherwise(0)).alias("n"),
-                      F.sum(F.when(present, F.col("dl")).otherwise(0.0)).alias("tokens")).first()
-    n_docs, tot = int(st["n"] or 0), float(st["tokens"] or 0.0)
-    avgdl = tot / n_docs if n_docs else 0.0
-    doc_len = postings.where(present).select("bank_id", "dl")
-    df = postings.where(~present).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    tokens = docs.select(_tokens().alias("t"))
+    terms = (tokens.select(F.size("t").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(None).cast("string")))).alias("term"))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("tokens"))
+             .checkpoint())
+    whole = terms.where("term IS NULL").first()
+    n_docs, total = (int(whole["df"]), float(whole["tokens"])) if whole else (0, 0.0)
+    raw = terms.where("term IS NOT NULL").withColumn("raw_idf", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean_idf = float(raw.agg(F.avg("raw_idf")).first()[0] or 0.0)
-    floor = params.epsilon * mean_idf
-    idf = raw.select("term", "df",
-                     F.when(F.col("raw_idf") < 0, F.lit(floor)).otherwise(F.col("raw_idf")).alias("idf"))
-    idf = idf.persist(StorageLevel.MEMORY_AND_DISK)
-    return Bm25Index(postings, doc_len, idf, n_docs, avgdl, mean_idf, params,
-                     postings.where(present).select("bank_id"))
+    idf = raw.select("term", "df", F.when(F.col("raw_idf") < 0, F.lit(params.epsilon * mean_idf)).otherwise(F.col("raw_idf")).alias("idf"))
+    return Bm25Index(docs, idf, n_docs, total / n_docs if total else 1.0, mean_idf, params)
 
 
 def probe_term_weights(probes: DataFrame, index: Bm25Index) -> DataFrame:
     """(probe_id, term, weight = query count x idf); repeated query terms add up."""
-    qt = term_counts(probes, "probe_id").where(F.col("term").isNotNull()).withColumnRenamed("tf", "qtf")
-    return (qt.join(index.idf, "term")
-              .select("probe_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")))
+    qt = probes.select("probe_id", F.explode(_tokens()).alias("term")).groupBy("probe_id", "term").count()
+    return (qt.join(index.idf.select("term", "idf"), "term")
+              .select("probe_id", "term", (F.col("count") * F.col("idf")).alias("weight")))
 
 
 def bm25_topk(probes: DataFrame, docs: DataFrame, k: int,
               params: Bm25Params = Bm25Params(), index: Bm25Index | None = None,
-              tiling: Tiling | None = None) -> DataFrame:
+              group_bytes: int = GROUP_BYTES) -> DataFrame:
     """M03 + M04: BM25 score of every bank document, top k per probe.
 
     probes: (probe_id, text); docs: (bank_id, text). Rows that share no term
@@ -134,102 +87,5 @@ def bm25_topk(probes: DataFrame, docs: DataFrame, k: int,
     the score vector would. Returns (probe_id, bank_id, score, rank).
     """
     index = index or bm25_index(docs, params)
-    tiling = tiling or Tiling(tile_rows=512, block_rows=4096)
-    # one bounded collect gives both the probe ids (presence rows) and the
-    # weights of their known terms
-    qall = (term_counts(probes, "probe_id").join(index.idf.select("term", "idf"), "term", "left")
-            .select("probe_id", "term", (F.col("tf") * F.col("idf")).alias("weight")))
-    rows = qall.limit(MAX_BROADCAST_PROBE_TERMS + 1).collect()
-    if len(rows) <= MAX_BROADCAST_PROBE_TERMS:
-        pids = sorted({r["probe_id"] for r in rows})
-        if len(pids) <= tiling.tile_rows:
-            terms = [r for r in rows if r["term"] is not None and r["weight"] is not None]
-            return _bm25_topk_broadcast(pids, terms, index, k, probes.schema["probe_id"].dataType)
-    pw = probe_term_weights(probes, index)
-    # only postings of terms some probe uses ever leave the JVM
-    vocab = checked_broadcast(pw.select("term").distinct())
-    bank_terms = index.term_weights().join(vocab, "term", "left_semi")
-    probe_ids = probes.select("probe_id").distinct()
-    return sparse_topk(pw, bank_terms, index.bank_ids, k, probe_ids=probe_ids,
-                       n_bank=index.n_docs, tiling=tiling)
-
-
-# Probe (probe, term) rows that may be broadcast to score postings in place.
-MAX_BROADCAST_PROBE_TERMS = 2_000_000
-
-
-def _bm25_topk_broadcast(probe_ids: list, terms: list, index: Bm25Index, k: int,
-                         probe_type) -> DataFrame:
-    """Few probes (one tile, bounded term rows, both checked on collection):
-    broadcast their term weights and score the persisted postings partition
-    by partition -- postings never shuffle. A document's rows (presence row
-    first, then its terms) are contiguous in its partition; the trailing
-    document of each Arrow batch is carried into the next batch.
-    """
-    spark = index.postings.sparkSession
-    vocab = sorted({r["term"] for r in terms})
-    p_ids = np.array(sorted(set(probe_ids)), dtype=object if not probe_ids or
-                     not isinstance(probe_ids[0], (int, np.integer)) else np.int64)
-    p_tok = pd.Series([r["term"] for r in terms], index=[r["probe_id"] for r in terms], dtype=object)
-    p_w = np.array([r["weight"] for r in terms], dtype=np.float64)
-    bc = spark.sparkContext.broadcast((p_ids, p_tok, p_w))
-    vdf = spark.createDataFrame([(t,) for t in vocab], "term string").withColumn("_hit", F.lit(True))
-    rows = (index.postings.join(F.broadcast(vdf), "term", "left")
-                 .where(F.col("term").isNull() | F.col("_hit"))
-                 .select("bank_id", "term", F.when(F.col("term").isNotNull(), index.weight_expr())
-                         .otherwise(F.lit(0.0)).alias("weight")))
-    schema = _topk_schema(index, probe_type)
-
-    def score_partition(batches):
-        ids_p, tok_p, w_p = bc.value
-        best_s = best_i = None
-        seen: set = set()
-
-        def score(chunk):
-            nonlocal best_s, best_i
-            docs = np.unique(chunk["bank_id"].to_numpy())
-            if seen.intersection(docs.tolist()):
-                raise RuntimeError("postings of a document are not contiguous in its partition")
-            seen.update(docs.tolist())
-            t = chunk[chunk["term"].notna()]
-            s_ = _sparse_scores(ids_p, tok_p, w_p, docs, t["bank_id"].to_numpy(),
-                                t["term"].reset_index(drop=True), t["weight"].to_numpy(dtype=np.float64))
-            ids = np.broadcast_to(docs, s_.shape)
-            if best_s is not None:
-                s_ = np.concatenate([best_s, s_], axis=1)
-                ids = np.concatenate([best_i, ids], axis=1)
-            kk = min(k, s_.shape[1])
-            order = np.lexsort((ids, -np.round(s_, SCORE_DECIMALS)), axis=-1)[:, :kk]
-            best_s = np.take_along_axis(s_, order, axis=1)
-            best_i = np.take_along_axis(ids, order, axis=1)
-
-        carry = None
-        for pdf in batches:
-            if carry is not None:
-                pdf = pd.concat([carry, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            tail = pdf["bank_id"].to_numpy() == pdf["bank_id"].iloc[-1]
-            carry = pdf[tail]
-            if (~tail).any():
-                score(pdf[~tail])
-        if carry is not None and not carry.empty:
-            score(carry)
-        if best_s is None or len(ids_p) == 0:
-            return
-        kk = best_s.shape[1]
-        yield pd.DataFrame({"probe_id": np.repeat(ids_p, kk), "bank_id": best_i.reshape(-1),
-                            "score": best_s.reshape(-1),
-                            "rank": np.tile(np.arange(1, kk + 1), len(ids_p)).astype(np.int32)})
-
-    local = rows.mapInPandas(score_partition, schema)
-    w = Window.partitionBy("probe_id").orderBy(F.round("score", SCORE_DECIMALS).desc(), F.col("bank_id").asc())
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _topk_schema(index: Bm25Index, probe_type):
-    from pyspark.sql import types as T
-    return T.StructType([T.StructField("probe_id", probe_type),
-                         T.StructField("bank_id", index.postings.schema["bank_id"].dataType),
-                         T.StructField("score", T.DoubleType()),
-                         T.StructField("rank", T.IntegerType())])
+    return sparse_topk(probe_term_weights(probes, index), docs.select("bank_id", _tokens().alias("tokens")), k, index.weigh(),
+                       probe_ids=probes.select("probe_id"), group_bytes=group_bytes)

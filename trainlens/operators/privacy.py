@@ -1,47 +1,40 @@
 """Membership-inference leakage of attribution scores.
 
-Member probes are train rows scored against the train bank without their own
-row; non-member probes are shadow rows. Each probe's strongest match (cosine
-and raw dot) is the attack score. ROC quantities are computed from counts
-per distinct score with distributed running sums, never one global window.
+Member probes are the first ``m`` train rows scored against the train bank
+without their own row; non-member probes are the first ``m`` shadow rows (the
+sample size is part of the method). Each probe's strongest match (cosine and
+raw dot) is the attack score; one pass over the bank gives both for all probes.
+ROC quantities are computed from counts per distinct score with distributed
+running sums, never one global window. Without members or non-members the
+rates are null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
-from trainlens.plans.blocked_topk import Tiling, dense_max
+from trainlens.plans.blocked_topk import dense_max
 from trainlens.plans.ordinal import prefix_sums
 
 SCORE_COLUMNS = ("max_cosine", "max_influence")
+PROBES = 50  # fixed value: members and non-members scored
 
 
-def _max_scores(probes: DataFrame, bank: DataFrame, exclude_self: bool, tiling: Tiling,
-                n_probes: int | None = None, n_bank: int | None = None) -> DataFrame:
-    p = probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec"))
-    b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
-    m = dense_max(p, b, exclude_self=exclude_self, tiling=tiling, n_probes=n_probes, n_bank=n_bank)
-    return m.select("probe_id", "max_cosine", F.col("max_dot").alias("max_influence"))
-
-
-def privacy_scores(members: DataFrame, nonmembers: DataFrame, bank: DataFrame,
-                   tiling: Tiling = Tiling(), sizes: dict[str, int] | None = None) -> DataFrame:
+def privacy_scores(members: DataFrame, nonmembers: DataFrame, bank: DataFrame, m: int | None = PROBES) -> DataFrame:
     """P01 + P02: (label, probe_split, probe_idx, max_cosine, max_influence).
 
     members/nonmembers/bank: (idx, grad). Members are expected to be bank
-    rows; their own row is excluded from their maximum. ``sizes`` (keys
-    members, nonmembers, bank) saves the counting jobs when already known.
+    rows; a probe's own row is excluded from its maximum (non-members have
+    none). ``m`` is the number of each, in idx order; None takes all.
     """
-    sz = sizes or {}
-    m = _max_scores(members, bank, True, tiling, sz.get("members"), sz.get("bank"))
-    n = _max_scores(nonmembers, bank, False, tiling, sz.get("nonmembers"), sz.get("bank"))
-    return (m.select(F.lit(1).alias("label"), F.lit("train").alias("probe_split"),
-                     F.col("probe_id").alias("probe_idx"), *SCORE_COLUMNS)
-             .unionByName(n.select(F.lit(0).alias("label"), F.lit("shadow").alias("probe_split"),
-                                   F.col("probe_id").alias("probe_idx"), *SCORE_COLUMNS)))
+    first = lambda df: df.orderBy("idx").limit(m) if m is not None else df
+    probes = (first(members).select(F.lit(1).alias("label"), F.lit("train").alias("probe_split"), "idx", "grad")
+              .unionByName(first(nonmembers).select(F.lit(0).alias("label"), F.lit("shadow").alias("probe_split"), "idx", "grad")))
+    top = dense_max(probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec")),
+                    bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec")), exclude_self=True)
+    return (probes.join(top, probes.idx == top.probe_id)
+            .select("label", "probe_split", F.col("probe_id").alias("probe_idx"), "max_cosine", F.col("max_dot").alias("max_influence")))
 
 
 def _long(scores: DataFrame) -> DataFrame:
@@ -60,13 +53,12 @@ def score_counts(scores: DataFrame) -> DataFrame:
     c = (_long(scores).groupBy("metric", "score")
          .agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("pos"),
               F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).cast("long").alias("neg")))
-    # one row per distinct score; kept so range sampling and the sums share it
-    c = c.persist(StorageLevel.MEMORY_AND_DISK)
     return prefix_sums(c, [F.col("score").desc()], ["pos", "neg"], partition_by=["metric"])
 
 
 def _totals(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("metric").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    """One row per score column, so always small enough to broadcast."""
+    return F.broadcast(counts.groupBy("metric").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
 
 
 def roc_auc(counts: DataFrame) -> DataFrame:
@@ -75,8 +67,8 @@ def roc_auc(counts: DataFrame) -> DataFrame:
     below = F.col("N") - F.col("cum_neg")  # negatives with a strictly lower score
     return (counts.join(t, "metric")
                   .groupBy("metric")
-                  .agg((F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))
-                        / (F.first("P") * F.first("N"))).alias("auc")))
+                  .agg(F.try_divide(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))),
+                                    F.first("P") * F.first("N")).alias("auc")))
 
 
 def roc_curve(counts: DataFrame) -> DataFrame:
@@ -85,8 +77,8 @@ def roc_curve(counts: DataFrame) -> DataFrame:
     t = _totals(counts)
     pts = (counts.join(t, "metric")
                  .select("metric", F.col("score").alias("threshold"),
-                         (F.col("cum_neg") / F.col("N")).alias("fpr"),
-                         (F.col("cum_pos") / F.col("P")).alias("tpr")))
+                         F.try_divide("cum_neg", "N").alias("fpr"),
+                         F.try_divide("cum_pos", "P").alias("tpr")))
     start = t.select("metric", F.lit(float("inf")).alias("threshold"),
                      F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return start.unionByName(pts)
@@ -95,31 +87,26 @@ def roc_curve(counts: DataFrame) -> DataFrame:
 def fpr_at_tpr(curve: DataFrame, target: float = 0.8) -> DataFrame:
     """FPR at the curve point whose TPR is nearest the target (first in
     curve order, i.e. the highest threshold, wins ties)."""
-    w = Window.partitionBy("metric").orderBy(F.abs(F.col("tpr") - target).asc(),
-                                             F.col("threshold").desc())
-    return (curve.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-                 .select("metric", F.col("fpr").alias("fpr_at_tpr_0_8")))
+    nearest = F.struct(F.abs(F.col("tpr") - target), -F.col("threshold"))
+    return curve.groupBy("metric").agg(F.min_by("fpr", nearest).alias("fpr_at_tpr_0_8"))
 
 
 def best_threshold_accuracy(counts: DataFrame) -> DataFrame:
     """Best accuracy of (score >= t) over distinct scores; lowest t on ties."""
     t = _totals(counts)
-    acc = (F.col("cum_pos") + (F.col("N") - F.col("cum_neg"))) / (F.col("P") + F.col("N"))
-    w = Window.partitionBy("metric").orderBy(F.col("acc").desc(), F.col("score").asc())
-    return (counts.join(t, "metric").withColumn("acc", acc)
-                  .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-                  .select("metric", F.col("acc").alias("best_accuracy"),
-                          F.col("score").alias("best_threshold")))
+    acc = F.try_divide(F.col("cum_pos") + (F.col("N") - F.col("cum_neg")), F.col("P") + F.col("N"))
+    best = F.struct(F.col("acc"), -F.col("score"))
+    return (counts.join(t, "metric").withColumn("acc", acc).groupBy("metric")
+                  .agg(F.max("acc").alias("best_accuracy"), F.max_by("score", best).alias("best_threshold")))
 
 
 def privacy_metrics(scores: DataFrame) -> DataFrame:
     """One row per score column with AUC, FPR@TPR0.8 and best accuracy.
 
-    The running counts (one row per distinct score) feed three branches and
-    are kept once; they derive from a checkpointed range partitioning, so a
-    recomputation after executor loss yields the same counts.
+    The running counts (one row per distinct score) feed three branches, so
+    they are written once.
     """
-    counts = score_counts(scores).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = score_counts(scores).checkpoint()
     return (roc_auc(counts)
             .join(fpr_at_tpr(roc_curve(counts)), "metric")
             .join(best_threshold_accuracy(counts), "metric"))

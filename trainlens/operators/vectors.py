@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trainlens.functions.hashing import seeded_order_key
 from trainlens.functions.vector import dot
-from trainlens.plans.blocked_topk import Tiling, dense_topk
+from trainlens.plans.blocked_topk import dense_topk
 
 MAX_GRAM_DIM = 4096
 
@@ -141,7 +141,7 @@ def fisher_diagonal(bank: DataFrame, vec_col: str = "grad") -> DataFrame:
 
 
 def ihvp_diag_topk(probes: DataFrame, bank: DataFrame, k: int,
-                   cfg: InfluenceConfig = InfluenceConfig(), tiling: Tiling = Tiling()) -> DataFrame:
+                   cfg: InfluenceConfig = InfluenceConfig()) -> DataFrame:
     """M13 (diagonal): score = sum_i q_i b_i / (mean_train g_i^2 + damping).
 
     The preconditioner has one value per coordinate (d values, collected as a
@@ -156,7 +156,7 @@ def ihvp_diag_topk(probes: DataFrame, bank: DataFrame, k: int,
     p = probes.select(F.col("idx").alias("probe_id"),
                       F.zip_with("grad", pre_arr, lambda g, c: g * c).alias("vec"))
     b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
-    return dense_topk(p, b, k, metric="dot", tiling=tiling)
+    return dense_topk(p, b, k, metric="dot")
 
 
 def _gram_partial(batches, dim):
@@ -192,7 +192,7 @@ def gram_matrix(bank: DataFrame, dim: int) -> tuple[np.ndarray, int]:
 
 
 def ihvp_topk(probes: DataFrame, bank: DataFrame, k: int, dim: int,
-              cfg: InfluenceConfig = InfluenceConfig(), tiling: Tiling = Tiling()) -> DataFrame:
+              cfg: InfluenceConfig = InfluenceConfig()) -> DataFrame:
     """M13 (full): score = q^T (F + damping I)^-1 b with F = G^T G / n.
 
     The damped solve is d x d on the driver; probes are transformed by the
@@ -215,4 +215,4 @@ def ihvp_topk(probes: DataFrame, bank: DataFrame, k: int, dim: int,
             yield pd.DataFrame({"probe_id": pdf["idx"].to_numpy(), "vec": list(q @ m_inv.T)})
     p = probes.select("idx", "grad").mapInPandas(apply, schema)
     b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
-    return dense_topk(p, b, k, metric="dot", tiling=tiling)
+    return dense_topk(p, b, k, metric="dot")

@@ -1,112 +1,169 @@
 """Exact per-probe top-k scoring over a large bank without a cross join.
 
 Every attribution method ranks bank rows for each probe. Materialising the
-probe x bank product as Spark rows is quadratic, so instead:
-
-* probes are hashed into ``T`` tiles of at most ``tile_rows`` probes,
-* bank rows are hashed into ``B`` blocks of about ``block_rows`` rows,
-* both sides are keyed by ``(tile, block)`` (bank rows are repeated once per
-  tile, probes once per block -- the classic blocked matrix product layout),
-* ``cogroup().applyInPandas`` scores one tile against one block with NumPy
-  and emits only that block's k best rows per probe,
-* a final window over the ``k * B`` candidates per probe keeps the global k.
-
-Group memory is bounded by ``tile_rows`` and ``block_rows`` whatever the data
-size, and hash assignment on unique ids cannot skew. When the probe set fits
-in one tile (checked by a count), the dense path instead broadcasts those
-probes and scores each bank partition in place, so the bank is not shuffled. The local selection and the final
-window use the same total order -- ``round(score, 9)`` descending, then bank
-id ascending -- so the merged result is exactly the global top-k.
+probe x bank product as Spark rows is quadratic, so the bank stays where it is
+and the probes come to it:
+
+* probes are hashed into groups of about ``group_bytes`` bytes; a group is
+  collected (that size bounds it), broadcast, and every bank partition scores
+  it in Arrow batches with a running top k per probe. One group is one pass
+  over the bank; there is no shuffle of the bank and no second code path;
+* the k rows per probe and bank partition are merged in two levels, first per
+  (probe, partition number modulo ``MERGE``), then per probe, so one probe's
+  candidates from very many partitions do not meet in one task.
+
+Local and final selection use the same total order -- ``round(score, 9)``
+descending, then bank id ascending -- so the result is exactly the global top
+k. Vectors that are null or hold a null or non-finite component take no part on
+either side (``vector_violations`` lists them); vectors of another width than
+the probes raise.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCORE_DECIMALS = 9
+GROUP_BYTES = 32 << 20
+MERGE = 64
+CELLS = 1 << 22  # scores held at once
+
+
+def is_valid_vector(c: Column | str) -> Column:
+    """Not null, and no null or non-finite component."""
+    c = F.col(c) if isinstance(c, str) else c
+    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.coalesce(F.forall(c, fine), F.lit(False))
+
+
+def vector_violations(df: DataFrame, id_col: str, vec_col: str = "vec") -> DataFrame:
+    """(id, reason) of the rows whose vector takes no part in scoring."""
+    return (df.where(~is_valid_vector(vec_col))
+              .select(F.col(id_col).alias("id"),
+                      F.when(F.col(vec_col).isNull(), "null vector").otherwise("null or non-finite component").alias("reason")))
+
+
+def _ids(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    x = col.to_numpy() if isinstance(col, pa.ChunkedArray) else col.to_numpy(zero_copy_only=False)
+    return x.astype(str) if x.dtype == object else x
+
+
+def _matrix(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    if isinstance(col, pa.ChunkedArray):
+        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.list_(pa.float64()))
+    size = col.value_lengths().to_numpy(zero_copy_only=False)
+    if len(size) and (size != width).any():
+        raise ValueError(f"vectors of width {int(size[size != width][0])} among vectors of width {width}")
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(size), width)
+
+
+def _groups(df: DataFrame, key: str, row_bytes: Column | int, group_bytes: int) -> Iterator[pa.Table]:
+    """The rows of ``df`` in Arrow tables of about ``group_bytes``, whole keys
+    together; each table's size is what bounds the broadcast made of it."""
+    total = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    n = max(1, math.ceil(total / group_bytes))
+    for g in range(n):
+        t = (df.where(F.pmod(F.xxhash64(key), F.lit(n)) == g) if n > 1 else df).toArrow()
+        if len(t):
+            yield t
+
+
+class _Best:
+    """Running k best bank rows for each of some probes."""
+
+    def __init__(self, probe_ids: np.ndarray, k: int, exclude_self: bool):
+        self.probes, self.k, self.exclude = probe_ids, k, exclude_self
+        self.ids: list[np.ndarray | None] = [None] * len(probe_ids)
+        self.scores: list[np.ndarray | None] = [None] * len(probe_ids)
+
+    def add(self, scores: np.ndarray, bank_ids: np.ndarray) -> None:
+        rounded = np.round(scores, SCORE_DECIMALS)
+        for i, row in enumerate(rounded):
+            at = np.arange(len(row))
+            if self.exclude:
+                at = at[bank_ids != self.probes[i]]
+            if len(at) > self.k:
+                cut = np.partition(row[at], len(at) - self.k)[len(at) - self.k]
+                at = at[row[at] >= cut]  # every tie of the last one
+            s, b = scores[i, at], bank_ids[at]
+            if self.ids[i] is not None:
+                s, b = np.concatenate([self.scores[i], s]), np.concatenate([self.ids[i], b])
+            o = np.lexsort((b, -np.round(s, SCORE_DECIMALS)))[:self.k]
+            self.scores[i], self.ids[i] = s[o], b[o]
+
+    def batch(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        size = [0 if x is None else len(x) for x in self.ids]
+        if sum(size):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(self.probes, size)).cast(schema.field(0).type),
+                 pa.array(np.concatenate([x for x in self.ids if x is not None])).cast(schema.field(1).type),
+                 pa.array(np.concatenate([x for x in self.scores if x is not None])),
+                 pa.array(np.full(sum(size), TaskContext.get().partitionId() % MERGE, np.int32))], schema=schema)
+
+
+def _merge(local: DataFrame, k: int) -> DataFrame:
+    best = [F.round("score", SCORE_DECIMALS).desc(), F.col("bank_id").asc()]
+    part = Window.partitionBy("probe_id", "_src").orderBy(*best)
+    whole = Window.partitionBy("probe_id").orderBy(*best)
+    few = local.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= k)
+    return (few.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+               .select("probe_id", "bank_id", "score", "rank"))
+
+
+def _types(probes: DataFrame, bank: DataFrame) -> tuple[T.StructType, pa.Schema]:
+    out = T.StructType([T.StructField("probe_id", probes.schema["probe_id"].dataType),
+                        T.StructField("bank_id", bank.schema["bank_id"].dataType),
+                        T.StructField("score", T.DoubleType()), T.StructField("_src", T.IntegerType())])
+    arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
+    return out, pa.schema([(f.name, arrow.get(f.dataType, pa.float64())) for f in out.fields])
+
+
+def _union(parts: list[DataFrame], spark, schema: T.StructType) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-@dataclass(frozen=True)
-class Tiling:
-    """Group sizing. ``tile_rows`` x ``block_rows`` bounds a group's score
-    matrix; a small bank is still cut into up to ``parallelism`` blocks of at
-    least ``min_block_rows`` rows so that every core gets a group."""
-    tile_rows: int = 1024
-    block_rows: int = 4096
-    min_block_rows: int = 256
-
-    def layout(self, n_probes: int, n_bank: int, parallelism: int = 1) -> tuple[int, int]:
-        tiles = max(1, math.ceil(n_probes / self.tile_rows))
-        blocks = max(1, math.ceil(n_bank / self.block_rows))
-        if tiles * blocks < parallelism:
-            blocks = max(blocks, min(math.ceil(parallelism / tiles),
-                                     math.ceil(n_bank / self.min_block_rows)))
-        return tiles, blocks
-
-
-def _assign(df: DataFrame, key: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-    """Hash rows into ``own`` buckets and repeat them for every ``other`` bucket."""
-    own_col = F.pmod(F.xxhash64(F.col(key)), F.lit(own_n)).cast("int") if own_n > 1 else F.lit(0)
-    other_col = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))) if other_n > 1 else F.lit(0)
-    return df.withColumn(own, own_col).withColumn(other, other_col)
-
-
-def _order_rows(scores: np.ndarray, bank_ids: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of the k best entries per row: score desc, id asc."""
-    rounded = np.round(scores, SCORE_DECIMALS)
-    ids = np.broadcast_to(bank_ids, scores.shape)
-    order = np.lexsort((ids, -rounded), axis=-1)
-    return order[:, :k]
-
-
-def _emit(probe_ids, bank_ids, scores, k, exclude_self) -> pd.DataFrame:
-    if exclude_self:
-        same = probe_ids[:, None] == bank_ids[None, :]
-        scores = np.where(same, -np.inf, scores)
-    kk = min(k, scores.shape[1])
-    top = _order_rows(scores, bank_ids, kk)
-    rows = np.repeat(np.arange(len(probe_ids)), kk)
-    cols = top.reshape(-1)
-    vals = scores[rows, cols]
-    out = pd.DataFrame({
-        "probe_id": probe_ids[rows],
-        "bank_id": bank_ids[cols],
-        "score": vals,
-        "rank": np.tile(np.arange(1, kk + 1), len(probe_ids)).astype(np.int32),
-    })
-    if exclude_self:
-        out = out[out["probe_id"].to_numpy() != out["bank_id"].to_numpy()]
-    return out
+def _vectors(df: DataFrame, id_col: str, *extra: str) -> DataFrame:
+    return df.where(is_valid_vector("vec")).select(id_col, F.transform("vec", lambda x: x.cast("double")).alias("vec"), *extra)
+
+
+def _normalized(m: np.ndarray) -> np.ndarray:
+    return m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-12, None)
 
 
-def _result_schema(probe_type: T.DataType, bank_type: T.DataType) -> T.StructType:
-    return T.StructType([
-        T.StructField("probe_id", probe_type),
-        T.StructField("bank_id", bank_type),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("rank", T.IntegerType()),
-    ])
+def _steps(n_probes: int, n_rows: int) -> Iterator[slice]:
+    """Slices of bank rows whose scores fit ``CELLS``."""
+    step = max(1, CELLS // max(1, n_probes))
+    return (slice(a, a + step) for a in range(0, n_rows, step))
 
 
-def _final_topk(local: DataFrame, k: int, blocks: int) -> DataFrame:
-    if blocks == 1:
-        return local  # each probe met the whole bank in a single group
-    w = Window.partitionBy("probe_id").orderBy(
-        F.round("score", SCORE_DECIMALS).desc(), F.col("bank_id").asc())
-    return (local.withColumn("rank", F.row_number().over(w))
-                 .where(F.col("rank") <= k))
+def _scan(probes: DataFrame, bank: DataFrame, group_bytes: int, schema: T.StructType,
+          body: Callable[[pa.Table, int], Callable], *extra: str) -> DataFrame:
+    """One ``mapInArrow`` over the bank per probe group, united."""
+    p, b = _vectors(probes, "probe_id", *extra), _vectors(bank, "bank_id")
+    spark, parts = bank.sparkSession, []
+    for t in _groups(p, "probe_id", F.size("vec") * 8 + 16, group_bytes):
+        width = pc.list_value_length(t.column("vec"))[0].as_py()
+        cols = {c: _ids(t.column(c)) for c in t.column_names if c != "vec"} | {"vec": _matrix(t.column("vec"), width)}
+        parts.append(b.mapInArrow(body(spark.sparkContext.broadcast(cols), width), schema))
+    return _union(parts, spark, schema)
 
 
 def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot",
-               exclude_self: bool = False, tiling: Tiling = Tiling(),
-               n_probes: int | None = None, n_bank: int | None = None) -> DataFrame:
+               exclude_self: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Top-k bank rows per probe by dot product or cosine of vectors.
 
     ``probes``: (probe_id, vec ARRAY<numeric>); ``bank``: (bank_id, vec).
@@ -115,261 +172,133 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
     """
     if metric not in ("dot", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    probes = probes.select("probe_id", F.col("vec").alias("_pvec")).where(F.col("_pvec").isNotNull())
-    bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
-    if n_probes is None or n_probes <= tiling.tile_rows:
-        rows = probes.limit(tiling.tile_rows + 1).collect()  # at most one tile reaches the driver
-        if len(rows) <= tiling.tile_rows:
-            return _dense_topk_broadcast(rows, probes, bank, k, metric, exclude_self)
-        n_probes = probes.count()
-    n_bank = bank.count() if n_bank is None else n_bank
-    tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
-    p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
-    b = _assign(bank, "bank_id", "_block", blocks, "_tile", tiles)
-    schema = _result_schema(probes.schema["probe_id"].dataType, bank.schema["bank_id"].dataType)
-    empty = pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-
-    def score_group(bank_pdf: pd.DataFrame, probe_pdf: pd.DataFrame) -> pd.DataFrame:
-        if bank_pdf.empty or probe_pdf.empty:
-            return empty
-        bm = np.vstack(bank_pdf["_bvec"].to_numpy()).astype(np.float64)
-        pm = np.vstack(probe_pdf["_pvec"].to_numpy()).astype(np.float64)
-        if metric == "cosine":
-            bm = bm / np.clip(np.linalg.norm(bm, axis=1, keepdims=True), 1e-12, None)
-            pm = pm / np.clip(np.linalg.norm(pm, axis=1, keepdims=True), 1e-12, None)
-        scores = pm @ bm.T
-        return _emit(probe_pdf["probe_id"].to_numpy(), bank_pdf["bank_id"].to_numpy(),
-                     scores, k, exclude_self)
-
-    local = (b.groupBy("_tile", "_block")
-              .cogroup(p.groupBy("_tile", "_block"))
-              .applyInPandas(score_group, schema))
-    return _final_topk(local, k, blocks)
-
-
-def _dense_topk_broadcast(rows, probes: DataFrame, bank: DataFrame, k: int, metric: str,
-                          exclude_self: bool) -> DataFrame:
-    """Probe set within one tile (``rows``, collected under the tile bound):
-    broadcast it and score every bank partition where it lies, in Arrow
-    batches, keeping a running top-k per probe. The bank is never shuffled;
-    only k rows per probe and partition go to the final window (partially
-    limited before the exchange).
-    """
-    pid = np.array([r["probe_id"] for r in rows])
-    pm = np.vstack([np.asarray(r["_pvec"], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
-    if metric == "cosine" and len(pm):
-        pm = pm / np.clip(np.linalg.norm(pm, axis=1, keepdims=True), 1e-12, None)
-    spark = bank.sparkSession
-    bc = spark.sparkContext.broadcast((pid, pm))
-    schema = _result_schema(probes.schema["probe_id"].dataType, bank.schema["bank_id"].dataType)
-
-    def score_partition(batches):
-        p_ids, p_m = bc.value
-        best_s = best_i = None
-        for pdf in batches:
-            if pdf.empty or len(p_ids) == 0:
-                continue
-            bm = np.vstack(pdf["_bvec"].to_numpy()).astype(np.float64)
-            if metric == "cosine":
-                bm = bm / np.clip(np.linalg.norm(bm, axis=1, keepdims=True), 1e-12, None)
-            s_ = p_m @ bm.T
-            ids = np.broadcast_to(pdf["bank_id"].to_numpy(), s_.shape)
-            if exclude_self:
-                s_ = np.where(p_ids[:, None] == ids, -np.inf, s_)
-            if best_s is not None:
-                s_ = np.concatenate([best_s, s_], axis=1)
-                ids = np.concatenate([best_i, ids], axis=1)
-            kk = min(k, s_.shape[1])
-            order = np.lexsort((ids, -np.round(s_, SCORE_DECIMALS)), axis=-1)[:, :kk]
-            best_s = np.take_along_axis(s_, order, axis=1)
-            best_i = np.take_along_axis(ids, order, axis=1)
-        if best_s is None:
-            return
-        kk = best_s.shape[1]
-        out = pd.DataFrame({"probe_id": np.repeat(p_ids, kk), "bank_id": best_i.reshape(-1),
-                            "score": best_s.reshape(-1),
-                            "rank": np.tile(np.arange(1, kk + 1), len(p_ids)).astype(np.int32)})
-        yield out[np.isfinite(out["score"].to_numpy())]
-
-    local = bank.mapInPandas(score_partition, schema)
-    return _final_topk(local, k, 2)
-
-
-# Term pairs whose probe-count x bank-count product is at most this are
-# scored together in one vectorised bincount; larger (common) terms are added
-# one outer product at a time so no group ever materialises all its pairs.
-_SMALL_TERM_PAIRS = 64
-
-
-def _sparse_scores(probe_ids, p_tok, p_w, bank_ids, b_id, b_tok, b_w) -> np.ndarray:
-    n_p, n_b = len(probe_ids), len(bank_ids)
-    scores = np.zeros((n_p, n_b), dtype=np.float64)
-    if len(p_tok) == 0 or len(b_tok) == 0:
-        return scores
-    pi = np.searchsorted(probe_ids, p_tok.index.to_numpy())
-    bi = np.searchsorted(bank_ids, b_id)
-    codes, _ = pd.factorize(pd.concat([p_tok.reset_index(drop=True), b_tok], ignore_index=True))
-    pc, bc = codes[: len(p_tok)], codes[len(p_tok):]
-    n_codes = codes.max() + 1
-    p_cnt = np.bincount(pc, minlength=n_codes)
-    b_cnt = np.bincount(bc, minlength=n_codes)
-    shared = (p_cnt > 0) & (b_cnt > 0)
-    small = shared & (p_cnt * b_cnt <= _SMALL_TERM_PAIRS)
-    big = np.flatnonzero(shared & ~small)
-    # small terms: explicit pair list, then one bincount into the score matrix
-    ps = small[pc]
-    bs = small[bc]
-    if ps.any() and bs.any():
-        left = pd.DataFrame({"c": pc[ps], "i": pi[ps], "w": p_w[ps]})
-        right = pd.DataFrame({"c": bc[bs], "j": bi[bs], "v": b_w[bs]})
-        pairs = left.merge(right, on="c")
-        flat = pairs["i"].to_numpy() * n_b + pairs["j"].to_numpy()
-        scores += np.bincount(flat, weights=pairs["w"].to_numpy() * pairs["v"].to_numpy(),
-                              minlength=n_p * n_b).reshape(n_p, n_b)
-    if len(big):
-        p_order = np.argsort(pc, kind="stable")
-        b_order = np.argsort(bc, kind="stable")
-        p_start = np.searchsorted(pc[p_order], big)
-        b_start = np.searchsorted(bc[b_order], big)
-        for t, ps0, bs0 in zip(big, p_start, b_start):
-            psel = p_order[ps0: ps0 + p_cnt[t]]
-            bsel = b_order[bs0: bs0 + b_cnt[t]]
-            scores[np.ix_(pi[psel], bi[bsel])] += np.outer(p_w[psel], b_w[bsel])
-    return scores
-
-
-def sparse_topk(probe_terms: DataFrame, bank_terms: DataFrame, bank_ids: DataFrame, k: int, *,
-                probe_ids: DataFrame | None = None,
-                tiling: Tiling = Tiling(tile_rows=512, block_rows=4096),
-                n_probes: int | None = None, n_bank: int | None = None) -> DataFrame:
-    """Top-k bank rows per probe for a score that is a sum over shared terms.
-
-    score(p, d) = sum over terms t of probe_weight(p, t) * bank_weight(d, t).
-    ``probe_terms``: (probe_id, term, weight), one row per (probe, term).
-    ``bank_terms``: (bank_id, term, weight), one row per (bank row, term).
-    ``bank_ids``: (bank_id) every bank row, so rows sharing no term score 0
-    and still compete for the top k (ties broken by the lowest id).
-    ``probe_ids``: (probe_id) every probe, so a probe with no known term still
-    gets its (all-zero) list; defaults to the probes present in probe_terms.
-    """
-    if probe_ids is None:
-        probe_ids = probe_terms.select("probe_id").distinct()
-    n_probes = probe_ids.count() if n_probes is None else n_probes
-    n_bank = bank_ids.count() if n_bank is None else n_bank
-    tiles, blocks = tiling.layout(n_probes, n_bank, bank_ids.sparkSession.sparkContext.defaultParallelism)
-    probe_type = probe_terms.schema["probe_id"].dataType
-    bank_type = bank_ids.schema["bank_id"].dataType
-    p_presence = probe_ids.select("probe_id", F.lit(None).cast("string").alias("_pt"),
-                                  F.lit(0.0).alias("_pw"))
-    p_rows = probe_terms.select("probe_id", F.col("term").alias("_pt"),
-                                F.col("weight").cast("double").alias("_pw")).unionByName(p_presence)
-    p = _assign(p_rows, "probe_id", "_tile", tiles, "_block", blocks)
-    presence = bank_ids.select("bank_id", F.lit(None).cast("string").alias("_bt"),
-                               F.lit(0.0).alias("_bw"))
-    b_rows = bank_terms.select("bank_id", F.col("term").alias("_bt"),
-                               F.col("weight").cast("double").alias("_bw")).unionByName(presence)
-    b = _assign(b_rows, "bank_id", "_block", blocks, "_tile", tiles)
-    schema = _result_schema(probe_type, bank_type)
-    empty = pd.DataFrame({f.name: pd.Series(dtype=object) for f in schema.fields})
-
-    def score_group(bank_pdf: pd.DataFrame, probe_pdf: pd.DataFrame) -> pd.DataFrame:
-        if bank_pdf.empty or probe_pdf.empty:
-            return empty
-        probe_ids = np.unique(probe_pdf["probe_id"].to_numpy())
-        bank_idx = np.unique(bank_pdf["bank_id"].to_numpy())
-        terms = bank_pdf[bank_pdf["_bt"].notna()]
-        pterms = probe_pdf[probe_pdf["_pt"].notna()]
-        p_tok = pd.Series(pterms["_pt"].to_numpy(), index=pterms["probe_id"].to_numpy())
-        scores = _sparse_scores(
-            probe_ids, p_tok, pterms["_pw"].to_numpy(dtype=np.float64),
-            bank_idx, terms["bank_id"].to_numpy(), terms["_bt"].reset_index(drop=True),
-            terms["_bw"].to_numpy(dtype=np.float64))
-        return _emit(probe_ids, bank_idx, scores, k, False)
-
-    local = (b.groupBy("_tile", "_block")
-              .cogroup(p.groupBy("_tile", "_block"))
-              .applyInPandas(score_group, schema))
-    return _final_topk(local, k, blocks)
+    schema, arrow = _types(probes, bank)
+    shape = _normalized if metric == "cosine" else (lambda m: m)
+
+    def body(bc, width):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = bc.value["probe_id"], shape(bc.value["vec"])
+            best = _Best(ids, k, exclude_self)
+            for batch in batches:
+                rows, own = shape(_matrix(batch.column(1), width)), _ids(batch.column(0))
+                for s in _steps(len(ids), len(own)):
+                    best.add(m @ rows[s].T, own[s])
+            yield from best.batch(arrow)
+        return score
+    return _merge(_scan(probes, bank, group_bytes, schema, body), k)
 
 
 def dense_max(probes: DataFrame, bank: DataFrame, *, exclude_self: bool = False,
-              tiling: Tiling = Tiling(), n_probes: int | None = None,
-              n_bank: int | None = None) -> DataFrame:
+              group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(probe_id, max_cosine, max_dot): each probe's strongest bank match under
-    both measures in one pass (max over blocks of per-block maxima)."""
-    probes = probes.select("probe_id", F.col("vec").alias("_pvec")).where(F.col("_pvec").isNotNull())
-    bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
-    n_probes = probes.count() if n_probes is None else n_probes
-    n_bank = bank.count() if n_bank is None else n_bank
-    tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
-    p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
-    b = _assign(bank, "bank_id", "_block", blocks, "_tile", tiles)
-    schema = T.StructType([T.StructField("probe_id", probes.schema["probe_id"].dataType),
-                           T.StructField("max_cosine", T.DoubleType()),
-                           T.StructField("max_dot", T.DoubleType())])
-
-    def group_max(bank_pdf: pd.DataFrame, probe_pdf: pd.DataFrame) -> pd.DataFrame:
-        if bank_pdf.empty or probe_pdf.empty:
-            return pd.DataFrame({"probe_id": pd.Series(dtype=object), "max_cosine": pd.Series(dtype=float),
-                                 "max_dot": pd.Series(dtype=float)})
-        bm = np.vstack(bank_pdf["_bvec"].to_numpy()).astype(np.float64)
-        pm = np.vstack(probe_pdf["_pvec"].to_numpy()).astype(np.float64)
-        dots = pm @ bm.T
-        bn = np.clip(np.linalg.norm(bm, axis=1), 1e-12, None)
-        pn = np.clip(np.linalg.norm(pm, axis=1), 1e-12, None)
-        cos = dots / pn[:, None] / bn[None, :]
-        if exclude_self:
-            same = probe_pdf["probe_id"].to_numpy()[:, None] == bank_pdf["bank_id"].to_numpy()[None, :]
-            dots = np.where(same, -np.inf, dots)
-            cos = np.where(same, -np.inf, cos)
-        out = pd.DataFrame({"probe_id": probe_pdf["probe_id"].to_numpy(),
-                            "max_cosine": cos.max(axis=1), "max_dot": dots.max(axis=1)})
-        return out[np.isfinite(out["max_dot"].to_numpy())]
-
-    local = (b.groupBy("_tile", "_block")
-              .cogroup(p.groupBy("_tile", "_block"))
-              .applyInPandas(group_max, schema))
-    if blocks == 1:
-        return local
-    return local.groupBy("probe_id").agg(F.max("max_cosine").alias("max_cosine"),
-                                         F.max("max_dot").alias("max_dot"))
-
-
-def dense_count_at_least(probes: DataFrame, bank: DataFrame, *, tiling: Tiling = Tiling(),
-                         n_probes: int | None = None, n_bank: int | None = None) -> DataFrame:
+    both measures in one pass (per-partition maxima, then their maximum)."""
+    schema = T.StructType([probes.schema["probe_id"], T.StructField("max_cosine", T.DoubleType()), T.StructField("max_dot", T.DoubleType())])
+
+    def body(bc, width):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = bc.value["probe_id"], bc.value["vec"]
+            norm = np.clip(np.linalg.norm(m, axis=1), 1e-12, None)[:, None]
+            top = np.full((2, len(ids)), -np.inf)
+            for batch in batches:
+                rows, own = _matrix(batch.column(1), width), _ids(batch.column(0))
+                size = np.clip(np.linalg.norm(rows, axis=1), 1e-12, None)
+                for s in _steps(len(ids), len(own)):
+                    dots = m @ rows[s].T
+                    if exclude_self:
+                        dots[ids[:, None] == own[None, s]] = -np.inf
+                    if dots.shape[1]:
+                        top[0] = np.maximum(top[0], (dots / norm / size[None, s]).max(1))
+                        top[1] = np.maximum(top[1], dots.max(1))
+            met = np.isfinite(top[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(top[0][met]), pa.array(top[1][met])], ["probe_id", "max_cosine", "max_dot"])
+        return score
+    local = _scan(probes, bank, group_bytes, schema, body)
+    return local.groupBy("probe_id").agg(F.max("max_cosine").alias("max_cosine"), F.max("max_dot").alias("max_dot"))
+
+
+def dense_count_at_least(probes: DataFrame, bank: DataFrame, *, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(probe_id, n_at_least, n_bank, sum_score): per probe, how many bank dot
     scores reach its threshold ``thr``, plus the count and sum of all scores.
 
     ``probes``: (probe_id, vec, thr); ``bank``: (bank_id, vec).
     """
-    probes = probes.select("probe_id", F.col("vec").alias("_pvec"), F.col("thr").alias("_thr"))
-    bank = bank.select("bank_id", F.col("vec").alias("_bvec")).where(F.col("_bvec").isNotNull())
-    n_probes = probes.count() if n_probes is None else n_probes
-    n_bank = bank.count() if n_bank is None else n_bank
-    tiles, blocks = tiling.layout(n_probes, n_bank, bank.sparkSession.sparkContext.defaultParallelism)
-    p = _assign(probes, "probe_id", "_tile", tiles, "_block", blocks)
-    b = _assign(bank, "bank_id", "_block", blocks, "_tile", tiles)
-    schema = T.StructType([T.StructField("probe_id", probes.schema["probe_id"].dataType),
-                           T.StructField("n_at_least", T.LongType()),
-                           T.StructField("n_bank", T.LongType()),
-                           T.StructField("sum_score", T.DoubleType())])
-
-    def group_count(bank_pdf: pd.DataFrame, probe_pdf: pd.DataFrame) -> pd.DataFrame:
-        if bank_pdf.empty or probe_pdf.empty:
-            return pd.DataFrame({"probe_id": pd.Series(dtype=object), "n_at_least": pd.Series(dtype=np.int64),
-                                 "n_bank": pd.Series(dtype=np.int64), "sum_score": pd.Series(dtype=float)})
-        bm = np.vstack(bank_pdf["_bvec"].to_numpy()).astype(np.float64)
-        pm = np.vstack(probe_pdf["_pvec"].to_numpy()).astype(np.float64)
-        s = np.round(pm @ bm.T, SCORE_DECIMALS)
-        thr = probe_pdf["_thr"].to_numpy(dtype=np.float64)[:, None]
-        return pd.DataFrame({"probe_id": probe_pdf["probe_id"].to_numpy(),
-                             "n_at_least": (s >= thr).sum(axis=1).astype(np.int64),
-                             "n_bank": np.full(len(pm), len(bm), dtype=np.int64),
-                             "sum_score": (pm @ bm.T).sum(axis=1)})
-
-    local = (b.groupBy("_tile", "_block")
-              .cogroup(p.groupBy("_tile", "_block"))
-              .applyInPandas(group_count, schema))
-    return local.groupBy("probe_id").agg(F.sum("n_at_least").alias("n_at_least"),
-                                         F.sum("n_bank").alias("n_bank"),
+    schema = T.StructType([probes.schema["probe_id"], T.StructField("n_at_least", T.LongType()),
+                           T.StructField("n_bank", T.LongType()), T.StructField("sum_score", T.DoubleType())])
+
+    def body(bc, width):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m, thr = bc.value["probe_id"], bc.value["vec"], bc.value["thr"].astype(np.float64)[:, None]
+            reach, total, n = np.zeros(len(ids), np.int64), np.zeros(len(ids)), 0
+            for batch in batches:
+                rows = _matrix(batch.column(1), width)
+                n += len(rows)
+                for s in _steps(len(ids), len(rows)):
+                    dots = m @ rows[s].T
+                    reach += (np.round(dots, SCORE_DECIMALS) >= thr).sum(1)
+                    total += dots.sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(reach), pa.array(np.full(len(ids), n)), pa.array(total)],
+                                             ["probe_id", "n_at_least", "n_bank", "sum_score"])
+        return score
+    local = _scan(probes, bank, group_bytes, schema, body, "thr")
+    return local.groupBy("probe_id").agg(F.sum("n_at_least").alias("n_at_least"), F.sum("n_bank").alias("n_bank"),
                                          F.sum("sum_score").alias("sum_score"))
+
+
+def sparse_topk(probe_terms: DataFrame, bank: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], *,
+                probe_ids: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Top-k bank rows per probe for a score that is a sum over shared terms.
+
+    score(p, d) = sum over terms t of probe_weight(p, t) * weigh(tf(d, t), length(d)).
+    ``probe_terms``: (probe_id, term, weight), one row per (probe, term);
+    ``probe_ids``: every probe, so one without a known term gets its (all-zero)
+    list; ``bank``: (bank_id, tokens), one row per document. Documents sharing
+    no term score 0 and compete by lowest id.
+    """
+    schema, arrow = _types(probe_ids, bank)
+    spark, parts = bank.sparkSession, []
+    rows = (probe_ids.select("probe_id", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight")).distinct()
+            .unionByName(probe_terms.select("probe_id", "term", F.col("weight").cast("double").alias("weight")).where("term IS NOT NULL AND weight IS NOT NULL")))
+    docs = bank.select("bank_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
+
+    def body(bc):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vocab, first, owner, weight = bc.value
+            known = pa.array(vocab, pa.string())
+            best = _Best(ids, k, False)
+            for batch in batches:
+                own, tokens = _ids(batch.column(0)), batch.column(1)
+                size = tokens.value_lengths().to_numpy(zero_copy_only=False)
+                code = pc.index_in(tokens.flatten(), value_set=known)
+                hit = code.is_valid().to_numpy(zero_copy_only=False)
+                term = code.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[hit]
+                doc = np.repeat(np.arange(len(own)), size)[hit]
+                pair, tf = np.unique(doc * max(1, len(vocab)) + term, return_counts=True)
+                doc, term = pair // max(1, len(vocab)), pair % max(1, len(vocab))
+                w = weigh(tf.astype(np.float64), size[doc].astype(np.float64))
+                for s in _steps(len(ids), len(own)):
+                    a, b = np.searchsorted(doc, [s.start, s.stop])
+                    width = min(s.stop, len(own)) - s.start
+                    scores = np.zeros(len(ids) * width)
+                    # (document, term) entries by term, a term's probes added at once
+                    o = np.argsort(term[a:b], kind="stable") + a
+                    edge = np.append(np.flatnonzero(np.append(True, term[o][1:] != term[o][:-1])), len(o)) if len(o) else np.zeros(1, np.int64)
+                    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                        t = int(term[o[x]])
+                        p = slice(first[t], first[t + 1])
+                        cell = owner[p][:, None] * width + (doc[o[x:y]] - s.start)[None, :]
+                        scores[cell.ravel()] += np.outer(weight[p], w[o[x:y]]).ravel()
+                    best.add(scores.reshape(len(ids), width), own[s])
+            yield from best.batch(arrow)
+        return score
+    for t in _groups(rows, "probe_id", F.coalesce(F.octet_length("term"), F.lit(0)) + 32, group_bytes):
+        p, terms, weight = _ids(t.column("probe_id")), t.column("term"), t.column("weight").to_numpy()
+        ids = np.unique(p)
+        has = terms.is_valid().to_numpy()
+        enc = terms.filter(terms.is_valid()).combine_chunks().dictionary_encode()
+        enc = pa.concat_arrays(enc.chunks) if isinstance(enc, pa.ChunkedArray) else enc
+        code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        o = np.argsort(code, kind="stable")
+        first = np.searchsorted(code[o], np.arange(len(enc.dictionary) + 1))
+        value = (ids, enc.dictionary.to_pylist(), first, np.searchsorted(ids, p[has])[o], weight[has][o])
+        parts.append(docs.mapInArrow(body(spark.sparkContext.broadcast(value)), schema))
+    return _merge(_union(parts, spark, schema), k)

@@ -121,11 +121,20 @@ def vector_samples_sql() -> str:
     )"""
 
 
-def text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector samples that have document text (doc_id = vec_id)."""
-    docs = read_table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("idx"), "text", "source")
-    return vector_samples(spark, sf_dir).join(docs, "idx")
+def text_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test vector samples that have a document's text (doc_id = vec_id)."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", "source")
+    return vector_samples(spark, sf_dir).where(F.col("split") == "test").join(docs, "idx")
+
+
+def text_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole train side: every train document and every train vector sample
+    (idx, text, source, vec, grad). A text without a vector keeps nulls there,
+    and so does a vector without a text; each method says what that scores."""
+    docs = (read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", "source", F.lit(True).alias("has_text"))
+            .where(split_of(F.col("idx")) == "train"))
+    vecs = vector_samples(spark, sf_dir).where(F.col("split") == "train").drop("split")
+    return docs.join(vecs, "idx", "full").withColumn("has_text", F.coalesce("has_text", F.lit(False)))
 
 
 def lexical_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
