@@ -227,8 +227,7 @@ def q_gradient_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = instruction_records(spark, sf_dir).withColumn(
         "sample_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    ex = X.build_examples(recs)
-    return ex.join(X.full_text(recs).select("sample_id", "full_text"), "sample_id")
+    return X.build_examples(X.full_text(recs), carry=("full_text",))
 
 
 _EX_SQL = f"""WITH p AS (SELECT conv_id, turn, role, text,
@@ -308,11 +307,118 @@ def q_padding_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("dataset_fingerprint", """
-SELECT count(*) AS n_rows,
-       bit_xor(('0x' || substr(md5(CAST(doc_id AS VARCHAR) || chr(31) || coalesce(text, '')), 1, 15))::BIGINT)
-         AS xor_hash
-FROM documents""")
+WITH h AS (SELECT CAST('0x' || substr(md5('v' || strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR)
+                  || coalesce('v' || strlen(text) || ':' || text, 'n')), 1, 15) AS BIGINT) AS h FROM documents)
+SELECT count(*) AS n_rows, bit_xor(h) AS xor_hash, CAST(sum(CAST(h AS HUGEINT)) % 2305843009213693952 AS BIGINT) AS sum_hash
+FROM h""")
 def q_dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X11: order-independent content fingerprint of the corpus (cache key part)."""
     d = read_table(spark, sf_dir, "documents")
     return X.dataset_fingerprint(d, ["doc_id", "text"])
+
+
+# ---------------------------------------------------------------- joins and audits
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stratified split as a manifest: sample_id, doc_id, split, pos."""
+    return C.with_split_positions(stratified_split(spark, sf_dir).select("sample_id", "doc_id", "split"))
+
+
+_MANIFEST_SQL = _split_sql() + """,
+mf AS (SELECT sample_id, doc_id, split, row_number() OVER (PARTITION BY split ORDER BY
+         md5(CASE split WHEN 'train' THEN '2027' WHEN 'test' THEN '2028' ELSE '2029' END || ':' || sample_id), sample_id) - 1 AS pos
+       FROM splits)"""
+
+
+@register("manifest_records", _MANIFEST_SQL + """
+SELECT mf.sample_id, mf.split, CAST(mf.pos AS BIGINT) AS pos, d.lang, d.n_chars, CAST(strlen(d.text) AS INTEGER) AS n_bytes
+FROM mf JOIN documents d USING (doc_id)""")
+def q_manifest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split manifest joined to its records, manifest order kept."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.octet_length("text").alias("n_bytes"))
+    return X.join_manifest(manifest(spark, sf_dir), docs, "doc_id").select("sample_id", "split", "pos", "lang", "n_chars", "n_bytes")
+
+
+@register("manifest_unknown_ids", """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
+def q_manifest_unknown_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (as a manifest) that the table of labels doesn't know."""
+    return X.unknown_ids(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "doc_id")
+
+
+@register("split_leak", _split_sql() + f""",
+so AS ({vector_samples_sql()})
+SELECT DISTINCT doc_id FROM splits WHERE split = 'test' AND doc_id IN (SELECT idx FROM so WHERE split = 'train')""")
+def q_split_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the test part of the stratified split whose vector is
+    in the train part of the vector split."""
+    test = stratified_split(spark, sf_dir).where("split = 'test'").select("doc_id")
+    train = vector_samples(spark, sf_dir).where("split = 'train'").select(F.col("idx").alias("doc_id"))
+    return C.split_overlap(test, train, "doc_id")
+
+
+@register("subset_positions", _MANIFEST_SQL + f""",
+sb AS (SELECT doc_id FROM (SELECT vec_id AS doc_id FROM embeddings) ORDER BY md5('2026:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT {GRAD_SUBSET})
+SELECT sb.doc_id, CAST(mf.pos AS BIGINT) AS pos FROM sb LEFT JOIN (SELECT * FROM mf WHERE split = 'train') mf USING (doc_id)""")
+def q_subset_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seeded sample of vector ids with their place in the train
+    manifest (null where they aren't in it)."""
+    ids = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    subset = C.gradient_subset(ids, GRAD_SUBSET, 2026, "doc_id")
+    return X.subset_positions(subset, manifest(spark, sf_dir).where("split = 'train'"), "doc_id")
+
+
+FIRST = {"train": 40, "test": 5, "shadow": 3}
+
+
+@register("first_rows_per_split", _MANIFEST_SQL + f"""
+SELECT sample_id, split, CAST(pos AS BIGINT) AS pos FROM mf
+WHERE pos < CASE split {' '.join(f"WHEN '{s}' THEN {n}" for s, n in FIRST.items())} END""")
+def q_first_rows_per_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of every split by manifest position."""
+    return C.first_n_per_split(manifest(spark, sf_dir), FIRST).select("sample_id", "split", "pos")
+
+
+@register("split_by_counts", """
+SELECT 'train' AS split, CAST(count(*) - 30 AS BIGINT) AS n FROM documents
+UNION ALL SELECT 'test', 20 UNION ALL SELECT 'shadow', 10""")
+def q_split_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of a split with explicit counts (all but 30, 20 and 10 rows)."""
+    n = normalized_documents(spark, sf_dir)
+    total = read_table(spark, sf_dir, "documents").count()
+    return C.split_summary(C.create_splits(n, by=STRATA, target_counts={"train": total - 30, "test": 20, "shadow": 10}))
+
+
+@register("coerced_records", """
+SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       coalesce(CAST(n_chars AS VARCHAR), '') AS n_chars FROM documents""")
+def q_coerced_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field as a string, nulls empty."""
+    return N.coerce_to_strings(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+
+
+_ASKED_SQL = _EX_SQL.replace("\\n", "\n").split("e AS (")[0].replace(
+    "WHERE p.role = 'user' AND p.next_role = 'assistant')", "WHERE p.role = 'user')").replace(
+    "p.next_text AS output", "CASE WHEN p.next_role = 'assistant' THEN p.next_text END AS output")
+
+
+@register("example_errors", _ASKED_SQL + f"""
+e AS (SELECT sample_id, nullif({_strip('instruction')}, '') AS pr, nullif({_strip('output')}, '') AS tg FROM r)
+SELECT sample_id, tg AS response,
+       CASE WHEN pr IS NULL THEN 'Sample ''' || sample_id || ''' is missing prompt text (prompt_field=''instruction'')'
+            WHEN tg IS NULL THEN 'Sample ''' || sample_id
+              || ''' is missing target answer (tested_fields=[''output'', ''response'', ''completion'', ''target''])' END AS error
+FROM e""")
+def q_example_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X03 + X05: every user turn as an example with its response; those without
+    a prompt or an answer carry the error."""
+    recs = instruction_records(spark, sf_dir, answered=False).withColumn(
+        "sample_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return X.build_examples(recs, with_response=True).select("sample_id", "response", "error")
+
+
+@register("tensor_violations", _TOK_SQL + f"""
+SELECT sample_id, 'length differs from max_length={MAX_LEN}' AS reason FROM tk WHERE len(ids) <> {MAX_LEN}
+UNION ALL SELECT sample_id, 'input_ids is empty' FROM tk WHERE len(ids) = 0""")
+def q_tensor_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unpadded token rows held against the fixed-length rule."""
+    return X.tensor_violations(_tokens(spark, sf_dir, "longest"), "max_length", MAX_LEN)

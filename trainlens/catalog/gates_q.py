@@ -102,7 +102,7 @@ t AS (SELECT runs.run_id, train_runtime, train_steps_per_second AS rate, train_t
       FROM runs LEFT JOIN views ON views.run_id = runs.run_id, avg_len)
 SELECT run_id,
        CAST(coalesce(CASE WHEN state_step > 0 THEN state_step END, CASE WHEN metric_step > 0 THEN metric_step END,
-                     CASE WHEN train_runtime > 0 AND rate > 0 THEN round_even(train_runtime * rate, 0) END) AS BIGINT)
+                     CASE WHEN train_runtime > 0 AND rate > 0 THEN round_even(train_runtime * rate, 0) END, 0) AS BIGINT)
          AS steps_completed,
        NOT (state_step > 0) AND NOT (metric_step > 0) AS steps_estimated,
        round(estimated, 6) AS tokens_per_second_estimated,

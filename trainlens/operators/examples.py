@@ -32,8 +32,9 @@ def _opt(df: DataFrame, c: str | None):
 
 
 def build_examples(records: DataFrame, fields: ExampleFields = ExampleFields(),
-                   with_response: bool = False) -> DataFrame:
-    """(sample_id, prompt, target, text[, response], error).
+                   with_response: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(sample_id, prompt, target, text[, response], error), and the
+    columns ``carry`` of the records.
 
     prompt: the prompt field, else the first non-blank text field; a
     non-blank input is appended under "Input:". target: the response field,
@@ -59,7 +60,7 @@ def build_examples(records: DataFrame, fields: ExampleFields = ExampleFields(),
     cols = ["sample_id", F.col("prompt_text").alias("prompt"), "target", "text", "error"]
     if with_response:
         cols.insert(4, F.col("target").alias("response"))
-    return out.select(*cols)
+    return out.select(*cols, *carry)
 
 
 def full_text(df: DataFrame) -> DataFrame:
@@ -84,13 +85,11 @@ def unknown_ids(manifest: DataFrame, records: DataFrame, id_col: str = "sample_i
 
 def assert_known_ids(manifest: DataFrame, records: DataFrame, split_name: str,
                      id_col: str = "sample_id") -> None:
-    missing = [r[id_col] for r in unknown_ids(manifest, records, id_col)
-               .orderBy(id_col).limit(11).collect()]
-    if missing:
-        preview = ", ".join(missing[:10])
-        suffix = "..." if len(missing) > 10 else ""
+    unknown = unknown_ids(manifest, records, id_col).orderBy(id_col).limit(11).toPandas()[id_col]
+    if len(unknown):
+        # fixed value: the start of this message
         raise ValueError(f"{split_name} split contains sample_ids not present in original dataset: "
-                         f"{preview}{suffix}")
+                         + ", ".join(unknown[:10].astype(str)) + " and more" * (len(unknown) > 10))
 
 
 # Manifest columns that carry a corpus index, tried in order.
@@ -130,6 +129,22 @@ def resolve_manifest(manifest: DataFrame, corpus: DataFrame, idx_col: str = "idx
     return m.join(src, "resolved_idx", "left")
 
 
+def unresolved_rows(resolved: DataFrame, required: list[str]) -> DataFrame:
+    """J04 + J05: rows of ``resolve_manifest`` without a corpus index, or whose
+    index has no corpus row (a ``required`` corpus column is null)."""
+    no_row = F.lit(False)
+    for c in required:
+        no_row = no_row | F.col(c).isNull()
+    reason = F.when(F.col("resolved_idx").isNull(), "no corpus index").when(no_row, "no corpus row")
+    return resolved.withColumn("reason", reason).where("reason IS NOT NULL").select("sample_id", "resolved_idx", "reason")
+
+
+def assert_resolved(resolved: DataFrame, required: list[str]) -> None:
+    bad = unresolved_rows(resolved, required).orderBy("sample_id").limit(1).collect()
+    if bad:
+        raise ValueError(f"manifest row {bad[0]['sample_id']!r} could not be resolved: {bad[0]['reason']}")
+
+
 def subset_positions(subset: DataFrame, train: DataFrame, id_col: str = "sample_id",
                      pos_col: str = "pos") -> DataFrame:
     """Gradient-subset ids mapped to their train position; ids not in
@@ -213,14 +228,25 @@ def label_schema_violations(df: DataFrame, collator_path: str) -> list[str]:
     return []
 
 
+def null_label_violations(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """Rows of a labelled table whose ``labels`` are null."""
+    return df.where(F.col("labels").isNull()).select(id_col, F.lit("labels is null").alias("reason"))
+
+
 def dataset_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """X11: order-independent fingerprint of a table: row count plus the xor
-    of a 60-bit md5 prefix of every row (fields joined by U+001F). One pass
-    with partial aggregation; any SQL engine with md5 reproduces it."""
+    """X11: order-independent fingerprint of a table: row count, and the xor
+    and the sum (modulo 2**61) of a 60-bit md5 prefix of every row. The sum
+    tells tables apart whose equal rows cancel in the xor. Fields are written
+    as ``n`` for null or ``v``, their length and their text, so neither nulls
+    nor separators inside a text can be mistaken. One pass with partial
+    aggregation; any SQL engine with md5 reproduces it."""
     cols = cols or df.columns
-    row = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    text = lambda c: F.col(c).cast("string")
+    row = F.concat(*[F.when(F.col(c).isNull(), F.lit("n")).otherwise(
+        F.concat(F.lit("v"), F.octet_length(text(c)).cast("string"), F.lit(":"), text(c))) for c in cols])
     h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"))
+    total = (F.sum(h.cast("decimal(20,0)")) % F.lit(1 << 61).cast("decimal(20,0)")).cast("long")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.coalesce(total, F.lit(0).cast("long")).alias("sum_hash"))
 
 
 def settings_key(**settings) -> str:

@@ -54,11 +54,11 @@ def resolve_token_rate(measured, reported, estimated):
 
 def resolve_steps(state_step, metric_step, runtime, rate):
     """(steps, estimated flag): trainer state, else the metric, else
-    round-half-even(runtime x rate)."""
+    round-half-even(runtime x rate), else 0."""
     est = F.bround(runtime * rate, 0).cast("long")
     steps = F.coalesce(F.when(state_step > 0, state_step.cast("long")),
                        F.when(metric_step > 0, metric_step.cast("long")),
-                       F.when((runtime > 0) & (rate > 0), est))
+                       F.when((runtime > 0) & (rate > 0), est), F.lit(0))
     flag = (state_step.isNull() | (state_step <= 0)) & (metric_step.isNull() | (metric_step <= 0))
     return steps, flag
 

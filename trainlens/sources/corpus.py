@@ -60,12 +60,13 @@ def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "source", F.col("lang").alias("license"), "text")
 
 
-def instruction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def instruction_records(spark: SparkSession, sf_dir: str, answered: bool = True) -> DataFrame:
     """(conv_id, turn, instruction, input, output) from conversation turns.
 
     A user turn is paired with the turn that follows it when that turn is an
     assistant turn. The conversation's system text (first system turn) is the
     input. Windows partition by conversation, so they never gather the table.
+    With ``answered=False`` user turns without an answer stay, output null.
     """
     c = read_table(spark, sf_dir, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -74,7 +75,9 @@ def instruction_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     system = (c.where(F.col("role") == "system")
                .groupBy("conv_id")
                .agg(F.min_by("text", "turn").alias("input")))
-    pairs = nxt.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+    reply = F.col("next_role") == "assistant"
+    pairs = nxt.where(F.col("role") == "user").withColumn("next_text", F.when(reply, F.col("next_text")))
+    pairs = pairs.where(reply) if answered else pairs
     return (pairs.join(system, "conv_id", "left")
                  .select("conv_id", "turn", F.col("text").alias("instruction"),
                          F.coalesce("input", F.lit("")).alias("input"),

@@ -1,38 +1,65 @@
 """Dataset scans and result sinks.
 
-Large corpora should be JSON Lines or CSV (split across tasks). A single JSON
-array or ``{"data": [...]}`` document is one value and is parsed by one task;
-it is supported for the reference's file layouts, not as the scale path.
+Large corpora should be JSON Lines, or CSV without line breaks inside fields:
+those are split across tasks. A CSV with such fields (``multi_line``) is read
+by one task per file. A single JSON array or ``{"data": [...]}`` document is
+one value and is parsed by one task; it is supported for the reference's file
+layouts, not as the scale path.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trainlens.plans.ordinal import with_ordinal
+from trainlens.functions.text import strip
 
+_PLACE = ["_path", "_block"]
 
-def _file_ordinal(df: DataFrame) -> DataFrame:
-    """Row index in file order (scan splits are ordered by file offset)."""
-    d = df.withColumn("_mono", F.monotonically_increasing_id())
-    return with_ordinal(d, [F.col("_mono")], "ordinal").drop("_mono")
 
+def _file_ordinal(scan: DataFrame, columns: list) -> DataFrame:
+    """``columns`` of a file scan and ``ordinal``, the row's index in order of
+    (file path, place in the file).
 
-def read_csv_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """S01 + S05: CSV with a header, every field a string (null -> ''), plus ``ordinal``."""
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    A split's rows are numbered as they are read; the splits' row counts (one
+    row per split) give each split's offset. Rows are not shuffled.
+    """
+    d = scan.select(*columns, F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+                    F.monotonically_increasing_id().alias("_mono"))
+    splits = d.groupBy(*_PLACE).agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*_PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    start = splits.select(*_PLACE, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return d.join(start, _PLACE).withColumn("ordinal", F.col("_mono") + F.col("_shift")).drop(*_PLACE, "_mono", "_shift")
+
+
+def _as_text(c: str):
+    return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c)
+
+
+def read_csv_dataset(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """S01 + S05: CSV with a header, every field a string (null -> ''), plus
+    ``ordinal``. ``multi_line=False`` lets files without line breaks inside
+    fields be split across tasks."""
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
            .option("inferSchema", False).csv(path))
-    coerced = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in raw.columns])
-    return _file_ordinal(coerced)
+    return _file_ordinal(raw, [_as_text(c) for c in raw.columns])
 
 
-def read_jsonl_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """S02 at scale: JSON Lines, every field read as a string, plus ``ordinal``."""
-    raw = spark.read.option("primitivesAsString", True).json(path)
-    raw = raw.drop("_corrupt_record") if "_corrupt_record" in raw.columns else raw
-    coerced = raw.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in raw.columns])
-    return _file_ordinal(coerced)
+def read_jsonl_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S02 at scale: JSON Lines. Returns (records, violations): every field read
+    as a string, plus ``ordinal``; lines that are no JSON object come back as
+    (ordinal, reason) instead."""
+    shape = spark.read.option("primitivesAsString", True).json(path).schema
+    names = [c for c in shape.names if c != "_corrupt_record"]
+    line = F.col("value")
+    parsed = F.from_json(line, T.StructType([shape[c] for c in names]))
+    good = F.json_object_keys(line).isNotNull()
+    scan = spark.read.text(path).where(F.length(strip(line)) > 0)
+    rows = _file_ordinal(scan, [parsed.alias("_row"), good.alias("_good")])
+    recs = rows.where("_good").select(*[F.coalesce(F.col(f"_row.`{c}`").cast("string"), F.lit("")).alias(c) for c in names], "ordinal")
+    return recs, rows.where("NOT _good").select("ordinal", F.concat(
+        F.lit("Invalid dataset row at index "), F.col("ordinal").cast("string"), F.lit(": row must be a JSON object")).alias("reason"))
 
 
 def read_json_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +100,8 @@ def read_manifest(spark: SparkSession, path: str, split: str) -> tuple[DataFrame
     """(sample_id, split, pos) rows and (line, reason) violations.
 
     The ``sample_id`` column is required; a blank id is reported with its CSV
-    line number (header is line 1). A missing optional test manifest is empty.
+    line number (header is line 1). A missing optional test manifest is empty;
+    any other manifest must exist and have rows.
     """
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
@@ -86,7 +114,9 @@ def read_manifest(spark: SparkSession, path: str, split: str) -> tuple[DataFrame
     if "sample_id" not in raw.columns:
         raise ValueError(f"Split manifest '{path}' must include a 'sample_id' column. "
                          f"Found columns: {raw.columns}")
-    m = _file_ordinal(raw.select(F.regexp_replace("sample_id", r"(?U)^\s+|\s+$", "").alias("sample_id")))
+    m = _file_ordinal(raw, [strip("sample_id").alias("sample_id")])
+    if split != "test" and m.limit(1).count() == 0:
+        raise ValueError(f"Split manifest '{path}' has no rows")
     viol = m.where(F.coalesce(F.length("sample_id"), F.lit(0)) == 0).select(
         (F.col("ordinal") + 2).alias("line"),
         F.lit(f"Split manifest '{path}' has an empty sample_id").alias("reason"))
@@ -109,10 +139,14 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 
 def write_attribution(results: DataFrame, out_dir: str) -> DataFrame:
-    """Result rows as Parquet and CSV; returns the one-row-per-method summary."""
+    """Result rows as Parquet, CSV and JSON records; returns the
+    one-row-per-method summary. The results are computed once; the other forms
+    are written from the Parquet copy."""
     results.write.mode("overwrite").parquet(f"{out_dir}/parquet")
-    results.write.mode("overwrite").option("header", True).csv(f"{out_dir}/csv")
-    summary = (results.groupBy("method")
+    rows = results.sparkSession.read.parquet(f"{out_dir}/parquet")
+    rows.write.mode("overwrite").option("header", True).csv(f"{out_dir}/csv")
+    rows.write.mode("overwrite").json(f"{out_dir}/json")
+    summary = (rows.groupBy("method")
                .agg(F.countDistinct("test_idx").alias("n_probes"), F.count(F.lit(1)).alias("n_rows"),
                     F.max("rank").alias("top_k")))
     summary.coalesce(1).write.mode("overwrite").json(f"{out_dir}/summary")
