@@ -184,8 +184,8 @@ def _shingles_sql(t: str, n: int = 3) -> str:
 
 @register("retrieval_audit", MERGED + f""",
 au AS (SELECT m.test_idx, m.method, m.rank, m.train_idx,
-              {sql.tokens('p.text')} AS pt, {sql.tokens("' ' || d.text")} AS dt
-       FROM m JOIN ts p ON p.idx = m.test_idx JOIN documents d ON d.doc_id = m.train_idx
+              {sql.tokens('p.text')} AS pt, {sql.tokens("' ' || coalesce(d.text, '')")} AS dt
+       FROM m JOIN ts p ON p.idx = m.test_idx LEFT JOIN documents d ON d.doc_id = m.train_idx
        WHERE m.rank <= {K}),
 sh AS (SELECT *, {_shingles_sql('pt')} AS ga, {_shingles_sql('dt')} AS gb FROM au)
 SELECT test_idx, method, rank, train_idx,

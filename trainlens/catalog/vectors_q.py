@@ -15,13 +15,16 @@ from trainlens.sources.corpus import vector_samples
 from trainlens.sources.tables import read_table
 
 N_COORDS = 16
-# The named coordinate groups (four 16-wide tensors).
-TENSORS = [("block0.attn", 16), ("block0.mlp", 16), ("block1.attn", 16), ("block1.mlp", 16)]
+# The named coordinate groups, each a quarter of the width.
+TENSORS = ("block0.attn", "block0.mlp", "block1.attn", "block1.mlp")
+
+
+def _width(spark, sf_dir) -> int:
+    return V.vector_width(read_table(spark, sf_dir, "embeddings"), "embedding")
 
 
 def _coords(spark, sf_dir) -> DataFrame:
-    e = read_table(spark, sf_dir, "embeddings")
-    return V.coordinate_sample(e.agg(F.max(F.size("embedding")).alias("total")), N_COORDS, 2026)
+    return V.coordinate_sample(spark, _width(spark, sf_dir), N_COORDS, 2026)
 
 
 @register("coordinate_sample", f"""
@@ -52,11 +55,9 @@ def gathered_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _offsets_sql() -> str:
-    rows, start = [], 0
-    for name, size in TENSORS:
-        rows.append(f"('{name}', {start}, {start + size})")
-        start += size
-    return "(VALUES " + ", ".join(rows) + ") o(name, start_, end_)"
+    names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(TENSORS))
+    return (f"(SELECT name, i * (w // {len(TENSORS)}) AS start_, (i + 1) * (w // {len(TENSORS)}) AS end_ "
+            f"FROM (VALUES {names}) t(i, name), (SELECT max(len(embedding)) AS w FROM embeddings)) o")
 
 
 @register("dot_share_by_group", f"""
@@ -67,9 +68,10 @@ pr AS (SELECT top.test_idx, top.train_idx, p.grad AS a, b.grad AS b FROM top
        JOIN s p ON p.idx = top.test_idx JOIN s b ON b.idx = top.train_idx),
 ex AS (SELECT test_idx, train_idx, list_dot_product(a, b) AS d, unnest(range(0, len(a))) AS coord,
               unnest(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i])) AS p FROM pr)
-SELECT test_idx, train_idx, name, round(CASE WHEN any_value(d) <> 0 THEN sum(p) / any_value(d) END, 6) AS share
-FROM ex JOIN {_offsets_sql()} ON coord >= start_ AND coord < end_
-GROUP BY test_idx, train_idx, name""")
+SELECT test_idx, train_idx, coalesce(name, '(unnamed)') AS name,
+       round(CASE WHEN any_value(d) <> 0 THEN sum(p) / any_value(d) END, 6) AS share
+FROM ex LEFT JOIN {_offsets_sql()} ON coord >= start_ AND coord < end_
+GROUP BY test_idx, train_idx, coalesce(name, '(unnamed)')""")
 def dot_share_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each gradient-cosine top-5 pair, each named group's share of the dot product."""
     s = vector_samples(spark, sf_dir)
@@ -78,7 +80,7 @@ def dot_share_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = A.gradient_cosine_topk(ts, tr, 5).select("test_idx", "train_idx")
     pairs = (top.join(s.select(F.col("idx").alias("test_idx"), F.col("grad").alias("a")), "test_idx")
                 .join(s.select(F.col("idx").alias("train_idx"), F.col("grad").alias("b")), "train_idx"))
-    out = V.dot_share_by_group(pairs, "a", "b", V.offset_table(spark, TENSORS))
+    out = V.dot_share_by_group(pairs, "a", "b", V.offset_table(spark, [(n, _width(spark, sf_dir) // len(TENSORS)) for n in TENSORS]))
     return out.select("test_idx", "train_idx", "name", r6("share"))
 
 
@@ -119,10 +121,14 @@ FROM r WHERE rank <= {TOP_INF}""")
 def influence_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M11 + M12: gradient dot influence over the whole train bank, the top 50
     per test sample, ranked from 1."""
+    return influence_top(spark, sf_dir, TOP_INF)
+
+
+def influence_top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     s = vector_samples(spark, sf_dir)
     t = dense_topk(s.where(F.col("split") == "test").select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec")),
                    s.where(F.col("split") == "train").select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec")),
-                   TOP_INF, metric="dot")
+                   k, metric="dot")
     return t.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
                     F.round("score", 6).alias("influence_score"), "rank")
 
@@ -136,8 +142,7 @@ SELECT test_id, string_agg(CAST(train_id AS VARCHAR), ',' ORDER BY rank) AS topk
 FROM r WHERE rank <= 5 GROUP BY test_id""")
 def influence_topk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per test sample, the ordered top-5 list of (rank, train_id, score), shown as ids."""
-    t = influence_top50(spark, sf_dir)
-    m = A.topk_map(t, 5)
+    m = A.topk_map(influence_top(spark, sf_dir, 5), 5)
     return m.select("test_id", F.concat_ws(",", F.transform("topk", lambda x: x["train_id"].cast("string")))
                     .alias("topk_train_ids"))
 
@@ -186,7 +191,6 @@ def ihvp_full_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     the Gram matrix is summed from per-partition partials (d x d on the driver,
     d bounded). No SQL oracle: DuckDB has no matrix inverse."""
     s = vector_samples(spark, sf_dir)
-    dim = read_table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
-    t = V.ihvp_topk(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5, int(dim))
+    t = V.ihvp_topk(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5, _width(spark, sf_dir))
     return t.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
                     F.round("score", 6).alias("score"), "rank")

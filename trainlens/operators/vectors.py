@@ -10,29 +10,25 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainlens.functions.hashing import seeded_order_key
 from trainlens.functions.vector import dot
-from trainlens.plans.blocked_topk import dense_topk
+from trainlens.plans.blocked_topk import dense_topk, is_valid_vector
 
 MAX_GRAM_DIM = 4096
 
 
-def coordinate_sample(total, k: int, seed: int = 2026, spark=None) -> DataFrame:
+def coordinate_sample(spark, total: int, k: int, seed: int = 2026) -> DataFrame:
     """min(k, total) distinct coordinates of range(total), seeded, sorted.
-
-    ``total`` is an int or a one-row DataFrame with column ``total``.
-    """
-    if isinstance(total, int):
-        base = spark.range(total).select(F.col("id").alias("coord"))
-    else:
-        base = total.select(F.explode(F.sequence(F.lit(0), F.col("total") - 1)).alias("coord"))
-    return (base.select(F.col("coord").cast("long").alias("coord"))
-                .orderBy(seeded_order_key(seed, "coord"), "coord").limit(k)
-                .orderBy("coord"))
+    The range is generated in parallel, as a parameter count may be large."""
+    return (spark.range(total).select(F.col("id").alias("coord"))
+                 .orderBy(seeded_order_key(seed, "coord"), "coord").limit(k)
+                 .orderBy("coord"))
 
 
 def gather(vec_col, coords: list[int]):
@@ -54,7 +50,8 @@ def dot_share_by_group(pairs: DataFrame, a: str, b: str, offsets: DataFrame) ->
 
     pairs: rows holding vectors ``a`` and ``b`` plus their keys. The
     per-coordinate products are exploded and joined on the coordinate to the
-    offset table expanded to one row per coordinate (broadcast, width rows).
+    offset table expanded to one row per coordinate; coordinates outside every
+    group are the group ``(unnamed)``, so shares sum to 1 at any width.
     """
     keys = [c for c in pairs.columns if c not in (a, b)]
     prod = pairs.select(*keys, dot(a, b).alias("_dot"),
@@ -62,18 +59,12 @@ def dot_share_by_group(pairs: DataFrame, a: str, b: str, offsets: DataFrame) ->
     # one row per coordinate (bounded by the vector width): the range lookup
     # becomes an equi-join instead of a nested-loop range join
     lookup = offsets.select("name", F.explode(F.sequence("start", F.col("end") - 1)).alias("coord"))
-    j = prod.join(F.broadcast(lookup), "coord")
+    j = prod.join(lookup, "coord", "left").withColumn("name", F.coalesce("name", F.lit("(unnamed)")))
     return (j.groupBy(*keys, "name").agg(F.sum("p").alias("part"), F.first("_dot").alias("_dot"))
              .withColumn("share", F.when(F.col("_dot") != 0, F.col("part") / F.col("_dot")))
              .drop("_dot"))
 
 
-def l2_normalize_rows(df: DataFrame, col: str, eps: float = 1e-12) -> DataFrame:
-    """V04 applied to a column."""
-    from trainlens.functions.vector import l2_normalize
-    return df.withColumn(col, l2_normalize(col, eps))
-
-
 def matrix_stats(df: DataFrame, group: str, vec_col: str = "grad", loss_col: str = "loss") -> DataFrame:
     """Rows, width, float32 bytes and mean loss per group."""
     return (df.groupBy(group)
@@ -125,94 +116,116 @@ def write_gradient_store(df: DataFrame, path: str, chunk_rows: int = 512) -> Non
 class InfluenceConfig:
     mode: str = "ihvp"
     damping: float = 0.01
-    scale: float = 10.0
-    recursion_depth: int = 8
-    num_samples: int = 1
 
     def validate(self) -> None:
         if self.mode != "ihvp":
             raise ValueError(f"unsupported influence mode {self.mode!r}; only 'ihvp' is available")
 
 
-def fisher_diagonal(bank: DataFrame, vec_col: str = "grad") -> DataFrame:
-    """(coord, mean g^2): diagonal of the empirical Fisher, one row per coordinate."""
-    return (bank.select(F.posexplode(vec_col).alias("coord", "g"))
-                .groupBy("coord").agg(F.avg(F.col("g") * F.col("g")).alias("fisher")))
+def _stack(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    c = batch.column(0)
+    if (c.value_lengths().to_numpy(zero_copy_only=False) != dim).any():
+        raise ValueError(f"gradients differ from width {dim}")
+    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def vector_width(df: DataFrame, vec_col: str = "grad") -> int:
+    """Width of the vectors that take part (0 if there are none)."""
+    return df.where(is_valid_vector(vec_col)).agg(F.max(F.size(vec_col))).first()[0] or 0
+
+
+def fisher_diagonal(bank: DataFrame, dim: int, vec_col: str = "grad") -> DataFrame:
+    """(coord, mean g^2): diagonal of the empirical Fisher, one row per
+    coordinate, from one partial sum per partition."""
+    def partial(batches):
+        total, n = np.zeros(dim), 0
+        for b in batches:
+            m = _stack(b, dim)
+            total += (m * m).sum(0)
+            n += len(m)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array(total), pa.array(np.full(dim, n))], ["coord", "total", "n"])
+    parts = bank.where(is_valid_vector(vec_col)).select(vec_col).mapInArrow(partial, "coord long, total double, n long")
+    return parts.groupBy("coord").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("fisher"))
 
 
 def ihvp_diag_topk(probes: DataFrame, bank: DataFrame, k: int,
                    cfg: InfluenceConfig = InfluenceConfig()) -> DataFrame:
     """M13 (diagonal): score = sum_i q_i b_i / (mean_train g_i^2 + damping).
 
-    The preconditioner has one value per coordinate (d values, collected as a
-    bounded list) and is folded into the probe vectors before the blocked dot.
+    The preconditioner has one value per coordinate; as one array it is folded
+    into the probe vectors before the dot product.
     """
     cfg.validate()
-    fd = fisher_diagonal(bank).orderBy("coord").collect()
-    if len(fd) > MAX_GRAM_DIM * 64:
-        raise ValueError("vector width exceeds the preconditioner bound")
-    pre = [1.0 / (r["fisher"] + cfg.damping) for r in fd]
-    pre_arr = F.array(*[F.lit(v) for v in pre])
-    p = probes.select(F.col("idx").alias("probe_id"),
-                      F.zip_with("grad", pre_arr, lambda g, c: g * c).alias("vec"))
+    fisher = fisher_diagonal(bank, vector_width(bank))
+    pre = fisher.agg(F.transform(F.array_sort(F.collect_list(F.struct("coord", "fisher"))),
+                                 lambda x: 1.0 / (x["fisher"] + F.lit(cfg.damping)))).scalar()
+    p = (probes.withColumn("_pre", pre)
+               .select(F.col("idx").alias("probe_id"), F.zip_with("grad", "_pre", lambda g, c: g * c).alias("vec")))
     b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
     return dense_topk(p, b, k, metric="dot")
 
 
-def _gram_partial(batches, dim):
-    g = np.zeros((dim, dim))
-    n = 0
-    for pdf in batches:
-        if len(pdf):
-            m = np.vstack(pdf["grad"].to_numpy()).astype(np.float64)
-            g += m.T @ m
-            n += len(m)
-    yield pd.DataFrame({"row": np.arange(dim), "vals": list(g), "n": n})
+ROWS = 64  # matrix rows per packed block
 
 
 def gram_matrix(bank: DataFrame, dim: int) -> tuple[np.ndarray, int]:
-    """Empirical Fisher G^T G: per-partition NumPy partial sums, added by Spark.
+    """Empirical Fisher G^T G and the number of gradients.
 
-    Each partition emits d rows of length d; the final sum is d x d on the
-    driver (d <= MAX_GRAM_DIM is enforced).
+    A partition's partial sum leaves as packed blocks of ``ROWS`` matrix rows;
+    blocks are added up in two levels, so no task gets one from every
+    partition. What comes to the driver is the d x d matrix, whose width is
+    checked before any work.
     """
     if dim > MAX_GRAM_DIM:
         raise ValueError(f"dimension {dim} exceeds {MAX_GRAM_DIM}")
-    parts = bank.select("grad").mapInPandas(lambda it: _gram_partial(it, dim),
-                                            "row int, vals array<double>, n long")
-    # every partition reports its row count on each of its d rows, so the
-    # total over partitions of row 0 is the number of gradients
-    n = parts.where(F.col("row") == 0).agg(F.sum("n")).first()[0] or 0
-    cells = (parts.select("row", F.posexplode("vals").alias("col", "v"))
-                  .groupBy("row", "col").agg(F.sum("v").alias("v")).collect())
-    gram = np.zeros((dim, dim))
-    for r in cells:
-        gram[r["row"], r["col"]] = r["v"]
-    return gram, int(n)
+    if not dim:
+        return np.zeros((0, 0)), 0
+    blocks = range(0, dim, ROWS)
+
+    def partial(batches):
+        g, n = np.zeros((dim, dim)), 0
+        for b in batches:
+            m = _stack(b, dim)
+            g += m.T @ m
+            n += len(m)
+        src = TaskContext.get().partitionId() % 32
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i // ROWS for i in blocks], pa.int32()), pa.array([src] * len(blocks), pa.int32()),
+             pa.array([g[i:i + ROWS].tobytes() for i in blocks], pa.binary()), pa.array([n] * len(blocks), pa.int64())], ["block", "src", "cells", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in t.column("cells"))
+        first = t.slice(0, 1)
+        return pa.table({"block": first.column("block"), "src": first.column("src"), "cells": pa.array([total.tobytes()], pa.binary()),
+                         "n": pa.array([pc.sum(t.column("n")).as_py()], pa.int64())})
+    schema = "block int, src int, cells binary, n long"
+    parts = bank.where(is_valid_vector("grad")).select("grad").mapInArrow(partial, schema)
+    rows = parts.groupBy("block", "src").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).orderBy("block").toArrow()
+    if not len(rows):
+        return np.zeros((dim, dim)), 0
+    cells = np.concatenate([np.frombuffer(x.as_py()) for x in rows.column("cells")])
+    return cells.reshape(dim, dim), rows.column("n")[0].as_py()
 
 
 def ihvp_topk(probes: DataFrame, bank: DataFrame, k: int, dim: int,
               cfg: InfluenceConfig = InfluenceConfig()) -> DataFrame:
     """M13 (full): score = q^T (F + damping I)^-1 b with F = G^T G / n.
 
-    The damped solve is d x d on the driver; probes are transformed by the
-    inverse (a bounded broadcast literal per row is avoided: the inverse is
-    applied with a pandas UDF batch-wise), then the blocked dot ranks the bank.
+    The damped inverse is d x d (d is bounded, see ``gram_matrix``); it is
+    broadcast and applied to the probes batch-wise, then the dot product ranks
+    the bank.
     """
     cfg.validate()
     gram, n = gram_matrix(bank, dim)
-    fisher = gram / max(n, 1)
-    inv = np.linalg.inv(fisher + cfg.damping * np.eye(dim))
+    inv = np.linalg.inv(gram / max(n, 1) + cfg.damping * np.eye(dim))
     bc = probes.sparkSession.sparkContext.broadcast(inv)
-    schema = "probe_id long, vec array<double>"
 
     def apply(batches):
-        m_inv = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            q = np.vstack(pdf["grad"].to_numpy()).astype(np.float64)
-            yield pd.DataFrame({"probe_id": pdf["idx"].to_numpy(), "vec": list(q @ m_inv.T)})
-    p = probes.select("idx", "grad").mapInPandas(apply, schema)
+        for b in batches:
+            q = _stack(b.select(["grad"]), dim) @ bc.value.T
+            off = pa.array(np.arange(0, q.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(q.ravel()))], ["probe_id", "vec"])
+    p = probes.where(is_valid_vector("grad")).select("idx", "grad")
+    p = p.mapInArrow(apply, f"probe_id {p.schema['idx'].dataType.simpleString()}, vec array<double>")
     b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
     return dense_topk(p, b, k, metric="dot")

@@ -40,24 +40,13 @@ def split_sql(id_expr: str, seed: int = SPLIT_SEED) -> str:
 
 # The logistic probe used for closed-form gradients. The weight
 # of coordinate i is (((7 * i) mod 13) - 6) / 8, so every weight is an exact
-# binary fraction and the SQL literal round-trips without error.
-def probe_weights(dim: int) -> list[float]:
-    return [(((7 * i) % 13) - 6) / 8.0 for i in range(dim)]
+# binary fraction; there are as many as the vector is wide.
+def probe_weights(vec):
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(vec) - 1, F.lit(0))), lambda i: ((i * 7) % 13 - 6) / F.lit(8.0))
 
 
-def probe_weights_sql(dim: int) -> str:
-    return "[" + ", ".join(repr(w) for w in probe_weights(dim)) + "]::DOUBLE[]"
-
-
-EMBED_DIM = 64
-
-
-def corpus_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as normalized corpus records (sample_id, source, license, text)."""
-    d = read_table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("idx"),
-                    F.col("doc_id").cast("string").alias("sample_id"),
-                    "source", F.col("lang").alias("license"), "text")
+def probe_weights_sql(vec: str) -> str:
+    return f"list_transform(range(len({vec})), lambda i: ((i * 7) % 13 - 6) / 8.0::DOUBLE)"
 
 
 def instruction_records(spark: SparkSession, sf_dir: str, answered: bool = True) -> DataFrame:
@@ -93,7 +82,7 @@ def vector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cosine.
     """
     e = read_table(spark, sf_dir, "embeddings")
-    w = F.array(*[F.lit(v) for v in probe_weights(EMBED_DIM)])
+    w = probe_weights(F.col("vec"))
     vec = F.transform("embedding", lambda x: x.cast("double"))
     y = (F.col("label") < 5).cast("double")
     z = dot(w, "vec")
@@ -110,7 +99,7 @@ def vector_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_samples_sql() -> str:
     """DuckDB form of :func:`vector_samples` (a CTE body)."""
-    w = probe_weights_sql(EMBED_DIM)
+    w = probe_weights_sql("embedding")
     return f"""
     SELECT idx, label, vec, y, split,
            list_transform(vec, lambda x: (p - y) * x) AS grad,
