@@ -246,7 +246,7 @@ def families(rows: DataFrame, *, shards: int, big_bucket: int = 2000) -> DataFra
     return components(small.union(big))
 
 
-def linked_classes(docs: DataFrame, rows: DataFrame, *, percent: int, shards: int, block_rows: int = 2048,
+def linked_classes(docs: DataFrame, rows: DataFrame, *, percent: int, shards: int, block_rows: int = 512,
                    block_bytes: int = 16 << 20) -> DataFrame:
     """(node, label) over the classes that link with another."""
     fam = families(rows, shards=shards)
