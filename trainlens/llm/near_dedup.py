@@ -115,9 +115,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ties(t: pa.Table) -> pa.Table:
-    """Ties inside the buckets of a shard, as (class, root) per bucket."""
+    """Ties inside the buckets of a shard, as (class, root): one row at most
+    for each class of the shard."""
     key = t.column("key").to_numpy()
-    cls = np.array(t.column("cls").to_pylist(), object)
+    name = t.column("cls").combine_chunks().dictionary_encode()
+    name = pa.concat_arrays(name.chunks) if isinstance(name, pa.ChunkedArray) else name
+    cls = name.indices.to_numpy(zero_copy_only=False)
     sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     o = np.lexsort((cls, key)) if len(key) else np.zeros(0, np.int64)
     key, cls, sk = key[o], cls[o], sk[o]
@@ -125,7 +128,19 @@ def _ties(t: pa.Table) -> pa.Table:
     new[1:] = key[1:] != key[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else o
     like = (sk == sk[head]).sum(1) * 2 >= SKETCH
-    pairs = set(zip(cls[~new & like].tolist(), cls[head[~new & like]].tolist(), strict=True))
+    root = np.arange(len(name.dictionary))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def tie(a: int, b: int) -> None:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    near = np.unique(np.stack([cls[~new & like], cls[head[~new & like]]], 1), axis=0)
+    for a, b in near.tolist():
+        tie(a, b)
     # buckets in which someone is unlike the first are compared pair by pair
     edge = np.append(np.flatnonzero(new), len(key))
     odd = np.unique(np.searchsorted(edge, np.flatnonzero(~like), side="right") - 1)
@@ -134,10 +149,11 @@ def _ties(t: pa.Table) -> pa.Table:
         if y - x < 3:
             continue
         part = sk[x:y]
-        for i, root in spanning(lambda i, p=part: (p == p[i]).sum(1) * 2 >= SKETCH, y - x):
-            pairs.add((cls[x + i], cls[x + root]))
-    pairs = sorted(pairs)
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        for i, r in spanning(lambda i, p=part: (p == p[i]).sum(1) * 2 >= SKETCH, y - x):
+            tie(int(cls[x + i]), int(cls[x + r]))
+    top = np.array([find(i) for i in range(len(root))], np.int64)
+    tied = np.flatnonzero(top != np.arange(len(top)))
+    return pa.table({"a": name.dictionary.take(pa.array(tied)), "b": name.dictionary.take(pa.array(top[tied]))})
 
 
 def spanning(row, n: int) -> Iterator[tuple[int, int]]:
@@ -230,17 +246,20 @@ def families(rows: DataFrame, *, shards: int, big_bucket: int = 2000) -> DataFra
     """(node, label): classes that may link, with their family's label."""
     reps = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
     single = reps.select("cls", F.posexplode("halves").alias("i", "v"))
-    again = single.groupBy("v").count().where("count > 1").select("v")
+    again = single.groupBy("v").agg(F.count("*").alias("met")).where("met > 1")
     sides = (single.join(again, "v").groupBy("cls")
-             .agg(F.collect_list(F.when(F.col("i") < HALVES, F.col("v"))).alias("l"),
+             .agg(F.collect_list(F.when(F.col("i") < HALVES, F.struct("v", "met"))).alias("l"),
                   F.collect_list(F.when(F.col("i") >= HALVES, F.col("v"))).alias("r"))
              .where("size(l) > 0 AND size(r) > 0"))
+    # the tables of one left value share a shard, so that a class is tied once
+    # for all of them, unless that would gather very many classes
+    key = F.xxhash64("l.v", "r")
     keyed = (sides.select("cls", F.explode("l").alias("l"), "r").select("cls", "l", F.explode("r").alias("r"))
-             .select(F.xxhash64("l", "r").alias("key"), "cls"))
+             .select(key.alias("key"), F.when(F.col("l.met") <= big_bucket, F.col("l.v")).otherwise(key).alias("place"), "cls"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("least")).where("n > 1")
     bucketed = keyed.join(sizes, "key")
-    small = (bucketed.where(F.col("n") <= big_bucket).select("key", "cls").join(reps.select("cls", "sketch"), "cls")
-             .withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    small = (bucketed.where(F.col("n") <= big_bucket).select("key", "place", "cls").join(reps.select("cls", "sketch"), "cls")
+             .withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
              .groupBy("shard").applyInArrow(_ties, "a binary, b binary"))
     big = bucketed.where((F.col("n") > big_bucket) & (F.col("cls") != F.col("least"))).select(F.col("cls").alias("a"), F.col("least").alias("b"))
     return components(small.union(big))
