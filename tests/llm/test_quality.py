@@ -111,3 +111,18 @@ def test_thresholds_are_ordered_and_shared():
     assert m.thresholds[0] < m.thresholds[1]
     assert np.corrcoef(m.weights[:20], truth)[0, 1] > 0.99
     assert np.allclose(m.thresholds, [-1, 1.5], atol=0.4)
+
+
+@pytest.mark.parametrize("poor", [0, 3, 30])
+def test_rare_grades_do_not_upset_the_fit(poor):
+    """After the rules stage almost no poor text is left to learn from."""
+    rng = np.random.default_rng(5)
+    n = 2000
+    grade = np.array([0] * 200 + [1] * poor + [2] * (n - 200 - poor))
+    text = np.repeat(np.arange(n), 31)
+    feature = rng.integers(0, 3000, len(text))
+    feature[::31] = np.where(grade == 0, 3000 + rng.integers(0, 10, n), feature[::31])
+    pair = np.unique(text * 4096 + feature)
+    m = Q.fit(pair // 4096, pair % 4096, grade, size=4096)
+    p = m.tails(m.score(pair // 4096, pair % 4096, n))[:, -1]
+    assert (p[grade == 0] < 0.6).all() and (p[grade == 2] >= 0.6).mean() > 0.995

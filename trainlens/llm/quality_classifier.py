@@ -95,36 +95,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(text: np.ndarray, feature: np.ndarray, grade: np.ndarray, *, size: int = 1 << BITS, grades: int = GRADES,
-        penalty: float = 1e-4, rounds: int = 500) -> Model:
+        penalty: float = 5e-5, rounds: int = 600, gap: float = 0.1) -> Model:
     """``text`` and ``feature`` list the features of the texts, ``grade`` has
-    a grade for each text."""
+    a grade for each text. Thresholds stay ``gap`` apart, which bounds their
+    gradient where a grade is rare; momentum is dropped and steps are halved
+    whenever the loss rises, so the fit cannot run away. Features whose
+    gradient at the start is under half the penalty are left out: with an
+    absolute penalty they would stay zero but for rare cases."""
     n = len(grade)
+    share = np.clip(np.cumsum(np.bincount(grade, minlength=grades)[:-1]) / n, 1e-3, 1 - 1e-3)
+    edge = np.concatenate([[0.0], share, [1.0]])
+    first = np.bincount(feature, weights=(1 - edge[grade] - edge[grade + 1])[text], minlength=size) / n
+    keep = np.abs(first)[feature] > penalty / 2
+    text, feature = text[keep], feature[keep]
     used, col = np.unique(feature, return_inverse=True)
-    per_text = np.bincount(text, minlength=n)
-    # curvature bound of each feature, from the features it occurs with
-    curve = 0.25 * np.bincount(col, weights=per_text[text].astype(float), minlength=len(used)) / n
-    step = 1 / np.maximum(curve, 1e-6)
-    share = np.cumsum(np.bincount(grade, minlength=grades)[:-1]) / n
-    share = np.clip(share, 1e-3, 1 - 1e-3)
-    theta = np.log(share / (1 - share))
-    theta = np.maximum.accumulate(theta + 1e-3 * np.arange(len(theta)))
+    per_text = np.bincount(text, minlength=n) + grades - 1
+    # bound of each feature's curvature (that of a score is 1/2 at most), from
+    # the features it occurs with; thresholds count as features of every text
+    curve = 0.5 * np.bincount(col, weights=per_text[text].astype(float), minlength=len(used)) / n
+    step, step_t = 1 / np.maximum(curve, 1e-6), 2 / per_text.mean()
+    apart = gap * np.arange(grades - 1)
+    order = lambda t: np.maximum.accumulate(t - apart) + apart
+    theta = order(np.log(share / (1 - share)))
     w = np.zeros(len(used))
-    momentum, tw, tt = 1.0, w.copy(), theta.copy()
+    momentum, scale, before = 1.0, 1.0, np.inf
+    tw, tt = w, theta
     for _ in range(rounds):
         s = np.bincount(text, weights=tw[col], minlength=n)
         cut = np.concatenate([[-np.inf], tt, [np.inf]])
         a, b = _sigmoid(cut[grade] - s), _sigmoid(cut[grade + 1] - s)  # P(below), P(up to) the grade
-        p = np.maximum(b - a, 1e-9)
+        p = np.maximum(b - a, 1e-12)
+        loss = -np.log(p).mean() + penalty * np.abs(tw).sum()
+        if loss > before + 1e-6 and momentum > 1:
+            momentum, scale, before = 1.0, scale / 2, np.inf
+            tw, tt = w, theta
+            continue
+        before = loss
         g = 1 - a - b  # d loss / d score
         gw = np.bincount(col, weights=g[text], minlength=len(used)) / n
         gt = np.array([(a * (1 - a) / p)[grade == k + 1].sum() - (b * (1 - b) / p)[grade == k].sum() for k in range(grades - 1)]) / n
-        nw = tw - step * gw
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * penalty, 0)
-        nt = tt - gt
-        nt = np.maximum.accumulate(nt + 1e-3 * np.arange(len(nt))) - 1e-3 * np.arange(len(nt))
+        nw = tw - scale * step * gw
+        nw = np.sign(nw) * np.maximum(np.abs(nw) - scale * step * penalty, 0)
+        nt = order(tt - scale * step_t * gt)
         m = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        tw, tt = nw + (momentum - 1) / m * (nw - w), nt + (momentum - 1) / m * (nt - theta)
-        tt = np.maximum.accumulate(tt)
+        tw, tt = nw + (momentum - 1) / m * (nw - w), order(nt + (momentum - 1) / m * (nt - theta))
         w, theta, momentum = nw, nt, m
     weights = np.zeros(size, np.float64)
     weights[used] = w
@@ -183,7 +197,7 @@ def _score(model: Model, keep_at: float):
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, keep_at: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, keep_at: float = 0.6) -> DataFrame:
     """doc_id, expected_grade, p_not_toxic, p_good and kept of every row."""
     C.prepare(docs.sparkSession)
     model = train(docs, labels, max_train=max_train)
