@@ -55,7 +55,7 @@ _SHORT = {"hybrid": "hybrid", "gradient_cosine": "cosine", "influence": "influen
 _PAIRS = [("hybrid", "cosine"), ("hybrid", "influence"), ("cosine", "influence")]
 
 
-def _agreement_sql() -> str:
+def _agreement_sql(head: str = MERGED) -> str:
     ranks = ",\n".join(
         f"min(rank) FILTER (WHERE method = '{m}') AS rank_{s}" for m, s in _SHORT.items())
     rr = []
@@ -73,7 +73,7 @@ def _agreement_sql() -> str:
     for s in _SHORT.values():
         aggs.append(f"coalesce(string_agg(CAST(train_idx AS VARCHAR), ',' ORDER BY rank_{s}) "
                     f"FILTER (WHERE rank_{s} IS NOT NULL), '') AS {s}_topk")
-    return MERGED + f""",
+    return head + f""",
 cp AS (SELECT test_idx FROM m GROUP BY test_idx HAVING count(DISTINCT method) = 3),
 mem AS (SELECT test_idx, train_idx, {ranks}
         FROM m WHERE rank <= {K} AND test_idx IN (SELECT test_idx FROM cp) GROUP BY test_idx, train_idx),
@@ -82,7 +82,10 @@ agree AS (SELECT test_idx, {", ".join(aggs)} FROM rr GROUP BY test_idx)"""
 
 
 def _agreement(spark, sf_dir) -> DataFrame:
-    a = G.agreement(merged(spark, sf_dir), K)
+    return _lists_as_text(G.agreement(merged(spark, sf_dir), K))
+
+
+def _lists_as_text(a: DataFrame) -> DataFrame:
     for s in _SHORT.values():
         a = a.withColumn(f"{s}_topk", F.concat_ws(",", F.transform(f"{s}_topk", lambda x: x.cast("string"))))
     return a
@@ -100,6 +103,28 @@ def method_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("test_idx", *[r6(c) if c.endswith(("overlap", "rank")) else c for c in _AGREE_COLS])
 
 
+_CASES = f"WITH {sql.merged_ctes('shadow')},\nm AS (SELECT test_idx, method, rank, train_idx, round(score, 9) AS score FROM merged)"
+
+
+@register("case_study", _agreement_sql(_CASES) + "\nSELECT test_idx, " + ", ".join(
+    f"round({c}, 6) AS {c}" if c.endswith(("overlap", "rank")) else c for c in _AGREE_COLS) + " FROM agree")
+def case_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ad-hoc probes (the shadow samples that have a text), each with the
+    three ranked lists and their overlaps."""
+    a = _lists_as_text(G.case_study(text_probes(spark, sf_dir, "shadow"), text_bank(spark, sf_dir), CFG))
+    return a.select("test_idx", *[r6(c) if c.endswith(("overlap", "rank")) else c for c in _AGREE_COLS])
+
+
+@register("method_score_lists", MERGED + f"""
+SELECT test_idx, method, string_agg(printf('%.6f', round(score, 6) + 0.0), ',' ORDER BY rank) AS scores
+FROM m WHERE rank <= {K} GROUP BY test_idx, method""")
+def method_score_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per test probe and method, the scores in rank order."""
+    s = G.score_lists(merged(spark, sf_dir), K)
+    return s.select("test_idx", "method", F.concat_ws(",", F.transform(
+        "scores", lambda x: F.format_string("%.6f", F.round(x, 6) + F.lit(0.0)))).alias("scores"))
+
+
 def _matrix_sql() -> str:
     rows = []
     for a, b in _PAIRS:
@@ -166,6 +191,30 @@ def loss_impact_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("method", "bin", r6("bin_lo"), r6("bin_hi"), "count")
 
 
+PROBE_BINS = 40
+
+
+@register("probe_score_histogram", f"""
+WITH s AS ({sql.vector_samples_sql()}),
+sc AS (SELECT p.idx AS test_idx, round(list_dot_product(p.grad, b.grad), 9) AS v
+       FROM (SELECT * FROM s WHERE split = 'test') p CROSS JOIN (SELECT * FROM s WHERE split = 'train') b),
+rng AS (SELECT test_idx, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo,
+               CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM sc GROUP BY test_idx),
+b AS (SELECT test_idx, least(CAST(floor((v - lo) / ((hi - lo) / {PROBE_BINS})) AS INTEGER), {PROBE_BINS - 1}) AS bin
+      FROM sc JOIN rng USING (test_idx)),
+c AS (SELECT test_idx, bin, count(*) AS cnt FROM b GROUP BY test_idx, bin),
+g AS (SELECT test_idx, lo, hi, CAST(unnest(range(0, {PROBE_BINS})) AS INTEGER) AS bin FROM rng)
+SELECT g.test_idx, g.bin, round(lo + g.bin * ((hi - lo) / {PROBE_BINS}), 6) AS bin_lo,
+       round(lo + (g.bin + 1) * ((hi - lo) / {PROBE_BINS}), 6) AS bin_hi, coalesce(c.cnt, 0) AS count
+FROM g LEFT JOIN c ON c.test_idx = g.test_idx AND c.bin = g.bin""")
+def probe_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40-bin histogram of every test probe's influence scores over the
+    whole train bank (data behind the plot)."""
+    s = vector_samples(spark, sf_dir)
+    h = G.probe_score_histogram(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), PROBE_BINS)
+    return h.select("test_idx", "bin", r6("bin_lo"), r6("bin_hi"), "count")
+
+
 @register("method_disagreement", MERGED + f""",
 g AS (SELECT test_idx, train_idx, count(DISTINCT method) AS n, min(method) AS m1
       FROM m WHERE rank <= {K} GROUP BY test_idx, train_idx)

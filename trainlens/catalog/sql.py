@@ -74,10 +74,10 @@ SHORTLIST = 30
 ALPHA = 0.5
 
 
-def sample_bm25() -> str:
-    """WITH-body: samples, test probes vs train docs, BM25 shortlist ``bm25``."""
+def sample_bm25(split: str = "test") -> str:
+    """WITH-body: samples, probes of a split vs train docs, BM25 shortlist ``bm25``."""
     return f"""{samples_ctes()},
-probes AS (SELECT idx AS probe_id, text FROM ts WHERE split = 'test'),
+probes AS (SELECT idx AS probe_id, text FROM ts WHERE split = '{split}'),
 docs AS (SELECT doc_id AS bank_id, text FROM documents WHERE {split_sql('doc_id')} = 'train'),
 {bm25_ctes('probes', 'docs', SHORTLIST)}"""
 
@@ -113,12 +113,12 @@ crk AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(score,
         FROM cs)"""
 
 
-def merged_ctes() -> str:
+def merged_ctes(split: str = "test") -> str:
     """WITH-body ending in ``merged`` (test_idx, method, rank, train_idx, score)."""
-    return f"""{sample_bm25()},
+    return f"""{sample_bm25(split)},
 {hybrid_ctes()},
 {influence_ctes()},
-{cosine_ctes()},
+{cosine_ctes(split)},
 merged AS (
   SELECT probe_id AS test_idx, 'hybrid' AS method, CAST(rank AS INTEGER) AS rank,
          bank_id AS train_idx, hybrid_score AS score FROM rk WHERE rank <= {TOP_K}

@@ -244,6 +244,52 @@ def dense_count_at_least(probes: DataFrame, bank: DataFrame, *, group_bytes: int
                                          F.sum("sum_score").alias("sum_score"))
 
 
+def dense_range(probes: DataFrame, bank: DataFrame, *, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(probe_id, least, most): the range of each probe's rounded dot scores."""
+    schema = T.StructType([probes.schema["probe_id"], T.StructField("least", T.DoubleType()), T.StructField("most", T.DoubleType())])
+
+    def body(bc, width):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = bc.value["probe_id"], bc.value["vec"]
+            least, most = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
+            for batch in batches:
+                rows = _matrix(batch.column(1), width)
+                for s in _steps(len(ids), len(rows)):
+                    dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
+                    least, most = np.minimum(least, dots.min(1)), np.maximum(most, dots.max(1))
+            met = np.isfinite(least)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(least[met]), pa.array(most[met])], ["probe_id", "least", "most"])
+        return score
+    local = _scan(probes, bank, group_bytes, schema, body)
+    return local.groupBy("probe_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def dense_histogram(probes: DataFrame, bank: DataFrame, bins: int, *, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(probe_id, bin, count): each probe's rounded dot scores in ``bins`` equal
+    bins over its own [lo, hi]; bins without scores have no row.
+
+    ``probes``: (probe_id, vec, lo, hi); ``bank``: (bank_id, vec).
+    """
+    schema = T.StructType([probes.schema["probe_id"], T.StructField("bin", T.IntegerType()), T.StructField("count", T.LongType())])
+
+    def body(bc, width):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = bc.value["probe_id"], bc.value["vec"]
+            lo, hi = (bc.value[c].astype(np.float64)[:, None] for c in ("lo", "hi"))
+            count, size = np.zeros((len(ids), bins), np.int64), (hi - lo) / bins
+            for batch in batches:
+                rows = _matrix(batch.column(1), width)
+                for s in _steps(len(ids), len(rows)):
+                    dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
+                    at = np.clip(np.floor((dots - lo) / size), 0, bins - 1).astype(np.int64)
+                    count += np.bincount((at + bins * np.arange(len(ids))[:, None]).ravel(), minlength=count.size).reshape(count.shape)
+            p, b = np.nonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(b.astype(np.int32)), pa.array(count[p, b])], ["probe_id", "bin", "count"])
+        return score
+    local = _scan(probes, bank, group_bytes, schema, body, "lo", "hi")
+    return local.groupBy("probe_id", "bin").agg(F.sum("count").alias("count"))
+
+
 def sparse_topk(probe_terms: DataFrame, bank: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], *,
                 probe_ids: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Top-k bank rows per probe for a score that is a sum over shared terms.

@@ -113,10 +113,10 @@ def vector_samples_sql() -> str:
     )"""
 
 
-def text_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test vector samples that have a document's text (doc_id = vec_id)."""
+def text_probes(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
+    """Vector samples of a split that have a document's text (doc_id = vec_id)."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", "source")
-    return vector_samples(spark, sf_dir).where(F.col("split") == "test").join(docs, "idx")
+    return vector_samples(spark, sf_dir).where(F.col("split") == split).join(docs, "idx")
 
 
 def text_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
