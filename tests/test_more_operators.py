@@ -78,3 +78,35 @@ def test_exact_overlap_ratio(spark):
     df = spark.createDataFrame([("Hello World", "hello there world")], "a string, b string")
     got = df.select(G.sequence_ratio(F.col("a"), F.col("b")).alias("r")).first().r
     assert got == pytest.approx(SequenceMatcher(None, "hello world", "hello there world").ratio())
+
+
+def test_state_and_id_audits(spark):
+    from trainlens.operators import gates as G
+    from trainlens.operators import normalize as N
+    from trainlens.sources import io
+    states = spark.createDataFrame([("a", '{"global_step": 3}'), ("b", '{"log_history": []}'), ("c", "{}"), ("d", "no json")],
+                                   "run_id string, trainer_state string")
+    assert sorted(r.run_id for r in G.state_audit(states).collect()) == ["c", "d"]
+    N.assert_unique_ids(spark.createDataFrame([("a",), ("b",)], "sample_id string"))
+    with pytest.raises(ValueError, match="duplicate sample_id: 'a'"):
+        N.assert_unique_ids(spark.createDataFrame([("a",), (" a",)], "sample_id string"))
+    recs = spark.createDataFrame([(0, {"x": "1"})], "ordinal long, record map<string,string>")
+    assert io.record_columns(recs, ["x", "y"]).first().asDict() == {"ordinal": 0, "x": "1", "y": None}
+
+
+def test_effective_lengths_add_up(spark):
+    from trainlens.operators import lengths as L
+    tok = spark.createDataFrame([("a", [1, 2], [1, 1]), ("b", [3, 0, 0], [1, 0, 0])], "sample_id string, input_ids array<int>, attention_mask array<int>")
+    assert L.count_tokens(tok).first().n_tokens == 3
+
+
+def test_token_rates_and_steps(spark):
+    """Every branch of both resolutions."""
+    from trainlens.operators import lengths as L
+    df = spark.createDataFrame([(1, 5.0, 4.0, 3.0, 7, 9, 10.0, 1.5), (2, 0.0, 4.0, 3.0, 0, 9, 10.0, 1.5),
+                                (3, None, None, 3.0, None, None, 10.0, 1.25), (4, None, None, None, None, 0, 0.0, 2.0)],
+                               "id int, measured double, reported double, estimated double, state int, metric int, runtime double, rate double")
+    steps, flag = L.resolve_steps(F.col("state"), F.col("metric"), F.col("runtime"), F.col("rate"))
+    got = {r.id: (r.r, r.s, r.f) for r in df.select("id", L.resolve_token_rate("measured", "reported", "estimated").alias("r"),
+                                                     steps.alias("s"), flag.alias("f")).collect()}
+    assert got == {1: (5.0, 7, False), 2: (4.0, 9, False), 3: (3.0, 12, True), 4: (0.0, 0, True)}

@@ -154,11 +154,3 @@ def compare_artifacts(hashes: DataFrame, run_a: str, run_b: str) -> DataFrame:
     a = hashes.where(F.col("run") == run_a).select("relpath", F.col("sha256").alias("a"))
     b = hashes.where(F.col("run") == run_b).select("relpath", F.col("sha256").alias("b"))
     return a.join(b, "relpath", "full").withColumn("match", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
-
-
-def storage_mb(vectors: DataFrame, group: str, vec_col: str, bytes_per_value: int = 4) -> DataFrame:
-    """G08 + V06: rows, width, bytes and MiB of a vector store per group."""
-    return (vectors.groupBy(group)
-                   .agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vec_col)).alias("width"),
-                        F.sum(F.size(vec_col) * bytes_per_value).cast("long").alias("bytes"))
-                   .withColumn("mib", F.col("bytes") / F.lit(1024.0 * 1024.0)))

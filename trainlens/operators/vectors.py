@@ -73,19 +73,6 @@ def matrix_stats(df: DataFrame, group: str, vec_col: str = "grad", loss_col: str
                    F.avg(loss_col).alias("mean_loss")))
 
 
-def logistic_gradients(df: DataFrame, x_col: str, y_col: str, weights: list[float]) -> DataFrame:
-    """V07 (built-in form): per-row gradient and loss of a logistic probe w.
-
-    g = (sigmoid(w . x) - y) * x ; loss = binary cross-entropy.
-    """
-    w = F.array(*[F.lit(float(v)) for v in weights])
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-dot(w, x_col)))
-    d = df.withColumn("_p", p)
-    return (d.withColumn("grad", F.transform(x_col, lambda x: (F.col("_p") - F.col(y_col)) * x))
-             .withColumn("loss", -(F.col(y_col) * F.log("_p") + (1 - F.col(y_col)) * F.log(1 - F.col("_p"))))
-             .drop("_p"))
-
-
 def gradients_with(df: DataFrame, fn, out_dim: int) -> DataFrame:
     """V07 hook: a user function ``fn(pandas.DataFrame) -> (grads ndarray n x d,
     losses ndarray n)`` applied batch-wise with mapInPandas."""
