@@ -47,11 +47,6 @@ def row_key(*cols: Column | str) -> Column:
     return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull() if isinstance(c, str) else c.isNull(), c)])
 
 
-def rename_apart(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns, so extra input columns cannot clash with ours."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
-
-
 def buffer_of(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string/binary array; nulls count as empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -140,9 +135,3 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
-
-
-def column(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
-    """A numeric column without nulls as NumPy."""
-    return batch.column(batch.schema.get_field_index(name)).to_numpy() if isinstance(batch, pa.Table) \
-        else batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
