@@ -26,7 +26,7 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
     to be deterministic; values must not be negative. ``inclusive`` counts the
     current row. With ``partition_by`` the sums restart in every group (nulls
     are a group): the running sum over (group, order) minus its value before
-    the group's first row, which is the least one in the group.
+    the group's first row.
     """
     keys = list(partition_by or [])
     n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -37,8 +37,11 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
     # per-row sums then read the same partitions, also after executor loss.
     r = (df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
            .checkpoint(eager=True))
-    totals = r.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in values])
+    # totals per partition and group: at most one row more for each group than
+    # there are partitions
+    some = r.groupBy("_pid", *keys).agg(*[F.sum(v).alias(v) for v in values])
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = some.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in values]) if keys else some
     offsets = totals.select("_pid", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}")
                                       for v in values])
     w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -46,8 +49,11 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
     for v in values:
         out = out.withColumn(f"_ex_{v}", F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)))
     if keys:
-        start = out.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
-            *[F.min(f"_ex_{v}").alias(f"_gs_{v}") for v in values])
+        # a group starts where its first partition has come to before it
+        inner = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        start = some.join(F.broadcast(offsets), "_pid").select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[
+            (F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(inner), F.lit(0))).alias(f"_gs_{v}") for v in values])
+        start = start.groupBy(*[f"_g_{k}" for k in keys]).agg(*[F.min(f"_gs_{v}").alias(f"_gs_{v}") for v in values])
         same = [out[k].eqNullSafe(start[f"_g_{k}"]) for k in keys]
         out = out.join(start, same).drop(*[f"_g_{k}" for k in keys])
     for v in values:
