@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # and the four separators U+001C-U+001F; Spark's trim() removes spaces only, so
 # one Unicode-aware class serves both.
 _SPACE = r"[\s\x1c-\x1f]"
+_OTHER_RE = r"(?U)[^\s\x1c-\x1f]"
 _STRIP_RE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 
 
@@ -21,9 +22,10 @@ def strip(c) -> Column:
 
 
 def is_blank(c) -> Column:
-    """True when the value is null or only whitespace (``not str(x).strip()``)."""
+    """True when the value is null or only whitespace (``not str(x).strip()``).
+    The search ends at the first character that is none."""
     c = _col(c)
-    return c.isNull() | (F.length(strip(c)) == 0)
+    return c.isNull() | ~c.cast("string").rlike(_OTHER_RE)
 
 
 def nonblank(c) -> Column:

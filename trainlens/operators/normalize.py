@@ -56,8 +56,10 @@ def normalize_records(df: DataFrame, dataset_name: str, order_by: list[str],
     if keep is None:
         keep = [c for c in df.columns if c not in TEXT_CANDIDATE_FIELDS]
     cols = list(dict.fromkeys([*order_by, *keep, *[c for c in ("sample_id", "source", "license") if c in df.columns]]))
-    d = with_ordinal(df.withColumn("has_text", has_training_text(df)).select(*cols, "has_text"),
-                     [F.col(c) for c in order_by], name="ordinal")
+    # range partitioning samples its input, so the narrow rows are written
+    # first: the texts are read once
+    narrow = df.withColumn("has_text", has_training_text(df)).select(*cols, "has_text").checkpoint()
+    d = with_ordinal(narrow, [F.col(c) for c in order_by], name="ordinal")
     sid = nonblank(_opt(d, "sample_id").cast("string"))
     default_id = F.concat(F.lit(prefix + "-"), F.format_string("%06d", F.col("ordinal")))
     return (d.withColumn("sample_id", F.coalesce(sid, default_id))

@@ -57,13 +57,24 @@ def _ids(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return x.astype(str) if x.dtype == object else x
 
 
-def _matrix(col: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    if isinstance(col, pa.ChunkedArray):
-        col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.list_(pa.float64()))
-    size = col.value_lengths().to_numpy(zero_copy_only=False)
-    if len(size) and (size != width).any():
-        raise ValueError(f"vectors of width {int(size[size != width][0])} among vectors of width {width}")
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(size), width)
+def _rows(ids: pa.Array | pa.ChunkedArray, vecs: pa.Array | pa.ChunkedArray, width: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, matrix, positions) of the rows whose vector takes part. Vectors of
+    another ``width`` raise; None takes the first vector's."""
+    if isinstance(vecs, pa.ChunkedArray):
+        vecs = pa.concat_arrays(vecs.chunks) if vecs.num_chunks else pa.array([], pa.list_(pa.float64()))
+    at = np.flatnonzero(vecs.is_valid().to_numpy(zero_copy_only=False))
+    vecs = vecs.drop_null()
+    size = vecs.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vecs.flatten()
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls become nan
+    ends = np.cumsum(size)
+    bad = np.append(0, np.cumsum(~np.isfinite(x)))
+    good = bad[ends] == bad[ends - size]
+    width = int(size[good][0]) if width is None and good.any() else width
+    if (size[good] != width).any():
+        raise ValueError(f"vectors of width {int(size[good][size[good] != width][0])} among vectors of width {width}")
+    m = x[np.repeat(good, size)].reshape(int(good.sum()), width) if good.any() else np.zeros((0, width or 0))
+    return _ids(ids)[at[good]], m, at[good]
 
 
 def _groups(df: DataFrame, key: str, row_bytes: Column | int, group_bytes: int) -> Iterator[pa.Table]:
@@ -136,10 +147,6 @@ def _union(parts: list[DataFrame], spark, schema: T.StructType) -> DataFrame:
     return out
 
 
-def _vectors(df: DataFrame, id_col: str, *extra: str) -> DataFrame:
-    return df.where(is_valid_vector("vec")).select(id_col, F.transform("vec", lambda x: x.cast("double")).alias("vec"), *extra)
-
-
 def _normalized(m: np.ndarray) -> np.ndarray:
     return m / np.clip(np.linalg.norm(m, axis=1, keepdims=True), 1e-12, None)
 
@@ -153,12 +160,13 @@ def _steps(n_probes: int, n_rows: int) -> Iterator[slice]:
 def _scan(probes: DataFrame, bank: DataFrame, group_bytes: int, schema: T.StructType,
           body: Callable[[pa.Table, int], Callable], *extra: str) -> DataFrame:
     """One ``mapInArrow`` over the bank per probe group, united."""
-    p, b = _vectors(probes, "probe_id", *extra), _vectors(bank, "bank_id")
+    p, b = probes.select("probe_id", "vec", *extra), bank.select("bank_id", "vec")
     spark, parts = bank.sparkSession, []
-    for t in _groups(p, "probe_id", F.size("vec") * 8 + 16, group_bytes):
-        width = pc.list_value_length(t.column("vec"))[0].as_py()
-        cols = {c: _ids(t.column(c)) for c in t.column_names if c != "vec"} | {"vec": _matrix(t.column("vec"), width)}
-        parts.append(b.mapInArrow(body(spark.sparkContext.broadcast(cols), width), schema))
+    for t in _groups(p, "probe_id", F.coalesce(F.size("vec"), F.lit(0)) * 8 + 16, group_bytes):
+        ids, m, at = _rows(t.column("probe_id"), t.column("vec"), None)
+        if len(ids):
+            cols = {c: _ids(t.column(c))[at] for c in extra} | {"probe_id": ids, "vec": m}
+            parts.append(b.mapInArrow(body(spark.sparkContext.broadcast(cols), m.shape[1]), schema))
     return _union(parts, spark, schema)
 
 
@@ -180,7 +188,8 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
             ids, m = bc.value["probe_id"], shape(bc.value["vec"])
             best = _Best(ids, k, exclude_self)
             for batch in batches:
-                rows, own = shape(_matrix(batch.column(1), width)), _ids(batch.column(0))
+                own, rows, _ = _rows(batch.column(0), batch.column(1), width)
+                rows = shape(rows)
                 for s in _steps(len(ids), len(own)):
                     best.add(m @ rows[s].T, own[s])
             yield from best.batch(arrow)
@@ -200,7 +209,7 @@ def dense_max(probes: DataFrame, bank: DataFrame, *, exclude_self: bool = False,
             norm = np.clip(np.linalg.norm(m, axis=1), 1e-12, None)[:, None]
             top = np.full((2, len(ids)), -np.inf)
             for batch in batches:
-                rows, own = _matrix(batch.column(1), width), _ids(batch.column(0))
+                own, rows, _ = _rows(batch.column(0), batch.column(1), width)
                 size = np.clip(np.linalg.norm(rows, axis=1), 1e-12, None)
                 for s in _steps(len(ids), len(own)):
                     dots = m @ rows[s].T
@@ -230,7 +239,7 @@ def dense_count_at_least(probes: DataFrame, bank: DataFrame, *, group_bytes: int
             ids, m, thr = bc.value["probe_id"], bc.value["vec"], bc.value["thr"].astype(np.float64)[:, None]
             reach, total, n = np.zeros(len(ids), np.int64), np.zeros(len(ids)), 0
             for batch in batches:
-                rows = _matrix(batch.column(1), width)
+                rows = _rows(batch.column(0), batch.column(1), width)[1]
                 n += len(rows)
                 for s in _steps(len(ids), len(rows)):
                     dots = m @ rows[s].T
@@ -253,7 +262,7 @@ def dense_range(probes: DataFrame, bank: DataFrame, *, group_bytes: int = GROUP_
             ids, m = bc.value["probe_id"], bc.value["vec"]
             least, most = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
             for batch in batches:
-                rows = _matrix(batch.column(1), width)
+                rows = _rows(batch.column(0), batch.column(1), width)[1]
                 for s in _steps(len(ids), len(rows)):
                     dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
                     least, most = np.minimum(least, dots.min(1)), np.maximum(most, dots.max(1))
@@ -278,7 +287,7 @@ def dense_histogram(probes: DataFrame, bank: DataFrame, bins: int, *, group_byte
             lo, hi = (bc.value[c].astype(np.float64)[:, None] for c in ("lo", "hi"))
             count, size = np.zeros((len(ids), bins), np.int64), (hi - lo) / bins
             for batch in batches:
-                rows = _matrix(batch.column(1), width)
+                rows = _rows(batch.column(0), batch.column(1), width)[1]
                 for s in _steps(len(ids), len(rows)):
                     dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
                     at = np.clip(np.floor((dots - lo) / size), 0, bins - 1).astype(np.int64)

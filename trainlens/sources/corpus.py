@@ -42,7 +42,9 @@ def split_sql(id_expr: str, seed: int = SPLIT_SEED) -> str:
 # of coordinate i is (((7 * i) mod 13) - 6) / 8, so every weight is an exact
 # binary fraction; there are as many as the vector is wide.
 def probe_weights(vec):
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(vec) - 1, F.lit(0))), lambda i: ((i * 7) % 13 - 6) / F.lit(8.0))
+    cycle = F.array(*[F.lit(((7 * i) % 13 - 6) / 8.0) for i in range(13)])
+    size = F.size(vec)
+    return F.slice(F.flatten(F.array_repeat(cycle, F.floor(size / 13).cast("int") + 1)), F.lit(1), F.greatest(size, F.lit(0)))
 
 
 def probe_weights_sql(vec: str) -> str:
