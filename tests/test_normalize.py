@@ -36,3 +36,15 @@ def test_ordinal_and_grouped_prefix_sums(spark):
     p = prefix_sums(df.withColumn("one", F.lit(1)), [F.col("id")], ["one"], partition_by=["g"],
                     n_partitions=4).collect()
     assert all(r.cum_one == r.id // 3 + 1 for r in p)
+
+
+def test_white_space_is_pythons(spark):
+    from trainlens.functions.text import is_blank, strip, word_tokens
+    space = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    texts = [None, "", *space, "".join(space), *[f"{c}A{c}b c{c}" for c in space], "​x", "a\x00b", "Ünï CÔDE"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", strip("t").alias("s"), is_blank("t").alias("b"), word_tokens("t").alias("w")).collect():
+        t = texts[r.i]
+        assert r.b == (t is None or not t.strip())
+        if t is not None:
+            assert r.s == t.strip() and r.w == t.lower().split(), repr(t)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python's str.strip() and str.split() take every Unicode whitespace character
-# and the four separators U+001C-U+001F; Spark's trim() removes spaces only, so
-# one Unicode-aware class serves both.
-_SPACE = r"[\s\x1c-\x1f]"
-_OTHER_RE = r"(?U)[^\s\x1c-\x1f]"
+# Python's str.strip() and str.split() take every Unicode white-space character
+# and the four separators U+001C-U+001F (Spark's trim() the space only). One
+# class serves stripping, splitting and the blank test; the property class is
+# faster than the characters listed.
+_SPACE, _OTHER_RE = r"[\s\x1c-\x1f]", r"(?U)[^\s\x1c-\x1f]"
 _STRIP_RE = rf"(?U)^{_SPACE}+|{_SPACE}+$"
 
 
@@ -40,4 +40,4 @@ def first_nonblank(*cols) -> Column:
 
 def word_tokens(c) -> Column:
     """Lower-case, whitespace split, empty pieces dropped (``str.lower().split()``)."""
-    return F.filter(F.split(F.lower(_col(c)), rf"(?U){_SPACE}+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(_col(c)), rf"(?U){_SPACE}+"), "")
