@@ -166,6 +166,51 @@ def test_other_writers_members():
     assert zlib.decompress(warc.member(r[0]), 31) == r[0]
 
 
+def test_damage_inside_a_member():
+    """One bad record of a sound member, with and without sound neighbours."""
+    r = records()
+    bad = r[1].replace(b"body 1", b"b0dy 1", 1)
+    first = warc.member(r[0] + bad + r[2])
+    got = warc.read_archive(first + warc.member(bad) + warc.member(r[3] + b"junk"))
+    assert ids(got) == [0, 2, 3] and [x.offset for x in got.records] == [0, 0, len(first) + len(warc.member(bad))]
+    assert [g[0] for g in got.gaps] == [0, len(first), got.records[2].offset] and "block digest" in got.gaps[0][2]
+    assert str(len(r[0])) in got.gaps[0][2] and str(len(r[0] + bad)) in got.gaps[0][2]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("how", ["cut", "checksum", "flip", "tail"])
+def test_broken_member_of_several_records(how, level):
+    """What decompresses of a broken member is kept, once, and what follows is found."""
+    rng = random.Random(5)
+    bodies = [bytes(rng.choices(range(256), k=3000)) for _ in range(6)]
+    r = [warc.record_bytes(i, f"http://x/{i}", b, warc.digest(b), None) for i, b in enumerate(bodies)]
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    whole = z.compress(b"".join(r[:5])) + z.flush()
+    if how == "cut":  # the end is missing and another member follows
+        data, lost = whole[:len(whole) - 2000] + warc.member(r[5]), {4}
+    elif how == "checksum":
+        data, lost = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:] + warc.member(r[5]), set()
+    elif how == "flip":
+        k = whole.find(bodies[2][1000:1004]) if level == 0 else len(whole) // 2
+        data, lost = whole[:k] + bytes([whole[k] ^ 255]) + whole[k + 1:] + warc.member(r[5]), {2}
+    else:
+        data, lost = whole[:-1000], {4, 5}
+    got = warc.read_archive(data)
+    if how == "flip" and level:  # codes behind the flip may be lost with it
+        assert ids(got)[:2] == [0, 1] and ids(got)[-1] == 5 and 2 not in ids(got) and len(set(ids(got))) == len(ids(got))
+    else:
+        assert ids(got) == [i for i in range(6) if i not in lost]
+    assert got.gaps and all(g[0] == 0 for g in got.gaps)
+
+
+def test_records_without_digest_in_a_broken_member():
+    plain = [b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Page-ID: %d\r\nContent-Length: 4\r\n\r\nabc%d\r\n\r\n" % (i, i) for i in range(3)]
+    whole = warc.member(b"".join(plain))
+    assert ids(warc.read_archive(whole)) == [0, 1, 2]
+    assert ids(warc.read_archive(whole[:-9])) == [0, 1, 2]  # all that comes out is as written
+    assert ids(warc.read_archive(whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:])) == []  # nothing vouches for it
+
+
 def test_gaps_are_rows(spark):
     data = b"".join(warc.member(r) for r in records()) + b"garbage"
     df = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"")), ("c", None)], "path string, content binary")

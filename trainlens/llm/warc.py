@@ -13,6 +13,11 @@ digest). After a failed check the reader looks for the next place where a
 record can start, the next gzip member that passes them or the next version
 line in uncompressed data, goes on from there, and reports the bytes between
 as a quarantined gap with the reason. Records behind damage are so recovered.
+A member of several records is searched the same way inside, in as much of it
+as decompresses; the gaps within it carry the member's offset and name their
+bytes of the decompressed data. If the member fails gzip's checks otherwise than
+by a missing end, its records need a block digest that fits, and a member's only
+record is believed with those checks alone, which are its own.
 
 Defined results: null html is an empty payload; a null url is written without a
 target; a null page_id is smaller than any other; pages whose page_id equals
@@ -41,6 +46,8 @@ from trainlens.session import ensure_checkpoint_dir
 VERSION = b"WARC/1.1\r\n"
 START = re.compile(rb"WARC/\d\.\d\r?\n")
 MEMBER = b"\x1f\x8b\x08"
+NO_END = "gzip member without an end"
+STEP = 64 << 10  # compressed bytes at a time where a member is broken
 ARCHIVE_BYTES = 4 << 20  # payload bytes of an archive, about
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date
 
@@ -123,21 +130,104 @@ def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
     except zlib.error as e:
         raise Damage(f"gzip: {str(e)[:60]}") from e
     if not z.eof:
-        raise Damage("gzip member without an end")
+        raise Damage(NO_END)
     return raw, len(data) - len(z.unused_data)
 
 
+def _member_prefix(data: bytes, at: int) -> bytes:
+    """What comes out of the broken member at ``at`` before the damage shows."""
+    z, out = zlib.decompressobj(31), []
+    for a in range(at, len(data), STEP):
+        part = data[a:a + STEP]
+        before = z.copy()
+        try:
+            out.append(z.decompress(part))
+        except zlib.error:
+            try:
+                for k in range(len(part)):
+                    out.append(before.decompress(part[k:k + 1]))
+            except zlib.error:
+                pass
+            break
+        if z.eof:
+            break
+    return b"".join(out)
+
+
+def _consumed(data: bytes, at: int, size: int) -> int:
+    """The place behind the bytes that give the first ``size`` of a member, but
+    for the last of them, behind which the checks would follow."""
+    z, made = zlib.decompressobj(31), 0
+    for a in range(at, len(data), STEP):
+        part = data[a:a + STEP]
+        made += len(z.decompress(part, size - 1 - made))
+        if made >= size - 1:
+            return a + len(part) - len(z.unconsumed_tail)
+    return len(data)
+
+
+def _salvage(raw: bytes, at: int, proof: bool = False) -> tuple[list[Record], list[tuple[int, int, str]], int]:
+    """Records in the decompressed bytes of the member at ``at``, the gaps
+    between them (places in those bytes) and the end of the last record. With
+    ``proof`` a record needs a block digest."""
+    found, gaps, inner, bad, why, last = [], [], 0, None, "", 0
+    while inner < len(raw):
+        try:
+            headers, body, behind = parse_record(raw, inner)
+            if proof and not headers.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damage("no block digest in a damaged member")
+        except Damage as e:
+            if bad is None:
+                bad, why = inner, str(e)
+            m = START.search(raw, inner + 1)
+            inner = m.start() if m else len(raw)
+            continue
+        if bad is not None:
+            gaps.append((bad, inner, why))
+            bad = None
+        found.append(Record(at, headers, body))
+        inner = last = behind
+    if bad is not None:
+        gaps.append((bad, len(raw), why))
+    return found, gaps, last
+
+
+def _inside(at: int, end: int, gaps: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Gaps within the member at ``at`` as gaps of the archive."""
+    return [(at, end, f"{why} (bytes {a} to {b} of the decompressed member)") for a, b, why in gaps]
+
+
 def read_archive(data: bytes) -> Reading:
     """All records that pass the checks, and the gaps between them."""
     out, at, bad, why = Reading(), 0, None, ""
     while at < len(data):
         try:
             if data.startswith(MEMBER, at):
-                raw, behind = _member_at(data, at)
-                found, inner = [], 0
-                while inner < len(raw):
-                    headers, body, inner = parse_record(raw, inner)
-                    found.append(Record(at, headers, body))
+                try:
+                    raw, behind = _member_at(data, at)
+                except Damage as e:
+                    raw = _member_prefix(data, at)
+                    found, gaps, last = _salvage(raw, at, proof=str(e) != NO_END)
+                    # the only record of a member stands and falls with it
+                    if not found or (len(found) == 1 and last == len(raw) and not gaps):
+                        raise
+                    if bad is not None:
+                        out.gaps.append((bad, at, why))
+                    resume = max(at + 1, _consumed(data, at, last))
+                    out.records += found
+                    out.gaps += _inside(at, resume, gaps)
+                    bad, why, at = at, str(e), _next_start(data, resume)
+                    continue
+                found, gaps, _ = _salvage(raw, at)
+                if not found and gaps:
+                    if bad is None:
+                        bad, why = at, gaps[0][2]
+                    at = behind
+                    continue
+                if found and bad is not None:
+                    out.gaps.append((bad, at, why))
+                    bad = None
+                out.gaps += _inside(at, behind, gaps)
             else:
                 headers, body, behind = parse_record(data, at)
                 found = [Record(at, headers, body)]
