@@ -70,6 +70,18 @@ def test_false_rejections_stay_under_the_bound(spark):
     assert sum(v for k, v in lost.items() if k[1] == 0) > 50
 
 
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_null_language_is_a_stratum(spark, lang):
+    """Labels admit a cutoff for texts without a language as for any other."""
+    text = " ".join(f"word{k}" for k in range(30))
+    bad = " ".join(f"{w}{'#' * 9}" for w in text.split())
+    docs = [(i, bad if i % 4 == 0 else text, lang) for i in range(4800)] + [(9000, bad, "fr")]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(4000)]
+    got = R.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels_frame(spark, labels)).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 4800, 4))
+
+
 @pytest.mark.parametrize("rows", [[], [(500, 1, 0)], [(1, None, None)]])
 def test_classifier_without_usable_labels(spark, messy, rows):
     got = Q.classify(messy, labels_frame(spark, rows)).collect()

@@ -12,8 +12,8 @@ that catches most labelled bad texts is taken, the laxest on a tie. A stratum
 with too few labels to admit any cutoff rejects nothing by these rules.
 
 Defined results: a null text has no words and all counts 0 (so the base rule
-fails it, as it fails any text under ``min_words``); a null or unlabelled
-stratum has no cutoffs; repeated rows are judged alike; an empty table gives an
+fails it, as it fails any text under ``min_words``); texts of a null lang are a
+stratum of their own; an unlabelled stratum has no cutoffs; repeated rows are judged alike; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -151,13 +151,13 @@ def upper_bound(k: int, n: int, delta: float) -> float:
 
 
 def choose_cutoffs(feats: DataFrame, labels: DataFrame, *, max_false_rejection: float = 0.02,
-                   delta: float = 0.05) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> admitted cutoff, from every labelled text that has a
-    stratum. Only histogram cells come to the driver: at most strata x rules x
+                   delta: float = 0.05) -> dict[tuple[str | None, str], float]:
+    """(stratum, rule) -> admitted cutoff, from every labelled text; null is a
+    stratum like any other. Only histogram cells come to the driver: at most strata x rules x
     grid values of them."""
     lab = (labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
            .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    held = feats.where("stratum IS NOT NULL AND n_words > 0").join(lab, "doc_id")
+    held = feats.where("n_words > 0").join(lab, "doc_id")
     cells = []
     for name, (expr, grid) in RULES.items():
         # how many of the cutoffs the value is over (the laxest ones last)
@@ -165,7 +165,7 @@ def choose_cutoffs(feats: DataFrame, labels: DataFrame, *, max_false_rejection:
         cells.append(F.struct(F.lit(name).alias("rule"), level.alias("over")))
     hist = (held.select("stratum", (F.col("quality") > 0).alias("good"), F.explode(F.array(*cells)).alias("c"))
             .groupBy("stratum", "good", "c.rule", "c.over").count().collect())
-    seen: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
+    seen: dict[tuple[str | None, str], tuple[np.ndarray, np.ndarray]] = {}
     for r in hist:
         size = len(RULES[r["rule"]][1]) + 1
         good, bad = seen.setdefault((r["stratum"], r["rule"]), (np.zeros(size, np.int64), np.zeros(size, np.int64)))
@@ -173,7 +173,7 @@ def choose_cutoffs(feats: DataFrame, labels: DataFrame, *, max_false_rejection:
     share = max_false_rejection / len(RULES)
     level = delta / max(1, len(seen))
     out = {}
-    for (stratum, rule), (good, bad) in sorted(seen.items()):
+    for (stratum, rule), (good, bad) in sorted(seen.items(), key=lambda x: (x[0][0] is not None, x[0][0] or "", x[0][1])):
         grid, size = RULES[rule][1], len(good)
         n, best = int(good.sum()), None
         for i, cutoff in enumerate(grid):  # lax to strict; over > size-1-i cutoffs means rejected
@@ -198,6 +198,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, min_words: int = 10, max_repeat
     base = F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_pct} * n_words")
     over = F.lit(False)
     for (stratum, rule), cutoff in cut.items():
-        over = over | (F.col("stratum").eqNullSafe(F.lit(stratum)) & F.coalesce(F.expr(RULES[rule][0]) > cutoff, F.lit(False)))
+        over = over | (F.col("stratum").eqNullSafe(F.lit(stratum).cast("string")) & F.coalesce(F.expr(RULES[rule][0]) > cutoff, F.lit(False)))
     return (feats.withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & ~over))
