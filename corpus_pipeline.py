@@ -23,6 +23,7 @@ from trainlens.session import ensure_checkpoint_dir, ship_package
 from trainlens.sources.tables import read_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR_PERCENT = 80  # Jaccard similarity of five-word shingles; op3 alone has 85
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each near-duplicate group with the smallest doc_id."""
-    kept = near_dedup.dedup(docs).where("kept").select("doc_id").checkpoint()
+    kept = near_dedup.dedup(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").checkpoint()
     out = _keep(docs, kept)
     # only where doc_ids repeat can a group have kept more than one row
     repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()

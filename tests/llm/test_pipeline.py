@@ -78,6 +78,15 @@ def test_stages(spark, sf):
     check_places(packed)
 
 
+def test_near_dedup_stage_links_from_80_percent(spark, sf):
+    rows = corpus()
+    at = {p: [r[3] for r in brute(rows, p)] for p in (80, 85)}
+    assert at[80] != at[85]  # some pair lies between
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC_SCHEMA).repartition(3)
+    out = run_stage(spark, "near_dedup", docs, sf)
+    same(pairs(out), list({r for r, k in zip(rows, at[80], strict=True) if k}))
+
+
 def test_run_and_empty(spark, sf):
     a, b = (pipeline.run(spark, sf) for _ in range(2))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
