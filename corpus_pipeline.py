@@ -6,18 +6,20 @@ returns the next stage's documents, the last one the packed pieces. ``run``
 writes each stage's result as Parquet in the shared folder and reads it again,
 so a stage starts from files and a lost executor costs its own tasks only.
 
-Rows are matched by doc_id, as in the table ``documents``: a document the
-quality stages reject goes with all rows of its doc_id; extra columns are
-dropped; an empty table passes through.
+Every row has its own verdict, also where a doc_id is null or repeated: rows are
+matched by a key of doc_id and text (and, for the rules, language), and of a
+near-duplicate group one row stays. Extra columns are dropped; an empty table
+passes through.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trainlens.llm import common as C
 from trainlens.llm import near_dedup, packing, quality_classifier, quality_rules, substring_dedup
 from trainlens.session import ensure_checkpoint_dir, ship_package
 from trainlens.sources.tables import read_table
@@ -26,28 +28,30 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_PERCENT = 80  # Jaccard similarity of five-word shingles; op3 alone has 85
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ``kept`` (nulls included)."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _keep(docs: DataFrame, kept: DataFrame, *key: Column | str) -> DataFrame:
+    """The rows whose doc_id (nulls included) and row key of ``key`` are in
+    ``kept`` (doc_id, rid)."""
+    rows = kept.select(F.col("doc_id").alias("_kept"), F.col("rid").alias("_rid")).distinct()
+    match = F.col("doc_id").eqNullSafe(F.col("_kept")) & (C.row_key(*key) == F.col("_rid"))
+    return docs.select(*COLUMNS).join(rows, match, "left_semi")
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return _keep(docs, quality_rules.judge(docs, read_table(spark, sf_dir, "labels")).where("kept"))
+    return _keep(docs, quality_rules.judge(docs, read_table(spark, sf_dir, "labels")).where("kept"), "doc_id", "text", "lang")
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return _keep(docs, quality_classifier.classify(docs, read_table(spark, sf_dir, "labels")).where("kept"))
+    return _keep(docs, quality_classifier.classify(docs, read_table(spark, sf_dir, "labels"), row_keys=True).where("kept"), "doc_id", "text")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each near-duplicate group with the smallest doc_id."""
-    kept = near_dedup.dedup(docs, percent=NEAR_PERCENT).where("kept").select("doc_id").checkpoint()
-    out = _keep(docs, kept)
-    # only where doc_ids repeat can a group have kept more than one row
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    """One row of each near-duplicate group: the smallest doc_id, then row key."""
+    kept = near_dedup.survivors(docs, percent=NEAR_PERCENT).checkpoint()
+    out = _keep(docs, kept, F.col("doc_id").cast("long"), "text")
+    # equal rows share their key
+    repeated = kept.where("copies > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 

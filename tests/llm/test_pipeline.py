@@ -87,6 +87,33 @@ def test_near_dedup_stage_links_from_80_percent(spark, sf):
     same(pairs(out), list({r for r, k in zip(rows, at[80], strict=True) if k}))
 
 
+def test_rows_of_null_and_repeated_ids_have_their_own_verdicts(spark, sf):
+    good = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(4)]
+    near = [t + " end" for t in good]
+    junk = "bad " * 40
+    rows = [(None, good[0], "en"), (None, junk, "en"), (None, None, "en"), (7, good[1], "en"), (7, junk, "en"), (8, good[2], None), (8, junk, None)]
+    out = run_stage(spark, "quality_rules", spark.createDataFrame([(i, t, g, "s", len(t or "")) for i, t, g in rows], DOC_SCHEMA), sf)
+    same(pairs(out), [(None, good[0]), (7, good[1]), (8, good[2])])
+
+    # near copies under null and under one doc_id; exact copies; blank texts are no copies of each other
+    rows = [(None, good[0]), (None, near[0]), (1, good[0]), (None, good[1]), (5, good[2]), (5, near[2]), (5, near[2]), (6, good[2]),
+            (9, good[3]), (9, good[3]), (5, ""), (5, " "), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOC_SCHEMA).repartition(3)
+    got = pairs(run_stage(spark, "near_dedup", docs, sf))
+    mine = lambda i, *texts: sum((i, t) in got for t in texts)
+    assert mine(None, good[0], near[0]) == 1 and mine(None, good[1]) == 1 and mine(5, good[2], near[2]) == 1 and mine(9, good[3]) == 1
+    assert len(got) == 7 and {(5, ""), (5, " "), (None, None)} < set(got)
+
+
+def test_classifier_verdicts_are_per_row(spark, sf, monkeypatch):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(None, "clean a"), (None, "toxic a"), (3, "clean b"), (3, "toxic b")]], DOC_SCHEMA)
+    real = quality_classifier.classify
+    monkeypatch.setattr(quality_classifier, "classify", lambda d, labels, **kw: real(d, labels.limit(0), **kw).join(
+        d.select(pipeline.C.row_key("doc_id", "text").alias("rid"), F.col("text").startswith("clean").alias("clean")), "rid")
+        .withColumn("kept", F.col("clean")))
+    same(pairs(run_stage(spark, "quality_classifier", docs, sf)), [(None, "clean a"), (3, "clean b")])
+
+
 def test_run_and_empty(spark, sf):
     a, b = (pipeline.run(spark, sf) for _ in range(2))
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]

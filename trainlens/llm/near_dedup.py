@@ -286,15 +286,32 @@ def linked_classes(docs: DataFrame, rows: DataFrame, *, percent: int, shards: in
     return components(edges)
 
 
-def dedup(docs: DataFrame, *, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and (cls, label) of the classes that link."""
     spark = docs.sparkSession
     C.prepare(spark)
     shards = 4 * C.shuffle_partitions(spark)
     rows = describe(docs).checkpoint()
-    link = linked_classes(docs, rows, percent=percent, shards=shards)
+    return rows, linked_classes(docs, rows, percent=percent, shards=shards).withColumnRenamed("node", "cls")
+
+
+def survivors(docs: DataFrame, *, percent: int) -> DataFrame:
+    """doc_id, rid and copies (rows equal to it, itself included) of one row per
+    component: the one with the smallest doc_id, null first, then the smallest
+    rid. Texts without shingles are each their own component."""
+    rows, link = _linked(docs, percent)
+    each = rows.groupBy("cls", "doc_id", "rid").agg(F.count("*").alias("copies"))
+    first = F.struct("doc_id", "rid", "copies")
+    least = each.where("cls IS NOT NULL").groupBy("cls").agg(F.min(first).alias("least"))
+    one = least.join(link, "cls", "left").groupBy(F.coalesce("label", "cls")).agg(F.min("least").alias("least"))
+    return one.select("least.*").unionByName(each.where("cls IS NULL").drop("cls"))
+
+
+def dedup(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    rows, link = _linked(docs, percent)
     least = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
-    root = (least.join(link.withColumnRenamed("node", "cls"), "cls", "left")
+    root = (least.join(link, "cls", "left")
             .withColumn("label", F.coalesce("label", "cls")))
     comp = root.groupBy("label").agg(F.min("least").alias("component"))
     per_class = root.join(comp, "label").select("cls", "component")

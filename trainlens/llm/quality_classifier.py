@@ -187,23 +187,27 @@ def _score(model: Model, keep_at: float):
         for b in batches:
             buf, off = C.buffer_of(b.column(b.schema.get_field_index("text")))
             doc = b.column(b.schema.get_field_index("doc_id"))
+            rest = [k for k, name in enumerate(b.schema.names) if name not in ("doc_id", "text")]
             for lo, hi in C.pieces(off):
                 t, f = sparse(buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 tails = model.tails(model.score(t, f, hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [doc.slice(lo, hi - lo), pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]),
+                    [doc.slice(lo, hi - lo), *[b.column(k).slice(lo, hi - lo) for k in rest], pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(tails[:, -1]),
                      pa.array(tails[:, -1] >= keep_at)],
-                    ["doc_id", "expected_grade", "p_not_toxic", "p_good", "kept"])
+                    ["doc_id", *[b.schema.field(k).name for k in rest], "expected_grade", "p_not_toxic", "p_good", "kept"])
     return run
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, keep_at: float = 0.6) -> DataFrame:
-    """doc_id, expected_grade, p_not_toxic, p_good and kept of every row."""
+def classify(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, keep_at: float = 0.6,
+             row_keys: bool = False) -> DataFrame:
+    """doc_id, expected_grade, p_not_toxic, p_good and kept of every row, with
+    ``row_keys`` also rid, its key of doc_id and text."""
     C.prepare(docs.sparkSession)
     model = train(docs, labels, max_train=max_train)
-    base = docs.select("doc_id", "text")
+    key = [C.row_key("doc_id", "text").alias("rid")] if row_keys else []
+    base = docs.select("doc_id", *key, "text")
     kind = base.schema["doc_id"].dataType.simpleString()
     if model is None:
         null = F.lit(None).cast("double")
-        return base.select("doc_id", null.alias("expected_grade"), null.alias("p_not_toxic"), null.alias("p_good"), F.lit(True).alias("kept"))
-    return base.mapInArrow(_score(model, keep_at), f"doc_id {kind}, expected_grade double, p_not_toxic double, p_good double, kept boolean")
+        return base.drop("text").select("*", null.alias("expected_grade"), null.alias("p_not_toxic"), null.alias("p_good"), F.lit(True).alias("kept"))
+    return base.mapInArrow(_score(model, keep_at), f"doc_id {kind}, {'rid long, ' if row_keys else ''}expected_grade double, p_not_toxic double, p_good double, kept boolean")

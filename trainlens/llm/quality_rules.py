@@ -122,10 +122,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum (the language) and the counts of every text."""
-    cols = docs.select("doc_id", F.col("lang").alias("stratum"), "text")
-    schema = f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, stratum string, {_SCHEMA}"
-    return cols.withColumn("stratum", F.col("stratum").cast("string")).mapInArrow(_count_batches, schema)
+    """doc_id, stratum (the language), key of doc_id, text and language, and the
+    counts of every text."""
+    cols = docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), C.row_key("doc_id", "text", "lang").alias("rid"), "text")
+    schema = f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, stratum string, rid long, {_SCHEMA}"
+    return cols.mapInArrow(_count_batches, schema)
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -190,7 +191,8 @@ def choose_cutoffs(feats: DataFrame, labels: DataFrame, *, max_false_rejection:
 
 def judge(docs: DataFrame, labels: DataFrame, *, min_words: int = 10, max_repeat_pct: int = 20,
           max_false_rejection: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Counts, base verdict and final verdict of every text."""
+    """Counts, base verdict and final verdict of every text; ``rid`` is the row's
+    key of doc_id, text and language."""
     C.prepare(docs.sparkSession)
     # read twice (holdout counts, verdicts): small rows, so the text is read once
     feats = features(docs).checkpoint()
