@@ -5,8 +5,10 @@ from __future__ import annotations
 from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trainlens.llm import (
+    fill_in_middle,
     knn_join,
     near_dedup,
     packing,
@@ -15,6 +17,7 @@ from trainlens.llm import (
     sentencepiece_scan,
     substring_dedup,
     suffix_dedup,
+    toxicity,
     url_filters,
     warc,
 )
@@ -80,6 +83,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.classify(read_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, url_filters.RULES))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts and checksums of every document's transformed and restored text."""
+    cut = fill_in_middle.transform(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fill_in_middle.restore("output", "form"), 256).alias("restored_sha256"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the number of its offending sentences."""
+    return toxicity.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS most FROM pages),
 h AS (SELECT page_id, most, body, sha1(body) AS hex FROM p)
@@ -128,13 +143,36 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(x, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS out FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(out) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN out
+         WHEN 'psm' THEN split_part(substr(out, 4), '<S>', 1) || split_part(out, '<M>', 2) || split_part(split_part(out, '<S>', 2), '<M>', 1)
+         ELSE split_part(split_part(out, '<P>', 2), '<M>', 1) || split_part(out, '<M>', 2) || split_part(substr(out, 4), '<P>', 1) END) AS restored_sha256
+FROM o
+"""
+
 _QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup": op2_suffix_array_dedup,
             "op3_minhash_near_dedup": op3_minhash_near_dedup,
             "op4_best_fit_packing": op4_best_fit_packing,
             "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece,
             "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier,
-            "op9_exact_topk": op9_exact_topk, "op10_url_filters": op10_url_filters}
-_ORACLES = {"op5_warc": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filters": OP10_SQL}
+            "op9_exact_topk": op9_exact_topk, "op10_url_filters": op10_url_filters,
+            "op12_fill_in_middle": op12_fill_in_middle, "op13_toxicity": op13_toxicity}
+_ORACLES = {"op5_warc": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filters": OP10_SQL,
+            "op12_fill_in_middle": OP12_SQL}
 
 
 def load(pipeline: ModuleType) -> None:
