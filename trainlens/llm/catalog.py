@@ -12,6 +12,7 @@ from trainlens.llm import (
     knn_join,
     near_dedup,
     packing,
+    phrase_mining,
     quality_classifier,
     quality_rules,
     sentencepiece_scan,
@@ -83,6 +84,11 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.classify(read_table(spark, sf_dir, "pages"), url_filters.rules_frame(spark, url_filters.RULES))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of every language."""
+    return phrase_mining.mine(read_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts and checksums of every document's transformed and restored text."""
     cut = fill_in_middle.transform(read_table(spark, sf_dir, "documents"))
@@ -143,6 +149,38 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT id, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, unnest(w) AS phrase, 1 AS size FROM w
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w WHERE len(w) > 1
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM w WHERE len(w) > 2),
+f AS (SELECT lang, phrase, size, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+k AS (
+  SELECT lang, phrase, a, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE size = 3),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, l.a AS l, r.a AS r, (1000000::HUGEINT * k.a * k.a) // (l.a::HUGEINT * r.a) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.x JOIN f r ON r.lang = k.lang AND r.phrase = k.y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE size = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE size = 3)
+  GROUP BY ALL),
+o AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+       CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
 OP12_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
 h AS (
@@ -170,8 +208,9 @@ _QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_array_dedup"
             "op5_warc": op5_warc, "op6_sentencepiece": op6_sentencepiece,
             "op7_quality_rules": op7_quality_rules, "op8_quality_classifier": op8_quality_classifier,
             "op9_exact_topk": op9_exact_topk, "op10_url_filters": op10_url_filters,
-            "op12_fill_in_middle": op12_fill_in_middle, "op13_toxicity": op13_toxicity}
+            "op11_phrase_collocation": op11_phrase_collocation, "op12_fill_in_middle": op12_fill_in_middle, "op13_toxicity": op13_toxicity}
 _ORACLES = {"op5_warc": OP5_SQL, "op9_exact_topk": OP9_SQL, "op10_url_filters": OP10_SQL,
+            "op11_phrase_collocation": OP11_SQL,
             "op12_fill_in_middle": OP12_SQL}
 
 
