@@ -44,13 +44,16 @@ from trainlens.llm import common as C
 
 CAPACITY, END_ID = 1024, 2
 BATCH_BYTES = 4 << 20
+KNOWN, STEP = 500_000, 200  # cuts kept, cuts encoded at once
 
 
 class Encoder:
     """Token ids of many texts. Byte-level pre-tokens never reach from a word
     into the white space after it, so texts are cut there, every different cut
-    is encoded once, and the ids are put together again. ``spec`` is the
-    content of a tokenizers JSON file."""
+    is encoded once, and the ids are put together again. Cuts met before stay in
+    a table of ``KNOWN`` entries at most, which starts anew when it is full; it
+    saves work and changes no ids. ``spec`` is the content of a tokenizers JSON
+    file."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +65,11 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.bytes_of[i] = len(token)  # a character of a byte-level token is one byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _each(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,8 +93,26 @@ class Encoder:
         o = np.append(s, n).astype(np.int32)
         arr = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(buf))])
         d = arr.dictionary_encode()
-        cuts = d.dictionary.cast(pa.string()).to_pylist()
-        sizes = np.diff(C.buffer_of(d.dictionary)[1])
+        cuts = d.dictionary.to_pylist()
+        if len(self.known) + len(cuts) > KNOWN:
+            self._forget()
+        fresh = [c for c in cuts if c not in self.known]
+        if fresh:
+            ids, count = self._encode_cuts(fresh)
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            self.ends = np.append(self.ends, len(self.flat) + np.cumsum(count))
+            self.flat = np.concatenate([self.flat, ids])
+        known = self.known
+        code = np.array([known[c] for c in cuts], np.int64)[d.indices.to_numpy(zero_copy_only=False)]
+        size = np.diff(self.ends, prepend=0)[code]
+        ends = np.cumsum(size)
+        pick = np.repeat(self.ends[code] - ends, size) + np.arange(int(ends[-1]))
+        return self.flat[pick], np.append(0, ends)[np.searchsorted(s, off)]
+
+    def _encode_cuts(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all cuts in turn, and each one's number of ids."""
+        cuts = [c.decode() for c in raw]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         # cuts that begin with white space and end with a word can be encoded
         # one behind the other: tokens are bytes, so their lengths tell where
         # one cut ends; the others go alone
@@ -94,8 +120,7 @@ class Encoder:
         inside, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
         ids: list[np.ndarray] = []
         count = np.zeros(len(cuts), np.int64)
-        step = 2000
-        groups = [inside[i:i + step] for i in range(0, len(inside), step)]
+        groups = [inside[i:i + STEP] for i in range(0, len(inside), STEP)]
         for g, x in zip(groups, self._each(["".join([cuts[i] for i in g.tolist()]) for g in groups]), strict=True):
             ends = np.searchsorted(np.cumsum(self.bytes_of[x]), np.cumsum(sizes[g]))
             count[g] = np.diff(np.append(-1, ends))
@@ -103,15 +128,12 @@ class Encoder:
         for i, x in zip(alone.tolist(), self._each([cuts[i] for i in alone.tolist()]), strict=True):
             count[i] = len(x)
             ids.append(x)
-        flat = np.concatenate(ids)
         order = np.concatenate([inside, alone])
+        flat = np.concatenate(ids)
         at = np.zeros(len(cuts), np.int64)
         at[order] = np.cumsum(count[order]) - count[order]
-        code = d.indices.to_numpy(zero_copy_only=False)
-        size = count[code]
-        ends = np.cumsum(size)
-        pick = np.repeat(at[code] - (ends - size), size) + np.arange(int(ends[-1]))
-        return flat[pick], np.append(0, ends)[np.searchsorted(s, off)]
+        ends = np.cumsum(count)
+        return flat[np.repeat(at - (ends - count), count) + np.arange(len(flat))], count
 
 
 @lru_cache(maxsize=1)
