@@ -113,3 +113,47 @@ def test_ragged_width_raises(spark):
     probes = spark.createDataFrame([(1, [1.0, 0.5])], "probe_id long, vec array<double>")
     with pytest.raises(Exception, match="width"):
         dense_topk(probes, bank, 1).collect()
+
+
+def test_dot_products_are_pruned_by_norm(spark):
+    from trainlens.plans.blocked_topk import pruned_cells
+    rng = np.random.default_rng(11)
+    P = rng.normal(size=(40, 6))
+    B = rng.normal(size=(600, 6)) * np.exp(rng.normal(size=(600, 1)) * 1.5)  # spread norms
+    B[300] = B[17]
+    B[5:25] = 0
+    pids, bids = np.arange(40), np.arange(600)
+    probes, bank = _frame(spark, pids, P, "probe_id"), _frame(spark, bids, B, "bank_id").repartition(4)
+    for k, exclude in ((5, False), (3, True)):
+        exp = _brute(P, B, pids, bids, k, "dot", exclude)
+        got = dense_topk(probes, bank, k, exclude_self=exclude, group_bytes=1500).collect()
+        assert len(got) == 40 * k
+        for r in got:
+            assert exp[r.probe_id][r["rank"] - 1][0] == r.bank_id
+    first, (left, _, cells) = pruned_cells(probes, bank, 5, group_bytes=1500)
+    assert first.select("probe_id").distinct().count() == 40
+    wanted = left.select("probe_id", "bucket").distinct().count()
+    share = wanted / (40 * 25)
+    assert cells > 50 and share < 0.2, share  # over four fifths of the (probe, bucket) pairs are skipped
+    # more rows than a bank has, and rows that tie
+    few = dense_topk(probes, bank.where("bank_id < 30"), 40, group_bytes=700).collect()
+    exp = _brute(P, B[:30], pids, bids[:30], 40, "dot")
+    assert len(few) == 40 * 30 and all(exp[r.probe_id][r["rank"] - 1][0] == r.bank_id for r in few)
+
+
+def test_all_scores_and_their_ranks(spark):
+    from trainlens.operators.attribution import influence_matrix
+    rng = np.random.default_rng(12)
+    P, B = rng.normal(size=(7, 3)).round(1), rng.normal(size=(90, 3)).round(1)
+    frame = lambda M: spark.createDataFrame(pd.DataFrame({"idx": np.arange(len(M)), "grad": list(M)})).repartition(3)
+    exp = _brute(P, B, range(7), range(90), 90, "dot")
+    got = influence_matrix(frame(P), frame(B)).collect()
+    assert len(got) == 630 and all(exp[r.test_id][r["rank"] - 1][0] == r.train_id for r in got)
+
+
+def test_nothing_passes_through_the_driver(spark):
+    import inspect
+
+    from trainlens.plans import blocked_topk
+    text = inspect.getsource(blocked_topk)
+    assert "toArrow" not in text and "sc.broadcast" not in text and "sparkContext.broadcast" not in text

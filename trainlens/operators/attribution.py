@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from trainlens.functions.vector import dot, l2_normalize
 from trainlens.operators.lexical import Bm25Index, Bm25Params, bm25_index, bm25_topk
-from trainlens.plans.blocked_topk import SCORE_DECIMALS, dense_topk
+from trainlens.plans.blocked_topk import SCORE_DECIMALS, dense_scores, dense_topk
+from trainlens.plans.ordinal import prefix_sums
 
 HYBRID = "hybrid"
 COSINE = "gradient_cosine"
@@ -136,18 +137,19 @@ def influence_shortlist_topk(probes: DataFrame, bank: DataFrame,
     return _flat(r, INFLUENCE)
 
 
-def influence_matrix(probes: DataFrame, bank: DataFrame, n_bank: int | None = None) -> DataFrame:
+def influence_matrix(probes: DataFrame, bank: DataFrame) -> DataFrame:
     """Every (test, train) gradient dot product, ranked from 1 per test.
 
     The output has n_test x n_train rows by definition; use only when the full
-    matrix is the deliverable. Columns: test_id, train_id, influence_score, rank.
+    matrix is the deliverable. Ranks are distributed running counts, so no task
+    holds a probe's whole row. Columns: test_id, train_id, influence_score, rank.
     """
-    pb = probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec"))
-    bb = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
-    n_bank = bb.count() if n_bank is None else n_bank
-    r = dense_topk(pb, bb, max(1, n_bank), metric="dot")
+    s = dense_scores(probes.select(F.col("idx").alias("probe_id"), F.col("grad").alias("vec")),
+                     bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec")))
+    s = s.withColumn("_one", F.lit(1))
+    r = prefix_sums(s, [F.round("score", SCORE_DECIMALS).desc(), "bank_id"], ["_one"], partition_by=["probe_id"])
     return r.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
-                    F.col("score").alias("influence_score"), "rank")
+                    F.col("score").alias("influence_score"), F.col("cum__one").cast("int").alias("rank"))
 
 
 def topk_map(ranked: DataFrame, k: int) -> DataFrame:

@@ -1,9 +1,9 @@
 """Lexical retrieval: tokens, BM25 corpus statistics, BM25 top-n per probe.
 
 Texts are split in the JVM. One pass counts, per term, the documents that hold
-it; a second pass scores every document where it lies against the broadcast
-weights of the probes' terms (``plans/blocked_topk.py``). Scoring never joins
-probe terms to postings as rows, and nothing but the table of terms is kept.
+it; a second pass scores blocks of documents against tiles of the probes'
+weights (``plans/blocked_topk.py``). Scoring never joins probe terms to postings
+as rows, and nothing but the table of terms is kept.
 """
 
 from __future__ import annotations
@@ -88,4 +88,5 @@ def bm25_topk(probes: DataFrame, docs: DataFrame, k: int,
     """
     index = index or bm25_index(docs, params)
     return sparse_topk(probe_term_weights(probes, index), docs.select("bank_id", _tokens().alias("tokens")), k, index.weigh(),
-                       probe_ids=probes.select("probe_id"), group_bytes=group_bytes)
+                       probe_ids=probes.select("probe_id"), bank_bytes=int(10 * index.avgdl * index.n_docs) + 16 * index.n_docs,
+                       group_bytes=group_bytes)

@@ -1,16 +1,23 @@
-"""Exact per-probe top-k scoring over a large bank without a cross join.
-
-Every attribution method ranks bank rows for each probe. Materialising the
-probe x bank product as Spark rows is quadratic, so the bank stays where it is
-and the probes come to it:
-
-* probes are hashed into groups of about ``group_bytes`` bytes; a group is
-  collected (that size bounds it), broadcast, and every bank partition scores
-  it in Arrow batches with a running top k per probe. One group is one pass
-  over the bank; there is no shuffle of the bank and no second code path;
-* the k rows per probe and bank partition are merged in two levels, first per
-  (probe, partition number modulo ``MERGE``), then per probe, so one probe's
-  candidates from very many partitions do not meet in one task.
+"""Exact scores of probes against a large bank, as a tiled product.
+
+Materialising probe x bank pairs as Spark rows is quadratic, so both sides are
+cut into pieces of about ``group_bytes``: probes into tiles, the bank into
+blocks, both by hash. Tile and block meet in a keyed cogroup, one task's work
+per cell, where NumPy scores them and keeps what the caller asked for: the k
+best, maxima, counts, ranges, bins or all scores. Nothing passes through the
+driver but two sums of sizes, and the plan is the same at every size: a cell
+more is a row more of the grid.
+
+* The k best per probe and cell are merged in two levels, first per (probe,
+  block modulo ``MERGE``), then per probe, so one probe's candidates from very
+  many blocks do not meet in one task.
+* Dot products are pruned by Cauchy-Schwarz. The bank is dealt into buckets by
+  norm; every probe scores the bucket of the largest norms first, and after that
+  only buckets whose largest norm times the probe's reaches its k-th score so
+  far. A bucket left out cannot hold a better row, so results stay exact.
+* Sparse scores (a sum over shared terms) are pruned by block maxima where the
+  caller has a table of them: a probe scores the blocks whose terms' largest
+  impacts reach its k-th score in the block that promises most.
 
 Local and final selection use the same total order -- ``round(score, 9)``
 descending, then bank id ascending -- so the result is exactly the global top
@@ -27,15 +34,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCORE_DECIMALS = 9
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 64 << 20
+LEAST_BLOCK = 1 << 20  # of a block, where there are cores to spare
 MERGE = 64
 CELLS = 1 << 22  # scores held at once
+BUCKETS = 64  # of norms
 
 
 def is_valid_vector(c: Column | str) -> Column:
@@ -77,17 +85,6 @@ def _rows(ids: pa.Array | pa.ChunkedArray, vecs: pa.Array | pa.ChunkedArray, wid
     return _ids(ids)[at[good]], m, at[good]
 
 
-def _groups(df: DataFrame, key: str, row_bytes: Column | int, group_bytes: int) -> Iterator[pa.Table]:
-    """The rows of ``df`` in Arrow tables of about ``group_bytes``, whole keys
-    together; each table's size is what bounds the broadcast made of it."""
-    total = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
-    n = max(1, math.ceil(total / group_bytes))
-    for g in range(n):
-        t = (df.where(F.pmod(F.xxhash64(key), F.lit(n)) == g) if n > 1 else df).toArrow()
-        if len(t):
-            yield t
-
-
 class _Best:
     """Running k best bank rows for each of some probes."""
 
@@ -111,14 +108,13 @@ class _Best:
             o = np.lexsort((b, -np.round(s, SCORE_DECIMALS)))[:self.k]
             self.scores[i], self.ids[i] = s[o], b[o]
 
-    def batch(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def table(self, schema: pa.Schema, block: int) -> pa.Table:
         size = [0 if x is None else len(x) for x in self.ids]
-        if sum(size):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(self.probes, size)).cast(schema.field(0).type),
-                 pa.array(np.concatenate([x for x in self.ids if x is not None])).cast(schema.field(1).type),
-                 pa.array(np.concatenate([x for x in self.scores if x is not None])),
-                 pa.array(np.full(sum(size), TaskContext.get().partitionId() % MERGE, np.int32))], schema=schema)
+        if not sum(size):
+            return schema.empty_table()
+        cols = [np.repeat(self.probes, size), np.concatenate([x for x in self.ids if x is not None]),
+                np.concatenate([x for x in self.scores if x is not None]), np.full(sum(size), block % MERGE, np.int32)]
+        return pa.table([pa.array(c).cast(t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
 def _merge(local: DataFrame, k: int) -> DataFrame:
@@ -134,17 +130,7 @@ def _types(probes: DataFrame, bank: DataFrame) -> tuple[T.StructType, pa.Schema]
     out = T.StructType([T.StructField("probe_id", probes.schema["probe_id"].dataType),
                         T.StructField("bank_id", bank.schema["bank_id"].dataType),
                         T.StructField("score", T.DoubleType()), T.StructField("_src", T.IntegerType())])
-    arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
-    return out, pa.schema([(f.name, arrow.get(f.dataType, pa.float64())) for f in out.fields])
-
-
-def _union(parts: list[DataFrame], spark, schema: T.StructType) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return out, _arrow(out)
 
 
 def _normalized(m: np.ndarray) -> np.ndarray:
@@ -157,17 +143,83 @@ def _steps(n_probes: int, n_rows: int) -> Iterator[slice]:
     return (slice(a, a + step) for a in range(0, n_rows, step))
 
 
-def _scan(probes: DataFrame, bank: DataFrame, group_bytes: int, schema: T.StructType,
-          body: Callable[[pa.Table, int], Callable], *extra: str) -> DataFrame:
-    """One ``mapInArrow`` over the bank per probe group, united."""
-    p, b = probes.select("probe_id", "vec", *extra), bank.select("bank_id", "vec")
-    spark, parts = bank.sparkSession, []
-    for t in _groups(p, "probe_id", F.coalesce(F.size("vec"), F.lit(0)) * 8 + 16, group_bytes):
-        ids, m, at = _rows(t.column("probe_id"), t.column("vec"), None)
-        if len(ids):
-            cols = {c: _ids(t.column(c))[at] for c in extra} | {"probe_id": ids, "vec": m}
-            parts.append(b.mapInArrow(body(spark.sparkContext.broadcast(cols), m.shape[1]), schema))
-    return _union(parts, spark, schema)
+def _vector_bytes(c: str) -> Column:
+    return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+
+
+def _pieces(df: DataFrame, size: Column, group_bytes: int, least: int | None = None) -> int:
+    """How many pieces of ``group_bytes`` the rows make; with ``least`` also
+    enough to use the cores, as long as a piece has that many bytes."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    n = math.ceil(total / group_bytes)
+    if least:
+        n = max(n, min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(total / least)))
+    return max(1, n)
+
+
+def _by_hash(n: int, *cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+
+
+def _all_of(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
+def _cells(left: DataFrame, right: DataFrame, cells: int, body: Callable[[int, pa.Table, pa.Table], pa.Table],
+           schema: T.StructType) -> DataFrame:
+    """``body`` over every (tile, block) both sides have. Cells are few bytes
+    and much work, so their number of partitions is given and not left to
+    adaptive coalescing."""
+    n = min(4 * cells, 100_000)
+    out = _arrow(schema)
+
+    def run(key: tuple[pa.Scalar, ...], a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return out.empty_table()
+        return body(key[1].as_py(), a, b).cast(out)
+    keyed = lambda df: df.repartition(n, "tile", "block").groupBy("tile", "block")
+    return keyed(left).cogroup(keyed(right)).applyInArrow(run, schema)
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
+    return pa.schema([(f.name, kinds.get(f.dataType, pa.float64())) for f in schema.fields])
+
+
+def _tiles(probes: DataFrame, group_bytes: int, *extra: str) -> tuple[DataFrame, int]:
+    p = probes.select("probe_id", "vec", *extra)
+    n = _pieces(p, _vector_bytes("vec"), group_bytes)
+    return p.withColumn("tile", _by_hash(n, "probe_id")), n
+
+
+def _product(probes: DataFrame, bank: DataFrame, group_bytes: int, body: Callable, schema: T.StructType, *extra: str,
+             least: int | None = LEAST_BLOCK) -> DataFrame:
+    """``body(block, probe table, probe ids, probe matrix, bank ids, bank
+    matrix)`` over the whole grid of tiles and blocks."""
+    p, tiles = _tiles(probes, group_bytes, *extra)
+    b = bank.select("bank_id", "vec")
+    blocks = _pieces(b, _vector_bytes("vec"), group_bytes, least)
+    return _cells(p.withColumn("block", _all_of(blocks)), b.withColumn("block", _by_hash(blocks, "bank_id", "vec")).withColumn("tile", _all_of(tiles)),
+                  tiles * blocks, _dense(body, schema), schema)
+
+
+def _dense(body: Callable, schema: T.StructType) -> Callable[[int, pa.Table, pa.Table], pa.Table]:
+    def run(block: int, a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, m, at = _rows(a.column("probe_id"), a.column("vec"), None)
+        if not len(ids):
+            return _arrow(schema).empty_table()
+        own, rows, _ = _rows(b.column("bank_id"), b.column("vec"), m.shape[1])
+        return body(block, a.take(pa.array(at)), ids, m, own, rows)
+    return run
+
+
+def _topk_body(k: int, exclude_self: bool, arrow: pa.Schema, shape: Callable[[np.ndarray], np.ndarray] = lambda m: m) -> Callable:
+    def body(block, _, ids, m, own, rows):
+        best, m, rows = _Best(ids, k, exclude_self), shape(m), shape(rows)
+        for s in _steps(len(ids), len(own)):
+            best.add(m @ rows[s].T, own[s])
+        return best.table(arrow, block)
+    return body
 
 
 def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot",
@@ -181,47 +233,109 @@ def dense_topk(probes: DataFrame, bank: DataFrame, k: int, *, metric: str = "dot
     if metric not in ("dot", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     schema, arrow = _types(probes, bank)
-    shape = _normalized if metric == "cosine" else (lambda m: m)
-
-    def body(bc, width):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m = bc.value["probe_id"], shape(bc.value["vec"])
-            best = _Best(ids, k, exclude_self)
-            for batch in batches:
-                own, rows, _ = _rows(batch.column(0), batch.column(1), width)
-                rows = shape(rows)
-                for s in _steps(len(ids), len(own)):
-                    best.add(m @ rows[s].T, own[s])
-            yield from best.batch(arrow)
-        return score
-    return _merge(_scan(probes, bank, group_bytes, schema, body), k)
+    if metric == "cosine":  # all norms are one: nothing to prune by
+        return _merge(_product(probes, bank, group_bytes, _topk_body(k, exclude_self, arrow, _normalized), schema), k)
+    first, rest = pruned_cells(probes, bank, k, exclude_self=exclude_self, group_bytes=group_bytes)
+    local = first if rest is None else first.unionByName(_scored(*rest, _topk_body(k, exclude_self, arrow), schema))
+    return _merge(local, k)
+
+
+def _norm(c: str) -> Column:
+    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def _scored(left: DataFrame, right: DataFrame, cells: int, body: Callable, schema: T.StructType) -> DataFrame:
+    return _cells(left, right, cells, _dense(body, schema), schema)
+
+
+def pruned_cells(probes: DataFrame, bank: DataFrame, k: int, *, exclude_self: bool = False,
+                 group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, tuple[DataFrame, DataFrame, int] | None]:
+    """The k best of every probe in the bucket of the largest norms, and what
+    else must be scored: (probe_id, vec, tile, block, bucket) with the bank rows
+    of those cells, and how many there are at most. None where one block holds
+    the whole bank."""
+    schema, arrow = _types(probes, bank)
+    b = bank.select("bank_id", "vec").where(is_valid_vector("vec"))
+    width, total = b.agg(F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")), _vector_bytes("vec")
+    blocks = _pieces(b, total, group_bytes, LEAST_BLOCK)
+    body = _topk_body(k, exclude_self, arrow)
+    if blocks == 1:
+        return _product(probes, bank, group_bytes, body, schema), None
+    low, high = width.first()
+    if low != high:
+        raise ValueError(f"vectors of width {low} among vectors of width {high}")
+    p, tiles = _tiles(probes.where(is_valid_vector("vec")), group_bytes)
+    b = b.withColumn("norm", _norm("vec"))
+    n = min(BUCKETS, blocks)
+    cuts = b.agg(F.percentile_approx("norm", [1 - (i + 1) / n for i in range(n - 1)], 1000)).first()[0]
+    cuts = sorted(set(cuts), reverse=True)
+    above = F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x > F.col("norm"))
+    b = b.withColumn("bucket", F.size(above))  # 0: the largest norms
+    found = {r["bucket"]: r for r in b.groupBy("bucket").agg(F.max("norm").alias("most"), F.sum(total).alias("bytes")).collect()}
+    # buckets become runs of blocks: (bucket, first block, last block, largest norm)
+    runs, at = [], 0
+    for i in sorted(found):
+        size = max(1, math.ceil(found[i]["bytes"] / group_bytes))
+        runs.append((i, at, at + size - 1, float(found[i]["most"])))
+        at += size
+    table = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(r, ("bucket", "first", "last", "most"), strict=True)]) for r in runs])
+    mine = F.filter(table, lambda x: x["bucket"] == F.col("bucket"))[0]
+    b = (b.withColumn("_run", mine).withColumn("block", (F.col("_run.first") + F.pmod(
+        F.xxhash64("bank_id", "vec"), F.col("_run.last") - F.col("_run.first") + 1)).cast("int")).select("bank_id", "vec", "block"))
+
+    def side(df: DataFrame, test: Callable[[Column], Column]) -> DataFrame:
+        """A row of ``df`` for every block of the buckets that pass ``test``."""
+        return (df.withColumn("_run", F.explode(F.filter(table, test)))
+                .select("probe_id", "vec", "tile", F.col("_run.bucket").alias("bucket"), F.explode(F.sequence("_run.first", "_run.last")).alias("block")))
+
+    head = runs[0]
+    left = side(p, lambda x: x["bucket"] == head[0])
+    first = _scored(left, b.where(F.col("block") <= head[2]).withColumn("tile", _all_of(tiles)), tiles * (head[2] + 1), body, schema).checkpoint()
+    # a probe's k-th score so far; with fewer than k every bucket is open
+    so_far = _merge(first, k).groupBy("probe_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    floor = F.when(F.col("n") >= k, F.round("least", SCORE_DECIMALS)).otherwise(F.lit(float("-inf")))
+    open_ = p.join(so_far.select("probe_id", floor.alias("floor")), "probe_id", "left")
+    # scores are compared rounded, which the slack allows for
+    reach = lambda x: F.col("norm") * x["most"] * (1 + 1e-12) + 1e-9
+    left = side(open_.withColumn("norm", _norm("vec")), lambda x: (x["bucket"] > head[0]) & (
+        F.col("floor").isNull() | (reach(x) >= F.col("floor")))).checkpoint()
+    need = left.select(F.col("tile").alias("to_tile"), F.col("block").alias("to_block")).distinct()
+    right = b.join(need, b["block"] == need["to_block"]).select("bank_id", "vec", F.col("to_tile").alias("tile"), F.col("to_block").alias("block"))
+    return first, (left, right, tiles * at)
+
+
+def dense_scores(probes: DataFrame, bank: DataFrame, *, rows: int = 2000) -> DataFrame:
+    """(probe_id, bank_id, score): every score. Cells have about ``rows`` probes
+    and bank rows, so a cell's scores stay a few million."""
+    schema, _ = _types(probes, bank)
+    schema = T.StructType(schema.fields[:3])
+
+    def body(_, __, ids, m, own, x):
+        return pa.table([pa.array(np.repeat(ids, len(own))), pa.array(np.tile(own, len(ids))), pa.array((m @ x.T).ravel())], names=schema.names)
+    width = bank.agg(F.max(F.size("vec"))).first()[0] or 1
+    return _product(probes, bank, rows * (width * 8 + 16), body, schema, least=None)
 
 
 def dense_max(probes: DataFrame, bank: DataFrame, *, exclude_self: bool = False,
               group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(probe_id, max_cosine, max_dot): each probe's strongest bank match under
-    both measures in one pass (per-partition maxima, then their maximum)."""
+    both measures in one pass (per-cell maxima, then their maximum)."""
     schema = T.StructType([probes.schema["probe_id"], T.StructField("max_cosine", T.DoubleType()), T.StructField("max_dot", T.DoubleType())])
 
-    def body(bc, width):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m = bc.value["probe_id"], bc.value["vec"]
-            norm = np.clip(np.linalg.norm(m, axis=1), 1e-12, None)[:, None]
-            top = np.full((2, len(ids)), -np.inf)
-            for batch in batches:
-                own, rows, _ = _rows(batch.column(0), batch.column(1), width)
-                size = np.clip(np.linalg.norm(rows, axis=1), 1e-12, None)
-                for s in _steps(len(ids), len(own)):
-                    dots = m @ rows[s].T
-                    if exclude_self:
-                        dots[ids[:, None] == own[None, s]] = -np.inf
-                    if dots.shape[1]:
-                        top[0] = np.maximum(top[0], (dots / norm / size[None, s]).max(1))
-                        top[1] = np.maximum(top[1], dots.max(1))
-            met = np.isfinite(top[1])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(top[0][met]), pa.array(top[1][met])], ["probe_id", "max_cosine", "max_dot"])
-        return score
-    local = _scan(probes, bank, group_bytes, schema, body)
+    def body(_, __, ids, m, own, rows):
+        norm = np.clip(np.linalg.norm(m, axis=1), 1e-12, None)[:, None]
+        size = np.clip(np.linalg.norm(rows, axis=1), 1e-12, None)
+        top = np.full((2, len(ids)), -np.inf)
+        for s in _steps(len(ids), len(own)):
+            dots = m @ rows[s].T
+            if exclude_self:
+                dots[ids[:, None] == own[None, s]] = -np.inf
+            if dots.shape[1]:
+                top[0] = np.maximum(top[0], (dots / norm / size[None, s]).max(1))
+                top[1] = np.maximum(top[1], dots.max(1))
+        met = np.isfinite(top[1])
+        return pa.table([pa.array(ids[met]), pa.array(top[0][met]), pa.array(top[1][met])], names=schema.names)
+    local = _product(probes, bank, group_bytes, body, schema)
     return local.groupBy("probe_id").agg(F.max("max_cosine").alias("max_cosine"), F.max("max_dot").alias("max_dot"))
 
 
@@ -234,21 +348,15 @@ def dense_count_at_least(probes: DataFrame, bank: DataFrame, *, group_bytes: int
     schema = T.StructType([probes.schema["probe_id"], T.StructField("n_at_least", T.LongType()),
                            T.StructField("n_bank", T.LongType()), T.StructField("sum_score", T.DoubleType())])
 
-    def body(bc, width):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m, thr = bc.value["probe_id"], bc.value["vec"], bc.value["thr"].astype(np.float64)[:, None]
-            reach, total, n = np.zeros(len(ids), np.int64), np.zeros(len(ids)), 0
-            for batch in batches:
-                rows = _rows(batch.column(0), batch.column(1), width)[1]
-                n += len(rows)
-                for s in _steps(len(ids), len(rows)):
-                    dots = m @ rows[s].T
-                    reach += (np.round(dots, SCORE_DECIMALS) >= thr).sum(1)
-                    total += dots.sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(reach), pa.array(np.full(len(ids), n)), pa.array(total)],
-                                             ["probe_id", "n_at_least", "n_bank", "sum_score"])
-        return score
-    local = _scan(probes, bank, group_bytes, schema, body, "thr")
+    def body(_, table, ids, m, own, rows):
+        thr = table.column("thr").to_numpy().astype(np.float64)[:, None]
+        reach, total = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+        for s in _steps(len(ids), len(rows)):
+            dots = m @ rows[s].T
+            reach += (np.round(dots, SCORE_DECIMALS) >= thr).sum(1)
+            total += dots.sum(1)
+        return pa.table([pa.array(ids), pa.array(reach), pa.array(np.full(len(ids), len(rows))), pa.array(total)], names=schema.names)
+    local = _product(probes, bank, group_bytes, body, schema, "thr")
     return local.groupBy("probe_id").agg(F.sum("n_at_least").alias("n_at_least"), F.sum("n_bank").alias("n_bank"),
                                          F.sum("sum_score").alias("sum_score"))
 
@@ -257,19 +365,14 @@ def dense_range(probes: DataFrame, bank: DataFrame, *, group_bytes: int = GROUP_
     """(probe_id, least, most): the range of each probe's rounded dot scores."""
     schema = T.StructType([probes.schema["probe_id"], T.StructField("least", T.DoubleType()), T.StructField("most", T.DoubleType())])
 
-    def body(bc, width):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m = bc.value["probe_id"], bc.value["vec"]
-            least, most = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
-            for batch in batches:
-                rows = _rows(batch.column(0), batch.column(1), width)[1]
-                for s in _steps(len(ids), len(rows)):
-                    dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
-                    least, most = np.minimum(least, dots.min(1)), np.maximum(most, dots.max(1))
-            met = np.isfinite(least)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(least[met]), pa.array(most[met])], ["probe_id", "least", "most"])
-        return score
-    local = _scan(probes, bank, group_bytes, schema, body)
+    def body(_, __, ids, m, own, rows):
+        least, most = np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
+        for s in _steps(len(ids), len(rows)):
+            dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
+            least, most = np.minimum(least, dots.min(1)), np.maximum(most, dots.max(1))
+        met = np.isfinite(least)
+        return pa.table([pa.array(ids[met]), pa.array(least[met]), pa.array(most[met])], names=schema.names)
+    local = _product(probes, bank, group_bytes, body, schema)
     return local.groupBy("probe_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 
 
@@ -281,79 +384,92 @@ def dense_histogram(probes: DataFrame, bank: DataFrame, bins: int, *, group_byte
     """
     schema = T.StructType([probes.schema["probe_id"], T.StructField("bin", T.IntegerType()), T.StructField("count", T.LongType())])
 
-    def body(bc, width):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, m = bc.value["probe_id"], bc.value["vec"]
-            lo, hi = (bc.value[c].astype(np.float64)[:, None] for c in ("lo", "hi"))
-            count, size = np.zeros((len(ids), bins), np.int64), (hi - lo) / bins
-            for batch in batches:
-                rows = _rows(batch.column(0), batch.column(1), width)[1]
-                for s in _steps(len(ids), len(rows)):
-                    dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
-                    at = np.clip(np.floor((dots - lo) / size), 0, bins - 1).astype(np.int64)
-                    count += np.bincount((at + bins * np.arange(len(ids))[:, None]).ravel(), minlength=count.size).reshape(count.shape)
-            p, b = np.nonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(b.astype(np.int32)), pa.array(count[p, b])], ["probe_id", "bin", "count"])
-        return score
-    local = _scan(probes, bank, group_bytes, schema, body, "lo", "hi")
+    def body(_, table, ids, m, own, rows):
+        lo, hi = (table.column(c).to_numpy().astype(np.float64)[:, None] for c in ("lo", "hi"))
+        count, size = np.zeros((len(ids), bins), np.int64), (hi - lo) / bins
+        for s in _steps(len(ids), len(rows)):
+            dots = np.round(m @ rows[s].T, SCORE_DECIMALS)
+            at = np.clip(np.floor((dots - lo) / size), 0, bins - 1).astype(np.int64)
+            count += np.bincount((at + bins * np.arange(len(ids))[:, None]).ravel(), minlength=count.size).reshape(count.shape)
+        p, b = np.nonzero(count)
+        return pa.table([pa.array(ids[p]), pa.array(b.astype(np.int32)), pa.array(count[p, b])], names=schema.names)
+    local = _product(probes, bank, group_bytes, body, schema, "lo", "hi")
     return local.groupBy("probe_id", "bin").agg(F.sum("count").alias("count"))
 
 
-def sparse_topk(probe_terms: DataFrame, bank: DataFrame, k: int, weigh: Callable[[np.ndarray, np.ndarray], np.ndarray], *,
-                probe_ids: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _sparse_body(k: int, weigh: Weigh, arrow: pa.Schema) -> Callable[[int, pa.Table, pa.Table], pa.Table]:
+    """Scores a block's documents for a tile's probes, term by term."""
+    def body(block: int, a: pa.Table, b: pa.Table) -> pa.Table:
+        p, terms, weight = _ids(a.column("probe_id")), a.column("term"), a.column("weight").to_numpy()
+        ids = np.unique(p)
+        has = terms.is_valid().to_numpy()
+        enc = pa.concat_arrays(terms.filter(terms.is_valid()).chunks or [pa.array([], pa.string())]).dictionary_encode()
+        code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        o = np.argsort(code, kind="stable")
+        vocab = max(1, len(enc.dictionary))
+        first = np.searchsorted(code[o], np.arange(vocab + 1))
+        owner, weight = np.searchsorted(ids, p[has])[o], weight[has][o]
+        best = _Best(ids, k, False)
+        for batch in b.select(["bank_id", "tokens"]).to_batches(max_chunksize=4096):
+            own, tokens = _ids(batch.column(0)), batch.column(1)
+            size = tokens.value_lengths().to_numpy(zero_copy_only=False)
+            found = pc.index_in(tokens.flatten(), value_set=enc.dictionary)
+            hit = found.is_valid().to_numpy(zero_copy_only=False)
+            term = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[hit]
+            doc = np.repeat(np.arange(len(own)), size)[hit]
+            pair, tf = np.unique(doc * vocab + term, return_counts=True)
+            doc, term = pair // vocab, pair % vocab
+            w = weigh(tf.astype(np.float64), size[doc].astype(np.float64))
+            for s in _steps(len(ids), len(own)):
+                x, y = np.searchsorted(doc, [s.start, s.stop])
+                width = min(s.stop, len(own)) - s.start
+                scores = np.zeros(len(ids) * width)
+                # (document, term) entries by term, a term's probes added at once
+                order = np.argsort(term[x:y], kind="stable") + x
+                edge = np.append(np.flatnonzero(np.append(True, term[order][1:] != term[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
+                for u, v in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    t = int(term[order[u]])
+                    q = slice(first[t], first[t + 1])
+                    cell = owner[q][:, None] * width + (doc[order[u:v]] - s.start)[None, :]
+                    scores[cell.ravel()] += np.outer(weight[q], w[order[u:v]]).ravel()
+                best.add(scores.reshape(len(ids), width), own[s])
+        return best.table(arrow, block)
+    return body
+
+
+def _term_rows(probe_ids: DataFrame, probe_terms: DataFrame) -> DataFrame:
+    """(probe_id, term, weight), with a null term for every probe."""
+    return (probe_ids.select("probe_id", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight")).distinct()
+            .unionByName(probe_terms.select("probe_id", "term", F.col("weight").cast("double").alias("weight")).where("term IS NOT NULL AND weight IS NOT NULL")))
+
+
+def _tokens_column() -> Column:
+    return F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
+
+
+def sparse_topk(probe_terms: DataFrame, bank: DataFrame, k: int, weigh: Weigh, *, probe_ids: DataFrame,
+                bank_bytes: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Top-k bank rows per probe for a score that is a sum over shared terms.
 
     score(p, d) = sum over terms t of probe_weight(p, t) * weigh(tf(d, t), length(d)).
     ``probe_terms``: (probe_id, term, weight), one row per (probe, term);
     ``probe_ids``: every probe, so one without a known term gets its (all-zero)
-    list; ``bank``: (bank_id, tokens), one row per document. Documents sharing
+    list; ``bank``: (bank_id, tokens), one row per document, of about
+    ``bank_bytes`` in all (counted where it isn't given). Documents sharing
     no term score 0 and compete by lowest id.
     """
     schema, arrow = _types(probe_ids, bank)
-    spark, parts = bank.sparkSession, []
-    rows = (probe_ids.select("probe_id", F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("weight")).distinct()
-            .unionByName(probe_terms.select("probe_id", "term", F.col("weight").cast("double").alias("weight")).where("term IS NOT NULL AND weight IS NOT NULL")))
-    docs = bank.select("bank_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-
-    def body(bc):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vocab, first, owner, weight = bc.value
-            known = pa.array(vocab, pa.string())
-            best = _Best(ids, k, False)
-            for batch in batches:
-                own, tokens = _ids(batch.column(0)), batch.column(1)
-                size = tokens.value_lengths().to_numpy(zero_copy_only=False)
-                code = pc.index_in(tokens.flatten(), value_set=known)
-                hit = code.is_valid().to_numpy(zero_copy_only=False)
-                term = code.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[hit]
-                doc = np.repeat(np.arange(len(own)), size)[hit]
-                pair, tf = np.unique(doc * max(1, len(vocab)) + term, return_counts=True)
-                doc, term = pair // max(1, len(vocab)), pair % max(1, len(vocab))
-                w = weigh(tf.astype(np.float64), size[doc].astype(np.float64))
-                for s in _steps(len(ids), len(own)):
-                    a, b = np.searchsorted(doc, [s.start, s.stop])
-                    width = min(s.stop, len(own)) - s.start
-                    scores = np.zeros(len(ids) * width)
-                    # (document, term) entries by term, a term's probes added at once
-                    o = np.argsort(term[a:b], kind="stable") + a
-                    edge = np.append(np.flatnonzero(np.append(True, term[o][1:] != term[o][:-1])), len(o)) if len(o) else np.zeros(1, np.int64)
-                    for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                        t = int(term[o[x]])
-                        p = slice(first[t], first[t + 1])
-                        cell = owner[p][:, None] * width + (doc[o[x:y]] - s.start)[None, :]
-                        scores[cell.ravel()] += np.outer(weight[p], w[o[x:y]]).ravel()
-                    best.add(scores.reshape(len(ids), width), own[s])
-            yield from best.batch(arrow)
-        return score
-    for t in _groups(rows, "probe_id", F.coalesce(F.octet_length("term"), F.lit(0)) + 32, group_bytes):
-        p, terms, weight = _ids(t.column("probe_id")), t.column("term"), t.column("weight").to_numpy()
-        ids = np.unique(p)
-        has = terms.is_valid().to_numpy()
-        enc = terms.filter(terms.is_valid()).combine_chunks().dictionary_encode()
-        enc = pa.concat_arrays(enc.chunks) if isinstance(enc, pa.ChunkedArray) else enc
-        code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        o = np.argsort(code, kind="stable")
-        first = np.searchsorted(code[o], np.arange(len(enc.dictionary) + 1))
-        value = (ids, enc.dictionary.to_pylist(), first, np.searchsorted(ids, p[has])[o], weight[has][o])
-        parts.append(docs.mapInArrow(body(spark.sparkContext.broadcast(value)), schema))
-    return _merge(_union(parts, spark, schema), k)
+    rows = _term_rows(probe_ids, probe_terms)
+    tiles = _pieces(rows, F.coalesce(F.octet_length("term"), F.lit(0)) + 32, group_bytes)
+    docs = bank.select("bank_id", _tokens_column())
+    if bank_bytes is None:
+        bank_bytes = docs.agg(F.sum(F.size("tokens") * 10 + 16)).first()[0] or 0
+    cores = bank.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(bank_bytes / group_bytes), min(cores, math.ceil(bank_bytes / LEAST_BLOCK)))
+    local = _cells(rows.withColumn("tile", _by_hash(tiles, "probe_id")).withColumn("block", _all_of(blocks)),
+                   docs.withColumn("block", _by_hash(blocks, "bank_id")).withColumn("tile", _all_of(tiles)),
+                   tiles * blocks, _sparse_body(k, weigh, arrow), schema)
+    return _merge(local, k)
