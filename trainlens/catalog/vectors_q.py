@@ -194,3 +194,33 @@ def ihvp_full_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = V.ihvp_topk(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5, _width(spark, sf_dir))
     return t.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
                     F.round("score", 6).alias("score"), "rank")
+
+
+RECURSION = V.InfluenceConfig(scale=10.0, recursion_depth=4)
+
+
+def _recursion_sql(cfg: V.InfluenceConfig) -> str:
+    """CTEs h0 .. hN (probe_id, h): the recursion's steps."""
+    out = [f"h0 AS (SELECT idx AS probe_id, grad AS q, list_transform(grad, lambda x: x / {cfg.scale}) AS h FROM s WHERE split = 'test')"]
+    for t in range(cfg.recursion_depth):
+        out.append(f"""f{t} AS (SELECT probe_id, pos, sum(d * g) / (SELECT count(*) FROM tr) AS f FROM (
+  SELECT probe_id, list_dot_product(h, grad) AS d, unnest(grad) AS g, unnest(range(0, len(grad))) AS pos FROM h{t} CROSS JOIN tr) GROUP BY ALL),
+c{t} AS (SELECT probe_id, list(f ORDER BY pos) AS f FROM f{t} GROUP BY probe_id),
+h{t + 1} AS (SELECT h.probe_id, q, list_transform(range(1, len(q) + 1), lambda i: h.h[i] + (q[i] - c.f[i] - {cfg.damping} * h.h[i]) / {cfg.scale}) AS h
+  FROM h{t} h JOIN c{t} c USING (probe_id))""")
+    return ",\n".join(out)
+
+
+@register("ihvp_recursive_topk", f"""
+WITH s AS ({sql.vector_samples_sql()}),
+tr AS (SELECT idx, grad FROM s WHERE split = 'train'),
+{_recursion_sql(RECURSION)},
+sc AS (SELECT probe_id AS test_id, idx AS train_id, list_dot_product(h, grad) AS score FROM h{RECURSION.recursion_depth} CROSS JOIN tr),
+r AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY round(score, 9) DESC, train_id) AS rank FROM sc)
+SELECT test_id, train_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def ihvp_recursive_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13 (recursion: scale 10, depth 4, one sample): top 5 per test sample."""
+    s = vector_samples(spark, sf_dir)
+    t = V.ihvp_recursive_topk(s.where(F.col("split") == "test"), s.where(F.col("split") == "train"), 5, _width(spark, sf_dir), RECURSION)
+    return t.select(F.col("probe_id").alias("test_id"), F.col("bank_id").alias("train_id"),
+                    F.round("score", 6).alias("score"), "rank")

@@ -7,6 +7,7 @@ so only a d x d matrix (d is bounded, checked) ever reaches the driver.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trainlens.functions.hashing import seeded_order_key
 from trainlens.functions.vector import dot
-from trainlens.plans.blocked_topk import dense_topk, is_valid_vector
+from trainlens.plans.blocked_topk import GROUP_BYTES, dense_topk, is_valid_vector
 
 MAX_GRAM_DIM = 4096
 
@@ -101,12 +102,20 @@ def write_gradient_store(df: DataFrame, path: str, chunk_rows: int = 512) -> Non
 # ---------------------------------------------------------------- M13
 @dataclass(frozen=True)
 class InfluenceConfig:
+    """The defaults. ``scale`` bounds the curvature's largest
+    eigenvalue, ``recursion_depth`` is the number of steps of the recursion,
+    ``num_samples`` the number of parts of the bank whose results are averaged."""
     mode: str = "ihvp"
     damping: float = 0.01
+    scale: float = 25.0
+    recursion_depth: int = 256
+    num_samples: int = 1
 
     def validate(self) -> None:
         if self.mode != "ihvp":
             raise ValueError(f"unsupported influence mode {self.mode!r}; only 'ihvp' is available")
+        if self.damping < 0 or self.scale <= 0 or self.recursion_depth < 0 or self.num_samples < 1:
+            raise ValueError("damping and recursion_depth must not be negative, scale and num_samples must be positive")
 
 
 def _stack(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -216,3 +225,126 @@ def ihvp_topk(probes: DataFrame, bank: DataFrame, k: int, dim: int,
     p = p.mapInArrow(apply, f"probe_id {p.schema['idx'].dataType.simpleString()}, vec array<double>")
     b = bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec"))
     return dense_topk(p, b, k, metric="dot")
+
+
+# ---- matrix-free: no d x d matrix, any width
+_ADD = "sample int, tile int, src int, cells binary, n long"
+
+
+def _matrix(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw).reshape(-1, dim)
+
+
+def _pack(by: list[str], dim: int):
+    """One row per group: the ids and the matrix of its vectors, in id order."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("idx", "ascending")])
+        vecs = pa.concat_arrays(t.column("grad").chunks)
+        if (vecs.value_lengths().to_numpy() != dim).any():
+            raise ValueError(f"gradients differ from width {dim}")
+        flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(t)], pa.int32()), pa.concat_arrays(t.column("idx").chunks))
+        return pa.table({**{c: t.column(c).slice(0, 1) for c in by}, "ids": ids, "cells": pa.array([flat.tobytes()], pa.binary())})
+    return run
+
+
+def _curvature(dim: int):
+    """A block's part of the sum of g (g . h), for every vector h of a tile."""
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table, tiles: pa.Table) -> pa.Table:
+        sample, number = key[0].as_py(), key[1].as_py()
+        rows = []
+        for raw in block.column("cells").to_pylist():
+            g = _matrix(raw, dim)
+            for tile, h in zip(tiles.column("tile").to_pylist(), tiles.column("h").to_pylist(), strict=True):
+                rows.append((sample, tile, number % 32, ((_matrix(h, dim) @ g.T) @ g).tobytes(), len(g)))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()), strict=True)],
+                        names=["sample", "tile", "src", "cells", "n"])
+    return run
+
+
+def _add(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x) for x in t.column("cells").to_pylist())
+    return pa.table({"sample": t.column("sample")[:1], "tile": t.column("tile")[:1], "src": t.column("src")[:1],
+                     "cells": pa.array([total.tobytes()], pa.binary()), "n": pa.array([pc.sum(t.column("n")).as_py()], pa.int64())})
+
+
+def _step(damping: float, scale: float):
+    def run(batches):
+        for b in batches:
+            q, h, f, n = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("q", "h", "cells", "n"))
+            out = []
+            for i in range(b.num_rows):
+                v = np.frombuffer(h[i])
+                curved = np.frombuffer(f[i]) / n[i] if n[i] else 0.0
+                out.append((v + (np.frombuffer(q[i]) - curved - damping * v) / scale).tobytes())
+            at = b.schema.get_field_index("h")
+            cols = [pa.array(out, pa.binary()) if i == at else b.column(i) for i in range(at + 1)]
+            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:at + 1])
+    return run
+
+
+def ihvp_vectors(probes: DataFrame, bank: DataFrame, dim: int, cfg: InfluenceConfig = InfluenceConfig(), *,
+                 group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """M13 (recursion): (probe_id, vec), an approximation of (F + damping I)^-1 q
+    for every probe gradient q, F being the mean of g g^T over the bank.
+
+    h_0 = q / scale, h_t+1 = h_t + (q - F h_t - damping h_t) / scale, for
+    ``recursion_depth`` steps; it converges where ``scale`` is at least the
+    largest eigenvalue of F plus the damping, by a factor of
+    1 - (smallest eigenvalue + damping) / scale a step. With ``num_samples`` over
+    one, the bank is dealt into that many parts, each gives its own recursion
+    and the results are averaged.
+
+    No matrix of d x d exists. Probes are packed into tiles and the bank into
+    blocks, once; a step sends the tiles to the blocks, adds up what comes back
+    in two levels, and writes the tiles' new state to the checkpoint folder, so
+    a lost executor costs one step's tasks and the plan does not grow.
+    """
+    cfg.validate()
+    spark = probes.sparkSession
+    p = probes.where(is_valid_vector("grad")).select("idx", "grad")
+    b = bank.where(is_valid_vector("grad")).select("idx", "grad")
+    kind = p.schema["idx"].dataType.simpleString()
+    row = max(1, dim * 8)
+    pieces = lambda df: max(1, math.ceil(df.count() * row / group_bytes))
+    tiles, blocks = pieces(p), pieces(b)
+    blocks = max(blocks, min(spark.sparkContext.defaultParallelism, blocks * group_bytes // (1 << 20) if blocks > 1 else 1))
+    by_hash = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "idx", "grad"), F.lit(n)).cast("int")
+    packed = (b.withColumn("sample", by_hash(cfg.num_samples, 5)).withColumn("block", by_hash(blocks, 6))
+              .groupBy("sample", "block").applyInArrow(_pack(["sample", "block"], dim), f"sample int, block int, ids array<{b.schema['idx'].dataType.simpleString()}>, cells binary")
+              .select("sample", "block", "cells").checkpoint())
+    start = (p.withColumn("tile", by_hash(tiles, 7)).groupBy("tile").applyInArrow(_pack(["tile"], dim), f"tile int, ids array<{kind}>, cells binary")
+             .withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(cfg.num_samples - 1)))))
+
+    def scaled(batches):
+        for x in batches:
+            h = [(np.frombuffer(q) / cfg.scale).tobytes() for q in x.column(x.schema.get_field_index("q")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(h, pa.binary())], [*x.schema.names, "h"])
+    shape = f"sample int, tile int, ids array<{kind}>, q binary, h binary"
+    state = start.select("sample", "tile", "ids", F.col("cells").alias("q")).mapInArrow(scaled, shape).checkpoint()
+    n = min(4 * blocks * cfg.num_samples, 100_000)
+    for _ in range(cfg.recursion_depth):
+        sent = state.select(F.col("sample").alias("sample"), F.col("tile").alias("tile"), F.col("h").alias("h"),
+                            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        parts = (packed.repartition(n, "sample", "block").groupBy("sample", "block").cogroup(sent.repartition(n, "sample", "block").groupBy("sample", "block"))
+                 .applyInArrow(_curvature(dim), _ADD))
+        whole = parts.groupBy("sample", "tile", "src").applyInArrow(_add, _ADD).groupBy("sample", "tile").applyInArrow(_add, _ADD)
+        state = (state.join(whole.select("sample", "tile", "cells", "n"), ["sample", "tile"], "left")
+                 .withColumn("cells", F.coalesce("cells", F.lit(b"").cast("binary"))).withColumn("n", F.coalesce("n", F.lit(0)))
+                 .mapInArrow(_step(cfg.damping, cfg.scale), shape).checkpoint())
+
+    def mean(t: pa.Table) -> pa.Table:
+        h = sum(_matrix(x, dim) for x in t.column("h").to_pylist()) / len(t)
+        ids = t.column("ids").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        off = pa.array(np.arange(0, h.size + 1, dim, dtype=np.int32))
+        return pa.table({"probe_id": ids.slice(0, 1).flatten(), "vec": pa.ListArray.from_arrays(off, pa.array(h.ravel()))})
+    return state.groupBy("tile").applyInArrow(mean, f"probe_id {kind}, vec array<double>")
+
+
+def ihvp_recursive_topk(probes: DataFrame, bank: DataFrame, k: int, dim: int,
+                        cfg: InfluenceConfig = InfluenceConfig(), *, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """M13 (recursion): the k best bank rows per probe by ``ihvp_vectors``."""
+    p = ihvp_vectors(probes, bank, dim, cfg, group_bytes=group_bytes)
+    return dense_topk(p, bank.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec")), k, metric="dot")
