@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trainlens.llm import phrase_mining as P
@@ -91,9 +92,10 @@ def test_transducer():
     for depth, kinds, n in [(1, 5, 9), (3, 4, 200), (4, 30, 5000)]:
         cols, w = P.sorted_sums([rng.integers(0, kinds, n) for _ in range(depth)], rng.integers(1, 3, n))
         symbols = sorted(f"s{i}".encode() for i in range(kinds))
-        a = P.Automaton.load(P.Automaton.of(symbols, cols, w).dump())
+        a = P.Automaton.load(P.Automaton.of(pa.array(symbols), cols, w).dump())
         back, weight = a.paths()
-        rows = list(zip(*[[a.symbols[i] for i in c.tolist()] for c in back], weight.tolist(), strict=True))
+        names = a.symbols.to_pylist()
+        rows = list(zip(*[[names[i] for i in c.tolist()] for c in back], weight.tolist(), strict=True))
         assert rows == list(zip(*[[symbols[i] for i in c.tolist()] for c in cols], w.tolist(), strict=True))
         asked = [r[:-1] for r in rows] + [(b"none",) * depth, (*rows[0][:-2], b"none")]
         assert a.weights(asked).tolist() == [r[-1] for r in rows] + [0, 0]

@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,11 +114,9 @@ class Builder:
         # states of one arc, most of all, meet as numbers before the register
         single = np.flatnonzero(size == 1)
         if len(single):
-            (x, y), _ = sorted_sums([arcs[starts[single], 0], arcs[starts[single], 1]], np.ones(len(single), np.int64))
-            base = int(y.max()) + 1
-            got = np.array(enter(np.stack([x, y], 1), list(range(len(x))), [1] * len(x)), np.int64)
-            _, code = np.unique(np.concatenate([x * base + y, arcs[starts[single], 0] * base + arcs[starts[single], 1]]), return_inverse=True)
-            ids[single] = got[code[len(x):]]
+            base = int(to.max()) + 1
+            key, code = np.unique(arcs[starts[single], 0] * base + arcs[starts[single], 1], return_inverse=True)
+            ids[single] = np.array(enter(np.stack([key // base, key % base], 1), list(range(len(key))), [1] * len(key)), np.int64)[code]
         more = np.flatnonzero(size > 1)
         ids[more] = enter(arcs, starts[more].tolist(), size[more].tolist())
         return ids
@@ -140,7 +139,7 @@ class Builder:
         out = []
         for known in self.register:  # a register lists its states in their order
             arcs = np.frombuffer(b"".join(known), np.int64).reshape(-1, 2)
-            size = np.fromiter((len(k) // 16 for k in known), np.int64, len(known))
+            size = np.fromiter(map(len, known), np.int64, len(known)) // 16
             out.append((np.append(0, np.cumsum(size)), arcs[:, 0], arcs[:, 1]))
         return out
 
@@ -154,16 +153,18 @@ def _narrow(x: np.ndarray) -> np.ndarray:
 class Automaton:
     """Symbols in byte order and, per level, first arcs, symbols and targets."""
 
-    symbols: list[bytes]
+    symbols: pa.Array
     levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, symbols: list[bytes], cols: list[np.ndarray], weight: np.ndarray) -> Automaton:
+    def of(cls, symbols: pa.Array, cols: list[np.ndarray], weight: np.ndarray) -> Automaton:
         """From sorted different paths in codes of ``symbols`` (sorted); symbols
         that no path has are left out."""
-        used = np.unique(np.concatenate(cols)) if cols else np.zeros(0, np.int64)
-        cols = [np.searchsorted(used, c) for c in cols]
-        return cls([symbols[i] for i in used.tolist()], Builder(len(cols)).build(cols, weight))
+        used = np.zeros(len(symbols), bool)
+        for c in cols:
+            used[c] = True
+        code = np.cumsum(used) - 1
+        return cls(symbols.take(pa.array(np.flatnonzero(used))), Builder(len(cols)).build([code[c] for c in cols], weight))
 
     def paths(self) -> tuple[list[np.ndarray], np.ndarray]:
         """All paths, sorted, as code columns, and their weights."""
@@ -178,7 +179,7 @@ class Automaton:
 
     def weights(self, paths: list[Path]) -> np.ndarray:
         """Weights of whole paths, 0 where there is none."""
-        code = {s: i for i, s in enumerate(self.symbols)}
+        code = {s: i for i, s in enumerate(self.symbols.to_pylist())}
         v = len(self.symbols)
         state, alive = np.zeros(len(paths), np.int64), np.ones(len(paths), bool)
         for level, (first, sym, to) in enumerate(self.levels):
@@ -191,50 +192,60 @@ class Automaton:
         return np.where(alive, state, 0)
 
     def dump(self) -> bytes:
-        arrays = [_narrow(x) for first, sym, to in self.levels for x in (np.diff(first), sym, to)]
-        words = b" ".join([s.hex().encode() if b" " in s else b"=" + s for s in self.symbols])
-        head = json.dumps([len(words), len(self.symbols), [[str(a.dtype), len(a)] for a in arrays]]).encode()
-        body = len(head).to_bytes(4, "little") + head + words + b"".join(a.tobytes() for a in arrays)
+        words, ends = C.buffer_of(self.symbols)
+        arrays = [_narrow(x) for x in (np.diff(ends), *[x for first, sym, to in self.levels for x in (np.diff(first), sym, to)])]
+        head = json.dumps([len(words), [[str(a.dtype), len(a)] for a in arrays]]).encode()
+        body = len(head).to_bytes(4, "little") + head + words.tobytes() + b"".join(a.tobytes() for a in arrays)
         return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
     @classmethod
     def load(cls, raw: bytes) -> Automaton:
         body = pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
         at = 4 + int.from_bytes(body[:4], "little")
-        n_words, n_symbols, shapes = json.loads(body[4:at])
-        words = body[at:at + n_words].split(b" ") if n_symbols else []
+        n_words, shapes = json.loads(body[4:at])
+        words = body[at:at + n_words]
         at += n_words
         arrays = []
         for kind, n in shapes:
             x = np.frombuffer(body, kind, n, at)
             arrays.append(x.astype(np.int64))
             at += x.nbytes
-        return cls([w[1:] if w[:1] == b"=" else bytes.fromhex(w.decode()) for w in words],
-                   [(np.append(0, np.cumsum(arrays[i])), arrays[i + 1], arrays[i + 2]) for i in range(0, len(arrays), 3)])
+        ends = np.append(0, np.cumsum(arrays[0])).astype(np.int32)
+        return cls(pa.Array.from_buffers(pa.binary(), len(arrays[0]), [None, pa.py_buffer(ends), pa.py_buffer(words)]),
+                   [(np.append(0, np.cumsum(arrays[i])), arrays[i + 1], arrays[i + 2]) for i in range(1, len(arrays), 3)])
 
 
-def union(automata: Iterator[Automaton]) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+def sorted_symbols(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different words in byte order, and every word's place among them."""
+    d = words.dictionary_encode()
+    order = pc.sort_indices(d.dictionary).to_numpy().astype(np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return d.dictionary.take(pa.array(order)), rank[d.indices.to_numpy(zero_copy_only=False)]
+
+
+def union(automata: Iterator[Automaton]) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
     """Symbols, sorted paths and summed weights of all."""
     parts = [(a.symbols, *a.paths()) for a in automata]
-    symbols = sorted(set().union(*[s for s, _, _ in parts]))
-    code = {s: i for i, s in enumerate(symbols)}
+    symbols, place = sorted_symbols(pa.concat_arrays([s for s, _, _ in parts]))
     cols: list[list[np.ndarray]] = []
+    at = 0
     for own, c, _ in parts:
-        to = np.array([code[s] for s in own], np.int64)
+        to = place[at:at + len(own)]
+        at += len(own)
         cols.append([to[x] for x in c])
     merged = [np.concatenate(x) for x in zip(*cols, strict=True)]
     return symbols, *sorted_sums(merged, np.concatenate([w for _, _, w in parts]))
 
 
-def prefix_totals(cols: list[np.ndarray], weight: np.ndarray, symbols: list[bytes], min_count: int) -> Automaton:
+def prefix_totals(cols: list[np.ndarray], weight: np.ndarray, symbols: pa.Array, min_count: int) -> Automaton:
     """Weights of all prefixes that reach ``min_count`` or may go on in another
     range, as paths filled up with ``TOTAL``."""
     depth, out, sums = len(cols), [], []
-    at = bisect.bisect_left(symbols, TOTAL)
-    if symbols[at:at + 1] != [TOTAL]:
-        symbols = symbols[:at] + [TOTAL] + symbols[at:]
-        cols = [c + (c >= at) for c in cols]
-    end = 0 if symbols[0] == END else -1
+    end = pc.index(symbols, END).as_py()
+    symbols, place = sorted_symbols(pa.concat_arrays([symbols, pa.array([TOTAL], pa.binary())]))
+    cols, at = [place[c] for c in cols], int(place[-1])
+    end = int(place[end]) if end >= 0 else -1
     for k in range(1, depth + 1):
         starts = _groups(cols[:k], len(weight))
         f = np.add.reduceat(weight, starts)
@@ -296,8 +307,9 @@ class _Shard:
         self.clear()
 
     def clear(self) -> None:
-        self.vocab: dict[bytes, int] = {}
-        self.langs: dict[bytes, int] = {}
+        # every buffer's own words follow the empty symbol; they meet in rows()
+        self.words: list[pa.Array] = [pa.array([END], pa.binary())]
+        self.n_words = 1
         self.code: list[np.ndarray] = []
         self.last: list[np.ndarray] = []
         self.lang: list[np.ndarray] = []
@@ -308,32 +320,38 @@ class _Shard:
         if not len(s):
             return
         code, words = C.codes(low, s, e)
-        used, code = np.unique(code, return_inverse=True)
-        mine = words.take(pa.array(used)).to_pylist()
-        self.code.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in mine], np.int32)[code])
+        used = np.zeros(len(words), bool)
+        used[code] = True
+        self.code.append((np.cumsum(used) - 1 + self.n_words)[code])
+        self._enter(words.take(pa.array(np.flatnonzero(used))))
         self.last.append(last)
-        self.lang.append(np.array([self.langs.setdefault(_lang(x), len(self.langs)) for x in langs], np.int32)[text])
+        names = pa.array([_lang(x) for x in langs], pa.binary()).dictionary_encode()
+        self.lang.append((names.indices.to_numpy(zero_copy_only=False) + self.n_words)[text])
+        self._enter(names.dictionary)
         self.n += len(s)
 
+    def _enter(self, words: pa.Array) -> None:
+        self.words.append(words)
+        self.n_words += len(words)
+
     def rows(self) -> Iterator[tuple[int, bytes]]:
         """(range, transducer) of everything added."""
         if not self.n:
             return
-        symbols = sorted({END, *self.vocab, *self.langs})
-        rank = {s: i for i, s in enumerate(symbols)}
-        word = np.array([rank[w] for w in self.vocab], np.int32)[np.concatenate(self.code)]
-        lang = np.array([rank[x] for x in self.langs], np.int32)[np.concatenate(self.lang)]
+        symbols, place = sorted_symbols(pa.concat_arrays(self.words))
+        end, word, lang = place[0], place[np.concatenate(self.code)], place[np.concatenate(self.lang)]
         last = np.concatenate(self.last)
         self.clear()
         cols, inside = [lang, word], ~last
         for k in range(1, self.max_words):
-            nxt = np.full(len(word), rank[END], np.int32)
-            nxt[:-k] = np.where(inside[:-k], word[k:], rank[END])
+            nxt = np.full(len(word), end)
+            nxt[:-k] = np.where(inside[:-k], word[k:], end)
             cols.append(nxt)
             inside[:-k] &= ~last[k:]
             inside[-k:] = False
         cols, weight = sorted_sums(cols, np.ones(len(word), np.int64))
-        cuts = [0, *[_place(symbols, cols, b) for b in self.bounds], len(weight)]
+        names = symbols.to_pylist()
+        cuts = [0, *[_place(names, cols, b) for b in self.bounds], len(weight)]
         for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if b > a:
                 yield r, Automaton.of(symbols, [c[a:b] for c in cols], weight[a:b]).dump()
@@ -430,9 +448,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in b.column(b.schema.get_field_index("block")).to_pylist():
             a = Automaton.load(raw)
             cols, f = a.paths()
-            total = a.symbols.index(TOTAL) if TOTAL in a.symbols else -1
-            size = (np.stack(cols[1:]) != total).sum(0)
-            name = np.array(a.symbols, object)
+            name = np.array(a.symbols.to_pylist(), object)
+            size = (np.stack(cols[1:]) != pc.index(a.symbols, TOTAL).as_py()).sum(0)
             lang = [x.decode() for x in name[cols[0]]]
             words = [b" ".join(p[:n]).decode() for p, n in zip(zip(*[name[c] for c in cols[1:]], strict=True), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(words, pa.string()), pa.array(size.astype(np.int32)), pa.array(f)],
