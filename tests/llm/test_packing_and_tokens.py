@@ -57,6 +57,23 @@ def test_pack_documents(messy):
     assert check_places(rows) <= -(-total // 1024) + 2
 
 
+@pytest.mark.parametrize("known", [0, 40, 800_000])
+def test_kept_cuts_change_no_ids(monkeypatch, known):
+    monkeypatch.setattr(packing, "KNOWN", known)
+    spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    enc, tok = packing.Encoder(spec), Tokenizer.from_str(spec)
+    tok.encode_special_tokens = True
+    rng = random.Random(6)
+    texts = [t or "" for _, t in corpus()]
+    texts += ["".join(rng.choice(["a", " b", "\n", "é", "\u3000", " the", "  ", "漢字", "x1 ", "\u00a0", "!"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    for a in [*range(0, len(texts), 37), 0, 80]:  # piece after piece, some again
+        part = texts[a:a + 37]
+        raw = [t.encode() for t in part]
+        ids, off = enc.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+        assert [ids[x:y].tolist() for x, y in zip(off[:-1], off[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in part]
+        assert len(enc.known) <= known and len(enc.ends) == len(enc.known)
+
+
 def test_pack_empty(nothing):
     assert packing.pack(packing.tokenize(nothing, P.path("byte_bpe_50k.json"))).count() == 0
 

@@ -33,6 +33,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -43,16 +44,16 @@ from pyspark.sql import functions as F
 from trainlens.llm import common as C
 
 CAPACITY, END_ID = 1024, 2
-BATCH_BYTES = 4 << 20
-KNOWN, STEP = 500_000, 200  # cuts kept, cuts encoded at once
+BATCH_BYTES = 8 << 20
+KNOWN, STEP = 800_000, 200  # cuts kept, cuts encoded at once
 
 
 class Encoder:
     """Token ids of many texts. Byte-level pre-tokens never reach from a word
     into the white space after it, so texts are cut there, every different cut
     is encoded once, and the ids are put together again. Cuts met before stay in
-    a table of ``KNOWN`` entries at most, which starts anew when it is full; it
-    saves work and changes no ids. ``spec`` is the content of a tokenizers JSON
+    a table of ``KNOWN`` entries at most, the first and so mostly the frequent
+    ones; it saves work and changes no ids. ``spec`` is the content of a tokenizers JSON
     file."""
 
     def __init__(self, spec: str):
@@ -94,20 +95,28 @@ class Encoder:
         arr = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(o), pa.py_buffer(np.ascontiguousarray(buf))])
         d = arr.dictionary_encode()
         cuts = d.dictionary.to_pylist()
-        if len(self.known) + len(cuts) > KNOWN:
+        code_of = np.fromiter(map(self.known.get, cuts, repeat(-1)), np.int64, len(cuts))
+        new = np.flatnonzero(code_of < 0)
+        if len(self.known) + len(new) > KNOWN and 2 * len(new) > len(cuts):
+            # full, and most cuts aren't in it: other texts than those it was made of
             self._forget()
-        fresh = [c for c in cuts if c not in self.known]
-        if fresh:
+            new = np.arange(len(cuts))
+        ends, flat = self.ends, self.flat
+        if len(new):
+            fresh = [cuts[i] for i in new.tolist()]
             ids, count = self._encode_cuts(fresh)
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.ends = np.append(self.ends, len(self.flat) + np.cumsum(count))
-            self.flat = np.concatenate([self.flat, ids])
-        known = self.known
-        code = np.array([known[c] for c in cuts], np.int64)[d.indices.to_numpy(zero_copy_only=False)]
-        size = np.diff(self.ends, prepend=0)[code]
-        ends = np.cumsum(size)
-        pick = np.repeat(self.ends[code] - ends, size) + np.arange(int(ends[-1]))
-        return self.flat[pick], np.append(0, ends)[np.searchsorted(s, off)]
+            at = len(self.ends)
+            code_of[new] = np.arange(at, at + len(new))
+            ends, flat = np.append(ends, len(flat) + np.cumsum(count)), np.concatenate([flat, ids])
+            room = max(0, KNOWN - len(self.known))  # beyond it, cuts are encoded and not kept
+            self.known.update(zip(fresh[:room], range(at, at + len(new)), strict=False))
+            self.ends = ends[:len(self.known)]
+            self.flat = flat[:self.ends[-1]] if len(self.ends) else flat[:0]
+        code = code_of[d.indices.to_numpy(zero_copy_only=False)]
+        size = np.diff(ends, prepend=0)[code]
+        upto = np.cumsum(size)
+        pick = np.repeat(ends[code] - upto, size) + np.arange(int(upto[-1]))
+        return flat[pick], np.append(0, upto)[np.searchsorted(s, off)]
 
     def _encode_cuts(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all cuts in turn, and each one's number of ids."""
