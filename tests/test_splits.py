@@ -16,10 +16,12 @@ def _counts(df):
 
 
 def test_allocation_largest_remainder(spark):
-    assert C.allocation(spark, 100, C.SplitRatios()) == {"train": 80, "test": 10, "shadow": 10}
-    assert C.allocation(spark, 5, C.SplitRatios(0.6, 0.2, 0.2)) == {"train": 3, "test": 1, "shadow": 1}
+    size = lambda n: spark.createDataFrame([(n,)], "n long")
+    assert C.split_targets(size(100)) == {"train": 80, "test": 10, "shadow": 10}
+    assert C.split_targets(size(5), {"train": 0.6, "test": 0.2, "shadow": 0.2}) == {"train": 3, "test": 1, "shadow": 1}
+    assert C.split_targets(size(1).limit(0)) == {"train": 0, "test": 0, "shadow": 0}
     with pytest.raises(ValueError, match="sum to 1.0"):
-        C.allocation(spark, 10, C.SplitRatios(0.5, 0.2, 0.2))
+        C.split_targets(size(10), {"train": 0.5, "test": 0.2, "shadow": 0.2})
 
 
 def test_split_sizes_repeatable_and_disjoint(spark):
@@ -45,7 +47,7 @@ def test_subset_then_split(spark):
 
 def test_small_split_and_errors(spark):
     df = _records(spark, 5)
-    assert _counts(C.create_splits(df, C.SplitRatios(0.6, 0.2, 0.2))) == {"train": 3, "test": 1, "shadow": 1}
+    assert _counts(C.create_splits(df, {"train": 0.6, "test": 0.2, "shadow": 0.2})) == {"train": 3, "test": 1, "shadow": 1}
     with pytest.raises(ValueError, match="must sum to the selected dataset size"):
         C.create_splits(_records(spark, 10), target_counts={"train": 5, "test": 1, "shadow": 1})
     with pytest.raises(ValueError, match=r"subset_size \(3000\) cannot exceed dataset size \(10\)"):
@@ -54,7 +56,7 @@ def test_small_split_and_errors(spark):
 
 def _quotas(spark, sizes, targets):
     df = spark.createDataFrame([(f"{i:03d}", n) for i, n in enumerate(sizes)], "_k0 string, n long")
-    rows = C.split_quotas(df, ("k",), C.SplitRatios(), targets).orderBy("_k0").collect()
+    rows = C.split_quotas(df, ("k",), C.RATIOS, targets).orderBy("_k0").collect()
     return [(r.q_train, r.q_test, r.q_shadow) for r in rows]
 
 
@@ -95,3 +97,36 @@ def test_split_positions_and_first_n(spark):
     assert _counts(got) == {"train": 5, "test": 2, "shadow": 1}
     pos = sorted(r.pos for r in s.where("split = 'test'").collect())
     assert pos == list(range(10))
+
+
+def test_ids_must_be_unique(spark):
+    df = _records(spark, 10)
+    with pytest.raises(ValueError, match="unique"):
+        C.create_splits(df.unionByName(df.limit(1)))
+    with pytest.raises(ValueError, match="unique"):
+        C.create_splits(df.withColumn("sample_id", F.when(F.col("sample_id") > "sample-00003", F.col("sample_id"))))
+
+
+@pytest.mark.parametrize("few", [1, 5, 10_000])
+def test_smallest_k_without_a_limit(spark, few):
+    from trainlens.plans.selection import smallest_k
+    df = spark.range(3000).withColumn("v", F.col("id") % 7).repartition(5)
+    key = F.md5(F.col("id").cast("string"))
+    order = [r.id for r in df.orderBy(key, "id").collect()]
+    for k in (0, 1, 2, 1500, 2999, 3000, 5000):
+        got = smallest_k(df, key, "id", k, few=few)
+        assert got.columns == ["id", "v"] and sorted(r.id for r in got.collect()) == sorted(order[:k])
+    # one key on many rows, and null keys, which come last
+    same = spark.range(50).select(F.when(F.col("id") < 40, F.lit("a" * 32)).alias("h"), "id")
+    assert smallest_k(same, F.col("h"), "id", 30, few=few).where("h IS NULL").count() == 0
+    assert sorted(r.id for r in smallest_k(same, F.col("h"), "id", 30, few=few).collect()) == list(range(30))
+    assert smallest_k(same, F.col("h"), "id", 45, few=few).where("h IS NULL").count() == 5
+
+
+def test_running_sums_of_integers_and_doubles(spark):
+    rows = [(i % 3, i, None if i % 5 == 0 else i, i / 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, i long, a int, b double").repartition(7)
+    got = prefix_sums(df, ["i"], ["a", "b"], partition_by=["g"], n_partitions=5).collect()
+    for r in got:
+        mine = [x for x in rows if x[0] == r.g and x[1] <= r.i]
+        assert r.cum_a == sum(x[2] or 0 for x in mine) and abs(r.cum_b - sum(x[3] for x in mine)) < 1e-9

@@ -68,8 +68,7 @@ def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bm25_idf", f"""
 WITH docs AS (SELECT doc_id AS bank_id, text FROM documents),
-probes AS (SELECT item_id AS probe_id, text FROM benchmark),
-{sql.bm25_ctes('probes', 'docs', 1)}
+{sql.idf_ctes('docs')}
 SELECT term, df, round(idf, 6) AS idf FROM idf JOIN dfs USING (term)
 """)
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +89,7 @@ WITH {sql.sample_bm25()},
 
 
 @register("hybrid_debug", _HYBRID_DEBUG_SQL + """
-SELECT probe_id AS test_idx, bank_id AS train_idx, round(bm25_score, 6) AS bm25_score,
+SELECT probe_id AS test_idx, bank_id AS train_idx, round(bm25_score, 5) AS bm25_score,
        round(semantic_score, 6) AS semantic_score, round(bm25_norm, 6) AS bm25_norm,
        round(semantic_norm, 6) AS semantic_norm, round(hybrid_score, 6) AS hybrid_score,
        CAST(rank AS INTEGER) AS rank
@@ -99,7 +98,9 @@ def hybrid_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shortlisted row with raw, normalized and blended scores."""
     probes, bank = _text_split(spark, sf_dir)
     d = A.hybrid_debug(probes, bank, CFG)
-    return d.select("test_idx", "train_idx", r6("bm25_score"), r6("semantic_score"),
+    # raw scores of long probes reach thousands: one digit less, so that the two
+    # engines' summation orders cannot round apart
+    return d.select("test_idx", "train_idx", F.round("bm25_score", 5).alias("bm25_score"), r6("semantic_score"),
                     r6("bm25_norm"), r6("semantic_norm"), r6("hybrid_score"), "rank")
 
 

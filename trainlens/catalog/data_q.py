@@ -97,7 +97,7 @@ def q_split_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C01 + C03: largest-remainder 80/10/10 allocation of every (source, lang) stratum."""
     docs = read_table(spark, sf_dir, "documents")
     counts = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return C.allocate_counts_df(counts, "n", C.SplitRatios())
+    return C.allocate_counts_df(counts, "n", C.RATIOS)
 
 
 
@@ -156,7 +156,7 @@ splits AS (SELECT * FROM sp WHERE split IS NOT NULL)"""
 
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = normalized_documents(spark, sf_dir)
-    return C.create_splits(n, C.SplitRatios(), 2026, STRATA)
+    return C.create_splits(n, C.RATIOS, 2026, STRATA)
 
 
 @register("stratified_split", _split_sql() + """

@@ -152,7 +152,7 @@ imp AS (SELECT *, -score AS approx_loss_change FROM m WHERE method IN ('gradient
 
 @register("loss_impact", _IMPACT + """
 SELECT test_idx, method, rank, train_idx, round(score, 6) AS score,
-       round(approx_loss_change, 6) AS approx_loss_change FROM imp""")
+       round(approx_loss_change, 6) + 0.0 AS approx_loss_change FROM imp""")
 def loss_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-order loss change (-score) for gradient cosine and influence rows."""
     i = G.loss_impact(merged(spark, sf_dir))

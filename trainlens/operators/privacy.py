@@ -11,7 +11,7 @@ rates are null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trainlens.plans.blocked_topk import dense_max
@@ -47,12 +47,17 @@ def _long(scores: DataFrame) -> DataFrame:
     return out
 
 
-def score_counts(scores: DataFrame) -> DataFrame:
+def score_counts(scores: DataFrame, m: int | None = PROBES) -> DataFrame:
     """Per metric and distinct score: positives, negatives, and running counts
-    from the highest score down (cum_pos/cum_neg include the score itself)."""
+    from the highest score down (cum_pos/cum_neg include the score itself).
+    With ``m`` members and non-members there are at most 2 m scores a metric, a
+    window's work; None (any number) takes distributed running sums."""
     c = (_long(scores).groupBy("metric", "score")
          .agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("pos"),
               F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).cast("long").alias("neg")))
+    if m is not None:
+        w = Window.partitionBy("metric").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        return c.select("*", *[F.sum(x).over(w).alias(f"cum_{x}") for x in ("pos", "neg")])
     return prefix_sums(c, [F.col("score").desc()], ["pos", "neg"], partition_by=["metric"])
 
 

@@ -2,9 +2,9 @@
 
 A window with no PARTITION BY moves the whole table into one task. Instead:
 range-partition on the sort key, total each partition (one row per partition),
-turn the totals into offsets (a window over those rows), then finish with a
-window *within* each partition plus its offset. The broadcast side has one row
-per partition.
+turn the totals into offsets (a window over those rows), then add up each
+sorted partition where it lies, in Arrow batches, on top of its offset. The
+broadcast side has one row per partition; rows are shuffled once.
 
 Callers hand in the key and value columns only: the rows are written once to
 the checkpoint folder, so payloads (texts, vectors) are joined back by key
@@ -13,8 +13,33 @@ where they are needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _wide(kind: T.DataType) -> T.DataType:
+    return T.LongType() if isinstance(kind, T.IntegralType) else T.DoubleType()
+
+
+def _running(values: list[str]):
+    """The sum of every value column before each row of a partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far = dict.fromkeys(values, 0)
+        for b in batches:
+            cols = list(b.columns)
+            for v in values:
+                x = b.column(b.schema.get_field_index(v))
+                x = x.cast(pa.int64() if pa.types.is_integer(x.type) else pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(x)
+                cols.append(pa.array(so_far[v] + upto - x))
+                so_far[v] += upto[-1] if len(x) else 0
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, *[f"_ex_{v}" for v in values]])
+    return run
 
 
 def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str = "cum_",
@@ -44,10 +69,13 @@ def prefix_sums(df: DataFrame, order: list, values: list[str], *, prefix: str =
     totals = some.groupBy("_pid").agg(*[F.sum(v).alias(v) for v in values]) if keys else some
     offsets = totals.select("_pid", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_off_{v}")
                                       for v in values])
-    w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    out = r.join(F.broadcast(offsets), "_pid")
+    # the partitions are those of the checkpoint, so sorting them is enough
+    sums = r.sortWithinPartitions(*order_cols)
+    sums = sums.mapInArrow(_running(values), T.StructType([*r.schema.fields, *[
+        T.StructField(f"_ex_{v}", _wide(r.schema[v].dataType)) for v in values]]))
+    out = sums.join(F.broadcast(offsets), "_pid")
     for v in values:
-        out = out.withColumn(f"_ex_{v}", F.col(f"_off_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)))
+        out = out.withColumn(f"_ex_{v}", F.col(f"_off_{v}") + F.col(f"_ex_{v}"))
     if keys:
         # a group starts where its first partition has come to before it
         inner = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)

@@ -116,9 +116,12 @@ def vector_samples_sql() -> str:
 
 
 def text_probes(spark: SparkSession, sf_dir: str, split: str = "test") -> DataFrame:
-    """Vector samples of a split that have a document's text (doc_id = vec_id)."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", "source")
-    return vector_samples(spark, sf_dir).where(F.col("split") == split).join(docs, "idx")
+    """Every document of a split as a probe (idx, text, source, vec, grad, loss).
+    One without a vector sample keeps nulls there: text methods rank it, its
+    similarity and influence are 0, and gradient cosine has no list for it."""
+    docs = (read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text", "source")
+            .withColumn("split", split_of(F.col("idx"))).where(F.col("split") == split))
+    return docs.join(vector_samples(spark, sf_dir).drop("split"), "idx", "left")
 
 
 def text_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
