@@ -106,3 +106,20 @@ def test_gram_on_many_partitions_and_full_ihvp(spark):
         assert list(got[got.probe_id == p].sort_values("rank").bank_id) == exp
     with pytest.raises(ValueError, match="unsupported influence mode"):
         V.InfluenceConfig(mode="dense_hessian").validate()
+
+
+def test_pairs_compare_keys_and_required_metrics(spark):
+    from trainlens.operators import gates as G
+    rows = [(1, 1, 5, 0.5, 2.0, 1.0, ["a", "b"]), (1, 2, 5, 0.5, 2.1, 1.0, ["b", "a"]),      # order of keys doesn't matter
+            (2, 1, 5, 0.5, 2.0, 1.0, ["a"]), (2, 2, 5, 0.5, 2.0, 1.0, ["a", "c"]),
+            (3, 1, 5, 0.5, None, 1.0, ["a"]), (3, 2, 5, 0.5, 2.0, None, ["a"]),
+            (4, 1, 5, 0.5, 2.0, 1.0, None), (4, 2, 6, 0.5, 2.0, 1.0, []),
+            (5, 1, 5, 0.5, 2.0, 1.0, ["a"]), (6, 1, 1, 0.1, 1.0, 1.0, []), (6, 2, 1, 0.1, 1.0, 1.0, []), (6, 3, 1, 0.1, 1.0, 1.0, [])]
+    runs = spark.createDataFrame(rows, "pair int, run int, steps int, train_loss double, train_steps_per_second double, epochs_completed double, keys array<string>")
+    got = {r.pair: r for r in G.pair_reproducibility(runs, "pair", "run", params_col="keys").collect()}
+    assert {p: r.status for p, r in got.items()} == {1: "paired", 2: "parameter_keys", 3: "metric_missing", 4: "paired", 5: "unpaired", 6: "ambiguous"}
+    assert {p: r.reproducible for p, r in got.items()} == {1: True, 2: False, 3: False, 4: False, 5: None, 6: None}
+    assert got[2].keys_differ == ["c"] and got[3].metrics_missing == ["epochs_completed", "train_steps_per_second"]
+    # a metric that is no column at all
+    short = G.pair_reproducibility(runs.drop("epochs_completed"), "pair", "run").where("pair = 1").first()
+    assert short.status == "metric_missing" and short.metrics_missing == ["epochs_completed"]

@@ -11,6 +11,7 @@ from trainlens.catalog.data_q import _TOK_SQL
 from trainlens.operators import gates as G
 from trainlens.registry import register
 from trainlens.sources.runs import STEPS_PER_EPOCH, loss_log, run_metrics
+from trainlens.sources.tables import read_table
 
 _RUNS_SQL = f"""WITH g AS (
   SELECT user_id AS run_id, count(*) AS steps,
@@ -69,24 +70,46 @@ def run_metric_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
                               "throughput", G.REQUIRED_THROUGHPUT_KEYS)
 
 
-@register("run_pair_reproducibility", _RUNS_SQL + """,
+KEYS_ABOVE = 49.0
+
+
+def run_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run_id, params): a run's parameter keys, here the types of its events
+    that logged more than ``KEYS_ABOVE``."""
+    ev = read_table(spark, sf_dir, "events")
+    return (ev.groupBy(F.col("user_id").alias("run_id"))
+              .agg(F.collect_set(F.when(F.col("value") > KEYS_ABOVE, F.col("event_type"))).alias("params")))
+
+
+@register("run_pair_reproducibility", _RUNS_SQL + f""",
+ks AS (SELECT user_id AS run_id, list_sort(coalesce(list(DISTINCT event_type) FILTER (WHERE value > {KEYS_ABOVE}), [])) AS params
+       FROM events GROUP BY user_id),
 p AS (SELECT run_id // 2 AS pair_id, count(*) AS n_runs,
         arg_min(steps, run_id) AS steps_a, arg_max(steps, run_id) AS steps_b,
         arg_min(train_loss, run_id) AS loss_a, arg_max(train_loss, run_id) AS loss_b,
-        arg_min(train_steps_per_second, run_id) AS rate_a, arg_max(train_steps_per_second, run_id) AS rate_b
-      FROM runs GROUP BY run_id // 2)
-SELECT pair_id, CASE WHEN n_runs = 2 THEN 'paired' WHEN n_runs < 2 THEN 'unpaired' ELSE 'ambiguous' END AS status,
+        arg_min(train_steps_per_second, run_id) AS rate_a, arg_max(train_steps_per_second, run_id) AS rate_b,
+        arg_min(params, run_id) AS keys_a, arg_max(params, run_id) AS keys_b,
+        bool_or(train_loss IS NULL OR train_steps_per_second IS NULL) AS missing
+      FROM runs JOIN ks USING (run_id) GROUP BY run_id // 2),
+st AS (SELECT *, CASE WHEN n_runs < 2 THEN 'unpaired' WHEN n_runs > 2 THEN 'ambiguous' WHEN keys_a <> keys_b THEN 'parameter_keys'
+                      WHEN missing THEN 'metric_missing' ELSE 'paired' END AS status,
+         CASE WHEN n_runs = 2 THEN array_to_string(list_sort(list_filter(list_distinct(keys_a || keys_b),
+           lambda k: NOT (list_contains(keys_a, k) AND list_contains(keys_b, k)))), ',') END AS keys_differ FROM p)
+SELECT pair_id, status, keys_differ,
        steps_a, steps_b, CASE WHEN n_runs = 2 THEN round(abs(loss_a - loss_b), 6) END AS loss_drift,
        CASE WHEN n_runs = 2 THEN round(abs(rate_a - rate_b), 6) END AS rate_drift,
-       CASE WHEN n_runs = 2 THEN steps_a = steps_b AND abs(loss_a - loss_b) <= 1e-4
+       CASE WHEN n_runs = 2 THEN status = 'paired' AND steps_a = steps_b AND abs(loss_a - loss_b) <= 1e-4
             AND coalesce(abs(rate_a - rate_b) <= 0.5, false) END AS reproducible
-FROM p""")
+FROM st""")
 def run_pair_reproducibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs paired as (2i, 2i+1): equal steps, loss drift <= 1e-4, rate
-    drift <= 0.5; a run without its partner is reported as unpaired."""
-    runs = run_metrics(spark, sf_dir).withColumn("pair_id", F.floor(F.col("run_id") / 2).cast("long"))
-    r = G.pair_reproducibility(runs, "pair_id", "run_id")
-    return r.select("pair_id", "status", "steps_a", "steps_b", r6("loss_drift"), r6("rate_drift"), "reproducible")
+    """Runs paired as (2i, 2i+1): equal parameter keys, required metrics,
+    equal steps, loss drift <= 1e-4, rate drift <= 0.5; a run without its partner
+    is reported as unpaired."""
+    runs = (run_metrics(spark, sf_dir).join(run_keys(spark, sf_dir), "run_id")
+            .withColumn("pair_id", F.floor(F.col("run_id") / 2).cast("long")))
+    r = G.pair_reproducibility(runs, "pair_id", "run_id", params_col="params")
+    return r.select("pair_id", "status", F.array_join("keys_differ", ",").alias("keys_differ"), "steps_a", "steps_b",
+                    r6("loss_drift"), r6("rate_drift"), "reproducible")
 
 
 BATCH, ACCUM = 4, 1
@@ -114,7 +137,6 @@ def run_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     (flagged when estimated), the token-rate estimate from the average logged
     value, and the resolved token rate (measured > reported > estimated)."""
     from trainlens.operators import lengths as L
-    from trainlens.sources.tables import read_table
     ev = read_table(spark, sf_dir, "events")
     views = (ev.where(F.col("event_type") == "view").groupBy(F.col("user_id").alias("run_id"))
                .agg(F.count(F.lit(1)).alias("state_step")))

@@ -20,6 +20,7 @@ REQUIRED_RUNTIME_METRIC_KEYS = ("train_runtime", "train_loss", "steps", "epochs_
                                 "train_steps_per_second", "train_tokens_per_second",
                                 "timing_breakdown_s", "throughput")
 REQUIRED_THROUGHPUT_KEYS = ("steps_per_second", "tokens_per_second")
+REQUIRED_PAIR_METRICS = ("train_loss", "steps", "train_steps_per_second", "epochs_completed")
 
 
 # Default gate thresholds and reproducibility tolerances.
@@ -110,30 +111,45 @@ def gate_report(checks: DataFrame) -> DataFrame:
     return long.unionByName(overall)
 
 
-def pair_reproducibility(runs: DataFrame, pair_col: str, order_col: str,
-                         tol: ReproTolerance = ReproTolerance()) -> DataFrame:
-    """Compare the two runs of each pair: equal steps, loss and rate drift.
+def pair_reproducibility(runs: DataFrame, pair_col: str, order_col: str, tol: ReproTolerance = ReproTolerance(), *,
+                         params_col: str | None = None, required: tuple[str, ...] = REQUIRED_PAIR_METRICS) -> DataFrame:
+    """Compare the two runs of each pair: equal parameter keys, all required
+    metrics there, equal steps, loss and rate drift.
 
-    runs: (pair_col, order_col, steps, train_loss, train_steps_per_second).
-    Pairs are formed by ``pair_col`` (a groupBy, not a global lag window).
-    ``status`` is ``paired``, or ``unpaired`` / ``ambiguous`` where a key has
-    one run or more than two; those have null drifts and a null verdict.
+    runs: (pair_col, order_col, steps, train_loss, train_steps_per_second, the
+    other required metrics, and optionally ``params_col``, an array of each
+    run's parameter keys, whose order doesn't matter). Pairs are formed by
+    ``pair_col`` (a groupBy, not a global lag window).
+
+    ``status`` is ``unpaired`` / ``ambiguous`` where a key has one run or more
+    than two, which have null drifts and a null verdict; else
+    ``parameter_keys`` where the runs' key sets differ (``keys_differ`` lists
+    the keys of one only), ``metric_missing`` where a required metric is null or
+    no column (``metrics_missing`` lists them), and ``paired``. Only paired runs
+    can be reproducible.
     """
     key = F.col(order_col)
-    g = runs.groupBy(pair_col).agg(
+    keys = F.array_sort(F.array_distinct(F.coalesce(F.col(params_col), F.array().cast("array<string>")))) if params_col else F.array().cast("array<string>")
+    absent = F.array_compact(F.array(*[F.when(F.col(m).isNull(), F.lit(m)) if m in runs.columns else F.lit(m) for m in required]))
+    g = runs.withColumn("_keys", keys).withColumn("_absent", absent).groupBy(pair_col).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.min_by("steps", key).alias("steps_a"), F.max_by("steps", key).alias("steps_b"),
         F.min_by("train_loss", key).alias("loss_a"), F.max_by("train_loss", key).alias("loss_b"),
         F.min_by("train_steps_per_second", key).alias("rate_a"),
-        F.max_by("train_steps_per_second", key).alias("rate_b"))
-    status = F.when(F.col("n_runs") == 2, "paired").when(F.col("n_runs") < 2, "unpaired").otherwise("ambiguous")
-    pair = F.col("status") == "paired"
-    same = ((F.col("steps_a") == F.col("steps_b")) & (F.col("loss_drift") <= tol.loss)
-            & F.coalesce(F.col("rate_drift") <= tol.rate, F.lit(False)))
-    return (g.withColumn("status", status)
+        F.max_by("train_steps_per_second", key).alias("rate_b"),
+        F.min_by("_keys", key).alias("_keys_a"), F.max_by("_keys", key).alias("_keys_b"),
+        F.array_sort(F.array_union(F.min_by("_absent", key), F.max_by("_absent", key))).alias("_absent"))
+    pair = F.col("n_runs") == 2
+    differ = F.array_sort(F.array_union(F.array_except("_keys_a", "_keys_b"), F.array_except("_keys_b", "_keys_a")))
+    status = (F.when(F.col("n_runs") < 2, "unpaired").when(F.col("n_runs") > 2, "ambiguous").when(F.size("keys_differ") > 0, "parameter_keys")
+              .when(F.size("metrics_missing") > 0, "metric_missing").otherwise("paired"))
+    same = ((F.col("steps_a") == F.col("steps_b")) & (F.col("loss_drift") <= tol.loss) & (F.col("rate_drift") <= tol.rate))
+    return (g.withColumn("keys_differ", F.when(pair, differ)).withColumn("metrics_missing", F.when(pair, F.col("_absent")))
+             .withColumn("status", status)
              .withColumn("loss_drift", F.when(pair, F.abs(F.col("loss_a") - F.col("loss_b"))))
              .withColumn("rate_drift", F.when(pair, F.abs(F.col("rate_a") - F.col("rate_b"))))
-             .withColumn("reproducible", F.when(pair, same)))
+             .withColumn("reproducible", F.when(pair, F.coalesce((F.col("status") == "paired") & same, F.lit(False))))
+             .drop("_keys_a", "_keys_b", "_absent"))
 
 
 def artifact_hashes(spark, root: str, glob: str = "*") -> DataFrame:
