@@ -1,10 +1,8 @@
 """Dataset scans and result sinks.
 
-Large corpora should be JSON Lines, or CSV without line breaks inside fields:
-those are split across tasks. A CSV with such fields (``multi_line``) is read
-by one task per file. A single JSON array or ``{"data": [...]}`` document is
-one value and is parsed by one task; it is supported for the reference's file
-layouts, not as the scale path.
+Every layout is read by many tasks: JSON Lines and CSV without line breaks
+inside fields by the built-in sources, JSON arrays, ``{"data": [...]}`` documents
+and CSV with such fields (``multi_line``) by byte ranges (``structural.py``).
 """
 
 from __future__ import annotations
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trainlens.functions.text import strip
+from trainlens.plans.ordinal import with_ordinal
+from trainlens.sources.structural import csv_records, json_elements
 
 _PLACE = ["_path", "_block"]
 
@@ -39,11 +39,25 @@ def _as_text(c: str):
 
 def read_csv_dataset(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """S01 + S05: CSV with a header, every field a string (null -> ''), plus
-    ``ordinal``. ``multi_line=False`` lets files without line breaks inside
-    fields be split across tasks."""
-    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-           .option("inferSchema", False).csv(path))
-    return _file_ordinal(raw, [_as_text(c) for c in raw.columns])
+    ``ordinal``, the row's index in order of (file path, place in the file).
+    ``multi_line=False`` promises that no field has a line break."""
+    if not multi_line:
+        raw = spark.read.option("header", True).option("escape", '"').option("inferSchema", False).csv(path)
+        return _file_ordinal(raw, [_as_text(c) for c in raw.columns])
+    names = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    shape = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rec = csv_records(spark, path)
+    head = rec.groupBy("path").agg(F.min("ordinal").alias("head"))  # a file's first record is its header
+    rows = rec.join(F.broadcast(head), "path").where("ordinal > head").select("path", F.col("ordinal").alias("_at"), F.from_csv(
+        "text", shape.toDDL(), {"escape": '"', "multiLine": "true"}).alias("_row"))
+    rows = rows.select(*[F.coalesce(F.col(f"_row.`{c}`"), F.lit("")).alias(c) for c in names], F.col("path").alias("_path"), "_at")
+    return _numbered(rows)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``ordinal`` in order of (_path, _at)."""
+    keys = with_ordinal(rows.select("_path", "_at"), ["_path", "_at"], "ordinal")
+    return rows.join(keys, ["_path", "_at"]).drop("_path", "_at")
 
 
 def read_jsonl_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -63,24 +77,18 @@ def read_jsonl_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def read_json_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S02 + S03: a JSON array, or an object whose ``data`` member is an array.
+    """S02 + S03: JSON arrays, or an object whose ``data`` member is an array.
 
     Returns (records, violations). records: (ordinal, record MAP<STRING,
     STRING>) with values as JSON text (strings unquoted, null -> '');
     violations: (ordinal, reason) for elements that are not objects, and one
-    row with ordinal -1 when the document has no list of records.
+    row with ordinal -1 for a document that is no closed list of records (the
+    elements that can be read are returned all the same).
     """
-    text = spark.read.text(path, wholetext=True)
-    root = F.col("value")
-    data = F.when(F.substring(F.ltrim(root), 1, 1) == "[", root) \
-            .otherwise(F.get_json_object(root, "$.data"))
-    arr = F.from_json(data, "array<string>")
-    elems = text.select(arr.alias("a"))
-    bad_root = elems.where(F.col("a").isNull()).select(
+    ex, files = json_elements(spark, path)
+    bad_root = files.where("NOT complete").select(
         F.lit(-1).cast("long").alias("ordinal"),
         F.lit("JSON dataset must be a list or an object with a 'data' list").alias("reason"))
-    ex = elems.where(F.col("a").isNotNull()).select(F.posexplode("a").alias("ordinal", "elem")) \
-              .withColumn("ordinal", F.col("ordinal").cast("long"))
     is_obj = F.json_object_keys("elem").isNotNull()
     viol = ex.where(~is_obj).select(
         "ordinal", F.concat(F.lit("Invalid dataset row at index "), F.col("ordinal").cast("string"),
