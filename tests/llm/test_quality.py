@@ -70,16 +70,95 @@ def test_false_rejections_stay_under_the_bound(spark):
     assert sum(v for k, v in lost.items() if k[1] == 0) > 50
 
 
+def plain_value(rule, t):
+    n_words, word_chars, n_symbols, n_dup, n_repeat, _ = counts(t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return {"symbols_per_word": n_symbols / n_words, "marks_per_word": len(re.findall(r"[!?]", t)) / n_words, "dup_line_share": n_dup / len(lines),
+            "repeated_word_share": n_repeat / n_words, "mean_word_chars": word_chars / n_words}[rule]
+
+
+def binomial_upper(k, n, delta):
+    """The bound by bisection on the plain sum."""
+    from math import comb
+    lo, hi = 0.0, 1.0
+    for _ in range(50):
+        p = (lo + hi) / 2
+        lo, hi = (p, hi) if sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > delta else (lo, p)
+    return hi if k < n else 1.0
+
+
+def test_levels_against_brute_force(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(1500):
+        good = rng.random() < 0.7
+        marks = rng.choice(["", "", "", "!", "#"]) if good else rng.choice(["!!!", "###", "x" * 30, "!#"])
+        words = [f"w{rng.randrange(400)}{marks if rng.random() < (0.05 if good else 0.8) else ''}" for _ in range(rng.randrange(12, 40))]
+        docs.append((i, " ".join(words), rng.choice(["en", "en", None, "de"]) if i < 1450 else "xx"))
+        labels.append((i, int(good), 0))
+    docs += [(2000 + i, docs[0][1], docs[0][2]) for i in range(300)]  # one text many times is one trial
+    labels += [(2000 + i, labels[0][1], 0) for i in range(300)]
+    labels += [(3, 0, 0), (None, 1, 0), (5, None, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    got = R.choose_levels(R.features(df).checkpoint(), labels_frame(spark, labels))
+    label = {}
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            label[i] = min(q, label.get(i, 1))
+    trials = {}
+    for i, t, lang in docs:
+        key = (lang, t)
+        trials[key] = min(label[i], trials.get(key, 1))
+    sizes = collections.Counter(lang for (lang, _), q in trials.items() if q)
+    share = max(m for m in range(1, len(sizes) + 1) if 0.98 ** sorted(sizes.values())[-m] <= 0.05 / m)
+    assert share == 3  # all but xx
+    expected = {}
+    for lang in sizes:
+        first = {}
+        for (s, t), q in trials.items():
+            if s == lang:
+                first[t] = min((i for i in range(R.LEVELS) for r in R.RULES if plain_value(r, t) > R.cutoff_at(r, i)), default=R.LEVELS), q
+        best = (0, None)
+        for level in range(R.LEVELS):
+            k = sum(q and f <= level for f, q in first.values())
+            if binomial_upper(k, sizes[lang], 0.05 / share) > 0.02:
+                break
+            caught = sum(not q and f <= level for f, q in first.values())
+            if caught > best[0]:
+                best = (caught, level)
+        if best[1] is not None:
+            expected[lang] = best[1]
+    assert got == expected and len(got) == 3
+    verdicts = R.judge(df, labels_frame(spark, labels)).collect()
+    texts = {i: (t, lang) for i, t, lang in docs}
+    for r in verdicts:
+        t, lang = texts[r.doc_id]
+        bad = lang in got and any(plain_value(q, t) > R.cutoff_at(q, got[lang]) for q in R.RULES)
+        assert r.kept == (not counts(t)[-1] and not bad)
+
+
+def test_held_out_false_rejections(spark):
+    """Levels from two thirds of the labels, counted on the other third."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    fit, held = labels.where("crc32(string(doc_id)) % 3 <> 1"), labels.where("crc32(string(doc_id)) % 3 = 1")
+    out = R.judge(docs, fit).join(held, "doc_id").where("NOT base_failed AND level IS NOT NULL")
+    n = {(r["quality"] > 0, r["kept"]): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    good, bad = n.get((True, True), 0) + n.get((True, False), 0), n.get((False, True), 0) + n.get((False, False), 0)
+    assert good > 500 and n.get((True, False), 0) <= 0.02 * good
+    assert n.get((False, False), 0) > 0.2 * bad
+    assert {r.stratum for r in R.judge(docs, labels).where("level IS NOT NULL").select("stratum").distinct().collect()} == {"de", "en", "es", "fr"}
+
+
 @pytest.mark.parametrize("lang", [None, "en"])
 def test_null_language_is_a_stratum(spark, lang):
     """Labels admit a cutoff for texts without a language as for any other."""
     text = " ".join(f"word{k}" for k in range(30))
     bad = " ".join(f"{w}{'#' * 9}" for w in text.split())
-    docs = [(i, bad if i % 4 == 0 else text, lang) for i in range(4800)] + [(9000, bad, "fr")]
-    labels = [(i, int(i % 4 > 0), 0) for i in range(4000)]
+    docs = [(i, f"{bad if i % 4 == 0 else text} id{i}", lang) for i in range(480)] + [(9000, bad, "fr")]
+    labels = [(i, int(i % 4 > 0), 0) for i in range(400)]
     got = R.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels_frame(spark, labels)).collect()
     assert not any(r.base_failed for r in got)
-    assert {r.doc_id for r in got if not r.kept} == set(range(0, 4800, 4))
+    assert {r.doc_id for r in got if not r.kept} == set(range(0, 480, 4))
 
 
 @pytest.mark.parametrize("rows", [[], [(500, 1, 0)], [(1, None, None)]])

@@ -1,15 +1,24 @@
 """Risk-controlled quality rules.
 
 Every text gets plain counts in one narrow pass. Rules compare a ratio of
-those counts with a cutoff. Cutoffs are not set by hand: for every stratum and
-rule, the labelled texts of good quality tell how often a cutoff would reject
-one wrongly, and a cutoff is admitted only if the exact (Clopper-Pearson)
-upper bound of that rate stays under the rule's share of the allowed risk.
-Cutoffs are tested from the laxest to the strictest and testing stops at the
-first that fails, which spends no further error; the confidence is split
-evenly over strata and rules (Bonferroni). Among the admitted cutoffs the one
-that catches most labelled bad texts is taken, the laxest on a tie. A stratum
-with too few labels to admit any cutoff rejects nothing by these rules.
+those counts with a cutoff. Cutoffs are not set by hand: they go through
+``LEVELS`` joint settings, from one where every rule is lax to one where every
+rule is strict, so a text has one number, the first level that rejects it. Per
+stratum, the labelled texts of good quality tell how often a level would reject
+one wrongly by any rule, and a level is admitted only if the exact
+(Clopper-Pearson) upper bound of that rate stays under the allowed risk.
+
+* Levels are tested from the laxest to the strictest and testing stops at the
+  first that fails, which spends no further error.
+* The confidence is split evenly over the strata with enough good labels to
+  admit any level at all (Bonferroni; how many there are follows from the
+  numbers of labels alone, not from what the rules do to them).
+* Equal texts of a stratum are one trial, good if all their labels are; texts
+  that the base rule rejects are none.
+
+Among the admitted levels the one that catches most labelled bad texts is
+taken, the laxest on a tie. A stratum with too few labels (217 good texts with
+four strata, 2 % risk and 95 % confidence) rejects nothing by these rules.
 
 Defined results: a null text has no words and all counts 0 (so the base rule
 fails it, as it fails any text under ``min_words``); texts of a null lang are a
@@ -24,14 +33,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainlens.llm import common as C
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 CLOSERS = np.isin(np.arange(256), np.frombuffer(b"!?", np.uint8))
-WINDOW = 5
+WINDOW, LEVELS = 5, 60
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_distinct"]
 _SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 
@@ -122,10 +131,12 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum (the language), key of doc_id, text and language, and the
-    counts of every text."""
-    cols = docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), C.row_key("doc_id", "text", "lang").alias("rid"), "text")
-    schema = f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, stratum string, rid long, {_SCHEMA}"
+    """doc_id, stratum (the language), key of doc_id, text and language, key of
+    the text, and the counts of every text."""
+    C.prepare(docs.sparkSession)
+    cols = docs.select("doc_id", F.col("lang").cast("string").alias("stratum"), C.row_key("doc_id", "text", "lang").alias("rid"),
+                       C.row_key("text").alias("tid"), "text")
+    schema = f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, stratum string, rid long, tid long, {_SCHEMA}"
     return cols.mapInArrow(_count_batches, schema)
 
 
@@ -151,55 +162,78 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(feats: DataFrame, labels: DataFrame, *, max_false_rejection: float = 0.02,
-                   delta: float = 0.05) -> dict[tuple[str | None, str], float]:
-    """(stratum, rule) -> admitted cutoff, from every labelled text; null is a
-    stratum like any other. Only histogram cells come to the driver: at most strata x rules x
-    grid values of them."""
+def cutoff_at(rule: str, level: int) -> float:
+    """A rule's cutoff at a joint level."""
+    grid = RULES[rule][1]
+    return grid[level * (len(grid) - 1) // (LEVELS - 1)]
+
+
+def first_level() -> Column:
+    """The first joint level that rejects a text; ``LEVELS`` if none does."""
+    out = []
+    for rule, (expr, _) in RULES.items():
+        cuts = [cutoff_at(rule, i) for i in range(LEVELS)]  # they only get stricter
+        out.append(F.expr(f"{LEVELS} - size(filter(array({', '.join(f'{x}D' for x in cuts)}), x -> {expr} > x))"))
+    return F.least(*out)
+
+
+def powered(sizes: list[int], risk: float, delta: float) -> int:
+    """How many strata share the confidence: the most for which each, with its
+    share, could admit a level that rejects no good text."""
+    ordered = sorted(sizes, reverse=True)
+    return max([m for m in range(1, len(ordered) + 1) if (1 - risk) ** ordered[m - 1] <= delta / m], default=0)
+
+
+def admitted_level(good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> int | None:
+    """From how many good and bad texts each level is the first to reject (the
+    last entry: none does), the admitted level that catches most bad texts."""
+    n, best, most = int(good.sum()), None, 0
+    k = caught = 0
+    for level in range(len(good) - 1):
+        k, caught = k + int(good[level]), caught + int(bad[level])
+        if upper_bound(k, n, delta) > risk:
+            break
+        if caught > most:
+            best, most = level, caught
+    return best
+
+
+def choose_levels(feats: DataFrame, labels: DataFrame, *, max_false_rejection: float = 0.02,
+                  delta: float = 0.05) -> dict[str | None, int]:
+    """Admitted joint level per stratum, from every labelled text; null is a
+    stratum like any other. Only histogram cells come to the driver: at most
+    strata x 2 x levels of them."""
     lab = (labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL")
            .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    held = feats.where("n_words > 0").join(lab, "doc_id")
-    cells = []
-    for name, (expr, grid) in RULES.items():
-        # how many of the cutoffs the value is over (the laxest ones last)
-        level = F.expr(f"size(filter(array({', '.join(f'{x}D' for x in grid)}), x -> {expr} > x))")
-        cells.append(F.struct(F.lit(name).alias("rule"), level.alias("over")))
-    hist = (held.select("stratum", (F.col("quality") > 0).alias("good"), F.explode(F.array(*cells)).alias("c"))
-            .groupBy("stratum", "good", "c.rule", "c.over").count().collect())
-    seen: dict[tuple[str | None, str], tuple[np.ndarray, np.ndarray]] = {}
-    for r in hist:
-        size = len(RULES[r["rule"]][1]) + 1
-        good, bad = seen.setdefault((r["stratum"], r["rule"]), (np.zeros(size, np.int64), np.zeros(size, np.int64)))
-        (good if r["good"] else bad)[r["over"]] += r["count"]
-    share = max_false_rejection / len(RULES)
-    level = delta / max(1, len(seen))
+    held = feats.where("n_words > 0").join(lab, "doc_id").withColumn("level", first_level())
+    trials = held.groupBy("stratum", "tid").agg(F.min("quality").alias("quality"), F.min("level").alias("level"))
+    seen: dict[str | None, np.ndarray] = {}
+    for r in trials.groupBy("stratum", (F.col("quality") > 0).alias("good"), "level").count().collect():
+        seen.setdefault(r["stratum"], np.zeros((2, LEVELS + 1), np.int64))[int(r["good"]), r["level"]] += r["count"]
+    share = powered([int(h[1].sum()) for h in seen.values()], max_false_rejection, delta)
     out = {}
-    for (stratum, rule), (good, bad) in sorted(seen.items(), key=lambda x: (x[0][0] is not None, x[0][0] or "", x[0][1])):
-        grid, size = RULES[rule][1], len(good)
-        n, best = int(good.sum()), None
-        for i, cutoff in enumerate(grid):  # lax to strict; over > size-1-i cutoffs means rejected
-            # a value over this cutoff is over all stricter ones too
-            k, caught = int(good[size - 1 - i:].sum()), int(bad[size - 1 - i:].sum())
-            if upper_bound(k, n, level) > share:
-                break
-            if caught and (best is None or caught > best[0]):
-                best = (caught, cutoff)
-        if best:
-            out[stratum, rule] = best[1]
+    for stratum, (bad, good) in seen.items():
+        level = admitted_level(good, bad, max_false_rejection, delta / share) if share else None
+        if level is not None:
+            out[stratum] = level
     return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, min_words: int = 10, max_repeat_pct: int = 20,
           max_false_rejection: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Counts, base verdict and final verdict of every text; ``rid`` is the row's
-    key of doc_id, text and language."""
+    key of doc_id, text and language. ``level`` is the stratum's admitted joint
+    level, null where there is none."""
     C.prepare(docs.sparkSession)
     # read twice (holdout counts, verdicts): small rows, so the text is read once
     feats = features(docs).checkpoint()
-    cut = choose_cutoffs(feats, labels, max_false_rejection=max_false_rejection, delta=delta)
     base = F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeat_pct} * n_words")
-    over = F.lit(False)
-    for (stratum, rule), cutoff in cut.items():
-        over = over | (F.col("stratum").eqNullSafe(F.lit(stratum).cast("string")) & F.coalesce(F.expr(RULES[rule][0]) > cutoff, F.lit(False)))
-    return (feats.withColumn("base_failed", base)
+    # the risk is that of the rules, so texts that the base rule rejects are no trials
+    levels = choose_levels(feats.where(~base), labels, max_false_rejection=max_false_rejection, delta=delta)
+    # one row per stratum that has over two hundred labelled texts
+    table = docs.sparkSession.createDataFrame([(s, s is None, i) for s, i in levels.items()], "at string, no_lang boolean, level int")
+    over = F.coalesce(first_level() <= F.col("level"), F.lit(False))
+    keyed = feats.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "stratum"), F.lit("")))
+    keys = table.select(F.when(F.col("no_lang"), "").otherwise(F.concat(F.lit("s"), "at")).alias("_s"), "level")
+    return (keyed.join(keys, "_s", "left").drop("_s").withColumn("base_failed", base)
             .withColumn("kept", ~F.col("base_failed") & ~over))
