@@ -218,3 +218,37 @@ def test_gaps_are_rows(spark):
     assert sorted(r.page_id for r in rows if r.gap_end is None) == list(range(6))
     gap = [r for r in rows if r.gap_end is not None]
     assert len(gap) == 1 and gap[0].offset == len(data) - 7 and gap[0].gap_end == len(data)
+
+
+def test_reading_is_linear_in_the_archive(monkeypatch):
+    """A member's decompressor is fed the member and one step more at most,
+    however long the archive; members over a step, and damage, included."""
+    rng = random.Random(9)
+    bodies = [bytes(rng.randrange(256) for _ in range(n)) for n in (200, 3000, 90_000)]
+    members = [warc.member(warc.record_bytes(i, "u", bodies[i % 3], warc.digest(bodies[i % 3]), None)) for i in range(150)]
+    fed = []
+
+    class Counting:
+        def __init__(self, z):
+            self.z, self.i = z, len(fed)
+            fed.append(0)
+
+        def decompress(self, part, *a):
+            fed[self.i] += len(part)
+            return self.z.decompress(part, *a)
+
+        def __getattr__(self, name):
+            return getattr(self.z, name)
+    real = warc.zlib.decompressobj
+    monkeypatch.setattr(warc.zlib, "decompressobj", lambda *a: Counting(real(*a)))
+    totals = []
+    for n in (50, 150):
+        fed.clear()
+        out = warc.read_archive(b"".join(members[:n]))
+        assert len(out.records) == n and not out.gaps and [r.body for r in out.records[:3]] == bodies
+        assert len(fed) == n and all(f <= len(m) + 2 * warc.STEP for f, m in zip(fed, members, strict=False))
+        totals.append(sum(fed))
+    assert totals[1] < 4 * totals[0]
+    broken = bytearray(b"".join(members))
+    broken[len(members[0]) + 500] ^= 0xFF
+    assert len(warc.read_archive(bytes(broken)).records) == 149

@@ -47,7 +47,7 @@ VERSION = b"WARC/1.1\r\n"
 START = re.compile(rb"WARC/\d\.\d\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 NO_END = "gzip member without an end"
-STEP = 64 << 10  # compressed bytes at a time where a member is broken
+STEP = 64 << 10  # compressed bytes at a time
 ARCHIVE_BYTES = 4 << 20  # payload bytes of an archive, about
 DATE = "1970-01-01T00:00:00Z"  # pages carry no date
 
@@ -124,14 +124,16 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
 
 def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
     """The decompressed member at ``at`` and the place behind it."""
-    z = zlib.decompressobj(31)
-    try:
-        raw = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damage(f"gzip: {str(e)[:60]}") from e
-    if not z.eof:
-        raise Damage(NO_END)
-    return raw, len(data) - len(z.unused_data)
+    # step by step: a decompressor copies all it is fed and doesn't use
+    z, out, view = zlib.decompressobj(31), [], memoryview(data)
+    for a in range(at, len(data), STEP):
+        try:
+            out.append(z.decompress(view[a:a + STEP]))
+        except zlib.error as e:
+            raise Damage(f"gzip: {str(e)[:60]}") from e
+        if z.eof:
+            return b"".join(out), min(a + STEP, len(data)) - len(z.unused_data)
+    raise Damage(NO_END)
 
 
 def _member_prefix(data: bytes, at: int) -> bytes:
