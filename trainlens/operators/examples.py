@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trainlens.functions.text import first_nonblank, nonblank, strip
 
@@ -241,12 +243,17 @@ def dataset_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFra
     nor separators inside a text can be mistaken. One pass with partial
     aggregation; any SQL engine with md5 reproduces it."""
     cols = cols or df.columns
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *_fingerprint(cols))
+
+
+def _fingerprint(cols: list[str]) -> list:
+    """The aggregates ``xor_hash`` and ``sum_hash`` over rows of ``cols``."""
     text = lambda c: F.col(c).cast("string")
     row = F.concat(*[F.when(F.col(c).isNull(), F.lit("n")).otherwise(
         F.concat(F.lit("v"), F.octet_length(text(c)).cast("string"), F.lit(":"), text(c))) for c in cols])
     h = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("long")
     total = (F.sum(h.cast("decimal(20,0)")) % F.lit(1 << 61).cast("decimal(20,0)")).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("xor_hash"), F.coalesce(total, F.lit(0).cast("long")).alias("sum_hash"))
+    return [F.bit_xor(h).alias("xor_hash"), F.coalesce(total, F.lit(0).cast("long")).alias("sum_hash")]
 
 
 def settings_key(**settings) -> str:
@@ -278,3 +285,90 @@ def cached(spark, path_root: str, key: str, build) -> DataFrame:
         return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# ---- X11 + X12: a digest tree over key buckets, and a cache rebuilt by bucket
+BUCKETS = 64
+
+
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+
+def bucket_digests(df: DataFrame, key: str, *, buckets: int = BUCKETS, cols: list[str] | None = None) -> DataFrame:
+    """X11: (bucket, n_rows, digest) over the rows whose key hashes there; the
+    digest is that of ``dataset_fingerprint`` and doesn't depend on row order."""
+    cols = cols or df.columns
+    keyed = df.withColumn("_bucket", _bucket(key, buckets))
+    return (keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n_rows"), *_fingerprint(cols))
+            .select(F.col("_bucket").alias("bucket"), "n_rows",
+                    F.sha2(F.concat_ws(":", "n_rows", "xor_hash", "sum_hash"), 256).alias("digest")))
+
+
+def digest_tree(digests: DataFrame, *, buckets: int = BUCKETS, fan: int = 8) -> DataFrame:
+    """X11: (level, node, digest) of the tree over the buckets, an empty bucket
+    counting as the empty string; the root is the node of the highest level.
+    There are ``buckets`` leaves however large the table is."""
+    rows = {r["bucket"]: r["digest"] for r in digests.collect()}
+    level, out, depth = [rows.get(i, "") for i in range(buckets)], [], 0
+    while True:
+        out += [(depth, i, d) for i, d in enumerate(level)]
+        if len(level) == 1:
+            return digests.sparkSession.createDataFrame(out, "level int, node int, digest string")
+        level = [hashlib.sha256("".join(level[i:i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+        depth += 1
+
+
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the published manifests, oldest first."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    done = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-*/_SUCCESS"))  # noqa: SLF001
+    return sorted(int(str(f.getPath().getParent().getName()).split("-")[1]) for f in done or [])
+
+
+def cached_by_bucket(df: DataFrame, path: str, key: str, build, *, buckets: int = BUCKETS, settings: str = "") -> DataFrame:
+    """``build(df)`` from a stored copy of which only the buckets of changed
+    records are made anew.
+
+    ``build`` makes rows that carry ``key`` from records of the same key alone.
+    The table is stored by bucket; a manifest (bucket, digest of its records,
+    folder) is written last, as a new number, and readers take the newest one
+    that is complete. So a refresh shows as a whole or not at all, and readers
+    of the old manifest keep their files. Other ``settings`` rebuild everything.
+    Rows of ``df`` must not change while this runs.
+    """
+    spark = df.sparkSession
+    now = {r["bucket"]: r["digest"] for r in bucket_digests(df, key, buckets=buckets).collect()}
+    known = _versions(spark, path)
+    same: list = []
+    if known:
+        m = spark.read.parquet(f"{path}/manifest-{known[-1]:06d}").where((F.col("settings") == settings) & (F.col("buckets") == buckets))
+        same = m.collect()
+    old = {r["bucket"]: (r["digest"], r["folder"]) for r in same if r["bucket"] is not None}
+    changed = [b for b in now if old.get(b, ("",))[0] != now[b]]
+    number = known[-1] + 1 if known else 0
+    if changed or set(now) != set(old) or not same:
+        folder = f"data-{number:06d}-{uuid.uuid4().hex[:8]}"
+        some = df.where(_bucket(key, buckets).isin(changed)) if changed else df.limit(0)
+        made = build(some).withColumn("_bucket", _bucket(key, buckets))
+        made.write.partitionBy("_bucket").parquet(f"{path}/{folder}")
+        shape = build(df.limit(0)).schema.json()
+        rows = [(b, now[b], folder if b in changed else old[b][1], settings, buckets, shape) for b in now] or [(None, None, None, settings, buckets, shape)]
+        (spark.createDataFrame(rows, "bucket int, digest string, folder string, settings string, buckets int, shape string")
+         .coalesce(1).write.parquet(f"{path}/manifest-{number:06d}"))
+    return read_by_bucket(spark, path)
+
+
+def read_by_bucket(spark, path: str) -> DataFrame:
+    """The table of the newest complete manifest."""
+    known = _versions(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no complete manifest under {path}")
+    rows = spark.read.parquet(f"{path}/manifest-{known[-1]:06d}").collect()  # one row per bucket
+    shape = T.StructType.fromJson(json.loads(rows[0]["shape"]))
+    jvm = spark._jvm.org.apache.hadoop.fs  # noqa: SLF001
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    places = [f"{path}/{r['folder']}/_bucket={r['bucket']}" for r in rows if r["bucket"] is not None]
+    places = [p for p in places if fs.exists(jvm.Path(p))]  # a bucket may have built no rows
+    return spark.read.schema(shape).parquet(*places) if places else spark.createDataFrame([], shape)

@@ -7,11 +7,17 @@ report is the unpivoted table.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trainlens.functions.files import read_range
+
 # Required keys of the run artifacts.
 REQUIRED_PARAMS_KEYS = ("run_id", "output_dir", "base_model_path", "tokenizer_name_or_path",
                         "dataset_json_path")
@@ -152,21 +158,71 @@ def pair_reproducibility(runs: DataFrame, pair_col: str, order_col: str, tol: Re
              .drop("_keys_a", "_keys_b", "_absent"))
 
 
-def artifact_hashes(spark, root: str, glob: str = "*") -> DataFrame:
-    """(run, relative path, sha256) for every artifact file under ``root``/<run>/.
+LEAF_BYTES = 8 << 20
+FAN = 1024  # digests under one node of the tree
 
-    Uses the binaryFile source; compare two runs by joining on the relative path.
-    """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(root))
-    rel = F.regexp_replace(F.col("path"), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
-    return files.select(F.split(rel, "/").getItem(0).alias("run"),
-                        F.regexp_replace(rel, r"^[^/]+/", "").alias("relpath"),
-                        F.sha2(F.col("content"), 256).alias("sha256"))
 
-
-def compare_artifacts(hashes: DataFrame, run_a: str, run_b: str) -> DataFrame:
-    """Per relative path, whether the two runs hold identical bytes."""
-    a = hashes.where(F.col("run") == run_a).select("relpath", F.col("sha256").alias("a"))
-    b = hashes.where(F.col("run") == run_b).select("relpath", F.col("sha256").alias("b"))
-    return a.join(b, "relpath", "full").withColumn("match", F.coalesce(F.col("a") == F.col("b"), F.lit(False)))
+def artifact_leaves(spark, root: str, glob: str = "*", *, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """(run, relpath, leaf, offset, length, sha256) of every byte range of
+    every artifact file under ``root``/<run>/. The driver lists files only; the
+    ranges, rows like any other, are read by as many tasks as there is work for."""
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    # the scan skips empty files, the listing has them
+    listed = spark.createDataFrame([(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in scan.inputFiles()], "path string")
+    files = listed.join(scan.select("path", "length"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
+    rel = F.regexp_replace(F.col("path"), r"^.*?/" + root.rstrip("/").split("/")[-1] + "/", "")
+    last = F.greatest(F.lit(0), F.floor((F.col("length") - 1) / leaf_bytes)).cast("long")
+    ranges = (files.select("path", F.split(rel, "/").getItem(0).alias("run"), F.regexp_replace(rel, r"^[^/]+/", "").alias("relpath"), "length",
+                           F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("leaf"))
+              .withColumn("offset", F.col("leaf") * leaf_bytes).withColumn("length", F.least(F.lit(leaf_bytes).cast("long"), F.col("length") - F.col("offset"))))
+
+    def digest(batches):
+        for b in batches:
+            path, offset, length = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("path", "offset", "length"))
+            sha = [hashlib.sha256(read_range(p, o, n)).hexdigest() for p, o, n in zip(path, offset, length, strict=True)]
+            keep = [b.column(b.schema.get_field_index(c)) for c in ("run", "relpath", "leaf", "offset", "length")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sha, pa.string())], ["run", "relpath", "leaf", "offset", "length", "sha256"])
+    dealt = ranges.repartition(spark.sparkContext.defaultParallelism * 4, "path", "leaf")
+    return dealt.mapInArrow(digest, "run string, relpath string, leaf long, offset long, length long, sha256 string")
+
+
+def tree_hashes(leaves: DataFrame) -> DataFrame:
+    """(run, relpath, leaves, bytes, sha256): per file the root of a tree whose
+    nodes are the sha256 of up to ``FAN`` digests below them, in order. A file of
+    one leaf has its usual sha256. A level has ``FAN`` times fewer rows than the
+    one below, so no group grows with the file."""
+    key = ["run", "relpath"]
+    level = leaves.select(*key, F.col("leaf").alias("i"), "sha256", F.lit(1).cast("long").alias("leaves"), F.col("length").alias("bytes")).checkpoint()
+    while (level.agg(F.max("i")).first()[0] or 0) > 0:
+        below = level.select(*key, F.floor(F.col("i") / FAN).cast("long").alias("i"), F.struct("i", "sha256").alias("d"), "leaves", "bytes")
+        node = below.groupBy(*key, "i").agg(F.sort_array(F.collect_list("d")).alias("d"), F.sum("leaves").alias("leaves"), F.sum("bytes").alias("bytes"))
+        digests = F.transform("d", lambda x: x["sha256"])
+        level = node.select(*key, "i", F.when(F.size("d") == 1, digests[0]).otherwise(F.sha2(F.array_join(digests, ""), 256)).alias("sha256"), "leaves", "bytes").checkpoint()
+    return level.drop("i")
+
+
+def artifact_hashes(spark, root: str, glob: str = "*", *, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """(run, relpath, leaves, bytes, sha256) of every artifact file, of any
+    size. Compare two runs by joining on the relative path."""
+    return tree_hashes(artifact_leaves(spark, root, glob, leaf_bytes=leaf_bytes))
+
+
+def compare_artifacts(hashes: DataFrame, run_a: str, run_b: str, leaves: DataFrame | None = None) -> DataFrame:
+    """Per relative path, whether the two runs hold identical bytes; with
+    ``leaves`` also the offset and length of the first byte range that differs
+    (of the longer file where one ends first; null where a file is missing)."""
+    side = lambda df, run, name: df.where(F.col("run") == run).select("relpath", F.col("sha256").alias(name))
+    out = (side(hashes, run_a, "a").join(side(hashes, run_b, "b"), "relpath", "full")
+           .withColumn("match", F.coalesce(F.col("a") == F.col("b"), F.lit(False))))
+    if leaves is None:
+        return out
+    cols = lambda run: leaves.where(F.col("run") == run).select("relpath", "leaf", "offset", "length", "sha256")
+    x, y = cols(run_a).alias("x"), cols(run_b).alias("y")
+    differ = x.join(y, (F.col("x.relpath") == F.col("y.relpath")) & (F.col("x.leaf") == F.col("y.leaf")), "full").where(
+        ~F.col("x.sha256").eqNullSafe(F.col("y.sha256")))
+    first = differ.select(F.coalesce("x.relpath", "y.relpath").alias("relpath"), F.coalesce("x.leaf", "y.leaf").alias("leaf"),
+                          F.coalesce("x.offset", "y.offset").alias("offset"), F.greatest("x.length", "y.length").alias("length"))
+    first = first.groupBy("relpath").agg(F.min(F.struct("leaf", "offset", "length")).alias("d"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    return (out.join(first, "relpath", "left")
+            .withColumn("first_offset", F.when(both, F.col("d.offset"))).withColumn("first_length", F.when(both, F.col("d.length"))).drop("d"))
