@@ -157,3 +157,44 @@ def test_nothing_passes_through_the_driver(spark):
     from trainlens.plans import blocked_topk
     text = inspect.getsource(blocked_topk)
     assert "toArrow" not in text and "sc.broadcast" not in text and "sparkContext.broadcast" not in text
+
+
+def _plain_sparse(terms, bank, k, probes):
+    out = {}
+    for p in probes:
+        score = {b: sum(w * toks.count(t) / (1 + len(toks)) for q, t, w in terms if q == p) for b, toks in bank}
+        out[p] = sorted(score, key=lambda b: (-round(score[b], 9), b))[:k]
+    return out
+
+
+@pytest.mark.parametrize("cluster", [False, True])
+def test_sparse_scores_are_pruned_by_block_maxima(spark, cluster):
+    from trainlens.plans import blocked_topk as K
+    rng = np.random.default_rng(5)
+    langs = [[f"{g}{i}" for i in range(40)] for g in "abcd"]
+    bank = [(i, [str(x) for x in rng.choice(langs[i % 4], int(rng.integers(0, 25)))]) for i in range(400)]
+    bank += [(500, []), (501, ["c1"] * 30)]
+    terms = [(p, t, float(w)) for p in range(20) for t, w in zip(rng.choice(langs[p % 4], 6, replace=False), rng.integers(1, 9, 6), strict=True)]
+    terms += [(30, "nowhere", 1.0), (31, "a1", -2.0), (32, "b1", 3.0), (32, "c1", -1.0)]
+    probes = [*range(20), 30, 31, 32, 33]  # 33 has no term at all
+    df = spark.createDataFrame([(i, t, "abcd"[i % 4]) for i, t in bank], "bank_id long, tokens array<string>, cluster string").repartition(4)
+    df = df if cluster else df.drop("cluster")
+    frame = spark.createDataFrame(terms, "probe_id long, term string, weight double")
+    ids = spark.createDataFrame([(p,) for p in probes], "probe_id long")
+    weigh = lambda tf, dl: tf / (1 + dl)
+    for k in (3, 8):
+        got = K.sparse_topk(frame, df, k, weigh, probe_ids=ids, group_bytes=1500, prune_from=2).collect()
+        lists = {p: [r.bank_id for r in sorted((r for r in got if r.probe_id == p), key=lambda r: r["rank"])] for p in probes}
+        assert lists == _plain_sparse(terms, bank, k, probes)
+    # how many (probe, block) pairs of those with a list of positive scores are scored
+    keyed = K._blocks_of(df, 30)
+    rows = K._term_rows(ids, frame).withColumn("tile", F.lit(0))
+    schema, arrow = K._types(ids, df)
+
+    def scored(pairs):
+        left = rows.join(pairs, "probe_id")
+        right = keyed.withColumn("tile", F.lit(0)).select("bank_id", "tokens", "tile", F.col("block").alias("block"))
+        return K._cells(left, right, 30, K._sparse_body(3, weigh, arrow), schema)
+    _, rest = K.open_blocks(rows, keyed, 3, weigh, scored)
+    mine = rest.where("probe_id < 20").count() + 20
+    assert mine < (0.45 if cluster else 0.9) * 20 * keyed.select("block").distinct().count()

@@ -61,7 +61,7 @@ SELECT probe_id, bank_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS ran
 """)
 def bm25_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item against the whole document corpus, top 30 by BM25."""
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bank_id"), "text")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("bank_id"), "text", F.col("lang").alias("cluster"))
     r = bm25_topk(lexical_probes(spark, sf_dir), docs, CFG.shortlist_n)
     return r.select("probe_id", "bank_id", r6("score"), "rank")
 

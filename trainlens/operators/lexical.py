@@ -82,11 +82,13 @@ def bm25_topk(probes: DataFrame, docs: DataFrame, k: int,
               group_bytes: int = GROUP_BYTES) -> DataFrame:
     """M03 + M04: BM25 score of every bank document, top k per probe.
 
-    probes: (probe_id, text); docs: (bank_id, text). Rows that share no term
+    probes: (probe_id, text); docs: (bank_id, text), optionally ``cluster`` (for
+    example the language), by which a large bank is cut into blocks of documents
+    with common terms. Rows that share no term
     with the probe score 0 and fill the list by lowest id, as a full sort of
     the score vector would. Returns (probe_id, bank_id, score, rank).
     """
     index = index or bm25_index(docs, params)
-    return sparse_topk(probe_term_weights(probes, index), docs.select("bank_id", _tokens().alias("tokens")), k, index.weigh(),
+    return sparse_topk(probe_term_weights(probes, index), docs.select("bank_id", _tokens().alias("tokens"), *[c for c in docs.columns if c == "cluster"]), k, index.weigh(),
                        probe_ids=probes.select("probe_id"), bank_bytes=int(10 * index.avgdl * index.n_docs) + 16 * index.n_docs,
                        group_bytes=group_bytes)

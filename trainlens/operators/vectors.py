@@ -91,14 +91,6 @@ def gradients_with(df: DataFrame, fn, out_dim: int) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def write_gradient_store(df: DataFrame, path: str, chunk_rows: int = 512) -> None:
-    """Gradient vectors as Parquet ARRAY<FLOAT>, chunked by
-    ``maxRecordsPerFile``, plus the subset manifest (ids)."""
-    (df.select("idx", F.transform("grad", lambda x: x.cast("float")).alias("grad"), "loss")
-       .write.mode("overwrite").option("maxRecordsPerFile", chunk_rows).parquet(f"{path}/vectors"))
-    df.select("idx").write.mode("overwrite").option("header", True).csv(f"{path}/subset_manifest")
-
-
 # ---------------------------------------------------------------- M13
 @dataclass(frozen=True)
 class InfluenceConfig:

@@ -43,7 +43,8 @@ GROUP_BYTES = 64 << 20
 LEAST_BLOCK = 1 << 20  # of a block, where there are cores to spare
 MERGE = 64
 CELLS = 1 << 22  # scores held at once
-BUCKETS = 64  # of norms
+BUCKETS = 64  # of norms, of clusters
+PRUNE_FROM = 64  # blocks from which sparse scores are pruned
 
 
 def is_valid_vector(c: Column | str) -> Column:
@@ -450,26 +451,106 @@ def _tokens_column() -> Column:
     return F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
 
 
+def _impacts(weigh: Weigh) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, term, impact): a batch's largest weight of every term per block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            block, tokens = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            size = tokens.value_lengths().to_numpy(zero_copy_only=False)
+            enc = tokens.flatten().dictionary_encode()
+            vocab = max(1, len(enc.dictionary))
+            at = enc.indices.is_valid().to_numpy(zero_copy_only=False)
+            code = enc.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[at]
+            pair, tf = np.unique(np.repeat(np.arange(len(block)), size)[at] * vocab + code, return_counts=True)
+            doc, term = pair // vocab, pair % vocab
+            w = weigh(tf.astype(np.float64), size[doc].astype(np.float64))
+            cell, inv = np.unique(block[doc].astype(np.int64) * vocab + term, return_inverse=True)
+            most = np.full(len(cell), -np.inf)
+            np.maximum.at(most, inv, w)
+            yield pa.RecordBatch.from_arrays([pa.array((cell // vocab).astype(np.int32)), enc.dictionary.take(pa.array(cell % vocab)), pa.array(most)],
+                                             ["block", "term", "impact"])
+    return run
+
+
+def block_bounds(rows: DataFrame, docs: DataFrame, weigh: Weigh) -> DataFrame:
+    """(probe_id, block, bound): no document of the block scores more for the
+    probe. ``docs``: (bank_id, tokens, block). Blocks without a term of the probe
+    that has a positive weight have no row; their bound is 0."""
+    asked = rows.where("weight > 0").select("probe_id", "term", "weight")
+    impacts = (docs.select("block", "tokens").mapInArrow(_impacts(weigh), "block int, term string, impact double")
+               .join(asked.select("term").distinct(), "term", "left_semi").groupBy("block", "term").agg(F.max("impact").alias("impact")))
+    return asked.join(impacts, "term").groupBy("probe_id", "block").agg(F.sum(F.col("weight") * F.col("impact")).alias("bound"))
+
+
+def _blocks_of(docs: DataFrame, blocks: int) -> DataFrame:
+    """``block`` of every document: by hash, and within runs of blocks for the
+    values of ``cluster`` where the bank has that column."""
+    if "cluster" not in docs.columns:
+        return docs.withColumn("block", _by_hash(blocks, "bank_id"))
+    keyed = docs.withColumn("_b", _by_hash(BUCKETS, "cluster"))
+    sizes = {r["_b"]: r["count"] for r in keyed.groupBy("_b").count().collect()}
+    total, at, first, many = max(1, sum(sizes.values())), 0, [0] * BUCKETS, [1] * BUCKETS
+    for i in sorted(sizes):
+        first[i], many[i] = at, max(1, round(blocks * sizes[i] / total))
+        at += many[i]
+    place = lambda x: F.element_at(F.array(*[F.lit(v) for v in x]), F.col("_b") + 1)
+    return keyed.withColumn("block", (place(first) + F.pmod(F.xxhash64("bank_id"), place(many))).cast("int")).drop("_b", "cluster")
+
+
+def open_blocks(rows: DataFrame, keyed: DataFrame, k: int, weigh: Weigh, scored: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The k best of every probe in its most promising block, and (probe_id,
+    block) of the other blocks it must score. ``scored`` scores such pairs."""
+    bounds = block_bounds(rows, keyed, weigh).checkpoint()
+    best = bounds.groupBy("probe_id").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("block"))
+    first = scored(best).checkpoint()
+    so_far = _merge(first, k).groupBy("probe_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    floor = F.when(F.col("n") >= k, F.round("least", SCORE_DECIMALS)).otherwise(F.lit(float("-inf")))
+    known = (rows.select("probe_id").distinct().join(so_far.select("probe_id", floor.alias("floor")), "probe_id", "left")
+             .join(best.withColumnRenamed("block", "done"), "probe_id", "left")).checkpoint()
+    # scores are compared rounded, which the slack allows for; with a floor of 0
+    # documents that share no term may still fill the list by lowest id
+    tight = F.coalesce(F.col("floor") > 1e-8, F.lit(False))
+    some = (bounds.join(known.where(tight), "probe_id")
+            .where((F.col("block") != F.col("done")) & (F.col("bound") * (1 + 1e-9) + 1e-8 >= F.col("floor"))).select("probe_id", "block"))
+    every = keyed.select("block").distinct().agg(F.collect_set("block").alias("all"))
+    rest = known.where(~tight).withColumn("_all", every.scalar()).select("probe_id", "done", F.explode("_all").alias("block"))
+    return first, some.unionByName(rest.where("done IS NULL OR block <> done").select("probe_id", "block")).checkpoint()
+
+
 def sparse_topk(probe_terms: DataFrame, bank: DataFrame, k: int, weigh: Weigh, *, probe_ids: DataFrame,
-                bank_bytes: int | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
+                bank_bytes: int | None = None, group_bytes: int = GROUP_BYTES, prune_from: int = PRUNE_FROM) -> DataFrame:
     """Top-k bank rows per probe for a score that is a sum over shared terms.
 
     score(p, d) = sum over terms t of probe_weight(p, t) * weigh(tf(d, t), length(d)).
     ``probe_terms``: (probe_id, term, weight), one row per (probe, term);
     ``probe_ids``: every probe, so one without a known term gets its (all-zero)
     list; ``bank``: (bank_id, tokens), one row per document, of about
-    ``bank_bytes`` in all (counted where it isn't given). Documents sharing
-    no term score 0 and compete by lowest id.
+    ``bank_bytes`` in all (counted where it isn't given), and optionally
+    ``cluster``, whose values are kept in blocks of their own. Documents sharing
+    no term score 0 and compete by lowest id; ``weigh`` must not be negative.
+
+    A bank of ``prune_from`` blocks or more is pruned by block maxima, which
+    costs a pass over it; the result is the same.
     """
     schema, arrow = _types(probe_ids, bank)
     rows = _term_rows(probe_ids, probe_terms)
     tiles = _pieces(rows, F.coalesce(F.octet_length("term"), F.lit(0)) + 32, group_bytes)
-    docs = bank.select("bank_id", _tokens_column())
+    rows = rows.withColumn("tile", _by_hash(tiles, "probe_id"))
+    docs = bank.select("bank_id", _tokens_column(), *[c for c in bank.columns if c == "cluster"])
     if bank_bytes is None:
         bank_bytes = docs.agg(F.sum(F.size("tokens") * 10 + 16)).first()[0] or 0
     cores = bank.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(bank_bytes / group_bytes), min(cores, math.ceil(bank_bytes / LEAST_BLOCK)))
-    local = _cells(rows.withColumn("tile", _by_hash(tiles, "probe_id")).withColumn("block", _all_of(blocks)),
-                   docs.withColumn("block", _by_hash(blocks, "bank_id")).withColumn("tile", _all_of(tiles)),
-                   tiles * blocks, _sparse_body(k, weigh, arrow), schema)
-    return _merge(local, k)
+    body = _sparse_body(k, weigh, arrow)
+    if blocks < prune_from:
+        keyed = docs.select("bank_id", "tokens").withColumn("block", _by_hash(blocks, "bank_id"))
+        return _merge(_cells(rows.withColumn("block", _all_of(blocks)), keyed.withColumn("tile", _all_of(tiles)), tiles * blocks, body, schema), k)
+    keyed = _blocks_of(docs, blocks)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        left = rows.join(pairs, "probe_id")
+        need = left.select(F.col("tile").alias("to_tile"), F.col("block").alias("to_block")).distinct()
+        right = keyed.join(need, keyed["block"] == need["to_block"]).select("bank_id", "tokens", F.col("to_tile").alias("tile"), F.col("to_block").alias("block"))
+        return _cells(left, right, tiles * (blocks + BUCKETS), body, schema)
+    first, rest = open_blocks(rows, keyed, k, weigh, scored)
+    return _merge(first.unionByName(scored(rest)), k)
