@@ -47,12 +47,17 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group: the smallest doc_id, then row key."""
+    """One row of each near-duplicate group: the smallest doc_id, then row key;
+    of rows equal in both, the smallest (lang, source, n_chars), nulls first."""
     kept = near_dedup.survivors(docs, percent=NEAR_PERCENT).checkpoint()
     out = _keep(docs, kept, F.col("doc_id").cast("long"), "text")
     # equal rows share their key
     repeated = kept.where("copies > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    if not repeated:
+        return out
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    least = F.min(F.struct(*rest)).alias("rest")
+    return out.groupBy("doc_id", "text").agg(least).select("doc_id", "text", *[F.col(f"rest.{c}").alias(c) for c in rest])
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
