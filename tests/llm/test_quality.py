@@ -217,3 +217,55 @@ def test_rare_grades_do_not_upset_the_fit(poor):
     m = Q.fit(pair // 4096, pair % 4096, grade, size=4096)
     p = m.tails(m.score(pair // 4096, pair % 4096, n))[:, -1]
     assert (p[grade == 0] < 0.6).all() and (p[grade == 2] >= 0.6).mean() > 0.995
+
+
+def plain_features(t, bits=Q.BITS):
+    """Feature set of a text: hashed runs of word and of other characters, and
+    the steps of its shape."""
+    import math
+
+    import xxhash
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    runs = re.findall(r"[a-z0-9\u0080-\U0010ffff]+|[^a-z0-9\u0080-\U0010ffff\x20\x09-\x0D]+", low)
+    h = lambda raw: xxhash.xxh3_64_intdigest(raw, 7) % (1 << bits)
+    n = max(1, len(runs))
+    own = {h(r.encode()) for r in runs}
+    marks = sum(not re.match(r"[a-z0-9\u0080-\U0010ffff]", r) for r in runs)
+    shape = {"length": int(math.log2(n)), "different": 10 * len(own) // n, "marks": 10 * marks // n}
+    return own | {h(f"\x00{k} {v}".encode()) for k, v in shape.items()}
+
+
+def test_features_against_plain_python():
+    rng = random.Random(12)
+    texts = ["", "A b", "!!", "é-é Ü", "x" * 50] + ["".join(rng.choice(["ab", "C", " ", "\n", "!", "é", "12", "?!", "\t"]) for _ in range(rng.randrange(80))) for _ in range(60)]
+    raw = [t.encode() for t in texts]
+    text, feature = Q.sparse(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    for i, t in enumerate(texts):
+        assert set(feature[text == i].tolist()) == plain_features(t), repr(t)
+        assert len(feature[text == i]) == len(plain_features(t))
+
+
+def test_fit_against_plain_gradient_descent():
+    """The penalized likelihood that ``fit`` reaches, against small plain steps
+    on dense columns."""
+    rng = np.random.default_rng(3)
+    n, d = 300, 6
+    x = (rng.random((n, d)) < 0.4).astype(float)
+    z = x @ np.array([2.0, -2.0, 1.0, 0.0, 0.0, -1.0]) + rng.logistic(size=n)
+    grade = np.digitize(z, [-0.5, 1.0])
+    penalty = 1e-3
+
+    def loss(w, t):
+        cut = np.concatenate([[-np.inf], t, [np.inf]])
+        s = x @ w
+        p = 1 / (1 + np.exp(-(cut[grade + 1] - s))) - 1 / (1 + np.exp(-(cut[grade] - s)))
+        return -np.log(np.maximum(p, 1e-12)).mean() + penalty * np.abs(w).sum()
+    text, feature = np.nonzero(x)
+    m = Q.fit(text, feature, grade, size=d, penalty=penalty, rounds=600)
+    reached = loss(m.weights, m.thresholds)
+    v, h, best = np.concatenate([np.zeros(d), [-0.5, 0.5]]), 1e-5, np.inf
+    for _ in range(3000):  # numeric slopes
+        g = np.array([(loss((v + h * e)[:d], (v + h * e)[d:]) - loss((v - h * e)[:d], (v - h * e)[d:])) / (2 * h) for e in np.eye(d + 2)])
+        v = v - 0.5 * g
+        best = min(best, loss(v[:d], v[d:]))
+    assert abs(reached - best) < 2e-3 and (np.diff(m.thresholds) > 0).all()

@@ -13,8 +13,9 @@ many documents there are; documents never pass through the driver.
 * The configurations' slots get actual lengths back, which only frees room.
 * Small lengths go, largest first, where they leave least room.
 
-What counts as small is tried at several values; the plan with the fewest
-sequences is taken (a plan takes milliseconds, whatever the corpus).
+The number of groups and what counts as small are tried at several values; the
+plan with the fewest sequences is taken (a plan takes milliseconds, whatever the
+corpus).
 
 The plan says, for ranges of ranks within a length, which sequences they fill
 and at which offset; pieces look theirs up. Ranks are counted per block of
@@ -200,7 +201,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_i
                            + ", ids array<int>" * with_ids)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, *, groups: int = 1000, small: int = 64) -> list[tuple[int, int, int, int, int]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, *, groups: int = 64, small: int = 64) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, pieces, first sequence, offset) rows: the ranks
     [r, r + n) of a length go to the sequences [s, s + n), one each."""
     rows: list[tuple[int, int, int, int, int]] = []
@@ -328,12 +329,13 @@ def _best_fill(size: list[int], left: list[int], head: int, capacity: int) -> li
     return list(out.items())
 
 
-def best_plan(counts: dict[int, int], capacity: int, groups: int, small: tuple[int, ...]) -> list[tuple[int, int, int, int, int]]:
-    plans = [plan(counts, capacity, groups=groups, small=x) for x in small]
+def best_plan(counts: dict[int, int], capacity: int, groups: int | tuple[int, ...], small: tuple[int, ...]) -> list[tuple[int, int, int, int, int]]:
+    tried = (groups,) if isinstance(groups, int) else groups
+    plans = [plan(counts, capacity, groups=g, small=x) for g in tried for x in small]
     return min(plans, key=lambda rows: max((s + n for _, _, n, s, _ in rows), default=0))
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int = 1000,
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, groups: int | tuple[int, ...] = (64, 256, 1000),
          small: tuple[int, ...] = (64, 128, 256, 384, 512)) -> DataFrame:
     """``pieces`` (doc_id, piece, length, ...) with sequence_id and offset."""
     spark = pieces.sparkSession
