@@ -45,8 +45,8 @@ from pyspark.sql import functions as F
 from trainlens.llm import common as C
 
 CAPACITY, END_ID = 1024, 2
-BATCH_BYTES = 8 << 20
-KNOWN, STEP = 800_000, 200  # cuts kept, cuts encoded at once
+BATCH_BYTES = 4 << 20
+KNOWN, STEP = 400_000, 200  # cuts kept, cuts encoded at once
 
 
 class Encoder:
