@@ -182,7 +182,7 @@ def test_sparse_scores_are_pruned_by_block_maxima(spark, cluster):
     frame = spark.createDataFrame(terms, "probe_id long, term string, weight double")
     ids = spark.createDataFrame([(p,) for p in probes], "probe_id long")
     weigh = lambda tf, dl: tf / (1 + dl)
-    for k in (3, 8):
+    for k in (3, 8) if cluster else (3,):
         got = K.sparse_topk(frame, df, k, weigh, probe_ids=ids, group_bytes=1500, prune_from=2).collect()
         lists = {p: [r.bank_id for r in sorted((r for r in got if r.probe_id == p), key=lambda r: r["rank"])] for p in probes}
         assert lists == _plain_sparse(terms, bank, k, probes)

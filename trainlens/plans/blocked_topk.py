@@ -551,6 +551,6 @@ def sparse_topk(probe_terms: DataFrame, bank: DataFrame, k: int, weigh: Weigh, *
         left = rows.join(pairs, "probe_id")
         need = left.select(F.col("tile").alias("to_tile"), F.col("block").alias("to_block")).distinct()
         right = keyed.join(need, keyed["block"] == need["to_block"]).select("bank_id", "tokens", F.col("to_tile").alias("tile"), F.col("to_block").alias("block"))
-        return _cells(left, right, tiles * (blocks + BUCKETS), body, schema)
+        return _cells(left, right, tiles * (blocks + (BUCKETS if "cluster" in docs.columns else 0)), body, schema)
     first, rest = open_blocks(rows, keyed, k, weigh, scored)
     return _merge(first.unionByName(scored(rest)), k)
