@@ -198,3 +198,56 @@ def test_sparse_scores_are_pruned_by_block_maxima(spark, cluster):
     _, rest = K.open_blocks(rows, keyed, 3, weigh, scored)
     mine = rest.where("probe_id < 20").count() + 20
     assert mine < (0.45 if cluster else 0.9) * 20 * keyed.select("block").distinct().count()
+
+
+def _lambda_bodies(df):
+    """The text of every lambda in the optimized plan."""
+    text, out = df._jdf.queryExecution().optimizedPlan().toString(), []
+    at = text.find("lambdafunction(")
+    while at >= 0:
+        end, depth = at + len("lambdafunction("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        out.append(text[at:end])
+        at = text.find("lambdafunction(", at + 1)
+    return out
+
+
+def test_row_values_are_not_computed_per_element(spark, tmp_dir):
+    from trainlens.functions.vector import l2_normalize
+    from trainlens.plans import blocked_topk as K
+    from trainlens.sources.corpus import vector_samples
+    rows = [(i, [float(i), 1.0, -2.0], i % 10) for i in range(5)] + [(5, None, 1), (6, [1.0, None, 2.0], 2), (7, [], 3), (8, [1.0, 2.0, 0.5], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    s = vector_samples(spark, tmp_dir)
+    bank = s.select(F.col("idx").alias("bank_id"), F.col("grad").alias("vec")).withColumn("norm", K._norm("vec"))
+    for df in (s.select("idx", "grad"), s.select("idx", l2_normalize("grad")), bank.select("bank_id", K._above([2.0, 1.0, 0.5], "norm"))):
+        bodies = _lambda_bodies(df)
+        assert bodies and not any(x in b[len("lambdafunction("):].lower() for b in bodies for x in ("aggregate(", "exp(")), bodies
+    got = {r.idx: r.grad for r in s.collect()}
+    p = [1 / (1 + np.exp(-(-0.75 * i + 0.125 + 2 * 0.625))) for i in range(5)]
+    assert all(np.allclose(got[i], (p[i] - 1.0) * np.array([i, 1.0, -2.0])) for i in range(5))
+    assert got[5] is None and got[6] == [None] * 3 and got[7] == [] and got[8] == [None] * 3
+    counts = spark.createDataFrame([(float(i),) for i in range(4)], "x double").select(K._above([2.5, 0.5], "x").alias("n")).collect()
+    assert [r.n for r in counts] == [2, 1, 1, 0]
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_best_lists_look_closely_at_few_scores(exclude):
+    from trainlens.plans import blocked_topk as K
+    rng = np.random.default_rng(3)
+    probes, ids = np.arange(300), rng.permutation(4000)
+    scores = rng.normal(size=(300, 4000)).round(2)  # many ties
+    scores[:5] = 0
+    best, seen, round_ = K._Best(probes, 7, exclude), [], np.round
+    try:
+        K.np.round = lambda x, d: seen.append(np.size(x)) or round_(x, d)
+        for s in range(0, 4000, 400):
+            best.add(scores[:, s:s + 400], ids[s:s + 400])
+    finally:
+        K.np.round = round_
+    for p in range(300):
+        o = [j for j in np.lexsort((ids, -scores[p])) if not (exclude and ids[j] == p)][:7]
+        assert list(best.ids[best.owner == p]) == list(ids[o])
+    assert sum(seen) < scores.size / 5
