@@ -99,3 +99,21 @@ def test_graph_components(spark):
     got = dict(components(spark.createDataFrame([*chain, *star, (7, 7), (900, 901), (901, 900)], "a long, b long")).collect())
     assert got[160] == 100 and got[59] == 1 and got[901] == 900 and len(got) == 61 + 59 + 2
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_edges_are_thinned_before_they_are_joined(spark):
+    from trainlens.llm.graph import thinned
+    # 300 nodes, each tied to 40 roots, and a small component with a loop
+    edges = [(1000 + i, 10 + j) for i in range(300) for j in range(40)] + [(3, 2), (2, 3), (2, 1), (5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    assert thinned(df).count() <= 300 + 40 + 2
+    got = {r.node: r.label for r in components(df).collect()}
+    assert got == {**{1000 + i: 10 for i in range(300)}, **{10 + j: 10 for j in range(40)}, 1: 1, 2: 1, 3: 1}
+
+
+def test_shards_tie_to_the_least_class():
+    import pyarrow as pa
+    sketch = bytes(near_dedup.SKETCH)
+    names = [b"d", b"b", b"c", b"a"]
+    t = pa.table({"key": pa.array([7] * 4), "cls": pa.array(names, pa.binary()), "sketch": pa.array([sketch] * 4, pa.binary())})
+    assert sorted(near_dedup._ties(t).to_pylist(), key=lambda r: r["a"]) == [{"a": x, "b": b"a"} for x in (b"b", b"c", b"d")]

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,7 +121,13 @@ def _ties(t: pa.Table) -> pa.Table:
     key = t.column("key").to_numpy()
     name = t.column("cls").combine_chunks().dictionary_encode()
     name = pa.concat_arrays(name.chunks) if isinstance(name, pa.ChunkedArray) else name
-    cls = name.indices.to_numpy(zero_copy_only=False)
+    # numbered in order of their value: a root is then the least class of its
+    # ties, in which shards that share members mostly agree
+    by_value = pc.sort_indices(name.dictionary)
+    number = np.empty(len(by_value), np.int64)
+    number[by_value.to_numpy()] = np.arange(len(by_value))
+    classes = name.dictionary.take(by_value)
+    cls = number[name.indices.to_numpy(zero_copy_only=False)]
     sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
     o = np.lexsort((cls, key)) if len(key) else np.zeros(0, np.int64)
     key, cls, sk = key[o], cls[o], sk[o]
@@ -128,7 +135,7 @@ def _ties(t: pa.Table) -> pa.Table:
     new[1:] = key[1:] != key[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else o
     like = (sk == sk[head]).sum(1) * 2 >= SKETCH
-    root = np.arange(len(name.dictionary))
+    root = np.arange(len(classes))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -153,7 +160,7 @@ def _ties(t: pa.Table) -> pa.Table:
             tie(int(cls[x + i]), int(cls[x + r]))
     top = np.array([find(i) for i in range(len(root))], np.int64)
     tied = np.flatnonzero(top != np.arange(len(top)))
-    return pa.table({"a": name.dictionary.take(pa.array(tied)), "b": name.dictionary.take(pa.array(top[tied]))})
+    return pa.table({"a": classes.take(pa.array(tied)), "b": classes.take(pa.array(top[tied]))})
 
 
 def spanning(row, n: int) -> Iterator[tuple[int, int]]:
@@ -218,9 +225,8 @@ def links_of(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
 
 def _verify(percent: int):
     def verify(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t.select(["grp", "cls"]), [("grp", "ascending"), ("cls", "ascending")]))
         grp = t.column("grp").to_numpy()
-        o = np.argsort(grp, kind="stable")
-        t, grp = t.take(pa.array(o)), grp[o]
         cls = t.column("cls").to_pylist()
         buf, off = C.buffer_of(t.column("text"))
         edge = np.append(np.flatnonzero(np.append(True, grp[1:] != grp[:-1])), len(grp)) if len(grp) else np.zeros(1, np.int64)
