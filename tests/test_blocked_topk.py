@@ -251,3 +251,25 @@ def test_best_lists_look_closely_at_few_scores(exclude):
         o = [j for j in np.lexsort((ids, -scores[p])) if not (exclude and ids[j] == p)][:7]
         assert list(best.ids[best.owner == p]) == list(ids[o])
     assert sum(seen) < scores.size / 5
+
+
+def test_sparse_sides_are_packed_before_they_are_copied(spark, monkeypatch):
+    from trainlens.plans import blocked_topk as K
+    rng = np.random.default_rng(8)
+    words = [f"word{i:03d}" for i in range(60)]
+    bank = [(i, [str(x) for x in rng.choice(words, int(rng.integers(0, 90)), p=np.arange(60, 0, -1) / 1830)]) for i in range(200)]
+    bank += [(300, []), (301, None), (302, ["word001", None])]
+    terms = [(p, str(t), float(w)) for p in range(12) for t, w in zip(rng.choice(words, 40, replace=False), rng.integers(1, 9, 40), strict=True)]
+    sides = []
+    real = K._cells
+    monkeypatch.setattr(K, "_cells", lambda left, right, *rest: sides.append((left, right)) or real(left, right, *rest))
+    frame = spark.createDataFrame(terms, "probe_id long, term string, weight double")
+    df = spark.createDataFrame(bank, "bank_id long, tokens array<string>").repartition(3)
+    ids = spark.createDataFrame([(p,) for p in range(13)], "probe_id long")
+    got = K.sparse_topk(frame, df, 4, lambda tf, dl: tf / (1 + dl), probe_ids=ids, group_bytes=8000).collect()
+    lists = {p: [r.bank_id for r in sorted((r for r in got if r.probe_id == p), key=lambda r: r["rank"])] for p in range(13)}
+    assert lists == _plain_sparse(terms, [(i, t or []) for i, t in bank], 4, range(13))
+    left, right = sides[0]
+    cells = left.select("tile", "block").distinct().count()
+    # a row of a term or document for every cell would be thousands of them
+    assert cells > 1 and left.count() < 60 and right.count() < 60
