@@ -273,3 +273,68 @@ def test_sparse_sides_are_packed_before_they_are_copied(spark, monkeypatch):
     cells = left.select("tile", "block").distinct().count()
     # a row of a term or document for every cell would be thousands of them
     assert cells > 1 and left.count() < 60 and right.count() < 60
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_texts_are_joined_only_where_sample_ids_repeat(spark, tmp_dir, monkeypatch, repeat):
+    from trainlens.catalog import attribution_q as Q
+    from trainlens.operators import attribution as A
+    from trainlens.sources.corpus import bank_texts, probe_texts, text_bank, text_probes
+    docs = [(i, f"text {i} common", "s") for i in range(60)] + [(7, "again", "s"), (None, "no id", "s"), (61, None, "s")]
+    vecs = [(i, [0.1, 0.2 * i], i % 10) for i in range(0, 40, 2)] + [(None, [1.0, 2.0], 1), (None, [1.0, 3.0], 1)]
+    vecs += [(i, [0.5, 0.5], 2) for i in range(0, 30, 3) for _ in range(2)] if repeat else []
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_dir}/documents.parquet")
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    rows = lambda df: sorted(map(tuple, df.select("idx", "text").collect()), key=str)
+    assert rows(probe_texts(spark, tmp_dir)) == rows(text_probes(spark, tmp_dir))
+    assert rows(probe_texts(spark, tmp_dir, "shadow")) == rows(text_probes(spark, tmp_dir, "shadow"))
+    assert rows(bank_texts(spark, tmp_dir)) == rows(text_bank(spark, tmp_dir).where("has_text"))
+    # what the queries rank by BM25
+    seen, real = [], A.bm25_shortlist
+    monkeypatch.setattr(A, "bm25_shortlist", lambda p, b, *rest: seen.extend((p, b)) or real(p, b, *rest))
+    probes = {r.idx for r in probe_texts(spark, tmp_dir).collect()}
+    for q in (Q.hybrid_topk, Q.influence_topk):
+        assert {r.test_idx for r in q(spark, tmp_dir).collect()} == probes
+    assert seen and repeat == any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+
+
+def test_probe_terms_are_made_once(spark, monkeypatch):
+    from trainlens.operators import lexical as L
+    from trainlens.plans import blocked_topk as K
+    counted, real = [], K._pieces
+    monkeypatch.setattr(K, "_pieces", lambda df, *rest: counted.append(df.columns) or real(df, *rest))
+    probes = spark.createDataFrame([(1, "a b b"), (2, None), (3, "zz")], "probe_id long, text string")
+    docs = spark.createDataFrame([(10, "a a"), (11, "b c"), (12, None)], "bank_id long, text string")
+    got = L.bm25_topk(probes, docs, 2).collect()
+    assert sorted((r.probe_id, r["rank"], r.bank_id) for r in got)[2:] == [(2, 1, 10), (2, 2, 11), (3, 1, 10), (3, 2, 11)]
+    assert not any("term" in c for c in counted), counted
+
+
+def test_packed_sides_come_back_and_small_values_are_merged():
+    import pyarrow as pa
+
+    from trainlens.plans import blocked_topk as K
+    rng = np.random.default_rng(2)
+    t = pa.table({"sub": pa.array([0] * 8, pa.int32()), "probe_id": pa.array([70000, 5, 5, 9, 9, 70000, 9, 5]),
+                  "term": ["b", "a", None, "b", None, None, "a", "c"], "weight": [1.5, 2.0, 0.0, 3.5, 0.0, 0.0, 2.0, -1.0]})
+    got = K._unpack_terms(K._pack_terms(t).column("blob")[0].as_py())
+    assert list(got.ids) == [5, 9, 70000] and got.dictionary.to_pylist() == ["a", "b", "c"]
+    rows = [(got.ids[got.owner[i]], name, got.weight[i]) for n, name in enumerate("abc") for i in range(got.first[n], got.first[n + 1])]
+    assert sorted(rows) == [(5, "a", 2.0), (5, "c", -1.0), (9, "a", 2.0), (9, "b", 3.5), (70000, "b", 1.5)]
+    words = [f"w{i}" for i in range(300)]
+    docs = {i: [str(x) for x in rng.choice(words, int(rng.integers(0, 40)))] for i in range(9000)}
+    docs[8999] = ["w1"] * 70000
+    blobs = []
+    for a in range(0, 9000, 300):
+        some = list(range(a, a + 300))
+        batch = pa.RecordBatch.from_arrays([pa.array(some), pa.array([docs[i] for i in some]), pa.array([0] * 300, pa.int32())], ["bank_id", "tokens", "block"])
+        blobs += [x.column(1)[0].as_py() for x in K._pack_docs(iter([batch]))]
+    merged, back = list(K._merge_docs(iter(blobs))), {}
+    assert len(blobs) == 30 and len(merged) == 3
+    for raw in merged:
+        ids, size, names, doc, term, tf = K._unpack_docs(raw)
+        assert (np.diff(doc) >= 0).all() and list(size) == [len(docs[i]) for i in ids.to_pylist()]
+        back |= {i: {} for i in ids.to_pylist()}
+        for d, w, n in zip(doc, term, tf, strict=True):
+            back[ids[int(d)].as_py()][names[int(w)].as_py()] = int(n)
+    assert back == {i: {w: x.count(w) for w in set(x)} for i, x in docs.items()}
