@@ -338,3 +338,49 @@ def test_packed_sides_come_back_and_small_values_are_merged():
         for d, w, n in zip(doc, term, tf, strict=True):
             back[ids[int(d)].as_py()][names[int(w)].as_py()] = int(n)
     assert back == {i: {w: x.count(w) for w in set(x)} for i, x in docs.items()}
+
+
+def test_grid_copies_few_bytes():
+    from trainlens.plans import blocked_topk as K
+    # one tile of 68 MB for six blocks: the large side is copied once
+    assert K._grid(68, 576, 192, 6, 20) == (1, 6)
+    assert K._grid(0, 0, 192, 1, 1) == (1, 1)
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        left, right, cores, most = (int(x) for x in rng.integers([0, 0, 1, 1], [900, 9000, 40, 60]))
+        tiles, blocks = K._grid(left, right, 192, cores, most)
+        assert 1 <= tiles <= most and tiles * blocks >= cores
+        assert tiles == most or left / tiles + right / blocks <= 192 + 1e-9
+        even = max(1, -(-left // 96)), max(1, -(-right // 96))
+        if tiles < most and even[0] <= most and even[0] * even[1] >= 4 * cores:
+            assert left * blocks + right * tiles <= left * even[1] + right * even[0]
+
+
+def test_few_cells_do_not_meet_in_a_partition(spark):
+    from trainlens.plans import blocked_topk as K
+    for tiles, blocks in ((1, 6), (2, 9), (1, 1)):
+        n = K._apart(spark, tiles, blocks)
+        grid = spark.range(tiles * blocks).select((F.col("id") / blocks).cast("int").alias("tile"), (F.col("id") % blocks).cast("int").alias("block"))
+        assert grid.repartition(n, "tile", "block").select(F.spark_partition_id()).distinct().count() == tiles * blocks
+
+
+def test_candidates_of_few_blocks_are_merged_at_once(spark):
+    from trainlens.plans import blocked_topk as K
+    rows = [(p, b, float((7 * p + 3 * b) % 11), b % 5) for p in range(6) for b in range(20)]
+    local = spark.createDataFrame(rows, "probe_id long, bank_id long, score double, _src int")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert [exchanges(K._merge(local, 4, n)) for n in (5, K.MERGE, K.MERGE + 1, None)] == [1, 1, 2, 2]
+    assert sorted(K._merge(local, 4, 5).collect()) == sorted(K._merge(local, 4).collect())
+
+
+def test_probe_terms_are_counted_without_a_shuffle(spark):
+    from trainlens.operators import lexical as L
+    probes = spark.createDataFrame([(1, "a b B"), (2, None), (1, "a c"), (None, "c"), (4, "  "), (5, "zz zz")], "probe_id long, text string")
+    counts = L.term_counts(probes.select("probe_id", L._tokens().alias("tokens")))
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted([(1, "a", 1), (1, "b", 2), (1, "a", 1), (1, "c", 1), (None, "c", 1), (5, "zz", 2)], key=str)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    # the rows of a repeated probe add up
+    docs = spark.createDataFrame([(10, "a b"), (11, "c d"), (12, "e"), (13, "f g")], "bank_id long, text string")
+    whole = spark.createDataFrame([(1, "a b b a c")], "probe_id long, text string")
+    lists = [{(r.bank_id, r["rank"], round(r.score, 9)) for r in L.bm25_topk(x, docs, 4).collect()} for x in (probes.where("probe_id = 1"), whole)]
+    assert lists[0] == lists[1] and len(lists[0]) == 4
