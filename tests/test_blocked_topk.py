@@ -384,3 +384,30 @@ def test_probe_terms_are_counted_without_a_shuffle(spark):
     whole = spark.createDataFrame([(1, "a b b a c")], "probe_id long, text string")
     lists = [{(r.bank_id, r["rank"], round(r.score, 9)) for r in L.bm25_topk(x, docs, 4).collect()} for x in (probes.where("probe_id = 1"), whole)]
     assert lists[0] == lists[1] and len(lists[0]) == 4
+
+
+def test_few_additions_are_held_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from trainlens.plans import blocked_topk as K
+    rng = np.random.default_rng(11)
+    probe, docs, vocab, each = 500, 6000, 8000, 200
+    held = np.stack([rng.choice(vocab, each, replace=False) for _ in range(probe)])
+    terms = K._Terms(np.repeat(np.arange(probe), each), pa.array([f"t{x:04}" for x in held.ravel()]), rng.random(probe * each))
+    term = np.concatenate([np.sort(rng.choice(terms.vocab, each, replace=False)) for _ in range(docs)])
+    doc, w = np.repeat(np.arange(docs), each), rng.random(docs * each)
+    best = K._Best(terms.ids, 5, False)
+    tracemalloc.start()
+    terms.score(best, np.arange(docs), doc, term, w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak
+    for p in (0, 123, 499):
+        weight, at = np.zeros(terms.vocab), np.flatnonzero(terms.owner == p)
+        weight[np.searchsorted(terms.first, at, side="right") - 1] = terms.weight[at]
+        scores = np.bincount(doc, weight[term] * w, minlength=docs)
+        order = np.lexsort((np.arange(docs), -np.round(scores, 9)))[:5]
+        mine = best.owner == p
+        assert list(best.ids[mine]) == order.tolist() and np.allclose(best.scores[mine], scores[order])
