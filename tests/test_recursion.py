@@ -72,3 +72,45 @@ def test_odd_input(spark):
     assert np.allclose(alone[0].vec, plain(np.array([[1.0, 2.0]]), np.zeros((1, 2)), cfg)[0])
     with pytest.raises(ValueError, match="scale"):
         V.InfluenceConfig(scale=0).validate()
+
+
+def test_few_products_are_held_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    h, g = rng.normal(size=(6000, 4)), rng.normal(size=(9000, 4))
+    scalar = [pa.scalar(x, pa.int32()) for x in (0, 0, 3)]
+    block = pa.table({"n": [len(g)], "cells": pa.array([g.tobytes()], pa.binary())})
+    tile = pa.table({"tile": pa.array([3], pa.int32()), "h": pa.array([h.tobytes()], pa.binary())})
+    tracemalloc.start()
+    out = V._curvature(4)(tuple(scalar), block, tile)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak  # all products would be 432 MB
+    assert out.column("n").to_pylist() == [9000] and out.column("tile").to_pylist() == [3]
+    assert np.allclose(V._matrix(out.column("cells")[0].as_py(), 4), (h @ g.T) @ g)
+
+
+@pytest.mark.parametrize("samples", [1, 3])
+def test_a_cell_has_one_tile_and_blocks_are_kept_small(spark, monkeypatch, samples):
+    rng = np.random.default_rng(5)
+    q, g = rng.normal(size=(40, 3)), rng.normal(size=(300, 3))
+    g[7] = g[8]
+    real, acc = V._curvature, spark.sparkContext.accumulator(0)
+
+    def counted(dim):
+        run = real(dim)
+
+        def body(key, block, tile):
+            if len(tile) > 1 or any(len(x.as_py()) > 3 * 3 * 8 for x in block.column("cells")):
+                acc.add(1)
+            return run(key, block, tile)
+        return body
+    monkeypatch.setattr(V, "_curvature", counted)
+    got = result(spark, q, g, V.InfluenceConfig(scale=9.0, recursion_depth=2, num_samples=samples), group_bytes=1200)
+    assert acc.value == 0  # more than a tile, or a block that is no smaller than its vectors
+    if samples == 1:
+        assert np.allclose(got, plain(q, g, V.InfluenceConfig(scale=9.0, recursion_depth=2)))
+    r = V._factor(g)
+    assert r.shape == (3, 3) and np.allclose(r.T @ r, g.T @ g) and len(V._factor(g[:2])) == 2
