@@ -411,3 +411,56 @@ def test_few_additions_are_held_at_once():
         order = np.lexsort((np.arange(docs), -np.round(scores, 9)))[:5]
         mine = best.owner == p
         assert list(best.ids[mine]) == order.tolist() and np.allclose(best.scores[mine], scores[order])
+
+
+def test_many_probes_and_a_large_bank_are_not_copied(spark, monkeypatch):
+    from trainlens.plans import blocked_topk as K
+    rng = np.random.default_rng(8)
+    words = [f"word{i:03d}" for i in range(60)]
+    bank = [(i, [str(x) for x in rng.choice(words, int(rng.integers(0, 90)))]) for i in range(200)]
+    bank += [(300, []), (301, None), (302, ["word001", None])]
+    terms = [(p, str(t), float(w)) for p in range(12) for t, w in zip(rng.choice(words, 40, replace=False), rng.integers(1, 9, 40), strict=True)]
+    frame = spark.createDataFrame(terms, "probe_id long, term string, weight double")
+    df = spark.createDataFrame(bank, "bank_id long, tokens array<string>").repartition(5)
+    ids = spark.createDataFrame([(p,) for p in range(13)], "probe_id long")  # 12 has no term
+    monkeypatch.setattr(K, "SUB_BYTES", 4000)
+    merged, real = [], K._merge
+    monkeypatch.setattr(K, "_merge", lambda local, k, blocks=None: merged.append((local, blocks)) or real(local, k, blocks))
+    weigh = lambda tf, dl: tf / (1 + dl)
+    got = K.sparse_topk(frame, df, 4, weigh, probe_ids=ids, group_bytes=1 << 20, prune_from=1).collect()
+    lists = {p: [r.bank_id for r in sorted((r for r in got if r.probe_id == p), key=lambda r: r["rank"])] for p in range(13)}
+    assert lists == _plain_sparse(terms, [(i, t or []) for i, t in bank], 4, range(13))
+    # both sides are written once, nothing is exchanged but k candidates of a probe and group
+    (local, groups), = merged
+    plan = local._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan, plan
+    assert groups == 1 and local.count() == 13 * 4 * groups
+
+
+def test_a_stream_of_cut_values_is_scored_whole(monkeypatch):
+    import pyarrow as pa
+
+    from trainlens.plans import blocked_topk as K
+    rng = np.random.default_rng(3)
+    bank = [[f"w{x}" for x in rng.integers(0, 40, int(rng.integers(0, 30)))] for _ in range(90)]
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(range(a, b)), pa.array(bank[a:b], pa.list_(pa.string())), pa.array([0] * (b - a), pa.int32())], ["bank_id", "tokens", "block"])
+    monkeypatch.setattr(K, "CUT", 100)
+    monkeypatch.setattr(K, "PACK_BYTES", 1)
+    cut = [r for x in K._pack_cut(iter([batch(0, 50), batch(50, 90)])) for r in x.to_pylist()]
+    assert len(cut) > 4 and sum(r["last"] for r in cut) == 2 and all(len(r["docs"]) <= 100 for r in cut)
+    subs = []
+    for sub in range(2):  # two values of terms may meet in a task
+        t = [(p, f"w{x}", float(w)) for p in range(3 * sub, 3 * sub + 3) for x, w in zip(rng.choice(40, 8, replace=False), rng.integers(1, 9, 8), strict=True)]
+        table = pa.table({"sub": pa.array([sub] * len(t), pa.int32()), "probe_id": [x[0] for x in t], "term": [x[1] for x in t], "weight": [x[2] for x in t]})
+        subs.append((t, K._pack_terms(table).column("blob")[0].as_py()))
+    rows = [(sub, raw if i == 0 else None, r["docs"], r["last"]) for i, r in enumerate(cut) for sub, (_, raw) in enumerate(subs)]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)]
+    stream = pa.RecordBatch.from_arrays(cols, ["sub", "probes", "docs", "last"])
+    arrow = pa.schema([("probe_id", pa.int64()), ("bank_id", pa.int64()), ("score", pa.float64()), ("_src", pa.int32())])
+    monkeypatch.setattr(K, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 7)}))}))
+    body = K._streamed_body(5, lambda tf, dl: tf / (1 + dl), arrow, 2)
+    got = [r for x in body(iter([stream.slice(0, 3), stream.slice(3)])) for r in x.to_pylist()]
+    assert {r["_src"] for r in got} == {3}
+    for t, _ in subs:
+        for p, want in _plain_sparse(t, list(enumerate(bank)), 5, sorted({x[0] for x in t})).items():
+            assert [r["bank_id"] for r in got if r["probe_id"] == p] == want
