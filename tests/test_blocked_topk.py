@@ -447,15 +447,15 @@ def test_a_stream_of_cut_values_is_scored_whole(monkeypatch):
     monkeypatch.setattr(K, "CUT", 100)
     monkeypatch.setattr(K, "PACK_BYTES", 1)
     cut = [r for x in K._pack_cut(iter([batch(0, 50), batch(50, 90)])) for r in x.to_pylist()]
-    assert len(cut) > 4 and sum(r["last"] for r in cut) == 2 and all(len(r["docs"]) <= 100 for r in cut)
+    assert len(cut) > 4 and sum(r["last"] for r in cut) == 2 and all(len(r["docs0"]) <= 20 for r in cut)
     subs = []
     for sub in range(2):  # two values of terms may meet in a task
         t = [(p, f"w{x}", float(w)) for p in range(3 * sub, 3 * sub + 3) for x, w in zip(rng.choice(40, 8, replace=False), rng.integers(1, 9, 8), strict=True)]
         table = pa.table({"sub": pa.array([sub] * len(t), pa.int32()), "probe_id": [x[0] for x in t], "term": [x[1] for x in t], "weight": [x[2] for x in t]})
         subs.append((t, K._pack_terms(table).column("blob")[0].as_py()))
-    rows = [(sub, raw if i == 0 else None, r["docs"], r["last"]) for i, r in enumerate(cut) for sub, (_, raw) in enumerate(subs)]
-    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)]
-    stream = pa.RecordBatch.from_arrays(cols, ["sub", "probes", "docs", "last"])
+    rows = [(sub, raw if i == 0 else None, *r.values()) for i, r in enumerate(cut) for sub, (_, raw) in enumerate(subs)]
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 6, pa.bool_()), strict=True)]
+    stream = pa.RecordBatch.from_arrays(cols, ["sub", "probes", *K._parts(), "last"])
     arrow = pa.schema([("probe_id", pa.int64()), ("bank_id", pa.int64()), ("score", pa.float64()), ("_src", pa.int32())])
     monkeypatch.setattr(K, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 7)}))}))
     body = K._streamed_body(5, lambda tf, dl: tf / (1 + dl), arrow, 2)
